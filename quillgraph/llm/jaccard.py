@@ -5,10 +5,11 @@
 2. Two sets of Jaccard 0.75 share a shingle among the first n - ceil(0.75 n) + 1 of each. Those
    shingles, and no others, are shuffled; a shingle with one class, or with sizes that rule each
    other out, ends there. Blocks with the same smallest class form a family.
-3. Families (cut into tiles of bounded size) get their full sets and build signature trees: nodes
-   hold OR-combined token bitmaps and size ranges, and a dual traversal drops node pairs whose
-   largest possible overlap is too small. What is left is verified on the sets, exactly.
-4. Links of the classes give components.
+3. Families (cut into tiles of bounded size) build signature trees over token bitmaps: nodes hold
+   OR-combined bitmaps and size ranges, and a dual traversal drops node pairs whose largest
+   possible overlap is too small. What is left connects classes into candidate groups.
+4. Only those classes get their full sets, each once for its group (again in tiles and trees), and
+   what the trees leave is verified exactly. The links give components.
 
 Which shingles count as often seen only changes the order, never the result.
 """
@@ -128,31 +129,33 @@ def often_seen(docs: DataFrame, seed: int) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, seed: int, hot: np.ndarray) -> DataFrame:
-    """(doc_id, n, c, check, prefix array<long>) of every row; c is null for an empty set."""
+    """(doc_id, n, c, check, prefix array<long>, bits) of every row; c is null for an empty set."""
 
     def make():
         sets = ShingleSets(seed, hot)
 
         def each(batch: pa.RecordBatch):
-            ns, cs, checks, prefixes, here = [], [], [], [], set()
+            ns, cs, checks, prefixes, bits, here = [], [], [], [], [], set()
             for _, keys in sets.of(batch.column(1)):
                 n = len(keys)
                 ns.append(n)
                 if not n:
-                    cs.append(None), checks.append(None), prefixes.append(None)
+                    cs.append(None), checks.append(None), prefixes.append(None), bits.append(None)
                     continue
                 c, check = class_key(keys)
                 cs.append(c), checks.append(check)
-                prefixes.append(None if (c, check) in here else keys[: prefix_length(n)].astype(np.int64))
+                again = (c, check) in here
+                prefixes.append(None if again else keys[: prefix_length(n)].astype(np.int64))
+                bits.append(None if again else bitmap(keys).tobytes())
                 here.add((c, check))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.array(checks, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "c", "check", "prefix"],
+                [batch.column(0), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.array(checks, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                names=["doc_id", "n", "c", "check", "prefix", "bits"],
             )
 
         return each
 
-    return map_batches(docs, ["doc_id", "text"], make, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, c long, check long, prefix array<long>")
+    return map_batches(docs, ["doc_id", "text"], make, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, c long, check long, prefix array<long>, bits binary")
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -217,24 +220,41 @@ def families(sets: DataFrame) -> DataFrame:
     return blocks.where("token is null").select("fam", "c").unionByName(hot).distinct()
 
 
-class SignatureTree:
-    """Sets under nodes with OR-combined token bitmaps and size ranges."""
+def bitmap(keys: np.ndarray) -> np.ndarray:
+    """Token bitmap of a set: a power of two of bits, four or more a token up to 65 536."""
+    bits = min(1 << 16, max(256, 1 << int(4 * len(keys) - 1).bit_length()))
+    flags = np.zeros(bits, np.uint8)
+    flags[mix(keys) & np.uint64(bits - 1)] = 1
+    return np.packbits(flags, bitorder="little").view(np.uint64)
 
-    def __init__(self, members: list[int], sets: list[np.ndarray], bitmaps: np.ndarray, leaf: int = 16, fan: int = 4):
-        order = sorted(members, key=lambda m: (len(sets[m]), int(sets[m][0])))
-        sizes = np.array([len(s) for s in sets], np.int64)
-        spare = sizes - np.bitwise_count(bitmaps).sum(1, dtype=np.int64)  # tokens beyond the bits they set
-        level = []
-        for at in range(0, len(order), leaf):
-            rows = np.array(order[at : at + leaf], np.int64)
-            level.append((np.bitwise_or.reduce(bitmaps[rows]), int(sizes[rows].min()), int(sizes[rows].max()), int(spare[rows].max()), rows, ()))
-        while len(level) > 1:
-            up = []
-            for at in range(0, len(level), fan):
-                kids = tuple(level[at : at + fan])
-                up.append((np.bitwise_or.reduce([k[0] for k in kids]), min(k[1] for k in kids), max(k[2] for k in kids), max(k[3] for k in kids), None, kids))
-            level = up
-        self.root = level[0]
+
+class Signatures:
+    """Bitmaps of sets brought to one width, sizes, and the tokens beyond the bits they set."""
+
+    def __init__(self, sizes: np.ndarray, bitmaps: list[np.ndarray]):
+        self.sizes = sizes
+        self.spare = sizes - np.array([int(np.bitwise_count(b).sum()) for b in bitmaps], np.int64)
+        width = max(map(len, bitmaps))
+        # A narrower bitmap is repeated: a token's wide bit is then set wherever its narrow bit is.
+        self.bits = np.stack([np.tile(b, width // len(b)) for b in bitmaps])
+        #: Largest overlap of a set whose tokens may share bits with it is bounded with either spare.
+        self.order = np.lexsort((self.bits[:, 0], sizes))
+
+
+def signature_tree(sig: Signatures, members: np.ndarray, leaf: int = 16, fan: int = 4):
+    """Root of a tree of (OR of bitmaps, least size, largest size, largest spare, rows, children)."""
+    order = sig.order[np.isin(sig.order, members)]
+    level = []
+    for at in range(0, len(order), leaf):
+        rows = order[at : at + leaf]
+        level.append((np.bitwise_or.reduce(sig.bits[rows]), int(sig.sizes[rows].min()), int(sig.sizes[rows].max()), int(sig.spare[rows].max()), rows, ()))
+    while len(level) > 1:
+        up = []
+        for at in range(0, len(level), fan):
+            kids = tuple(level[at : at + fan])
+            up.append((np.bitwise_or.reduce([k[0] for k in kids]), min(k[1] for k in kids), max(k[2] for k in kids), max(k[3] for k in kids), None, kids))
+        level = up
+    return level[0]
 
 
 def _may_link(a, b, percent: int) -> bool:
@@ -245,38 +265,20 @@ def _may_link(a, b, percent: int) -> bool:
     return (100 + percent) * overlap >= percent * (a[1] + b[1])
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that span every component of the sets with Jaccard >= percent / 100.
+def candidate_pairs(sig: Signatures, side: np.ndarray | None = None, percent: int = PERCENT):
+    """Dual traversal: arrays (p, q) of the pairs that the trees cannot rule out, likeliest first.
 
     With ``side`` (0 or 1 for each set) only pairs across the sides are compared.
     """
-    n = len(sets)
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    sizes = np.array([len(s) for s in sets], np.int64)
-    bits = min(1 << 16, max(256, 1 << int(4 * sizes.max() - 1).bit_length()))
-    bitmaps = np.zeros((n, bits // 64), np.uint64)
-    for i, s in enumerate(sets):
-        flags = np.zeros(bits, np.uint8)
-        flags[mix(s) & np.uint64(bits - 1)] = 1
-        bitmaps[i] = np.packbits(flags, bitorder="little").view(np.uint64)
-    filled = np.bitwise_count(bitmaps).sum(1, dtype=np.int64)
-    spare = sizes - filled
+    everyone = np.arange(len(sig.sizes))
     if side is None:
-        tree = SignatureTree(list(range(n)), sets, bitmaps)
-        stack = [(tree.root, tree.root)]
+        root = signature_tree(sig, everyone)
+        stack = [(root, root)]
     else:
-        parts = [[i for i in range(n) if side[i] == s] for s in (0, 1)]
-        if not parts[0] or not parts[1]:
-            return []
-        stack = [(SignatureTree(parts[0], sets, bitmaps).root, SignatureTree(parts[1], sets, bitmaps).root)]
-    links = []
+        parts = [everyone[side == s] for s in (0, 1)]
+        if not len(parts[0]) or not len(parts[1]):
+            return
+        stack = [(signature_tree(sig, parts[0]), signature_tree(sig, parts[1]))]
     while stack:
         a, b = stack.pop()
         if not _may_link(a, b, percent):
@@ -291,105 +293,160 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int
                 stack += [(a, k) for k in b[5]]
             continue
         x, y = a[4], b[4]
-        common = np.bitwise_count(bitmaps[x][:, None, :] & bitmaps[y][None, :, :]).sum(2, dtype=np.int64)
-        most = np.minimum(common + np.minimum(spare[x][:, None], spare[y][None, :]), np.minimum(sizes[x][:, None], sizes[y][None, :]))
-        both = sizes[x][:, None] + sizes[y][None, :]
-        can = (100 + percent) * most >= percent * both
+        common = np.empty((len(x), len(y)), np.int64)
+        for r, row in enumerate(x):
+            common[r] = np.bitwise_count(sig.bits[row] & sig.bits[y]).sum(1, dtype=np.int64)
+        sx, sy = sig.sizes[x][:, None], sig.sizes[y][None, :]
+        most = np.minimum(common + np.minimum(sig.spare[x][:, None], sig.spare[y][None, :]), np.minimum(sx, sy))
+        can = (100 + percent) * most >= percent * (sx + sy)
         if a is b:
             can &= np.tri(len(x), k=-1, dtype=bool)
         i, j = np.nonzero(can)
-        for at in np.argsort(-(most[i, j] / both[i, j]), kind="stable"):
-            p, q = int(x[i[at]]), int(y[j[at]])
-            rp, rq = find(p), find(q)
-            if rp == rq:
-                continue
-            s, t = (sets[p], sets[q]) if sizes[p] <= sizes[q] else (sets[q], sets[p])
-            where = np.searchsorted(t, s)
-            where[where == len(t)] = 0
-            shared = int((t[where] == s).sum())
-            if 100 * shared >= percent * (len(s) + len(t) - shared):
-                root[max(rp, rq)] = min(rp, rq)
+        if len(i):
+            first = np.argsort(-(most[i, j] / (sx + sy)[i, j]), kind="stable")
+            yield x[i[first]], y[j[first]]
+
+
+def spanning(pairs, accept=None) -> list[tuple[int, int]]:
+    """Accepted pairs that span the components of all accepted pairs; a pair within one is not tried."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (r := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(r, r)
+        return x
+
+    links = []
+    for ps, qs in pairs:
+        for p, q in zip(ps.tolist(), qs.tolist(), strict=True):
+            a, b = find(p), find(q)
+            if a != b and (accept is None or accept(p, q)):
+                root[max(a, b)] = min(a, b)
                 links.append((p, q))
     return links
 
 
-def _tile_links(batches):
-    """Stream of (fam, i, j, c, half, set) sorted by tile pair -> links (src, dst) of classes."""
-    key, held = None, []
-
-    def flush():
-        by_class = {c: (half, s) for c, half, s in held}
-        if len(by_class) > 1:
-            cs = list(by_class)
-            side = np.array([by_class[c][0] for c in cs])
-            for p, q in linked([by_class[c][1] for c in cs], None if key[1] == key[2] else side):
-                yield cs[p], cs[q]
-
-    src, dst = [], []
-    for batch in batches:
-        fam, i, j, c, half = (batch.column(k).to_pylist() for k in range(5))
-        column = batch.column(5)
-        for r in range(batch.num_rows):
-            k = (fam[r], i[r], j[r])
-            if k != key:
-                if key is not None:
-                    for p, q in flush():
-                        src.append(p), dst.append(q)
-                key, held = k, []
-            held.append((c[r], half[r], np.frombuffer(column[r].as_buffer(), np.uint64)))
-        if len(src) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
-            src, dst = [], []
-    if key is not None:
-        for p, q in flush():
-            src.append(p), dst.append(q)
-    if src:
-        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+def linked(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that span every component of the sets with Jaccard >= percent / 100, exactly."""
+
+    def similar(p: int, q: int) -> bool:
+        s, t = (sets[p], sets[q]) if len(sets[p]) <= len(sets[q]) else (sets[q], sets[p])
+        where = np.searchsorted(t, s)
+        where[where == len(t)] = 0
+        shared = int((t[where] == s).sum())
+        return 100 * shared >= percent * (len(s) + len(t) - shared)
 
+    if len(sets) == 2 and side is None:
+        return [(0, 1)] if similar(0, 1) else []
+    sig = Signatures(np.array([len(s) for s in sets], np.int64), [bitmap(s) for s in sets])
+    return spanning(candidate_pairs(sig, side, percent), similar)
 
-def class_links(docs: DataFrame, sets: DataFrame, seed: int, hot: np.ndarray) -> DataFrame:
-    """(src, dst): links that span the components of the classes."""
-    fam = cut(families(sets))
-    per = fam.groupBy("fam").agg(F.count("*").alias("n")).where("n > 1").select(F.col("fam").alias("k"), F.ceil(F.col("n") / TILE).cast("int").alias("g"))
-    placed = fam.join(per, F.col("fam") == F.col("k")).select("fam", "c", "g", F.pmod(F.xxhash64("c"), F.col("g")).cast("int").alias("tile"))
+
+def _tile_links(find):
+    """Worker over rows (fam, i, j, c, half, n, payload) sorted by tile pair; gives links of classes."""
+
+    def run(batches):
+        key, held, out = None, {}, []
+
+        def flush():
+            if len(held) > 1:
+                cs = list(held)
+                side = None if key[1] == key[2] else np.array([held[c][0] for c in cs])
+                out.extend((cs[p], cs[q]) for p, q in find([held[c][1] for c in cs], [held[c][2] for c in cs], side))
+
+        def pack():
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+
+        for batch in batches:
+            fam, i, j, c, half, n = (batch.column(k).to_pylist() for k in range(6))
+            payload = batch.column(6)
+            for r in range(batch.num_rows):
+                k = (fam[r], i[r], j[r])
+                if k != key:
+                    flush()
+                    key, held = k, {}
+                held[c[r]] = (half[r], n[r], np.frombuffer(payload[r].as_py(), np.uint64))
+            if len(out) > 10_000:
+                yield pack()
+                out = []
+        flush()
+        if out:
+            yield pack()
+
+    return run
+
+
+def _by_signature(sizes, bitmaps, side):
+    return spanning(candidate_pairs(Signatures(np.array(sizes, np.int64), bitmaps), side))
+
+
+def _by_set(_, sets, side):
+    return linked(sets, side)
+
+
+def in_tiles(groups: DataFrame) -> DataFrame:
+    """(fam, i, j, c, half) of (fam, c): every two members of a group meet in one tile pair.
+
+    A group of more than TILE members is dealt over tiles by a hash, so no task holds it whole.
+    """
+    per = groups.groupBy("fam").agg(F.count("*").alias("m")).where("m > 1").select(F.col("fam").alias("k"), F.ceil(F.col("m") / TILE).cast("int").alias("g"))
+    placed = groups.join(per, F.col("fam") == F.col("k")).select("fam", "c", "g", F.pmod(F.xxhash64("c"), F.col("g")).cast("int").alias("tile"))
     other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
-    tiles = placed.select("fam", "c", "tile", other.alias("o")).select(
+    return placed.select("fam", "c", "tile", other.alias("o")).select(
         "fam", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "c", F.when(F.col("tile") > F.col("o"), 1).otherwise(0).alias("half")
     )
+
+
+def _links_in_tiles(rows: DataFrame, find) -> DataFrame:
+    dealt = rows.select("fam", "i", "j", "c", "half", "n", "payload").repartition("fam", "i", "j").sortWithinPartitions("fam", "i", "j")
+    return dealt.mapInArrow(_tile_links(find), "src long, dst long")
+
+
+def candidate_groups(sets: DataFrame) -> DataFrame:
+    """(fam, c): classes connected by pairs that the signature trees cannot rule out."""
+    tiles = in_tiles(cut(families(sets)))
+    bits = sets.where("bits is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("bits").alias("payload")).select(F.col("c").alias("k"), "n", "payload")
+    pairs = _links_in_tiles(tiles.join(bits, F.col("c") == F.col("k")), _by_signature)
+    return connected_components(pairs).select(F.col("component").alias("fam"), F.col("node").alias("c"))
+
+
+def class_links(docs: DataFrame, sets: DataFrame, seed: int, hot: np.ndarray) -> DataFrame:
+    """(src, dst): exact links that span the components of the classes."""
+    tiles = in_tiles(cut(candidate_groups(sets)))
     reps = sets.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep")).select(F.col("c").alias("kc"), "rep")
     wanted = tiles.join(reps, F.col("c") == F.col("kc")).groupBy("rep", "c").agg(F.collect_list(F.struct("fam", "i", "j", "half")).alias("places"))
     wanted = cut(wanted.where("rep is not null"))
-    small = wanted.count() <= BROADCAST_DOCS and (wanted.agg(F.sum(F.size("places"))).first()[0] or 0) <= 4 * BROADCAST_DOCS
+    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("places")), F.lit(0)).alias("places")).first()
+    small = size["n"] <= BROADCAST_DOCS and size["places"] <= 4 * BROADCAST_DOCS
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("rep"))
+    names = ["fam", "i", "j", "c", "half", "n", "payload"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
 
     def make():
         shingles = ShingleSets(seed, hot)
-        names = ["fam", "i", "j", "c", "half", "keys"]
+
+        def pack(rows):
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         def each(batch: pa.RecordBatch):
             want, places = batch.column(1).to_pylist(), batch.column(2)
-            rows, size = [], 0
+            rows, held = [], 0
             for r, keys in shingles.of(batch.column(0)):
                 if len(keys) and class_key(keys)[0] == want[r]:
                     raw = keys.tobytes()
                     for p in places[r].as_py():
-                        rows.append((p["fam"], p["i"], p["j"], want[r], p["half"], raw))
-                        size += len(raw)
-                if size > 8 << 20:
-                    yield pack(rows)
-                    rows, size = [], 0
+                        rows.append((p["fam"], p["i"], p["j"], want[r], p["half"], len(keys), raw))
+                        held += len(raw)
+                        if held > 4 << 20:
+                            yield pack(rows)
+                            rows, held = [], 0
             if rows:
                 yield pack(rows)
 
-        def pack(rows):
-            cols = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds, strict=True)], names=names)
-
         return each
 
-    full = map_batches(texts, ["text", "c", "places"], make, "fam long, i int, j int, c long, half int, keys binary")
-    return full.repartition("fam", "i", "j").sortWithinPartitions("fam", "i", "j").mapInArrow(_tile_links, "src long, dst long")
+    full = map_batches(texts, ["text", "c", "places"], make, "fam long, i int, j int, c long, half int, n long, payload binary")
+    return _links_in_tiles(full, _by_set)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm.ball_tree import OP10_SQL, op10_ball_tree_top_k
+from quillgraph.llm.decontaminate import op6_simhash_leaks
 from quillgraph.llm.jaccard import op8_jaccard_components
+from quillgraph.llm.langid import op3_subword_language
 from quillgraph.llm.mixing import OP2_SQL, op2_weighted_fair_mix
 from quillgraph.llm.pii import op1_skip_chain_pii
 from quillgraph.llm.secrets import op7_guess_cost_secrets
@@ -16,6 +18,8 @@ from quillgraph.llm.url_filter import OP9_SQL, op9_url_verdicts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_skip_chain_pii": op1_skip_chain_pii,
     "op2_weighted_fair_mix": op2_weighted_fair_mix,
+    "op3_subword_language": op3_subword_language,
+    "op6_simhash_leaks": op6_simhash_leaks,
     "op7_guess_cost_secrets": op7_guess_cost_secrets,
     "op8_jaccard_components": op8_jaccard_components,
     "op9_url_verdicts": op9_url_verdicts,
