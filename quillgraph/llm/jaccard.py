@@ -234,34 +234,35 @@ class Signatures:
     def __init__(self, sizes: np.ndarray, bitmaps: list[np.ndarray]):
         self.sizes = sizes
         self.spare = sizes - np.array([int(np.bitwise_count(b).sum()) for b in bitmaps], np.int64)
-        width = max(map(len, bitmaps))
-        # A narrower bitmap is repeated: a token's wide bit is then set wherever its narrow bit is.
-        self.bits = np.stack([np.tile(b, width // len(b)) for b in bitmaps])
-        #: Largest overlap of a set whose tokens may share bits with it is bounded with either spare.
+        self.own = np.array([len(b) for b in bitmaps], np.int64)
+        self.width = int(self.own.max())
+        # A narrower bitmap is repeated: a token's wide bit is then set wherever its narrow bit is, and
+        # common bits of two sets count width / (wider of the two) times.
+        self.bits = np.stack([np.tile(b, self.width // len(b)) for b in bitmaps])
         self.order = np.lexsort((self.bits[:, 0], sizes))
 
 
 def signature_tree(sig: Signatures, members: np.ndarray, leaf: int = 16, fan: int = 4):
-    """Root of a tree of (OR of bitmaps, least size, largest size, largest spare, rows, children)."""
+    """Root of a tree of (OR of bitmaps, least size, largest size, largest spare, rows, children, widest)."""
     order = sig.order[np.isin(sig.order, members)]
     level = []
     for at in range(0, len(order), leaf):
         rows = order[at : at + leaf]
-        level.append((np.bitwise_or.reduce(sig.bits[rows]), int(sig.sizes[rows].min()), int(sig.sizes[rows].max()), int(sig.spare[rows].max()), rows, ()))
+        level.append((np.bitwise_or.reduce(sig.bits[rows]), int(sig.sizes[rows].min()), int(sig.sizes[rows].max()), int(sig.spare[rows].max()), rows, (), int(sig.own[rows].max())))
     while len(level) > 1:
         up = []
         for at in range(0, len(level), fan):
             kids = tuple(level[at : at + fan])
-            up.append((np.bitwise_or.reduce([k[0] for k in kids]), min(k[1] for k in kids), max(k[2] for k in kids), max(k[3] for k in kids), None, kids))
+            up.append((np.bitwise_or.reduce([k[0] for k in kids]), min(k[1] for k in kids), max(k[2] for k in kids), max(k[3] for k in kids), None, kids, max(k[6] for k in kids)))
         level = up
     return level[0]
 
 
-def _may_link(a, b, percent: int) -> bool:
+def _may_link(a, b, width: int, percent: int) -> bool:
     """Whether some pair of sets under the two nodes can reach the similarity."""
     if 100 * a[2] < percent * b[1] or 100 * b[2] < percent * a[1]:
         return False
-    overlap = min(int(np.bitwise_count(a[0] & b[0]).sum()) + min(a[3], b[3]), a[2], b[2])
+    overlap = min(int(np.bitwise_count(a[0] & b[0]).sum()) * max(a[6], b[6]) // width + min(a[3], b[3]), a[2], b[2])
     return (100 + percent) * overlap >= percent * (a[1] + b[1])
 
 
@@ -281,7 +282,7 @@ def candidate_pairs(sig: Signatures, side: np.ndarray | None = None, percent: in
         stack = [(signature_tree(sig, parts[0]), signature_tree(sig, parts[1]))]
     while stack:
         a, b = stack.pop()
-        if not _may_link(a, b, percent):
+        if not _may_link(a, b, sig.width, percent):
             continue
         if a[5] or b[5]:
             if a is b:
@@ -296,6 +297,7 @@ def candidate_pairs(sig: Signatures, side: np.ndarray | None = None, percent: in
         common = np.empty((len(x), len(y)), np.int64)
         for r, row in enumerate(x):
             common[r] = np.bitwise_count(sig.bits[row] & sig.bits[y]).sum(1, dtype=np.int64)
+        common = common * np.maximum(sig.own[x][:, None], sig.own[y][None, :]) // sig.width
         sx, sy = sig.sizes[x][:, None], sig.sizes[y][None, :]
         most = np.minimum(common + np.minimum(sig.spare[x][:, None], sig.spare[y][None, :]), np.minimum(sx, sy))
         can = (100 + percent) * most >= percent * (sx + sy)
