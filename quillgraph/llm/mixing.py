@@ -33,7 +33,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     w = w.withColumn("capped", F.coalesce(F.sum("cap").over(rising), F.lit(0.0)))
     w = w.withColumn("free_weight", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(rising), F.lit(0.0)))
     w = w.withColumn("level", (F.col("budget") - F.col("capped")) / F.col("free_weight"))
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
+    # Past the right place in the order the levels fall, before it they exceed the ratio.
+    level = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
     w = w.withColumn("level", level)
     target = F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("cap")).otherwise(F.col("level") * F.col("weight"))
     return w.select("source", "source_size", "n_docs", target.alias("target"))
@@ -110,7 +111,7 @@ wt AS (SELECT *, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source IS NULL
 lv AS (SELECT *, cap / weight AS ratio, (1.5::DOUBLE * sum(source_size) OVER ()
       - coalesce(sum(cap) OVER (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
     / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE)) AS lvl FROM wt),
-lm AS (SELECT min(lvl) AS l FROM lv WHERE lvl <= ratio),
+lm AS (SELECT max(lvl) AS l FROM lv WHERE lvl <= ratio),
 tg AS (SELECT source, source_size, CASE WHEN l IS NULL OR ratio <= l THEN cap ELSE l * weight END AS target FROM lv, lm),
 qd AS (SELECT s.*, t.source_size, t.target, CAST(coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM sized s JOIN tg t ON s.source IS NOT DISTINCT FROM t.source),
