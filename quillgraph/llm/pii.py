@@ -298,14 +298,13 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return map_batches(docs, [id_col, text_col], make, f"{id_col} {dict(docs.dtypes)[id_col]}, base {s}, spans {s}")
 
 
-def mask_pii(docs: DataFrame, columns: list[str]) -> DataFrame:
+def mask_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with every found span of the text replaced by its kind in angle brackets.
 
     A text without spans, a null and an empty text stay as they are; overlapping spans are replaced
     as one, named by the first. ``n_chars``, where it is a column, follows the text.
     """
-    weights = train()
-    types = dict(docs.dtypes)
+    weights, columns, types = train(), docs.columns, dict(docs.dtypes)
     where = columns.index("text")
 
     def make():
@@ -331,7 +330,7 @@ def mask_pii(docs: DataFrame, columns: list[str]) -> DataFrame:
 
         return each
 
-    return map_batches(docs, columns, make, ", ".join(f"`{c}` {types[c]}" for c in columns))
+    return map_batches(docs, [f"`{c}`" for c in columns], make, docs.schema)
 
 
 def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
