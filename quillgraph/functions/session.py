@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -47,3 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
+
+    The cleaner follows the driver's garbage collection, which a small driver heap may not run for a
+    long time; disk on the executors would hold every finished shuffle until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
