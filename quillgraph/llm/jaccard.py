@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.functions.session import cut
+from quillgraph.functions.session import cut, release
 from quillgraph.llm.text import WordHasher, map_batches, mix, text_slices
 from quillgraph.operators.components import connected_components
 
@@ -29,7 +29,7 @@ WIDTH = 5
 #: Similarity as a whole-number ratio: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Often-seen shingles that are put last in the order; bounds what is sent with the plan (8 bytes each).
-HOT_TOKENS = 65_536
+HOT_TOKENS = 131_072
 #: Tokens counted at a time while looking for them.
 COUNT_TOKENS = 1 << 22
 #: Members of a family handled together; a larger family is cut into tiles and every pair of tiles is joined.
@@ -109,7 +109,7 @@ def often_seen(docs: DataFrame, seed: int) -> np.ndarray:
 
         def flush():
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            keep = counts >= max(4, docs_n // 500)
+            keep = counts >= max(4, docs_n // 2000)
             return pa.RecordBatch.from_arrays([pa.array(keys[keep].astype(np.int64)), pa.array(counts[keep].astype(np.int64))], names=["token", "n"])
 
         for batch in batches:
@@ -407,14 +407,16 @@ def _links_in_tiles(rows: DataFrame, find) -> DataFrame:
 def candidate_groups(sets: DataFrame) -> DataFrame:
     """(fam, c): classes connected by pairs that the signature trees cannot rule out."""
     tiles = in_tiles(cut(families(sets)))
+    release(sets.sparkSession)
     bits = sets.where("bits is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("bits").alias("payload")).select(F.col("c").alias("k"), "n", "payload")
-    pairs = _links_in_tiles(tiles.join(bits, F.col("c") == F.col("k")), _by_signature)
+    pairs = cut(_links_in_tiles(tiles.join(bits, F.col("c") == F.col("k")), _by_signature))
     return connected_components(pairs).select(F.col("component").alias("fam"), F.col("node").alias("c"))
 
 
 def class_links(docs: DataFrame, sets: DataFrame, seed: int, hot: np.ndarray) -> DataFrame:
     """(src, dst): exact links that span the components of the classes."""
     tiles = in_tiles(cut(candidate_groups(sets)))
+    release(docs.sparkSession)
     reps = sets.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep")).select(F.col("c").alias("kc"), "rep")
     wanted = tiles.join(reps, F.col("c") == F.col("kc")).groupBy("rep", "c").agg(F.collect_list(F.struct("fam", "i", "j", "half")).alias("places"))
     wanted = cut(wanted.where("rep is not null"))
@@ -466,7 +468,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         clash = sets.where("c is not null").groupBy("c").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b")
         if clash.isEmpty():
             break
-    links = class_links(docs, sets, seed, hot)
+    links = cut(class_links(docs, sets, seed, hot))
     comp = connected_components(links)
     classes = sets.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     named = classes.join(comp.withColumnRenamed("node", "k"), F.col("c") == F.col("k"), "left").select("c", "least", F.coalesce("component", "c").alias("root"))
