@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -74,27 +75,46 @@ def reduce_dimensions(df: DataFrame, id_col: str, vector: str, dimensions: int)
 
 
 def soft_clusters(df: DataFrame, id_col: str, vector: str, threshold: float = 0.1, max_clusters: int = 5, seed: int = 224) -> DataFrame:
-    """(id, cluster, probability): a Gaussian mixture of the number of clusters of least BIC.
+    """(id, cluster, probability): a Gaussian mixture of the number of clusters (from 1) of least BIC.
 
     A row is in every cluster whose probability exceeds the threshold, so in none or several.
     """
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    import math
-
-    v = df.select(id_col, array_to_vector(F.col(vector).cast("array<double>")).alias("features")).cache()
-    n, d = v.count(), len(df.select(vector).first()[0])
-    best = None
-    for k in range(1, max(2, min(max_clusters, n))):
+    x = cut(df.where(F.col(vector).isNotNull()).select(id_col, F.col(vector).cast("array<double>").alias("x")))
+    n = x.count()
+    if not n:
+        return x.select(id_col, F.lit(0).alias("cluster"), F.lit(1.0).alias("probability"))
+    d = len(x.select("x").first()[0])
+    free = lambda k: k * (d + d * (d + 1) / 2) + k - 1
+    best = (-2 * _one_gaussian(x, n, d) + free(1) * math.log(n), None)
+    v = x.select(id_col, array_to_vector("x").alias("features"))
+    for k in range(2, min(max_clusters + 1, n)):
         model = GaussianMixture(k=k, seed=seed, maxIter=20).fit(v)
-        bic = -2 * model.summary.logLikelihood + (k * (d + d * (d + 1) / 2) + k - 1) * math.log(n)
-        if best is None or bic < best[0]:
+        bic = -2 * model.summary.logLikelihood + free(k) * math.log(n)
+        if bic < best[0]:
             best = (bic, model)
+    if best[1] is None:
+        return x.select(id_col, F.lit(0).alias("cluster"), F.lit(1.0).alias("probability"))
     p = best[1].transform(v).select(id_col, F.posexplode(vector_to_array("probability")).alias("cluster", "probability"))
     return p.where(F.col("probability") > threshold)
 
 
+def _one_gaussian(x: DataFrame, n: int, d: int) -> float:
+    """Log likelihood of a single Gaussian, from pre-aggregated covariances."""
+    import numpy as np
+
+    at = lambda i: F.get("x", F.lit(i))
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    row = x.agg(*[F.covar_pop(at(i), at(j)).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    cov = np.zeros((d, d))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
+    _, logdet = np.linalg.slogdet(cov + 1e-9 * np.eye(d))
+    return -0.5 * n * (d * math.log(2 * math.pi) + logdet + d)
+
+
 def cluster_nodes(df: DataFrame, id_col: str, vector: str, dimensions: int = 5, threshold: float = 0.1, max_clusters: int = 5) -> DataFrame:
     """(id, cluster): soft clusters in a reduced space."""
     n = df.count()
