@@ -39,11 +39,14 @@ _CONTEXT = re.compile(
 _KEYWORD = "(?i)pass|pwd|secret|token|credential|login|pin|key|auth|AKIA|[0-9a-f]{32}"
 
 
-def _adjacent(a: str, b: str) -> bool:
+def _step(a: str, b: str) -> tuple | None:
+    """How to get from one key to a neighbouring key or letter; None if they are no neighbours."""
     if (p := _PLACE.get(a)) and (q := _PLACE.get(b)):
         if abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1 and p != q:
-            return True
-    return a.isalnum() and b.isalnum() and abs(ord(a) - ord(b)) == 1
+            return "key", q[0] - p[0], q[1] - p[1]
+    if a.isalnum() and b.isalnum() and abs(ord(a) - ord(b)) == 1:
+        return "code", ord(b) - ord(a)
+    return None
 
 
 def guess_cost(value: str, max_period: int = 8) -> float:
@@ -64,11 +67,11 @@ def guess_cost(value: str, max_period: int = 8) -> float:
     best = [0.0] + [math.inf] * n
     walk = [0] * (n + 1)  # characters of a keyboard or alphabet walk that starts here
     turns = [0] * (n + 1)
+    steps = [_step(low[i], low[i + 1]) for i in range(n - 1)] + [None]
     for i in range(n - 2, -1, -1):
-        if _adjacent(low[i], low[i + 1]):
+        if steps[i]:
             walk[i] = walk[i + 1] + 1
-            straight = walk[i + 1] and ord(low[i + 1]) - ord(low[i]) == ord(low[i + 2]) - ord(low[i + 1]) if i + 2 < n else False
-            turns[i] = turns[i + 1] + (not straight)
+            turns[i] = turns[i + 1] + (steps[i] != steps[i + 1])
     again = {p: [0] * (n + 1) for p in range(1, max_period + 1)}
     for p, run in again.items():
         for i in range(n - p - 1, -1, -1):
