@@ -188,7 +188,9 @@ def rewrite_archives(headers: DataFrame, revisits: DataFrame, source: str, targe
     _folder(spark, target, True)
     files = headers.select("file").distinct()
     mine = revisits.groupBy("file").agg(F.collect_list(F.struct("offset", "original")).alias("again")).withColumnRenamed("file", "f")
-    work = files.join(mine, F.col("file") == F.col("f"), "left").select("file", "again").repartition("file")
+    # A row stands for a whole archive: the number of tasks follows the archives, not the rows' bytes.
+    tasks = max(1, min(files.count(), 100_000))
+    work = files.join(mine, F.col("file") == F.col("f"), "left").select("file", "again").repartition(tasks, "file")
 
     def run(batches):
         store, root = fs.FileSystem.from_uri(source)
