@@ -389,10 +389,11 @@ def _by_set(_, sets, side):
 def in_tiles(groups: DataFrame) -> DataFrame:
     """(fam, i, j, c, half) of (fam, c): every two members of a group meet in one tile pair.
 
-    A group of more than TILE members is dealt over tiles by a hash, so no task holds it whole.
+    A group of more than TILE members is dealt over tiles by a hash, so no task holds it whole. The
+    sizes are materialised first: Spark can then split a large group's side of the join.
     """
     per = groups.groupBy("fam").agg(F.count("*").alias("m")).where("m > 1").select(F.col("fam").alias("k"), F.ceil(F.col("m") / TILE).cast("int").alias("g"))
-    placed = groups.join(per, F.col("fam") == F.col("k")).select("fam", "c", "g", F.pmod(F.xxhash64("c"), F.col("g")).cast("int").alias("tile"))
+    placed = groups.join(cut(per), F.col("fam") == F.col("k")).select("fam", "c", "g", F.pmod(F.xxhash64("c"), F.col("g")).cast("int").alias("tile"))
     other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
     return placed.select("fam", "c", "tile", other.alias("o")).select(
         "fam", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "c", F.when(F.col("tile") > F.col("o"), 1).otherwise(0).alias("half")
