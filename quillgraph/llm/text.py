@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Bytes of text handled at a time in a worker; a longer single text is handled alone, whole.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
