@@ -174,14 +174,14 @@ def detect_communities(edges: DataFrame, weight: str | None = "weight", rounds:
     return names
 
 
-def hierarchical_communities(edges: DataFrame, max_cluster_size: int = 10, levels: int = 3, weight: str | None = "weight", use_lcc: bool = True) -> DataFrame:
+def hierarchical_communities(edges: DataFrame, max_cluster_size: int = 10, levels: int = 3, weight: str | None = "weight", use_lcc: bool = True, rounds: int = 8, passes: int = 2) -> DataFrame:
     """(level, community, parent, node): communities, those above ``max_cluster_size`` split again.
 
     A community is named by its level and smallest node. Level 0 covers the (largest component of
     the) graph; a later level holds the parts of the communities that were split.
     """
     work = cut(largest_component(edges) if use_lcc else edges)
-    found = detect_communities(work, weight)
+    found = detect_communities(work, weight, rounds, passes)
     out = found.select(F.lit(0).alias("level"), F.concat(F.lit("0:"), F.col("community").cast("string")).alias("community"), F.lit(None).cast("string").alias("parent"), "node")
     last = cut(out)
     result = last
@@ -192,7 +192,7 @@ def hierarchical_communities(edges: DataFrame, max_cluster_size: int = 10, level
             break
         a, b = (inside.select(F.col("n").alias(f"n{s}"), F.col("big").alias(f"big{s}")) for s in "ab")
         sub = work.join(a, F.col("source") == F.col("na")).join(b, F.col("target") == F.col("nb")).where("biga = bigb").select("source", "target", *([weight] if weight else []))
-        parts = detect_communities(cut(sub), weight)
+        parts = detect_communities(cut(sub), weight, rounds, passes)
         mine = inside.join(parts, F.col("n") == F.col("node"), "left").select(F.col("n").alias("node"), "big", F.coalesce("community", "n").alias("c"))
         last = cut(mine.select(F.lit(level).alias("level"), F.concat(F.lit(f"{level}:"), F.col("c").cast("string")).alias("community"), F.col("big").alias("parent"), "node"))
         result = result.unionByName(last)

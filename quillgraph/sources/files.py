@@ -43,7 +43,7 @@ def read_texts(spark: SparkSession, folder: str, pattern: str = r".*[\\/](?P<nam
     return out.withColumn("title", title).withColumn("id", F.md5(F.concat_ws("", *groups, "text"))).select("id", "title", "text", *groups)
 
 
-def read_csv(spark: SparkSession, folder: str, encoding: str = "latin1", source: str | None = None, text: str | None = None, title: str | None = None, timestamp: str | None = None, timestamp_format: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, folder: str, encoding: str = "iso-8859-1", source: str | None = None, text: str | None = None, title: str | None = None, timestamp: str | None = None, timestamp_format: str | None = None) -> DataFrame:
     """CSV rows with id (md5 of the row where there is none), source/text/title copies and date parts."""
     df = spark.read.csv(folder, header=True, encoding=encoding, recursiveFileLookup=True, pathGlobFilter="*.csv", multiLine=True, escape='"')
     if "id" not in df.columns:
