@@ -24,9 +24,10 @@ def incremental_windows(stream: DataFrame, path: str, checkpoint: str, size: int
 def mention_counts(stream: DataFrame, time: str = "ts", window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Entity mentions by event-time window; rows later than the watermark are dropped by Spark."""
     names = F.explode(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).alias("name")
-    return stream.withWatermark(time, late).select(F.col(time), names).groupBy(F.window(time, window), "name").agg(F.count("*").alias("mentions"))
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).select(F.col(time), names).groupBy(F.window(time, window), "name").agg(F.count("*").alias("mentions"))
 
 
 def event_windows(stream: DataFrame, time: str = "ts", window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events and value sums by window and type."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, window), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("value"))
+    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    return timed.groupBy(F.window(time, window), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("value"))

@@ -3,7 +3,9 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, HERE)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (HERE, os.environ.get("PYTHONPATH"))))
 
 
 @pytest.fixture(scope="session")
@@ -12,4 +14,5 @@ def spark():
 
     session = local_session(4, 4, "4g")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "4")
     yield session
