@@ -46,6 +46,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if labels is None:
         return alone.select("node", F.col("node").alias("component"))
-    least = labels.groupBy("root").agg(F.min("node").alias("component")).select(F.col("root").alias("kr"), "component")
+    # Materialised, so that Spark can split a large component's side of the join.
+    least = cut(labels.groupBy("root").agg(F.min("node").alias("component")).select(F.col("root").alias("kr"), "component"))
     found = labels.join(least, F.col("root") == F.col("kr")).select(F.col("node").alias("k"), "component")
     return alone.join(found, F.col("node") == F.col("k"), "left").select("node", F.coalesce("component", "node").alias("component"))
