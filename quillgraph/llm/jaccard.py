@@ -474,7 +474,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = sets.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     named = classes.join(comp.withColumnRenamed("node", "k"), F.col("c") == F.col("k"), "left").select("c", "least", F.coalesce("component", "c").alias("root"))
     named = cut(named)
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("kr"), "component_id")
+    roots = cut(named.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("kr"), "component_id"))
     label = named.join(roots, F.col("root") == F.col("kr")).select(F.col("c").alias("kc"), "component_id")
     out = sets.select("doc_id", "n", "c").join(label, F.col("c") == F.col("kc"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
