@@ -18,6 +18,7 @@ def test_article_only():
     assert H.extract('<div class="cookie-notice">hi</div><div>text <b>bold</b>\n more</div> loose < 5 &copy; <span class="ad">buy</span> x', None) == "text bold more\nloose < 5 © x"
     assert H.extract("<script>var t='</p>';</script><style>p{}</style><article><h1>T</h1>a<br>b<!-- c -->d<p>e", None) == "T\na bd\ne"
     assert H.extract(None, None) == H.extract("", None) == H.extract("<nav>x", None) == ""
+    assert H.extract("<head><title>t</title><meta charset=x><body><article>no end of head", None) == "no end of head"
     assert H.extract("<article>one</article><p>out</p><article>two</article>", None) == "one\ntwo"
     assert H.extract("<article><p>&#233;&eacute;&amp;amp;</p></article>", None) == "éé&amp;"
 
