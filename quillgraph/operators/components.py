@@ -11,41 +11,36 @@ from quillgraph.functions.session import cut
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) of every endpoint; the component is its smallest node.
 
-    Every round points each node to the least of itself and its neighbours in a hashed order (new in
-    each round, so that a chain of rising ids shrinks by a constant factor instead of shifting),
-    follows the pointers a few steps, and relabels and de-duplicates the edges until none is left.
+    Every round points each node to the least of itself and its neighbours in a hashed order (so that
+    a chain of rising ids shrinks by a constant factor instead of shifting; every round has the same
+    plan, which is compiled once), follows the pointers a few steps, and relabels and de-duplicates the edges until none is left.
     Least neighbours are pre-aggregated before the shuffle, so a hub costs no single task. Rounds are
     checkpointed in the shared folder; links and labels stay on the executors. Null endpoints and
     self loops only make their node known.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    alone = cut(e.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct())
+    alone = e.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
     e = cut(e.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
-    for r in range(max_rounds):
-        if e.isEmpty():
-            break
-        place = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(r)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
+    place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+    steps: list[DataFrame] = []
+    while not e.isEmpty():
+        if len(steps) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy("a").agg(F.min(place("b")).alias("m"))
-        up = cut(near.select(F.col("a").alias("node"), F.least(place("a"), F.col("m"))["id"].alias("up")))
-        for _ in range(2):
-            step = up.select(F.col("node").alias("k"), F.col("up").alias("top"))
-            up = up.join(step, F.col("up") == F.col("k")).select("node", F.col("top").alias("up"))
-        up = cut(up)
-        if labels is None:
-            labels = up.select("node", F.col("up").alias("root"))
-        else:
-            labels = labels.join(up.select(F.col("node").alias("k"), "up"), F.col("root") == F.col("k"), "left").select("node", F.coalesce("up", "root").alias("root"))
-        labels = cut(labels)
+        near = both.groupBy("a").agg(F.min(place("b")).alias("m")).select(F.col("a").alias("node"), F.least(place("a"), F.col("m"))["id"].alias("up"))
+        step = near.select(F.col("node").alias("k"), F.col("up").alias("top"))
+        up = cut(near.join(step, F.col("up") == F.col("k")).select("node", F.col("top").alias("up")))
+        steps.append(up)
         left = up.select(F.col("node").alias("ka"), F.col("up").alias("na"))
         right = up.select(F.col("node").alias("kb"), F.col("up").alias("nb"))
         e = e.join(left, F.col("a") == F.col("ka")).join(right, F.col("b") == F.col("kb")).where("na <> nb")
         e = cut(e.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    if labels is None:
+    if not steps:
         return alone.select("node", F.col("node").alias("component"))
+    labels = steps[0].select("node", F.col("up").alias("root"))
+    for up in steps[1:]:
+        labels = labels.join(up.select(F.col("node").alias("k"), "up"), F.col("root") == F.col("k"), "left").select("node", F.coalesce("up", "root").alias("root"))
+    labels = cut(labels)
     # Materialised, so that Spark can split a large component's side of the join.
     least = cut(labels.groupBy("root").agg(F.min("node").alias("component")).select(F.col("root").alias("kr"), "component"))
     found = labels.join(least, F.col("root") == F.col("kr")).select(F.col("node").alias("k"), "component")
