@@ -15,9 +15,11 @@ from quillgraph.llm.text import text_slices
 #: Bounds of the labelled sample: languages, and rows of each (about; by a hash of doc_id).
 MAX_LANGUAGES, ROWS_PER_LANGUAGE = 256, 500
 BUCKETS, DIMS, ORDERS = 1 << 16, 16, (2, 3, 4)
-EPOCHS, BATCH, RATE = 12, 32, 2.0
-#: Accuracy that accepted texts of the calibration fold must reach; sets the rejection threshold.
-ACCEPTED_ACCURACY = 0.95
+#: A small sample is gone through more often: every fit takes about STEPS steps.
+STEPS, BATCH, RATE = 600, 32, 2.0
+#: Accuracy that accepted texts of the calibration fold must reach; sets the rejection threshold,
+#: which is never above even odds: a language likelier than all others together is accepted.
+ACCEPTED_ACCURACY, HIGHEST_THRESHOLD = 0.95, 0.5
 #: Subwords of a text at which the calibration changes.
 LENGTH_STEPS = (8, 16, 32, 64, 128, 256)
 UNDETERMINED = "und"
@@ -108,9 +110,10 @@ def train(texts: list[str], labels: list[str], seed: int = 11) -> Model | None:
         return x[at : at + size]
 
     weight = len(gold) / (len(languages) * np.bincount(gold, minlength=len(languages)))
-    steps = EPOCHS * -(-len(fit) // BATCH)
+    epochs = -(-STEPS // -(-len(fit) // BATCH))
+    steps = epochs * -(-len(fit) // BATCH)
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = rng.permutation(fit)
         for i in range(0, len(order), BATCH):
             rows = order[i : i + BATCH]
@@ -169,7 +172,7 @@ def _calibrate(model: Model, raw, gold, stretch, rng) -> None:
     order = np.argsort(-top)
     accuracy = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
     good = np.flatnonzero(accuracy >= ACCEPTED_ACCURACY)
-    model.threshold = float(top[order][good[-1]]) if len(good) else 1.0
+    model.threshold = min(HIGHEST_THRESHOLD, float(top[order][good[-1]]) if len(good) else 1.0)
     if len(good) == len(order):
         model.threshold = 0.0
 
