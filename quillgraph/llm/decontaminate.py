@@ -16,6 +16,7 @@ WIDTH, SIMILARITY = 5, 0.75
 BITS, RADIUS, BLOCKS = 128, 40, 16
 #: Items sent with one pass over the documents; more items take more passes.
 ITEM_BLOCK = 20_000
+SEED = 3
 
 _PUNCTUATION = np.array([c for c in range(33, 127) if not chr(c).isalnum()], np.uint8)
 _BLANKED = np.arange(256, dtype=np.uint8)
@@ -38,9 +39,13 @@ def _signs(shingles: np.ndarray) -> np.ndarray:
 
 
 class ItemIndex:
-    """Items grouped by length, each length with its own multi-index over SimHash fingerprints."""
+    """Items grouped by length, each length with its own multi-index over SimHash fingerprints.
 
-    def __init__(self, ids: list[int], texts: list[str], seed: int = 3):
+    ``n`` and ``common`` (shingles of two items or more, and their numbers of items) are
+    those of the whole benchmark; without them the given items are the whole benchmark.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], seed: int = SEED, n: int | None = None, common: tuple[np.ndarray, np.ndarray] | None = None):
         self.hasher = WordHasher(seed)
         self.ids, self.shingles, self.sizes = [], [], []
         for i, text in zip(ids, texts, strict=True):
@@ -50,8 +55,10 @@ class ItemIndex:
                 self.ids.append(i)
                 self.sizes.append(len(words))
                 self.shingles.append(self.hasher.runs(words, min(WIDTH, len(words))))
-        n = max(1, len(self.ids))
+        n = max(1, len(self.ids) if n is None else n)
         df = Counter(s for x in self.shingles for s in set(x.tolist()))
+        if common is not None:
+            df = dict.fromkeys(df, 1) | dict(zip(common[0].tolist(), common[1].tolist(), strict=True))
         #: A shingle of many items says less; one of no item weighs like one of a single item.
         self.weight = {s: 1 + np.log(n / c) for s, c in df.items()}
         self.unknown = 1 + np.log(n)
@@ -96,6 +103,7 @@ class ItemIndex:
     def search(self, words: np.ndarray, places: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, tuple[float, int]]:
         """Items found in one text: item -> (similarity, first word); ``places`` are its hits by width.
 
+        A text of fewer words than the item is one window, whole.
         A window none of whose shingles is an item's, or whose known shingles weigh under 0.75 of the
         lightest item of its length, has a similarity under 0.75 with all of them and gets no
         fingerprint. All other windows of every item length are looked up.
@@ -104,19 +112,20 @@ class ItemIndex:
         for m, own in self.by_size.items():
             width = min(WIDTH, m)
             at, weights = places.get(width, ((), ()))
-            count = m - width + 1
-            if not len(at) or len(words) < m:
+            size = min(m, len(words))
+            count = size - width + 1
+            if not len(at):
                 continue
             # Windows that cover a hit, as starts; weight of the known shingles in each.
             starts = np.unique((at[:, None] - np.arange(count)[None, :]).ravel())
-            starts = starts[(starts >= 0) & (starts <= len(words) - m)]
+            starts = starts[(starts >= 0) & (starts <= len(words) - size)]
             total = np.concatenate([[0.0], np.cumsum(weights)])
             held = total[np.searchsorted(at, starts + count)] - total[np.searchsorted(at, starts)]
             fit = held >= SIMILARITY * own["least"] - 1e-9
             starts, held = starts[fit], held[fit]
             if not len(starts):
                 continue
-            low, high = int(starts.min()), int(starts.max()) + m
+            low, high = int(starts.min()), int(starts.max()) + size
             runs = self.hasher.runs(words[low:high], width)
             w = np.array([self.weight.get(s, self.unknown) for s in runs.tolist()])
             rising = np.concatenate([np.zeros((1, BITS)), np.cumsum(_signs(runs) * w[:, None], axis=0)])
@@ -135,7 +144,7 @@ class ItemIndex:
         return found
 
     def scan(self, column: pa.Array):
-        """(row, item index, similarity, first word, words) of every match in a column of texts."""
+        """(row, item index, similarity, first word, words of the window) of every match in a column of texts."""
         for row, data, bounds in text_slices(column):
             words, counts = _words(self.hasher, data, bounds)
             ends = np.cumsum(counts)
@@ -152,23 +161,51 @@ class ItemIndex:
             for t, mine in places.items():
                 begin = int(ends[t] - counts[t])
                 for j, (sim, start) in sorted(self.search(words[begin : int(ends[t])], mine).items()):
-                    yield row + t, j, sim, start
+                    yield row + t, j, sim, start, min(self.sizes[j], int(counts[t]))
+
+
+def item_frequencies(items: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
+    """Number of items with words, and the shingles of two items or more with their numbers of items."""
+
+    def make():
+        hasher = WordHasher(SEED)
+
+        def each(batch: pa.RecordBatch):
+            for _, data, bounds in text_slices(batch.column(0)):
+                words, counts = _words(hasher, data, bounds)
+                ends = np.cumsum(counts)
+                own = [np.unique(hasher.runs(words[e - c : e], min(WIDTH, c))) for e, c in zip(ends.tolist(), counts.tolist(), strict=True) if c]
+                if own:
+                    first = np.zeros(sum(map(len, own)), np.int64)
+                    first[np.cumsum([0, *map(len, own[:-1])])] = 1
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(first)], names=["s", "first"])
+
+        return each
+
+    shingles = map_batches(items, ["text"], make, "s long, first long")
+    n = shingles.agg(F.coalesce(F.sum("first"), F.lit(0))).first()[0]
+    common = shingles.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").toArrow()
+    return n, (common.column("s").to_numpy().view(np.uint64), common.column("c").to_numpy())
 
 
 def item_indexes(benchmark: DataFrame, block: int = ITEM_BLOCK):
-    """Indexes of all items, at most about ``block`` items each; the benchmark is the stated query set."""
+    """Indexes of all items, at most about ``block`` items each; the benchmark is the stated query set.
+
+    Weights are those of the whole benchmark in every index, however many there are.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     parts = max(1, -(-items.count() // max(1, block * 3 // 4)))
+    n, common = item_frequencies(items) if parts > 1 else (None, None)
     for part in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).toArrow().sort_by("item_id")
-        yield ItemIndex(mine.column("item_id").to_pylist(), mine.column("text").to_pylist())
+        yield ItemIndex(mine.column("item_id").to_pylist(), mine.column("text").to_pylist(), n=n, common=common)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): the best window of each item in each document.
 
     Words are compared without case and punctuation, as 5-word shingles (an item of fewer words is
-    one shingle) in windows of the item's length; a pair is given if their weighted Jaccard is 0.75
+    one shingle) in windows of the item's length, a shorter document as one window; a pair is given if their weighted Jaccard is 0.75
     or more. Null and empty texts and items match nothing; repeated rows match alike; an empty
     benchmark gives no rows. The 128-bit fingerprints are compared within 40 bits, four standard
     deviations beyond what a similarity of 0.75 leads to.
@@ -184,9 +221,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") ->
             def each(batch: pa.RecordBatch):
                 rows = list(index.scan(batch.column(1)))
                 if rows:
-                    r, j, sim, start = zip(*rows, strict=True)
+                    r, j, sim, start, size = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(r)), pa.array([index.ids[k] for k in j], pa.int64()), pa.array(sim), pa.array(start, pa.int64()), pa.array([index.sizes[k] for k in j], pa.int64())],
+                        [batch.column(0).take(pa.array(r)), pa.array([index.ids[k] for k in j], pa.int64()), pa.array(sim), pa.array(start, pa.int64()), pa.array(size, pa.int64())],
                         names=[id_col, "item_id", "similarity", "start_word", "n_words"],
                     )
 

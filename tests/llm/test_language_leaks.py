@@ -116,6 +116,26 @@ def test_items_in_blocks_give_the_same(spark):
     assert seen == list(range(8))
 
 
+def test_document_shorter_than_its_item(spark):
+    words = [f"w{i}" for i in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "p q r")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words[:18])), (2, " ".join(words[1:])), (3, " ".join(words[:15])), (4, "p q"), (5, " ".join(words[:3]))], "doc_id long, text string")
+    got = {x.doc_id: (x.item_id, round(x.similarity, 9), x.start_word, x.n_words) for x in D.find_leaks(docs, bench).collect()}
+    assert got == {1: (1, 14 / 16, 0, 18), 2: (1, 15 / 16, 0, 19)}
+    assert {x.doc_id for x in D.drop_leaks(docs, bench).collect()} == {3, 4, 5}
+
+
+def test_weights_are_the_same_in_blocks(spark):
+    items = [(i, " ".join([f"x{i}y{k}" for k in range(9)] + [f"c{k}" for k in range(6)])) for i in range(12)]
+    bench = spark.createDataFrame([*items, (90, ""), (91, None)], "item_id long, text string")
+    (whole,) = D.item_indexes(bench)
+    blocks = list(D.item_indexes(bench, 4))
+    assert len(blocks) > 1
+    for block in blocks:
+        assert block.unknown == whole.unknown
+        assert all(block.weight.get(s, block.unknown) == w for s, w in whole.weight.items())
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(0)
     for _ in range(300):
