@@ -16,16 +16,21 @@ from quillgraph.llm.text import map_batches
 
 LABELS = ("none", *PII_KINDS)
 _O = 0
-#: Sweeps of damped loopy message passing, and the belief at which a token is taken.
-SWEEPS, DAMPING, BELIEF = 8, 0.3, 0.6
+#: Damping of loopy message passing, and the belief at which a token is taken.
+DAMPING, BELIEF = 0.3, 0.6
+#: Messages are swept until none moves by more; a component that swings stops after the sweeps given.
+SETTLED, MOST_SWEEPS = 1e-4, 1000
+#: Log weight that holds a token a base pattern matched to the kinds of its matches, however many others pull.
+OBSERVED = 1e9
 _DIGITS = re.compile(r"[0-9]+")
 _EDGE = "\"'`()[]{}<>,;:!?."
 _CANDIDATE = re.compile("[0-9@]")
+_TOKEN = re.compile(r"\S+")
 N_FEATURES = 22
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """White-space tokens that hold a digit or @; every other token is clamped to ``none``."""
+    """White-space tokens that hold a digit or @; of the others, only ``alike_words`` are not clamped to ``none``."""
     out, end = [], -1
     for m in _CANDIDATE.finditer(text):
         at = m.start()
@@ -78,24 +83,44 @@ def likeness(token: str) -> str | None:
     return "s" + core if len(core) >= 4 else None
 
 
+def alike_words(text: str, keys: set[str]) -> list[tuple[int, int]]:
+    """White-space tokens without a digit or @ whose likeness is one of ``keys``."""
+    return [m.span() for m in _TOKEN.finditer(text) if not _CANDIDATE.search(m.group()) and likeness(m.group()) in keys]
+
+
 class Graph:
-    """Tokens of many documents with chain edges (neighbours) and skip edges (alike tokens)."""
+    """Tokens of many documents with chain edges (neighbours) and skip edges (alike tokens).
+
+    If a base pattern matched some of the alike tokens of a document, each of the others is tied to
+    one of those, at whatever distance; if none, an occurrence is tied to the one before it. Either
+    way there are as many edges as occurrences.
+    """
 
     def __init__(self):
         self.on: list[list[int]] = []
+        self.seen: list[set] = []
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
 
     def add(self, tokens: list[str], spans: list[tuple[int, int]], evidence: list[set]) -> int:
-        first, last = len(self.on), {}
+        first, last, source = len(self.on), {}, {}
+        keys = [likeness(token) for token in tokens]
+        for i, key in enumerate(keys):
+            if key and evidence[i]:
+                source.setdefault(key, first + i)
         for i, token in enumerate(tokens):
             me = first + i
             self.on.append(features(token, evidence[i]))
+            self.seen.append(evidence[i])
             if i and spans[i][0] - spans[i - 1][1] == 1:
                 self.chain.append((me - 1, me))
-            key = likeness(token)
-            if key:
-                # An occurrence is tied to the one before it: as many edges as occurrences.
+            key = keys[i]
+            if key in source:
+                if evidence[i]:
+                    source[key] = me  # the nearest match before, else the first
+                else:
+                    self.skip.append((source[key], me))
+            elif key:
                 if key in last:
                     self.skip.append((last[key], me))
                 last[key] = me
@@ -111,26 +136,47 @@ class Graph:
         return x, edges, kind
 
 
-def beliefs(weights: tuple[np.ndarray, np.ndarray], graph: Graph, sweeps: int = SWEEPS) -> np.ndarray:
-    """Marginals of every token by loopy sum-product message passing."""
+def beliefs(weights: tuple[np.ndarray, np.ndarray], graph: Graph, sweeps: int = MOST_SWEEPS) -> np.ndarray:
+    """Marginals of every token by loopy sum-product message passing, swept until messages settle.
+
+    Tokens that a base pattern matched are observed. Once its incoming messages have settled, a
+    message is not computed again, so a long document does not hold up the others.
+    """
     unary, pair = weights
     x, edges, kind = graph.arrays()
     node = x @ unary
+    for i, kinds in enumerate(graph.seen):
+        for k in kinds:
+            node[i, LABELS.index(k)] += OBSERVED
     if not len(edges):
         return _softmax(node)
     src = np.concatenate([edges[:, 0], edges[:, 1]])
     dst = np.concatenate([edges[:, 1], edges[:, 0]])
     m = len(edges)
     back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
-    table = np.concatenate([pair[kind], pair[kind].transpose(0, 2, 1)])
+    tables, which = [*pair, *pair.transpose(0, 2, 1)], np.concatenate([kind, kind + len(pair)])
     message = np.zeros((2 * m, len(LABELS)))
+    moving = np.arange(2 * m)
     for _ in range(sweeps):
         total = node.copy()
         np.add.at(total, dst, message)
-        out = total[src] - message[back]
-        new = _logsumexp(out[:, :, None] + table)
+        out = total[src[moving]] - message[back[moving]]
+        new = np.empty_like(out)
+        for k, table in enumerate(tables):
+            rows = np.flatnonzero(which[moving] == k)
+            new[rows] = _logsumexp(out[rows][:, :, None] + table)
         new -= new.max(1, keepdims=True)
-        message = DAMPING * message + (1 - DAMPING) * new
+        new = DAMPING * message[moving] + (1 - DAMPING) * new
+        moved = np.abs(new - message[moving]).max(1) > SETTLED
+        message[moving] = new
+        # A message may move again while it does so itself or one into its source does.
+        stirred = np.zeros(len(node), bool)
+        stirred[dst[moving[moved]]] = True
+        again = stirred[src]
+        again[moving[moved]] = True
+        moving = np.flatnonzero(again)
+        if not len(moving):
+            break
     total = node.copy()
     np.add.at(total, dst, message)
     return _softmax(total)
@@ -248,6 +294,12 @@ def tag(texts: list[str], weights) -> list[tuple[list, list]]:
             while i < len(spans) and spans[i][0] < b:
                 evidence[i].add(k)
                 i += 1
+        # Words that repeat the key of a matched token, such as the local part of an address, are tokens too.
+        keys = {likeness(text[a:b]) for (a, b), e in zip(spans, evidence, strict=True) if e}
+        keys = {k for k in keys if k and not _CANDIDATE.search(k)}
+        if words := alike_words(text, keys) if keys else []:
+            both = sorted([*zip(spans, evidence, strict=True), *((w, set()) for w in words)], key=lambda t: t[0])
+            spans, evidence = [t[0] for t in both], [t[1] for t in both]
         held.append((base, spans, evidence, graph.add([text[a:b] for a, b in spans], spans, evidence)))
     p = beliefs(weights, graph) if graph.on else np.empty((0, len(LABELS)))
     label = p.argmax(1) if len(p) else np.empty(0, int)

@@ -62,6 +62,26 @@ def test_field_adds_what_resembles_a_found_span():
     assert clean == none == []
 
 
+def test_a_match_reaches_every_mention():
+    weights = pii.train()
+    for text in ("call +1 (555) 123-4567 now. " + "again 123-4567 and " * 40, "again 123-4567 and " * 40 + "call +1 (555) 123-4567 now. "):
+        (_, full), (_, none) = pii.tag([text, text.replace("+1 (555) 123-4567", "us")], weights)
+        assert len(full) == 41 and {k for *_, k in full} == {"phone"} and none == []
+    text = "mail john.smith@example.com or ask John.Smith or (john.smith); but jane.smith is out"
+    base, full = pii.tag([text], weights)[0]
+    assert [text[a:b] for a, b, _ in base] == ["john.smith@example.com"]
+    assert [text[a:b] for a, b, _ in full] == ["john.smith@example.com", "John.Smith", "john.smith"]
+
+
+def test_messages_settle():
+    graph = pii.Graph()
+    for text in ("call 123-4567 " * 60, "x +1 (555) 123-4567 mail a.b@c.de a.b 555-123-4567 4111 4111 " * 5):
+        tokens = text.split(" ")[:-1]
+        graph.add(tokens, [(i * 2, i * 2 + 1) for i in range(len(tokens))], [{"email"} if "@" in x else set() for x in tokens])
+    assert abs(pii.beliefs(pii.train(), graph) - pii.beliefs(pii.train(), graph, 5000)).max() < 1e-6
+    assert abs(pii.beliefs(pii.train(), graph) - pii.beliefs(pii.train(), graph, 8)).max() > 1e-6
+
+
 def test_guess_costs_order_values():
     cost = secrets.guess_cost
     assert cost("") == 0
