@@ -92,7 +92,8 @@ def host_and_path(url: str = "url") -> tuple:
 def judge_urls(df: DataFrame, key: str = "page_id", url: str = "url", rules=HOST_RULES, globs=BLOCK_GLOBS) -> DataFrame:
     """(key, host, path, rule, verdict): the longest fitting rule decides, else the block globs.
 
-    Rules and globs run in one automaton over host + path. Null or unparsable urls have empty host
+    Rules and globs run in one automaton over host + path; as its ``*`` crosses the border of host and
+    path, every rule it finds is held against both. Null or unparsable urls have empty host
     and path and are allowed unless a glob fits the empty string. Other columns are not read.
     """
     rules = sorted(rules, key=lambda r: -len(r[1] + r[2]))  # longest first
@@ -107,6 +108,9 @@ def judge_urls(df: DataFrame, key: str = "page_id", url: str = "url", rules=HOST
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             fits = automaton.match([(h + p).encode() for h, p in zip(hosts, paths, strict=True)])
             of_rule = fits[:, : len(patterns)].reshape(len(hosts), len(rules), 2).any(2)
+            for i, k in np.argwhere(of_rule).tolist():
+                _, h, p = rules[k]
+                of_rule[i, k] = (hosts[i] == h or hosts[i].endswith(f".{h}")) and paths[i].startswith(p)
             by_rule, first = of_rule.any(1), of_rule.argmax(1) if len(rules) else np.zeros(len(hosts), int)
             blocked = fits[:, len(patterns) :].any(1)
             rule = [names[first[i]] if by_rule[i] else None for i in range(len(hosts))]

@@ -83,3 +83,16 @@ def test_verdicts(spark):
     df = spark.createDataFrame([(k, v[0], "z") for k, v in urls.items()], "page_id long, url string, verdict string")
     assert {r.page_id: tuple(r)[1:] for r in U.judge_urls(df).collect()} == {k: v[1:] for k, v in urls.items()}
     assert U.judge_urls(df.limit(0)).count() == 0
+
+
+def test_rules_stay_within_host_and_path(spark):
+    urls = {
+        1: ("http://web.archive.org/web/2020/http://shop.example.com/en/1", None, "allow"),
+        2: ("http://go.example.net/to/www.example.com/en/7", None, "allow"),
+        3: ("http://a.com/x.com/en/1", None, "allow"),
+        4: ("http://org/es/http://b.com/en/7", "org/es/", "block"),
+        5: ("http://w.org/p/casino.com/en/1", None, "block"),
+        6: ("http://a.com/en/b.example.com/en/7", "com/en/", "block"),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in urls.items()], "page_id long, url string")
+    assert {r.page_id: (r.rule, r.verdict) for r in U.judge_urls(df).collect()} == {k: v[1:] for k, v in urls.items()}
