@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillgraph.llm.pii import span_digest
 from quillgraph.llm.spans import SECRET_KINDS, in_order, secret_spans
 from quillgraph.llm.text import map_batches
+from quillgraph.llm.words import PROSE_WORDS
 
 #: log10 of the guesses from which a credential's value counts as a secret.
 GUESS_COST = 8.0
@@ -26,17 +27,19 @@ COMMON_WORDS = (
 ).split()
 # Rows of a keyboard.
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
-_RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON_WORDS)))}
-_LONGEST = max(map(len, COMMON_WORDS))
+_RANK = {w: i + 1 for i, w in reversed(list(enumerate([*COMMON_WORDS, *PROSE_WORDS])))}
+_LONGEST = max(map(len, _RANK))
 _PLACE = {c: (r, i) for r, row in enumerate(KEY_ROWS) for i, c in enumerate(row)}
 _LEET = str.maketrans("04315$@7", "oaelssat")
 _DATE = re.compile(r"(?:(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)", re.A)
+_OWNERS = "api|access|auth|private|client"
 _CONTEXT = re.compile(
-    r"(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|login|pin|(?:api|access|auth|private|client)[_\-\x20]?(?:key|secret|token|code))"
+    rf"(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|login|pin|(?:{_OWNERS})[_\-\x20]?(?:key|secret|token|code))"
     r"[\"'`]?(?:\x20{0,8}(?:[:=]{1,2}>?|->)|\x20{1,8}(?:is|was|to))\x20{0,8}[\"'`]?([^\s\"'`<>,;]{6,})",
     re.I | re.A,
 )
-_KEYWORD = "(?i)pass|pwd|secret|token|credential|login|pin|key|auth|AKIA|[0-9a-f]{32}"
+#: Every text with a span fits it: each name of _CONTEXT and each base pattern holds one of these.
+_KEYWORD = f"(?i)pass|pwd|secret|token|credential|login|pin|key|(?:{_OWNERS})[_\\-\\x20]?code|AKIA|[0-9a-f]{{32}}"
 
 
 def _step(a: str, b: str) -> tuple | None:
@@ -113,7 +116,7 @@ def scan(text: str, least: float = GUESS_COST) -> tuple[list, list]:
             b -= 1
         while j < len(taken) and taken[j][1] <= a:
             j += 1
-        if b - a >= 6 and not any(x < b and y > a for x, y in taken[max(0, j - 3) : j + 3]) and any(c.isdigit() or not c.isalnum() for c in text[a:b]) and guess_cost(text[a:b]) >= least:
+        if b - a >= 6 and not any(x < b and y > a for x, y in taken[max(0, j - 3) : j + 3]) and guess_cost(text[a:b]) >= least:
             added.append((a, b, "guess"))
     return base, in_order(base + added, (*SECRET_KINDS, "guess"))
 

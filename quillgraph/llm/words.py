@@ -1,0 +1,382 @@
+"""Words of running prose, common ones first."""
+
+PROSE_WORDS = """
+the import for and not that with this from are self use can used have will file when all but should only which name details value one any has typing code see using other default
+set list was may string object must more into version given line does else return need also same its new function module first than case been you class path there without some
+error after like then number data since files type current before out support where get them key method these here make because just empty found team values sys they call user
+already match end following names instead such directory each text source available under check want specified time contains work output even add single instance called both
+include two result either run being options way would about create valid always returns provided information pygments between copy input argument now command arguments what their
+returned root different part documentation order cannot objects passed uses collections avoid example start multiple supported message strings types defined back your over
+possible pip read format package index required last change removed sure added created implementation useful test find were context still allow while exception could whether
+functions most needed containing based how errors our versions process existing well might via complete specific handle otherwise option optional build mode invalid base remove
+system above state another within pass least methods those point running environment str original characters directly compatibility later cases lines tuple many configuration
+contain until variable next bytes common during standard exist write release through request length terms access try done item filename special raise means extra true expected
+itself paths made allows long necessary deprecated present take etc allowed installed prefix header form too attribute parse args character encoding own calls generated once size
+content local provide contents included level custom around interface longer install update missing various full actually library did behavior raised additional updates keys
+token binary exists entry future keep currently logic know needs automatically open attributes users including calling parameters anything changes provides style never matching
+ensure named right parameter cls dictionary variables old ignored issue parsed working target actual tree specify ignore look script platform correct packages cache sequence
+integer something very dict parsing supports internal stream correctly server failed against help block left int tag works previous fail written tests parent better setting
+classes modules field info keyword per due explicitly override relative appropriate below inside fixes metadata link every distribution apply response makes instances requires
+software second defaults log functools checking attempt similar language location free received reference handling show warning generate known config creating cause except items
+mapping place associated again yet pattern parser directories updated simple replace takes regular unless minor appear main results messages less syntax trailing able flag
+writing starting modify matches fix words changed global corresponding rather event buffer reading control repository operation stored determine equivalent project explicit
+supplied fields requests client position everything nothing times distutils exceptions separate much pathlib loop give iterable merge exit remote adding leading related numbers
+lists search url require fixed subclass top memory fails issues broken extension python though normal reason had entries got element maximum connection outside logging bit built
+underlying display console load prevent includes particular close headers implement space limit store range status obj report dual warnings testing handled commit equal enabled
+certain commands spec implemented making exactly comment representation body licensed closed whose platforms recent itertools core group parts program whitespace final skip
+constructor representing define convert checks section branch things usage really considered send off algorithm initial handler notice addition side assume sets stack raw
+setuptools bygroups bug returning replaced real child disable public wrapper probably having put arbitrary compatible few entire enable namespace effect dependencies address tags
+false requested definition socket converted older checked feature shared gets immediately resulting signature elements contextlib wrong earlier callback happens scripts enough
+whole unique doing tokens sent properly runs permission security structure best come distributed accept beginning alias arg callable happen comments stop produce operations
+likely installation followed flags passing rest protocol validation ones temporary basic along val taken width large application host private good property spaces individual byte
+safe manager nested notes port processing loaded three modified according split described indicate disabled systems expression tuples several patch configured break going implied
+setup intended failure email absolute detect remaining diff building listed performance timeout filenames table wrap track behaviour requirement conda requirements starts points
+inspect hash array print simply importlib contained hook legacy fetch properties offset trying color rules references follow looks thing runtime consider creates document action
+links date general together zero terminal shell mechanism http filter generator previously boolean started resource small down helper iterator problem dependency codecs count
+cached scheme handles external imported word wheel important kind description pair identifier unicode hope encoded save executable backwards float marked thread resolve active
+perform signal compiled relevant completion newline operator invoked usually short conditions clear features json raises readable adds exact map others caller step purpose
+applied consistent unknown regex lexer implements settings treated introduced literal cryptography further depending across ends sense accepts msg possibly execution wrapped
+bound builtin column early attr merges alternative move debugging easier reset copies urllib rule proxy meant verify dist codes func let closing functionality patterns tools
+languages who major overridden occur care please wait backend quite turn sources optionally derived refer keywords occurs dir record subprocess seconds query total indicating
+subject fully label construct complex recommended delete scope getting node formatting suitable proper problems looking push redistribute omitted receive datetime shown env ref
+incorrect catch escape history stdout greater negative char page seen generic kwargs tell expect sending however network comparison pos deal processed filesystem represents chunk
+say pairs lower appears manually unittest upon caused cmd internally native dataclasses idlelib reported meaning random suffix removing authentication chain specification ever
+specifying fallback determined archive documented plain progress lookup desired sort newer commits releases compile kept mark published unexpected direct descriptor bad fall
+loading ext leave depends separated embedded assumed clean why extensions larger often reserved sorted validate force window debug subclasses creation prior title git checkout
+duplicate amount none successfully registered formats typically components faster gives double builds copyright resources warranty events condition printed member thus easy
+replacement incorrectly difference statement prompt represent partial collection blank render opened component copied lambda become far indicates comes backward formatted
+accepted goes password interpreter occurred ask minimum resolved processes overrides tkinter dynamic session decode clone continue shows marker trigger model submodule emitted
+emit append subsequent purposes strict produced matched pull unsupported regardless def potential note static definitions skipped positive recursive latest configure quotes
+coverage generally corrected execute therefore null numeric forms bool lead view background deleted enum select queue people refs iteration preferred rely writes treat moved
+rebase extract affect latter subset installing detected docs origin providing granted nor allowing cleanup selected conversion quoted stuff res unnecessary examples req bits
+conflict highlight threads throw assigned defines undefined priority template channel opening specifies finished web tool depend windows compiler imports attempts drop mean quote
+certificate generation reasons aliases fast strip encode streams connect causes applies rights reduce distributions abc potentially executed silently sometimes indent expressions
+compare programs higher finding places disk frame switch candidate taking connections environments normally whatever param ensures extended separator showing inherit permissions
+hooks tries warn indentation sequences export doc decorator hostname waiting colors changing account domain alternate twice wants hold abort insert pool editor branches thrown
+chars represented away choose identical annotations specifier actions generating accessed limited libraries attempting ending ways distribute escaped series selection rich
+virtual positional upstream symbolic struct site exc register writable displayed permitted usual lock subdirectory wrapping download styles fit destination rename stderr seems
+converts combination performed suite username applications linked params reports prepared traceback precedence mistake yield newlines blocks reverse detection applicable
+resolution infinite experimental completed entirely development receiving interactive stat constants usable idea recursion fact forward share optimized hard err lot begin
+guaranteed guess merged utility initialized reporting reached reads padding strategy incompatible choice constant affected obtain separately patches packaging highlighting
+pydantic encountered exclude anyway neither sign implicit invoke interpreted glob limitation told recently recursively slow triggered almost service careful stable defining
+convenience slash trace beyond easily machine giving attached decoding saved situation deprecation asked tasks contributors renamed extracted groups async literals symbols
+workaround init auth hereby renderable copying circular ready timestamp maintain follows task regression shall verification improve leak causing initialization digits children
+removal normalized constructed asynchronous released abstract pending letter threading decoded loader bugs approach steps expand supposed dirs zipfile breaking columns basename
+integers operating importing await callbacks designed expects submodules updating newly confused formatter handlers plugin descriptors connected pack pathname ignoring completely
+safely lowercase plus operators avoids ssl hashes structures retrieve transfer hit accessible visible decimal detailed max colon restore author records members builtins
+supporting describe successful distinguish markers expanded combined replacing garbage compute wish overwrite levels flow locally registry evaluated row outputs repeated tried
+failing pointer comma whenever indicated programming grammar holds tracking honor errno bar suppress zip prints chunks dot incomplete preserve docstring license collected family
+transport binding implementing overriding accessing extend learned fine variant tabs obtained replaces failures someone smaller encodings caching tab big semantics enables
+listing dynamically container pretty constraints among retain dataclass specifically noted appended breaks magic verbose significant sep reproduce recognized presence past
+parallel initialize keeping conflicts portions success located nice primary ctypes unused maintained math var pipe preserved ctx unit naming keeps exposed edge highlighted
+projects cursor automatic src race invoking printing slightly argparse tested differences bare signed matter passes describing publish responses elsewhere redirect becomes prefer
+buf unchanged generates third maps speed primarily exits little converting redundant aware situations attempted payload folder cover ordering inner specifiers referenced seem
+originally executing concurrent backslash cycle assign non respect themselves pages html ordered crash mostly manual resolver gencodec modification four supply overhead hand
+optimization notation sync helpful typed channels throws identify incoming necessarily factory design decide taught behave reject turns think downloaded understand cast figure
+inline produces interfaces chosen detail spawn sample especially lib sockets restriction dicts assignment wraps framework modern fetching duplicated rejected behind repositories
+strictly startup symlink serialized tempfile assert soon turned leaving raising construction sub identified cert namespaces pytest portion combine canonical inserted symbol
+rendered resolving vars begins ttype prepare person procedure substantial differently widget jaraco hint browser efficient globals eventually yields stripped refers consumed
+kinds assuming overflow assumes signatures consistency dirname bases hack machinery wheels searching issued compared knows segment shorter retrieved onto sorting idx declaration
+course bind servers unlike improved practice charge fragment trivial plugins whom schema edit retries mentioned home signals digest computed friends terminated identifiers six
+pure policy letters manage declared revision attention codepath owner unavailable inputs retry responsible affects depth rendering modifying anchor placed respectively stdin
+simplify lazy helps recorded sublicense bottom annotation optparse effects lost instantiated reuse loose insensitive unpacked lineno comparing zlib exiting compilation indented
+hex addresses inconsistent acceptable algorithms piece middle attrs caught extras exported sections master consists high period terminate stdlib unnecessarily macro theme blob
+worker logger compression act maybe brackets iterate summary textwrap duration normalize reused consume pick low immutable certificates trust font parses authorization sysconfig
+redirected overwritten pointed day finish mod alive locations enter remain category join prevents lack removes shutdown boundary reader provider applying malformed marks opt
+ability delay filters annotated conflicting cleaned managed screen obtaining persons serialization grep subcommand tied pathspec locale operate tar trees confusing frames finally
+corresponds indicator charset involved permit head tail mismatch said controls aborted labels segments sends sensitive capture post storage editable validator menu upgrade
+dependent inherited multiline independent box solution timezone buffers minimal requiring exports shallow fill digit streaming storing instructions lets indexes pkg somewhat
+lazily backport expose macros mixed unsafe management behaves database discarded skipping decorated contexts upper preceding separators logical flush dropped loads utilities
+anywhere trusted promise discussion conditional directives endpoint closes maintenance refresh stash perhaps invocation browsers symlinks clients says debugger risk engine
+pointing pop manner binaries installs deep ahead rare quoting unset duplicates exited products proceed shortcut impossible markup question app lexers credentials util impact
+listener uri prefixes discard ints held pieces drive hierarchy concrete sizes mappings job states helpers advanced comparisons prefixed equality convention bother corner secure
+guide height underscore fetched enforce filtering repr pathnames fork official slice scheduled wanted punctuation stale stores statements effort slower validated protected human
+covered fed developers idle broke codepaths dump hidden dash archives unable protect expensive fname ended interpret reasonable nesting targets reflect dead although correspond
+mapped blocking internals materials endorse collect arrays confusion bundle specs repo bindings reflog loops expansion ranges instantiation reliable ascii tells moving belong
+timed adjust express repeat benefit transform finds synchronous mock asking shutil front locals former stops outer optimize packed cycles stopped modes peer advantage
+specifications serve answer caches hide candidates disclaimer identity dots bypass button assertion urls man rewritten openssl tip leaks foo forbidden compressed worth
+identifying temporarily architecture destroyed delta translated buffering predicate instantiate highest derive cleared mechanisms mandatory finder accurate performs wildcard
+graph constructs hints verifying linking subcommands constructing attacks oauthlib relatively detached respective interaction entered dictionaries undocumented looked pushing
+align live const satisfy metaclass ensuring schemes possibility customize paragraph propagate counter filled die retained obvious limits modifications populated allocation
+existence ourselves redirects uppercase omit expired sell useless corrupt crypto describes declarations reach commonly diagnostic truncated unspecified arch pager recognize
+underscores containers compiling receives commas revert remains differ choices sessions conform calculate delimiter forget goal callers buffered emits improvements compliance
+overlap fixing consuming escapes pay regexp anymore traversal favor dashes virtualenv asyncio robust device subdirectories readline gave fullname month chance mix cleaning
+normalization ambiguous producing net patched remainder cancel exclusive determines rewrite direction inclusion whitespaces touch explanation implicitly connecting accordingly
+merging sentinel runner unlikely sdist utils egg tokensource mypy cancelled agent obsolete typo segfault tracing kernel bogus traditional positions dotted simpler preserving
+mutable particularly continuation placeholder timing declare protocols dealing came inherits descriptions sufficient overwriting searched conjunction world ret unhandled falls
+ignores mutually splitting weird combining bash accidentally configurations netloc worktree typofixes locate temp counts cell feed exceeds routine parentheses backslashes
+allocated belongs installer guarantee offsets dummy appending layer lose vary succeed pushed controlled authors intermediate yielded gettext bisect seeing guarantees initially
+functional delimited counting accepting layout escaping nodes auto upload tracker meaningful dialog worked excluded activate leaves disables pyproject signing spawning blame npm
+hashable rid ordinary hosts pickle falling timeouts unreachable delimiters adjusted wrappers documents area calculated natural stay timer relies indices scalar repl scan frozen
+specially conn configparser excluding heap milliseconds complain interact leads api smart coming established consistently forgot expecting hashlib weakref illegal captured
+happened fewer equals logs translation preceded definitely heading constraint factor complicated couple verified mind inspired flexible difficult completes editing configurable
+synonym workers tracked tarball credential prepend distinct hexadecimal unsigned col basis convenient repeatedly term implies odd lengths advance opposed appropriately tty
+determining registration prototype filtered dest scopes cipher elapsed proxies ran moves meta technically manifest multipart relying inject preparation flaky vulnerability
+packfile packfiles effective alphabetically succeeds binascii exceed saves nature longest manipulation performing consecutive coroutine standalone lifetime transition moment
+refuse decoder respond gone stripping enclosed disallowed constructors parents anonymous validating cells clearly aliased secret plan leaked untracked iterables destroy codebase
+mess dates similarly primitive immediate allocate managers listen interesting analysis attach joined legal translate refused effectively persistent iterators intentionally
+spawned scanning achieve inheriting timestamps prepended hence extracting fatal vector invokes popular overall mention forwarded atomic click singleton somehow variants addons
+downloading cloning folders resulted renderables listening timers pyparsing opaque snapshot preference introspection alone disabling expr late trick abbreviated seek routines
+quiet stub yielding identifies typ interested solve fee sock evaluate subdir satisfied computing maintaining abbreviation consist tracebacks iterating reply authority focus
+problematic ancestor unneeded linux models bitmap https loc isdir talk libuv sequential union transformed went instruction xml validity portable exposes red differs bracket
+throughout basically handful terminating consult bounds opts writer sensible endings imply cut qualified circumstances pid exhausted van surrogate frequently measure typical
+expressed acts sparse serves populate mainly embed establish insertion uncaught login resolves promises hunk image evaluation historical cleanly shipped cli chunked minutes dep
+loaders community bundled redirection collaborators quickly importable cwd tarfile bytearray days year hour great deleting modifier slashes bunch fairly detects inheritance
+subtle sum square integration surprising reduced ownership tracks accidental dedicated half discovered mutate holding subclassing verbosity grant arrow offer referred exchange
+gracefully linker alternatives workflow extraneous ancient jeepney irrelevant addon assertions production ruamel stability simplified bars talking collaborator posix compress
+statistics unpacking marking manipulate indexed loss mask triggers strong wide opposite concatenated walk resp propagated enhanced substring docstrings units occurrence semicolon
+backported alignment closer unrelated involve checker inspecting callables customized presented tricky watch gcc adjacent interacting activated decision preprocessor uninstall
+vendored compilers review attack filesystems carry contact conflicted prompts guard unpack minimize breakage eval fnmatch entity superclass tables covers combinations interval
+closest traces exceeded spelling understood surrounding zeros cookie divide explain ago interrupted saving prevented topic separating near floating increase inspection logged
+saying certs confuse regarding resume protection managing getter fake isfile party restart avoiding increment continues communication criteria furnished forced forcing tmpdir
+restricted perl deprecations improvement dirty guidance markdown listeners whereas introduce executables rows worry lookups categories tokenize suggestion generators
+customization dev consisting weak relied ratio assumption displaying substitute subsystem capabilities epoch fresh shells overlapping lowest computation lacks solely power
+closely adapter avoided extraction executes safety overview leftover matters sharing profile claims trouble typos displays suites undo carefully stdio killed independently
+unclear maintains putting kill uninitialized corruption dumb machines validators capable superproject bootstrap uid truncate recurse handy hashing oldest indexing compat
+hardcoded harder globally asynchronously disallow alter clock round suggested blocked forever unusable frozenset deletion serialize parenthesis absent largest unwanted exponent
+agreed subtype verifies introduces promote inefficient tagged handshake yourself manages essentially initializer argv treats outcome white synchronously waits serial apps met
+crashes decided light lowercased perf pointers todo templates foreground requesting critical developer backends tqdm artifacts initializing chaining clarified expectations tls
+unborn deprecate extending uncompressed minus floats desirable codec suggest addr limitations adapted region fractional tmp lots huge accumulated occurrences sentence indication
+technique afterwards interfere increasing inferred cluster simultaneously visit readability okay bytestring queued cost consumption computer libc law anyone refactoring vertical
+annotate responsibility indicators abi distro passwords blue unquoted linter strongly tick discovery httplib showed experience interest advice scenarios keyring widely benchmark
+blobs lazr nonsense walking hits emulate mtime rewind lang excess glibc shorthand operates entering suppressed unbound sane uuid compares encounter precision thought domains
+preventing proto concatenation mimic locked lookahead modname cookies searches agreement signs stricter numerical calculation prime quick concept precise literally printable
+mutated distinction primitives cope deadlock localhost wild guessed everywhere submit sides unusual variety collision internet hang rejection phase threshold cross eagerly
+encouraged contrast proc semantic emitting renders role upgrading organization maintainers deps refactor downloads fixture mistakenly opens guides tooling malicious contributor
+benchmarks inspector mbc clarify iterated towards architectures fmt years unlink defer zone patching considering purely efficiently arithmetic alongside eliminate scanned bold
+replacements practical apparently grouped essential product extends evaluating besides min forces sec miss parsers life excludes joining demand strange schedule hopefully vendor
+folded became appearance completions existed rebuild pretend recommendation descending duplication italic configuring scenario packs descriptive hostnames encrypted solver
+outdated pinned exporting isolated switching fixtures freeze clarity octal attacker land excessive cancellation changelog spelled led reverted breakages widgets guidelines
+cleanups locking substitutions straight simulate dst pwd skips dispatch stopping altered pre edited accesses ast somewhere reachable ipaddress kwds rate triple nearest ambiguity
+percent reaches mixing batch succeeded partially acquire treatment coerced fraction num substitution elem deeper play capability division stage simplest prec nonexistent
+reflected restrict associate freed exec unix spurious outgoing splits exposing externally heavily cloned heuristics sleep ver instantiating behaviors pat friendly shebang
+material clause launched confirm enforced complexity encryption termination detector infer ultimately reqs recognizes comply overly ansi yaml packet leaking urlparse repodata
+assigning diagnose analogous reusable infrastructure curve opinionated ports considers nonce misbehaved invocations lint plugged super venv subprocesses truncating keyed seq
+renaming satisfies mixin varies website unmodified namedtuple owned intend clearer inverse timedelta dumps commented wildcards reduces chained conventions deemed relationship
+fits tweak hyphens restrictions nth ideal rejects formed grab intention simplicity daemon ident remember modifies compliant funny stray unrecognized noticed examine turtle
+clearing pipes braces migrate multi suggests concerns stuck governing macosx rebuilding monkeypatch treating aligned scoped nobody pulled defect spinner setter needing agree
+significantly green pipeline icon jobs enabling authorized repack gitweb docfix instanceof dns uncommon gid klass controlling referring trap spacing gzip contiguous unicodedata
+calculating pushes clang linear indefinitely assumptions flushed replay pickling subclassed blindly additions spread exp shape ought checksum margin composed pad ugly spell
+discover supplying predefined assignments triggering chains obviously notable compact unhashable terminates finishes inform counterpart scheduling span continued thanks
+referencing highlights mouse recording outlined interrupt quotation checkers rarely unions buggy truthy prereleases musl aid tweaked bus entrypoint formatters casing terminals
+spans wire preload throwing reporter upgraded forbid discussed issuer totally ecosystem policies revoked asks press misleading iff unfortunately silence suffixes dirpath dangling
+informative issuing hmac fileobj bytecode getopt detecting addressed distance redirecting universal enclosing naive intent opener fds enums delayed registering locks adapt texts
+horizontal importer coding lexical draw publication filling allowable dangerous incremented dereference border visual defaulting flat classmethod mailing gathered expires alpha
+factors ciphers catching performant reversed slots notified notify disconnect converter theory regexes highly naturally vice licenses selecting abstraction umask impl accommodate
+foreign proposed usages prerelease consumers threaded achieved indeed destructor paste regenerate untrusted ndef consideration labeled notification nest scroll phrase unintended
+corrupted builder edges notably predictable adapters textual offers mistakes sees mitigate delegate iterations expectation room unquote queues ssh transports pause truth
+portability autoconf advertised prerequisites scripted linting onboarding eslint inspected win controller bufsize facility conservative matrix minute finalization resort
+finalized modifiers normalizing knowledge deferred anchors bail expands colons decorators mimics estimate conversions uniquely brief encoder heuristic views truncation selectors
+canceled shut subpath echo blanks smallest prev recover selector standards contributed age perfect losing operand unbounded ease shortest sanity offending statically
+authenticated preparing business resetting activity sender communicate authenticate integrate upcoming sake involves profiling subdirs animation introducing unnamed feeding
+optimizations prune launch usability abspath prerequisite shim verbatim wishes mimetypes colored assembly queries javascript entities compose isolation superfluous tarballs
+confirmation installations serializer regressions deliberately happy bypassing toggle explaining narrow subsequently bypassed sit expanding poorly querystring transmission driver
+backporting filehandle unmerged pathspecs dgram gyp backup renames vulnerable devices redefine specialized hitting localized week despite newest cyclic lightweight fcntl
+scripting encountering wider fractions outfile advertising natively memo slot indirectly retrieval descendant average weight aspects switched roots floor scientific sig
+exclusively extremely looping delivered recreate traverse fashion welcome resets forked identification advertise winreg auxiliary leaf stats pprint cruft capturing bgcolor
+toplevel jump worse prop soft aka downstream bootstrapping retrieving chardet missed plat hurt periods ffi numpy paired paragraphs exponential differentiate defects swap
+validates keypress menuinst expiration mirror validations notices safer aggressively reality decorate benefits falsy scratch cryptographic emoji styled repetition designation
+ossl receiver viewer eggs tips insecure personal apt nodejs launching bigger css trailer accessor grouping emulation health indents mount increased uninstalled libs decodes
+boundaries merely bounded globs omitting memoryview nonzero seeking getattr quit mail transparent wrote coercion clears uniform interpolation ellipsis reduction manipulating
+involving badly unreadable unreliable maxsize fills reentrant snippet processor arbitrarily clever overload extracts analyze increases waste overwrites collecting transaction
+getters drops sites drives directive originating fetches learn pressed sym closure familiar denote forth transforms holder delimiting vcs absence tolerant frozendict stubs
+fragments asm speaking configs prone curl resize scalars fonts shlex fingerprint discarding historically serving cur feel introduction recommend superset ship buttons android
+opportunity packing secondary apparent membership ireq reachability diagnosed erroneous crashing questions sequencer staging squelch overlong valgrind embedder certdata wording
+speedup five strips rationale dirnames borrowed digests whence enc nbytes inserting environ mmap pyconfig preserves hyphen possibilities invariant selectively lone meets sized
+pickled presumably meet integrated intact limiting conforming carried registers star grow switches pops boxes areas overloaded challenge alert signify wake unexpectedly
+prohibited interpretation sufficiently consumer deals defaulted deterministic parseable took compound junk versa enhancements pdb del turning multiplication services powerful
+contribution enumeration isolate prompting costly discouraged makefile alphanumeric numeral void delegates accessors paren installers stateful choosing dark black grammars
+ternary unescaped brace shortcuts picked github paging initiated frag clobber happening reliably networking correctness draft schemas majority eager punycode counted facilitate
+deliver alphabetic dbus prompted visibility sandbox availability successive readme barf contributing aborting injection flakiness pyshell clarification premature textconv
+segfaulted refname reimplemented snapshots vcbuild cpplint interpreting grp querying evaluates funcname gain efficiency comp filepath collapsed inserts collisions unwrapped
+collector jumps repeats stronger dim telling advancing reconstruct terminator understands csv monitor reload lhs subsets plural scale seed measurement roughly decompress lenient
+compiles affecting integrity improves consumes gotten negotiation recognised folding pkgs technical workarounds engines defaultdict profiler capacity posixpath mutex standardized
+allocations surrounded thereof titles percentage spent claim developed fancy salt angle transformation derivative keyboard comprehensive realpath interpreters solutions guards
+circuit normalizes bugfix enumerable quality mistaken capital unistring ping catches orig till paint borders pooling brotli backports spend migration utilize piped piping alt
+implications asserts semver resilient emitter packaged upgrades popup calculations pressing precisely gpg fired hardcode suffixed responded concurrently wasted fut considerations
+providers intentional contribute depended styling hosted suggestions rev squash continuing served mozilla transferred fulfilled severity illustrates decrypt crafted media bring
+arm rebased knob plumbing fsck insn mailmap emeriti nullptr launcher chdir encounters linecache opcode leap calendar unbuffered fastest thin differing termios archs sampling
+tzinfo face alphabetical concatenate len folks appends endian syntaxes fixup decl flexibility contributions central coerce occurring geometric finite flattened apart unary modulo
+finishing owns bodies damage unwrap died leftmost servername capath unaffected obscure nearly responds parametrized inclusive pkgname sorts largely infos nonempty contextual
+intuitive modeled justify hardware enhance geometry clicking coordinates translations compromise fly unfortunate needless deciding transparently forking datagram diagram planned
+bucket flist nicer tunnel encourage thinks hatch unparsed solid embedding altogether typedef preamble guessing vim colour rec automation manpage meaningless sensitivity tomli
+structured refusing retried deletes faulty brought urljoin artifact capitalization pin feeds platformdirs retrying executor online picking namely concise preferences occasionally
+mishandled automated persist periodically ipsum sed variation backed clones outstanding mismatches permanent gui yanked restricting svn behaved mkdir subscribe duplex proposal
+honors ctor tightened throughput addressing strbuf hunks committer remotes fsmonitor landing cjs changelogs iterates races reraised visited decides triples zeroes locales bitwise
+isinstance resumes samples finalize mutating unpickling insist informational rounded backlog topmost violation mailbox numbering rewriting scanner clobbering believe prepending
+programmer reprlib interactively doctype feedback everyone idempotent explained comparable computes eligible stamp silent becoming decompression trimmed coro plaintext cpython
+dumped coded untouched initialised toward pred encrypt disconnected heapq hiding grows prog fooled protecting facing outline unlimited hanging completing localns designated
+pickleable arrives inactive exceeding monkey dropping caution logically distros codename maxlen structs occupied regenerated unregistered combines priorities emphasis lax
+unordered unmatched forwarding respected behalf individually subparts deprecating began idna clobbered activating submitted serializable pypi notifications aggressive offline
+stick refactored warned strategies osx warns unstable bells interactions influence inherently owning abbreviating justification elit amet dolor proxied diagnostics msgpack
+masking fulfills traversable landed reverting reliability latency octets elliptic trailers waiter cautious argc officially refuses autocompletion subversion mirrors relating
+passphrase cares errored paused scrollbar htest autocomplete approved refspec promisor footprint gitk rerere squelched sheet worktrees emeritus teams nits pollution keepalive icu
+napi esm directed denial secrets intermediary unprocessed shortened propagation dists uname puts tokenizer formal fold replies proof consequence pertaining offered accumulate
+translating msvcrt attrname outermost restores frequency delivery worst adhere frontend his yes topics notion estimated lie reproducible bandwidth probability accuracy interior
+simplifies numbered bin intervals principle contract infinity adjusting backtracking superclasses snippets annoying parties uniqueness retains rough unregister cat emulating
+uniformly reaching envelope shadow examined greatly parens incrementing connects shutting acquiring unfinished recommends classic certainly simplifying gained him insufficient
+mainloop drawing pixels revised rightmost disambiguate obey globalns stringified absolutely structural generics subscript paper threadsafe heavy entropy pruned curly introspected
+decodable confidence measured abis hot identically legitimate allocating declaring sizeof deployment incrementally installable highlighter coloring themes syntactic slowdown
+letting increments flows counters pseudo dimension permutation tilde testcase posting conf actively preloaded reducing claimed backoff carriage atomically tomlkit der rebuilt
+mismatched constrained unsatisfiable pruning versioning iter elevated privileges conditionally invalidate menus profiles admin develop serializing ancestors introspect discourage
+caveat thinking needlessly divided adopted retaining kick monitoring training facilities realm adipiscing consectetur appeared dialogs awaited spawns retval simplejson slices
+sdists caplog crude noop importantly undef inconsistency committed ancestry semicolons illustrated postmortem blog wadllib workflows smuggling committing lacked corrections
+impacted octopus pronouns coverity tap strategic primordials cctest pummel cumulative queried quitting bom mentions composite deflate flushes decompressed unpredictable fileno
+slated freeing ops popped loopback octet poor tok meth shift carrying directions ordinal divisible hours blow infile stacklevel graceful dispatched opcodes ids transient getpass
+likelihood assist stateless mro synopsis qualify truly assigns tutorial mocking speeds ratios associating zipimport rounding overflows additionally modulus lies underlined
+quadratic traversed kwarg sole criterion cafile transmitted enumerate revealed enters drain acquired successor topological datatype prematurely shrink substituted promoted
+caption linkage gains maintainer shorten freely abbreviations score monospace craft subsequences saw drawn fun vertically thereby distributing whichever knew indirect gather busy
+aims capitalized eat cpu packets regularly locating nicely curr injected completeness cased autodetect awkward singular consensus rhs seemingly variadic inlining beforehand
+activation pyver definitive lexing collects destruction docutils mathematical colours distinguished scoping frameworks misc commandline autogenerated decent footer wasting draws
+tomllib brand optimal urlopen pools penalty incur streamed handed qualifier persists dumping explains bringing amounts backing boltons environmental futures chmod sudo hood stmt
+discriminator forwards accounts observed notebook cygwin nprintf cfg alg asymmetric prefers redefinition sliding restoring velit canonicalize innermost resumption stringify cand
+revocation coroutines cookielib flattening augment bootstrapped undefine exclusion improper repeating fault plug purelib mocked crashed connectivity ships rejections nonsensical
+reusing sometime runtimes libmambapy restored dies setters forks triagers announce headings harness unref repetitive selective saner lockfile sentences promotion bugfixes
+revisions overrun nickname shortlog glossary consolidated diffstat tricked rebasing microtask threadpool nightly ninja uvwasi aix deref viewed precedes risks arcname onerror cond
+breakpoints booleans abruptly tempdir von undone linenumber captures popping optimizing collapsing functionally presentation suppressing transferring darwin finalizer finalizers
+microseconds dbm accurately dis publicity slicing counterparts incremental eventual selects canonname remembers complement bump greeting loosely equally unlock presumed
+approximate readers sourced browse globbing localization combo relations graphical weights intersection suit continuations pyc swapped deeply violate presenting deny powers
+payloads descendants filetype tarinfo interfering inadvertently marginally doubly traversing originated reraise varargs permanently fair cadata harmless gen typename ephemeral
+casting scheduler authenticating honored imp movement accident subsequence difflib hundreds collapse diffs purposefully substrings scrypt graphics clicked erroneously subitem
+canvas extent prepares grants recipes publicly dec decremented signum adjustments parity annotating semantically bookkeeping harm suboptimal evenly cards distributors ptr honour
+customizable indirection card anyways bumps qualifiers spellings bidirectional cffi toolchain verifier allocator gobble underline byref tooltip outputting spot lex percents
+lifted checkpoint translators lifecycle tunneling pooled advised recurses evict ticket harmful caveats typer anaconda messaging islink deactivate helping functioning resolutions
+flatten company concat preprocess threw terminology exe underneath stated zstandard overlapped windll hardlinks decrease reverts easiest classifiers accounting origins approaches
+approximately mutation defensive trange parallelism racing tight dispatching seriously org eol placeholders filesize aligns loosened splice rollback expire programmers rsa algo
+upfront normalised cancelling localize identities shares concern categorized paradigm meantime supplies emulates wasteful uninstallation canonicalized noisy xmlrpc whitelist
+props fire news abandoned router teardown arity watcher licensing hierarchical hangs utterly imap scrolling intercepted chose logo approval edits reviewed par visualize prober
+tentative practices amending articles clarifications repacking userdiff restructuring libcurl zsh preimage subsystems susceptible dying libtool social backtrace individuals
+governance steward prototypes promisified debuglog initiatives releasers udp llhttp backticks doctool macos suppose hides dimensions readonly chown breakpoint blocksize padded
+mkdtemp cmp complication eliminating partly subtraction concerned endpoints discussions exctype excinst recreated pydoc seekable precede attaching faithfully today monotonic
+nasty tricks writeable denied quota doctest memoize diverged suffer irregular delim unencoded doubt desc excellent pkgutil foundation fallbacks catalog nan ties correction scaled
+noise selections intercept someday happily satisfying rounds ceiling respects hardlink inode archived somebody unaligned classmethods baseline measuring complaining alternating
+arise interprets walker waited violates administrator awaiting noarch anytime certfile dance unencrypted serious anybody deque semaphore advertisement syntactically determination
+mime databases retrieves drained sockaddr mac reasonably demonstrate reordering patchlevel usernames cleaner volume fundamental regard unified doctests abs scrolled vectors
+center toolkit delegating div reflects compensate routed completer measures exotic predicates overloads layers parameterized speedups physical omits acceptance inappropriate
+downside signifies targeting regards arguably historic anchored rel rolling surprise codepoint pypy silly perfectly modeline toks colorama optname tabular wschar procedures
+learning heredoc backtick pasting denoting infix remark distinguishing tcsh traits newmod recognizing iex tokenized cpp approve redo lesser slurp nullable clipboard atom bright
+triplet selectable fingerprints swallowing amt peak conforms exhaustion tickets verb userinfo differentiates picker ideally solved exporter dedent negation knowing aim negated
+dry sanitize fpath handing obtains reinstall fulfill recipe objections etag ideas pinning composing deployed relaxed freebsd grained deserialize toml demonstrates sibling viable
+inlined respecting processors meter bot investigation randomly truststore convey delays abstractions persistence clickable binds rejecting spin refreshes aliqua magna dolore
+labore incididunt metacharacters widths permissible inconvenient attackers partition enhancement slight buflen advantages article transforming recovery valuable itemgetter httpx
+redirections uploads concurrency awaitable rotate prep randrange arrange slide organized subroutine submitting improving loadable imagine strm synchronized pyversion emptied
+classification stages tampering editables uploaded uncommitted revs versioned importers unauthorized mangled agnostic deserialized misconfigured kicked flushing unrecoverable
+adoption malloc keybindings rpc messagebox delegator posted route subtree linesep wiki alphas greet packrat instring ungrouped alphanums railroad frm subdiagrams understanding
+refreshed utilizing threat confidential flood renegotiation disambiguating ipc heard revamped everybody gitignore teach robustness exploited automake releaser userland
+backpressure destructuring acorn intl typography rewrites inplace noticeable libdir customizations thousands hardening expat centered grey crc tweaks aliasing errmsg summaries
+stating unresolved bypasses proceeds approximation std rem strftime ordinals subtract gap violated idiomatic book usefulness tempting families socktype probable dialect writers
+sensibly clash encodes greedy leader shadowed preformatted unimplemented onwards rawdata speeding tie discrete rational variance traffic targeted funky neg unaltered boring
+multiply rotation signaling unambiguously removals overwrote emulated compressor interspersed extensible metavar nargs instructs insists redefined poll pythonw matcher
+overflowing asdict denotes negate trail decrement drains trip barrier decimals driven mimetype ftp inst qname whereby terrible rewinding tends lives thumb occasional separation
+courtesy accumulates positives ellipses horizontally bounding invisible incorporates decompressor restarted recursions resembles returncode encapsulate miscellaneous distinctions
+bigint capitalize weighted beta universally successively postfix clauses tee wrongly basestring socks prioritize tiny hexdigits motivation abstracts musllinux conceptually slip
+oper midyear soabi yearly pymalloc assembled ctype xxx casts analyse misnamed hierarchies tokentype paid rerun lexername flagged palette boldface exprs sprintf reserve colorizing
+wrt restarts improperly recognise hypothetical stylesheet erase miscounted durations templating lookbehind linefeed traverses groff boards sourcecode pixmap releasing doubles
+defensively establishes getaddrinfo dotless uppercased monkeypatching provisional populating restarting envs discoverable sits stand attaches pulling maxsplit relation crucial
+messes condarc incapable wintypes fns downgrade granular pandas swapping pins disappear preview envvar constrain mocks securely jupyter porting smarter tighter decomposed neat
+keychain hashed spirit nprint favour unclosed symmetric multipath viewing truecolor cillum fugiat commodo quis occaecat mollit enim proident laborum irure est ullamco nisi
+cupidatat aute esse qui anim exercitation sunt tempor sint nostrud consequat veniam voluptate officia deserunt laboris stacktrace amongst sapien pretium strikethrough greedily
+unformatted advisory advances buckets sugar nanoseconds pain trim oid establishing netrc swallow silenced certifi cookiejar progresses zipped reviewing superseded drivers
+sandboxed discovering owners builders ensured postponed launches listdir gateway recompiled unportable mutual spit conclude ton relpath authenticates redact vendoring gradually
+urlsplit deletions ported defacto contrib orphan holes unescape severe nums shareable subtest grok sanitizer consulting mutexes redistributed curses colorizer editwin modal
+precompiled toggled sidebar calltip arrows developing complained listens bitmaps multibyte tzdata reevaluation keyserver informed curves consequences borrow unreferenced retired
+replaying detach hashmap paying mergetool sparsely gitattributes borrows parrotting difftool simplification flip reflogs refrain introductory ccache libxslt moderation lands
+primordial stylistic undici dtrace writev corepack pronoun keygen rollup wpt rss settable runnable orders remotely delegated condensed directs months saturation shot million
+emojis caret multicast summarize ncurses fat permutations disagree atexit daylight reasoning microsecond probe memoizing strictness decoders ancdata translates confirmed
+variations intensive stacking chop rfc willing tolerate proceeding formula joint estimation vertices coefficient degree squeeze placement integral multiplied quantity resumed
+lzma checksums filemode encapsulated unambiguous cleans invented bracketing finders syscall seven examining unwrapping keyfile walks contextmanager exceptional dunder unlocked
+technology greatest recipient vast country dollar intrinsic balancing exercise helped fourth mounted bulk utilizes traced assorted picture intervening allowance syscalls dragging
+turtles stretch acknowledgment playing coordinate demo volunteers incorporate governed clutter hacky examination rapidly signalling briefly deadlocks cmds banner covariant
+narrowing relay mimicking unconstrained frequent randomness staticmethod triplets dereferenced visiting ntpath impose rmdir inactivity wherever invalidation presents cnf editors
+assess stacked undesirable prospective representative reimplementing touching fundamentally accumulating unparsable influences abusing enrich enumerator vararg hacks segmentation
+pragma secretstorage dismissed filed automagically maximize preprocessing presently reprs classname sphinx noitalic papers academic algebraic amatch irb assembler recognizable
+suffice moments game changeset unbalanced erl parenthesized confident unblock revoke undeclared abbreviate cte fenced nonamefile unconsumed nonstandard vals dispose zstd fragile
+dropdown elaborate appearing rolled symlinked boxed urlunparse asterisk graphs entrypoints myenv expanduser preferable notifying intermittent synchronize translator distlib
+pluggy autodetection serializers unequal inference belonging branching analyzing delegation demonstrated replicate boost ipython sound islice gross evolve vanilla cryptic sysctl
+adjusts constantly lag progressbar magically unconverted organizations panel expiry locs exceptiongroup peek jwk digital cred runpy roaming synced workspace printer angular
+pulsing cropping justified chopping albeit bullet layouts beneath enjoy micros signable sitting blockquotes typecode retention histogram investigate unreserved manipulated brings
+argname curious identifiable tampered ciphertext lexically qop trio misbehaving charsets resized delivers limiter clue shuts intelligently unpickleable chooses unquoting
+mathematically mul hexversion factorial overruns dictates hear progressive summarizes unzipped halt subroutines falsey hdr stringifying pbr consent pydistutils encodable
+reinitialized readdir outfiles pth filelist surrogates assets aspect solicit autocommand polluting exploring metainfo confuses rpm packager hello degradation preparer hurts
+cachecontrol purl laid ordinarily backtrack afterward artificial debundled href redacted drastically restrictive msggen aborts vastly prose pauses sslcontext sequentially bitmask
+imposed recoverable bsd reversion touches thorough buildbots setuid exploit desire phrases reorganized searchengine squashed keybinding clicks diagnosis textview calltips
+discussing believed cumbersome stupid imitate images preliminary experiment workloads tokenlist aptsources dpkg looped linters contacted argcomplete segfaults talks goals
+specifics mergy refnames authored young manpages incidentally pretended misused tightening fell snprintf glitch gaining sendemail alloc restructured stalled xvf triage tiers
+nomination approvals accordance fips ongoing subjects externalized asset wasi wasm webstreams countdown slack triager bnoordhuis tcp dtor apis msi googletest flake tsc anticipate
+typographical explanations webcrypto stringent lts mmarchini spam synthesize registries junctions debugged compresslevel seeks cfile kinda repetitions sortable networks
+summarized broadcast syslog osname cflags positioned audio picky weakly multiarch bizarre computations algebra plausible ignorable synch reconstructing embedders kills wonder
+copyreg terminators wind dialects wins ticks mojibake mbox gaps denylist adjustment hasattr renderer lacking realname colorize enumerated encourages coerces continuous spaced
+deviation cos linearly squares percentile irritating meanings zips marshal zipimporter trapped disallows figures contextvars extreme feasible clamp inexact engineering mantissa
+trial linkedlist growing realize optimizer reproducing rooted exhaustive unacceptable suspended encapsulates arrive mobile reveals conversation cap decrypted negotiated balance
+tightly visitor semaphores similarity facilitates predecessor disconnects semi tuning deadline luck heappush formerly transfers acknowledged sans conv suck augmented heapify
+constrains needle freedesktop alternately subparser sel fstat burden pairing elt volatile thank entirety claiming fancier lname initiate divider alphabet unorderable invalidated
+ultimate commercial scrollable txt increasingly liable controllable recurring observe pen methodname circle agrees trade sponsoring boilerplate intelligent fget resuming prof
+quantify defs zombies sts sophisticated contravariant unsubscripted prohibit subscripted subtyping alen narrowed getitem messy ceil registrations polling pasted substituting
+accompanied cutting shortening pairings withdrawn joiner shipping enumerators msvc quals cdata enumerates libname quantities decls apple wininst zinfo linewise effectiveness sql
+analyser eos styleguide research hardest ruby asterisks unassigned painful elseif mixture printf diamond notations proprietary demonstrating nit bundles chomping denoted und
+aggregate foreach clt dealt redefines forcibly baz inclusions designing datatypes instruct findings board keyname xterm ctags google uploading endless fragmentation recipients
+unverified wipe eviction typechecking denials comprises negotiate firing frustrating pyopenssl routes statuses cont interfacing submission solving protections detailing pkey mat
+dname pointless smarts deepcopy satisfiable loggers conveniently iterative deriving overlaps blurb desktop unlinking employ trash subkey overriden allowlist churn lexists reboot
+figured roll hasher messed costs freezing orphaned birthtime extensionless archspec unzip normpath pretending snake timezones discriminated conformance colorsys optimizes django
+getdoc subtypes postpone cython loses deferring inevitable tuned tester sleeping migrated delaying faith preservation jwt audience keyrings icons shadowing alphanumerics magical
+jnius appdata initializes beautiful wincon isatty eiusmod splitter crop forming serializes mandated significance tradeoff enforcement reformat codepoints orderable sentinels
+observable stacks summarization readily outright invert subpart phrasing filler medium reinvent chances decryption spotted invariants ocsp reopen concatenating reversible
+httpcore messing vague modelled diagrams arises conventional aside anyio comprehension evidence touched urlparts nulls batched zap perm destructively batches shifts subdivided
+unimportant polled partitions exhaust fish monkeypatched dll overdue cmdclass controversial suppression bdist relevance injecting composition lying mingw ccompiler homebrew
+ensurepip interpolate capsys inaccessible regrtest rpath unwise stashed groupname stolen impression inconsistently additive sha quicker resolvelib cone destinations cgi
+disconnecting freshly enormous coarse reloaded urlencode trusts sharded choke shards shard hoping endianness culprit wanting joins transp disconnection coalescing cancels tagname
+pyexpat perspective ampersand accelerator chopped dlopen awaits misspellings subtests sld synthetic destroys behaviours emission colorized bio caseless flavors accomplish humans
+unbind stands faults unterminated eliminated stock listbox pixel screens keyset turtledemo navigation continuously torn alternates stackviewer iomenu cascade correcting tabwidth
+goto motion separates cdrom oauth comfortable subexpressions sun scraping uninformative participation underway updater brevity forgery initiates keying speak recompile escalation
+irc pthread imitating spending hardened staged sideways insisted backgrounded demoted refspecs alarming diagnosing travis fingers flaw recursed postimage barfed initializers
+joernchen unmaintained gitfile mishandle graft responding numerous tagger daily integrating permissive outbound reporters tier stewards planning overwhelm encapsulation nullish
+listened unsubscribe flowing unrefed unintentional watching cloneable transferable spoofing heapdump promisify versus promoting citgm bench impacting typings adhering unpipe
+typeof prevention richardlau webstream protoype smartos allocs badge watchdog jslint hashseed lttng opensslconf grammatical whitelisting libblkid sitecustomize unpacker
+circumstance normdir thefile bdb unconditional maxlinelength pfx weeks video prepends uncompress slowest mkstemp eight tup prove consulted glue lno newpath decreased nibbles
+deduplicated mixes finalizing weakrefs hybrid insane wall placing endpos truncates simultaneous distinguishes writelines defers unreleased slotstate grew verbosely passwd delims
+honoring syncing instream nextchar analyzer creator funcs nonlocal fsencode median dataset scaling efforts scipy population density interpolated magnitude groupby nine
+conventionally dubious filesizes toc winner multiplying adequately infinities numerically nearby clamped derives cheap elimination diag representable targetpath framing fifo gnu
+inodes chapter preset opname stabilize temptation misses akin bytestream expense roundtrip rebind elegant shrinking disassembled substantially unpickle subpackages strs flavor
+partialmethod ann comprehensions peers recv imaginary mutability leveraging qualname fillvalue refcycle endtime arranges draining divmod ndigits interoperate topologically
+challenges smtp transmit gtype slows enqueue unblocked earliest fromlist nowadays participate progressively oddball ambiguities century muck presets java coffee overkill reparse
+positionals ban frac sublists splitext garbled regions deltas scores likewise bumped repaired proved divides games interrupts framed pads wisely approximated accelerate headed
+oriented trademarks herein pairwise unnormalized metaclasses receipt exclamation intelligence instr bias calculates possibles communicating negatives unqualified tid exitcode
+intro ruler tvarset gvars subscription subscribed tvars mid refinements braced anticipation narrower gamma adequate misaligned fsdecode theoretically privacy popen cool nominated
+suspicious expansions userid pycosat annotationlib ppid disregard accent declarative factoring mdurl asserting bangs sticking ups massive abiflags tokenization repeatability lsb
+precisions oslevel gathers unallocated directionality utilise totalsize ftype fieldname fqual declname plays reorder unlocking metachars unidata modelines istate insleft realpos
+premodified itokens curitems oldi rexmatch rflags tdef ncalls lexed forum wikis realoutfile exts fopts ansixxx styledef styledefs typeshed oneletter filtername specialttype
+perldoc tango beginners shades underlining pragmas importance hdname bracecc rbrace lbrace hate heredocs commenting considerable hotkey beep automating chr famous exactness
+terminfo systemd assistant octave ltext kicking baselexer lexemes horribly unicon indentations stylesheets barewords repair dereferencing unlexed pylexer possessive toolbar
+authoritative webpage urlencoded hardly serif formattername bulletin linelength heights misalign hyperlinks insensitively customizing subparsers dotenv incidental living
+multithreaded rewinds brotlicffi bombs evicted mimetools rotating verbs aforementioned hell complains readchar pcrec transactions abide testsuite sought navigate definite
+unloaded risking coefficients dangers lockfiles generically coordination chn dumper multichannel exclusions mamba parametrize unlinked directing kernels plans loudly extractor
+fixer publishing lowercasing fixable polymorphic virtually clashes typevars analyzed hairy generous camel iteratively emails refined shims heads mutations factories recursing
+ascending simplistic initialisation cpuid woken animations ipywidgets administrators subscriber authorize subpackage caps reexport rearranging crv pyjwt activatable fws
+actionable acknowledge frees compressing intensity raster rgb educated commonmark rectangular argtypes fore consoles minim pariatur aliquip reprehenderit nulla culpa spring
+subtitle luctus booting blinking gray mypyc assistance principles generalized relationships digging weaker smartquotes unify linkify sloppy picks overrunning opportunities
+authorship nonblocking empties bytestrings recomputed techniques scary reminder dozens behaving mailto emacs sticky pluggable misbehave tmpl stays breadth deployments
+transmitting encrypting dsa cas oddly splitlines erroring arrived transitions cheat spanning subinterpreter ancillary reapplies resend beings unsets sumprod decreasing comb
+exhausts credited reservoir substitutes euclidean reproduces peekable beware reducefunc valuefunc keyfunc shuffle boss spreadsheet disaggregates runners getcwd extant subfolder
+analogy incurs immutability acc forgiving globbed deliberate defn discontinue pathological buildout classifier deviate zipp indicative resolvers epilog namelist minuend
+subtrahend risus eros dictumst bibendum habitasse platea arcu nec lacus aliquet orci congue faucibus ullamcorper vulputate malesuada hac dictum fermentum sollicitudin euismod sem
+eget mauris gravida ligula mollis tincidunt feugiat turpis felis nisl tellus odio diam elided nibh laoreet erat vehicula quam pharetra augue lorem solicits bondage coincidence
+blamed poking sneaky dependence elm finalizes snap heck uselessly punting subcmd instructed vcvarsall mandate beside appdirs originates unpinned disaster platlib removable
+intends achieves repeatable filterfalse ireqs confirming deduplicate favorite alleviate redistributors debundling unreasonable glance urlretrieve vertex optimistic unsatisfied
+quirks owed smuggle debt blazing bastardised annoys bubbles cacert unsuitable demanded opted producer dispatches interrupting routing growth den pausing backspace adheres
+isolates unilaterally seperately degraded tracers equivalents banned closures disastrous sendfile idiom overridable propagating schedules escapable ring indenting reclaimed rval
+unittests settled timely reloading watches buildbot loud deallocated compromised relax reconnect appname reopened delimit outlive illustration subpattern transitive
+disambiguation resurrected expressing dispatcher forgotten neighbours lexicon echoing excessively pyclbr hyperparser suggesting keysets outwin codecontext pane discuss
+configdialog persisted freezes tcl mainmenu glyph percolator sublist masks hotkeys constitutes relate checkbutton fixups accomplished hole testable maxlinelen maintype quopri
+munged savings blinker mistaking distinctive opinion granularity comps ini initiating glib descend owing lpar associative rpar untokenized astring locn tokn microtests errloc
+unlabeled alphaword kingdom memoizes winter dictvalue glorious diacriticals sdlf wslit ender nextloc resultlist tmploc maxloc checkin clip exprtokens york tilded tkt posn newloc
+tmptokens sldd thiscol endloc acton skipto matchable umlauted summer instrlen superscripts preloc discontent retreat vlist toklist sdlkjf lsdkj strg foundstr ppu rpt diags
+subdiagram visualises privileged privilege homepage nid opinions outlen fulfilling reworked referrer fra correlate unhappy blah communities stress adopting vcpkg unprivileged
+slang reftable xdiff participants httpd expendable wildmatch appreciated competing neutral futureproof reworded cvs killing linkers racy formulating scissors activities careless
+screwy mainstream defeats scriptlet symref insanely sideband pressure hashtable noticing midx misplaced approxidate misspelled packstream sequencing fsync falsely modernized
+unaware misuse rewrote mistook pickier audited fuzz vimdiff fearing replayed unhelpful segfaulting misdetected cores msysgit bisection enumerating regressed negatively unchecked
+coalesce migrating setgid announcement disclosure collaborative employer reviews meeting posts executions accessibility technologies probes specificity passphrases snapshotted
+emitters observer pseudocode thenable abrupt unofficial tweet collaboration newcomers alike triaging pnpm systemtap hwm solaris llvm jsdoc notarization cppgc simdutf spoofed
+psmarshall wrk crypo aids slowloris spoof arraysize cork abortsignal mjs editorconfig atob asan dnlup marsonya ronkorving flakyness initiative icutrim remediation subkeys
+calvinmetcalf modernize handshakes pipelined aqrln gtest whatwg openpgp intermediates chromium vuln legendecas deleter lchown commonjs oracle preposition pod her eyes curio shop
+lamp ground phoenixes phoenix
+""".split()

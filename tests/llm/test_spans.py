@@ -92,6 +92,19 @@ def test_guess_costs_order_values():
     assert base == [] and [text[a:b] for a, b, k in full] == ["x9$Kp2!vQ7", "Tr0ub4dor&3xyz"]
 
 
+def test_guess_cost_alone_decides():
+    text = "pwd: qZxKvTrWpLmNbHgF and password is wkqjzvhxbnrtpmdy; the password is required, login to continue, secret is forgotten"
+    assert [text[a:b] for a, b, _ in secrets.scan(text)[1]] == ["qZxKvTrWpLmNbHgF", "wkqjzvhxbnrtpmdy"]
+
+
+def test_texts_are_not_left_out_before_the_scan(spark):
+    names = ["password", "passcode", "pwd", "secret", "token", "credentials", "login", "pin"]
+    names += [f"{a}{b}{c}" for a in ("api", "access", "auth", "private", "client") for b in ("", " ", "_", "-") for c in ("key", "secret", "token", "code")]
+    rows = [(i, f"Your {name} is 7fK!29xq") for i, name in enumerate(names)]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: secrets.scan(text)[1] for i, text in rows} and all(got.values())
+
+
 def test_brute_force_dp_agrees_on_short_values():
     """The segmentation is the cheapest of all cuts into single characters and priced segments."""
     for value in ("aab", "qwe1", "pass99", "2020xx", "abcd12"):
