@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +33,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    A folder of this machine is chosen only where the cluster names none, as in tests.
+    A folder of this machine is chosen only where none is named and all runs in one process, as in
+    tests; on a cluster a missing folder is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="quillgraph-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def free_name(name: str, columns) -> str:
+    """``name``, with underscores before it until no column has it (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and drop its lineage (survives lost executors)."""
     spark = df.sparkSession

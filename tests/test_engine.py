@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -374,3 +377,19 @@ def test_library_does_not_import_the_training_data_operators():
             for n in names:
                 if n.endswith(".py"):
                     assert "quillgraph.llm" not in open(os.path.join(folder, n)).read()
+
+
+@pytest.mark.parametrize("gone", [["quillgraph/llm"], ["quillgraph/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_entry_imports_without_the_optional_parts(tmp_path, gone):
+    here = os.path.dirname(os.path.abspath(entry.__file__))
+    copy = tmp_path / "copy"
+    shutil.copytree(here, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "tests"))
+    for name in gone:
+        path = copy / name
+        shutil.rmtree(path, ignore_errors=True) if path.is_dir() else path.unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; q = e.queries(); s = e.oracle_sql(); print(len(q), set(s) <= set(q), 'pipeline' in q)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    n, fits, pipeline = done.stdout.split()
+    assert int(n) >= len(QUERIES) and fits == "True" and pipeline == "False"
