@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.session import cut
+from quillgraph.functions.session import cut, free_name
+from quillgraph.llm.text import least_row
 
 #: Rows that one window task may hold; sets the number of stretches a queue is cut into.
 STRETCH_ROWS = 4096
@@ -59,7 +60,7 @@ def _running(df: DataFrame, keys: list[str], stretch: str, order: list, value: s
 
 
 def fair_queue(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, copies) of every row of ``docs``.
+    """(doc_id, source, size, source_size, target, taken, copies, print) of every row of ``docs``.
 
     Every source is a queue of its documents, shuffled by md5(doc_id) and read up to twice. A
     document's virtual finish time is its queue's words up to its end over the queue's target.
@@ -67,17 +68,18 @@ def fair_queue(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
     each source ends near its target; the document that reaches the budget is still taken whole,
     unless its source is then past its target. Null text has size 0, null source is a source of its
     own (last), repeated rows count each; an empty table gives no rows. Other columns are not read.
+    ``print`` is a 64-bit hash of the text, which orders rows of one doc_id and size.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = cut(docs.select(F.col("doc_id"), F.col("source"), size.alias("size"), F.md5(F.col("doc_id").cast("string")).alias("key")))
+    sizes = cut(docs.select(F.col("doc_id"), F.col("source"), size.alias("size"), F.md5(F.col("doc_id").cast("string")).alias("key"), F.xxhash64("text").alias("print")))
     targets = cut(source_targets(sizes, weights, share))
     totals = targets.agg(F.coalesce(F.max("n_docs"), F.lit(0)).alias("most"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("rows")).first()
     digits = 1  # hex digits of the key that make a stretch of about STRETCH_ROWS rows at most
     while totals["most"] > STRETCH_ROWS * 16**digits // 4 and digits < 8:
         digits += 1
     wide = sizes.alias("d").join(F.broadcast(targets).alias("t") if totals["rows"] and targets.count() <= 100_000 else targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-    wide = wide.select("d.doc_id", "d.source", "d.size", "d.key", "t.source_size", "t.target").withColumn("stretch", F.substring(F.coalesce("key", F.lit("")), 1, digits))
-    queued = cut(_running(wide, ["source"], "stretch", ["key", "doc_id", "size"], "size", "start"))
+    wide = wide.select("d.doc_id", "d.source", "d.size", "d.key", "d.print", "t.source_size", "t.target").withColumn("stretch", F.substring(F.coalesce("key", F.lit("")), 1, digits))
+    queued = cut(_running(wide, ["source"], "stretch", ["key", "doc_id", "size", "print"], "size", "start"))
 
     copy = F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))).alias("pass")
     copies = queued.where("size > 0 and target > 0").select("doc_id", "source", "size", "source_size", "target", "start", copy)
@@ -93,10 +95,36 @@ def fair_queue(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
     q, k = queued.alias("q"), taken.alias("k")
     cond = F.col("q.doc_id").eqNullSafe(F.col("k.doc_id")) & F.col("q.source").eqNullSafe(F.col("k.source")) & (F.col("q.start") == F.col("k.start")) & (F.col("q.size") > 0)
     return q.join(k, cond, "left").select(
-        "q.doc_id", "q.source", "q.size", "q.source_size", "q.target", F.coalesce("k.taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("k.copies", F.lit(0)).cast("int").alias("copies")
+        "q.doc_id", "q.source", "q.size", "q.source_size", "q.target", F.coalesce("k.taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("k.copies", F.lit(0)).cast("int").alias("copies"), "q.print"
     )
 
 
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5) -> DataFrame:
+    """The documents that the mix takes: all columns of ``docs``, then size, source_size, target, taken, copies.
+
+    Columns of ``docs`` with one of those five names are replaced. Rows equal in doc_id, source and
+    text are one row of the result, their taken words and copies added up; of such rows that differ in
+    other columns the least stays. Texts are shuffled once, by doc_id.
+    """
+    queue = fair_queue(docs, weights, share).where("copies > 0")
+    extra = ["size", "source_size", "target", "taken", "copies"]
+    keys = ["doc_id", "source", "print"]
+    sums = [F.sum(c).cast("int" if c == "copies" else "long").alias(c) if c in ("taken", "copies") else F.first(c).alias(c) for c in extra]
+    taken = cut(queue.groupBy(*keys).agg(*sums, F.count("*").alias("rows")))
+    columns = [c for c in docs.columns if c not in extra]
+    d, t = docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64("text").alias(free_name("print", docs.columns))).alias("d"), taken.alias("t")
+    mine = free_name("print", docs.columns)
+    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col(f"d.{mine}") == F.col("t.print"))
+    joined = lambda part: d.join(part.alias("t"), same).select(*[F.col(f"d.`{c}`") for c in columns], *[F.col(f"t.{c}") for c in extra])
+    repeated = taken.where("rows > 1")
+    if repeated.isEmpty():
+        return joined(t)
+    group = free_name("group", [*columns, *extra])
+    several = d.join(repeated.alias("t"), same).select(*[F.col(f"d.`{c}`") for c in columns], *[F.col(f"t.{c}") for c in extra], F.struct(*[F.col(f"t.{k}") for k in keys]).alias(group))
+    least = several.groupBy(group).agg(least_row(several, [*columns, *extra]).alias("row"))
+    return joined(taken.where("rows = 1")).unionByName(least.select("row.*"))
+
+
 def op2_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted fair queueing over all ``documents``."""
     mixed = fair_queue(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time in a worker; a longer single text is handled alone, whole.
 SLICE_BYTES = 1 << 20
@@ -120,3 +121,9 @@ def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[[
                 yield from each(batch)
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def least_row(df: DataFrame, columns: list[str]) -> Column:
+    """Aggregate: the named columns of the group's least row, as a struct; columns without an order decide nothing."""
+    ordered = [c for c, t in df.dtypes if c in columns and "map<" not in t and "variant" not in t]
+    return F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.struct(*[F.col(f"`{c}`") for c in ordered]))

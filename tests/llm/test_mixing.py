@@ -86,3 +86,17 @@ def test_edges(spark):
     same = [(7, "a", "x y"), (7, "a", "x y"), (None, "a", "z")]
     got = mixing.fair_queue(frame(spark, same)).collect()
     assert len(got) == 3 and sum(r.taken for r in got) <= 10
+
+
+def test_documents_of_the_mix_keep_their_columns(spark):
+    rows = [(i, f"s{i % 3}" if i else None, "w " * (1 + i % 9)) for i in range(120)] + [(7, "s1", "w " * 8), (7, "s1", "other"), (None, "s0", None), (None, "s0", "a b")]
+    docs = frame(spark, rows).withColumnRenamed("stretch", "print")
+    got = mixing.mix_documents(docs)
+    assert got.columns == ["doc_id", "source", "text", "print", "size", "source_size", "target", "taken", "copies"]
+    found = [(r.doc_id, r.source, r.text, r.taken, r.copies) for r in got.collect()]
+    queue = mixing.fair_queue(docs).where("copies > 0").groupBy("doc_id", "source", "print", "size").agg({"taken": "sum", "copies": "sum"}).collect()
+    assert len(found) == len(queue) and sum(f[3] for f in found) == sum(r["sum(taken)"] for r in queue)
+    known = {(i, s, t) for i, s, t in rows}
+    assert all(f[:3] in known and f[3] == f[4] * f[2].count(" ") or f[2] in ("other", "a b") for f in found)
+    assert [f[4] for f in found if f[0] == 7 and f[2] != "other"] == [sum(r["sum(copies)"] for r in queue if r.doc_id == 7 and r.size == 8)]
+    assert mixing.mix_documents(docs.limit(0)).count() == 0

@@ -33,11 +33,24 @@ def test_stages(spark, tmp_path):
             # What is left resembles nothing: masks may only join digits that were apart before.
             assert sum(bool(pii_spans(r.text or "")) for r in rows) == 0
     assert seen == ["language ID", "n-gram Jaccard join", "benchmark decontamination", "PII", "mixing sources"]
+    assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "taken", "copies"]
+    masked = {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "3")).collect()}
+    out = docs.collect()
+    assert all(r.text == masked[r.doc_id] and r.taken == r.size * r.copies for r in out) and len({r.doc_id for r in out}) == len(out)
+    assert any("<email>" in (r.text or "") for r in out)
     total = docs.selectExpr("sum(taken) as t").first().t
     words = spark.read.parquet(str(tmp_path / "3")).selectExpr("sum(size(filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x <> ''))) as w").first().w
     assert total == pytest.approx(1.5 * words, rel=0.05)
 
 
+def test_near_copies_beside_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 1), (2, "a b c d e f", 2), (3, "x", 3), (3, "x", 3), (None, None, 4), (4, "a b", 5), (4, "a c", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int").selectExpr("*", "k as row", "k as key", "map('a', k) as m")
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.k) for r in got.collect()) == [(0, 4), (1, 1), (3, 3), (4, 5)]
+
+
 def test_registered():
     known = entry.queries()
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in known)] == [] and "pipeline" in known
