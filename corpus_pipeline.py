@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.functions.session import cut, shared_dir
+from quillgraph.functions.session import cut, free_name, shared_dir
 from quillgraph.llm.decontaminate import drop_leaks
 from quillgraph.llm.jaccard import BROADCAST_DOCS, jaccard_components
 from quillgraph.llm.langid import fit_language_model, keep_identified
-from quillgraph.llm.mixing import fair_queue
+from quillgraph.llm.mixing import mix_documents
 from quillgraph.llm.pii import mask_pii
+from quillgraph.llm.text import least_row
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,18 +27,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows without an id or without words are in no group and stay; of several rows of one id that
     stands for its group, the least stays.
     """
-    groups = cut(jaccard_components(docs))
-    gone = groups.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("k")).distinct()
-    twice = groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("k"))
+    groups = cut(jaccard_components(docs.select("doc_id", "text")))
+    key = free_name("key", docs.columns)
+    gone = groups.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
+    twice = groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias(key))
     gone, twice = cut(gone), cut(twice)
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_DOCS else gone, F.col("doc_id") == F.col("k"), "left_anti")
+    # An id is a number: 16 bytes a row bound what is broadcast.
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_DOCS else gone, F.col("doc_id") == F.col(key), "left_anti")
     if twice.isEmpty():
         return kept
     few = F.broadcast(twice) if twice.count() <= BROADCAST_DOCS else twice
-    single = kept.join(few, F.col("doc_id") == F.col("k"), "left_anti")
-    several = kept.join(few, F.col("doc_id") == F.col("k"), "left_semi")
-    least = several.groupBy(F.col("doc_id").alias("k")).agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return single.unionByName(least.select("row.*"))
+    single = kept.join(few, F.col("doc_id") == F.col(key), "left_anti")
+    several = kept.join(few, F.col("doc_id") == F.col(key), "left_semi")
+    row = free_name("row", docs.columns)
+    least = several.groupBy(F.col("doc_id").alias(key)).agg(least_row(several, docs.columns).alias(row))
+    return single.unionByName(least.select(f"{row}.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +55,8 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, and how often."""
-    return fair_queue(docs).where("copies > 0")
+    """The documents that the mix takes, whole, with their words taken and how often."""
+    return mix_documents(docs)
 
 
 STAGES = [
