@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,17 +10,21 @@ from pyspark.sql import functions as F
 from quillgraph.llm.text import WordHasher, map_batches, mix, text_slices
 
 WIDTH, SIMILARITY = 5, 0.75
-#: Fingerprint bits, radius, and blocks of the index: within RADIUS some block differs in RADIUS // BLOCKS bits at most.
-BITS, RADIUS, BLOCKS = 128, 40, 16
+#: Fingerprint bits and blocks of 16 bits. Fingerprints that differ in NEAR bits of some block at most are
+#: candidates: all within RADIUS are, and of random ones one in forty (137 of 65 536 values, 12 times).
+BITS, BLOCKS, NEAR = 192, 12, 2
+RADIUS = (NEAR + 1) * BLOCKS - 1
 #: Items sent with one pass over the documents; more items take more passes.
 ITEM_BLOCK = 20_000
+#: Windows fingerprinted at a time, and words of a text that they may span; bounds a worker's memory.
+WINDOWS, SPAN = 1024, 4096
 SEED = 3
 
 _PUNCTUATION = np.array([c for c in range(33, 127) if not chr(c).isalnum()], np.uint8)
 _BLANKED = np.arange(256, dtype=np.uint8)
 _BLANKED[_PUNCTUATION] = 32
-_BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
-_NEAR_BYTES = [np.flatnonzero((_BITS_OF_BYTE ^ _BITS_OF_BYTE[b]).sum(1) <= RADIUS // BLOCKS).tolist() for b in range(256)]
+#: Both sides of a look-up flip one bit of a block at most, so that together they reach two.
+_FLIPS = np.array([0, *(1 << np.arange(16))], np.uint32)
 
 
 def _words(hasher: WordHasher, data: np.ndarray, bounds: np.ndarray):
@@ -33,11 +35,42 @@ def _words(hasher: WordHasher, data: np.ndarray, bounds: np.ndarray):
 
 def _signs(shingles: np.ndarray) -> np.ndarray:
     """+1 or -1 for every fingerprint bit of every shingle."""
-    halves = np.stack([mix(shingles ^ np.uint64(0xA5A5A5A5)), mix(shingles ^ np.uint64(0x5A5A5A5A5A5A))], 1)
-    bits = np.unpackbits(halves.view(np.uint8).reshape(len(shingles), BITS // 8), axis=1)
+    words = np.stack([mix(shingles ^ np.uint64(0x5A5A5A5A * (k + 1))) for k in range(BITS // 64)], 1)
+    bits = np.unpackbits(words.view(np.uint8).reshape(len(shingles), BITS // 8), axis=1)
     return bits.astype(np.float64) * 2 - 1
 
 
+def _keys(prints: np.ndarray) -> np.ndarray:
+    """Look-up keys (block, value with one bit flipped at most) of fingerprints, one row each."""
+    values = prints.view(np.uint16).reshape(len(prints), BLOCKS).astype(np.uint32)
+    keys = (values[:, :, None] ^ _FLIPS) | (np.arange(BLOCKS, dtype=np.uint32) << np.uint32(16))[None, :, None]
+    return keys.reshape(len(prints), -1)
+
+
+class MultiIndex:
+    """Fingerprints by block: finds those that differ in NEAR bits of some block at most."""
+
+    def __init__(self, items: list[int], prints: np.ndarray):
+        keys = _keys(prints)
+        owner = np.repeat(np.asarray(items, np.int32), keys.shape[1])
+        order = np.argsort(keys.ravel(), kind="stable")
+        self.keys, self.owner = keys.ravel()[order], owner[order]
+        #: Whether some fingerprint has a key; indexes that are asked in turn may share it.
+        self.some = np.zeros(BLOCKS << 16, bool)
+        self.some[self.keys] = True
+
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item) of every candidate, each once."""
+        keys = _keys(prints)
+        row, col = np.nonzero(self.some[keys])
+        wanted = keys[row, col]
+        begin, end = np.searchsorted(self.keys, wanted, "left"), np.searchsorted(self.keys, wanted, "right")
+        size = end - begin
+        at = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        both = np.unique(np.repeat(row, size).astype(np.int64) << 32 | self.owner[at])
+        return both >> 32, both & 0xFFFFFFFF
+
+
 class ItemIndex:
     """Items grouped by length, each length with its own multi-index over SimHash fingerprints.
 
@@ -47,38 +80,52 @@ class ItemIndex:
 
     def __init__(self, ids: list[int], texts: list[str], seed: int = SEED, n: int | None = None, common: tuple[np.ndarray, np.ndarray] | None = None):
         self.hasher = WordHasher(seed)
-        self.ids, self.shingles, self.sizes = [], [], []
+        self.ids, shingles, self.sizes = [], [], []
         for i, text in zip(ids, texts, strict=True):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             words, _ = _words(self.hasher, raw, np.array([0, len(raw)]))
             if i is not None and len(words):
                 self.ids.append(i)
                 self.sizes.append(len(words))
-                self.shingles.append(self.hasher.runs(words, min(WIDTH, len(words))))
+                shingles.append(self.hasher.runs(words, min(WIDTH, len(words))))
         n = max(1, len(self.ids) if n is None else n)
-        df = Counter(s for x in self.shingles for s in set(x.tolist()))
+        #: Distinct shingles of every item, sorted, and how often it has them.
+        self.sets = [np.unique(x, return_counts=True) for x in shingles]
+        keys, df = np.unique(np.concatenate([np.empty(0, np.uint64), *[x for x, _ in self.sets]]), return_counts=True)
         if common is not None:
-            df = dict.fromkeys(df, 1) | dict(zip(common[0].tolist(), common[1].tolist(), strict=True))
+            many = dict(zip(common[0].tolist(), common[1].tolist(), strict=True))
+            df = np.array([many.get(k, 1) for k in keys.tolist()], np.int64)
         #: A shingle of many items says less; one of no item weighs like one of a single item.
-        self.weight = {s: 1 + np.log(n / c) for s, c in df.items()}
+        self.keys, self.key_weights = keys, 1 + np.log(n / df)
         self.unknown = 1 + np.log(n)
+        self.totals = [float((self.weights(x) * c).sum()) for x, c in self.sets]
         self.known = {}
-        self.by_size: dict[int, dict] = {}
         for width in {min(WIDTH, m) for m in self.sizes}:
-            keys = np.unique(np.concatenate([x for x, m in zip(self.shingles, self.sizes, strict=True) if min(WIDTH, m) == width]))
+            own = np.unique(np.concatenate([x for (x, _), m in zip(self.sets, self.sizes, strict=True) if min(WIDTH, m) == width]))
             maybe = np.zeros(1 << 20, bool)
-            maybe[keys & np.uint64((1 << 20) - 1)] = True
-            self.known[width] = (keys, np.array([self.weight[k] for k in keys.tolist()]), maybe)
-        for j, (x, m) in enumerate(zip(self.shingles, self.sizes, strict=True)):
-            own = self.by_size.setdefault(m, {"buckets": {}, "least": np.inf})
-            w = np.array([self.weight[s] for s in x.tolist()])
-            own["least"] = min(own["least"], float(w.sum()))
-            print_ = np.packbits((_signs(x) * w[:, None]).sum(0) > 0)
-            for block, byte in enumerate(print_.tolist()):
-                for near in _NEAR_BYTES[byte]:
-                    own["buckets"].setdefault((block, near), []).append(j)
-            own.setdefault("prints", {})[j] = print_
-        self.counts = [Counter(x.tolist()) for x in self.shingles]
+            maybe[own & np.uint64((1 << 20) - 1)] = True
+            self.known[width] = (own, self.weights(own), maybe)
+        by_size: dict[int, list[int]] = {}
+        for j, m in enumerate(self.sizes):
+            by_size.setdefault(m, []).append(j)
+        self.by_size = {m: MultiIndex(js, np.stack([self.fingerprint(shingles[j]) for j in js])) for m, js in sorted(by_size.items())}
+        some = np.zeros(BLOCKS << 16, bool)
+        for index in self.by_size.values():
+            some |= index.some
+            index.some = some
+        #: Lengths, and the weight of the lightest item of each.
+        self.lengths = np.array(list(self.by_size), np.int64)
+        self.least = np.array([min(self.totals[j] for j in by_size[m]) for m in self.by_size])
+
+    def weights(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(shingles), self.unknown)
+        at = np.searchsorted(self.keys, shingles)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == shingles, self.key_weights[at], self.unknown)
+
+    def fingerprint(self, shingles: np.ndarray) -> np.ndarray:
+        return np.packbits((_signs(shingles) * self.weights(shingles)[:, None]).sum(0) > 0)
 
     def hits(self, words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and weights of the runs of words that are shingles of some item."""
@@ -92,13 +139,14 @@ class ItemIndex:
 
     def similarity(self, window: np.ndarray, j: int) -> float:
         """Weighted Jaccard of two shingle multisets."""
-        a, b = Counter(window.tolist()), self.counts[j]
-        low = high = 0.0
-        for s in a.keys() | b.keys():
-            w = self.weight.get(s, self.unknown)
-            low += w * min(a[s], b[s])
-            high += w * max(a[s], b[s])
-        return low / high
+        a, n = np.unique(window, return_counts=True)
+        b, m = self.sets[j]
+        w = self.weights(a)
+        at = np.searchsorted(b, a)
+        at[at == len(b)] = 0
+        both = b[at] == a
+        low = float((w[both] * np.minimum(n[both], m[at[both]])).sum())
+        return low / (float((w * n).sum()) + self.totals[j] - low)
 
     def search(self, words: np.ndarray, places: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, tuple[float, int]]:
         """Items found in one text: item -> (similarity, first word); ``places`` are its hits by width.
@@ -109,40 +157,43 @@ class ItemIndex:
         fingerprint. All other windows of every item length are looked up.
         """
         found: dict[int, tuple[float, int]] = {}
-        for m, own in self.by_size.items():
-            width = min(WIDTH, m)
-            at, weights = places.get(width, ((), ()))
-            size = min(m, len(words))
-            count = size - width + 1
-            if not len(at):
-                continue
-            # Windows that cover a hit, as starts; weight of the known shingles in each.
-            starts = np.unique((at[:, None] - np.arange(count)[None, :]).ravel())
-            starts = starts[(starts >= 0) & (starts <= len(words) - size)]
+        for width, (at, weights) in places.items():
             total = np.concatenate([[0.0], np.cumsum(weights)])
-            held = total[np.searchsorted(at, starts + count)] - total[np.searchsorted(at, starts)]
-            fit = held >= SIMILARITY * own["least"] - 1e-9
-            starts, held = starts[fit], held[fit]
-            if not len(starts):
-                continue
-            low, high = int(starts.min()), int(starts.max()) + size
-            runs = self.hasher.runs(words[low:high], width)
-            w = np.array([self.weight.get(s, self.unknown) for s in runs.tolist()])
-            rising = np.concatenate([np.zeros((1, BITS)), np.cumsum(_signs(runs) * w[:, None], axis=0)])
-            for i in np.argsort(-held, kind="stable"):
-                s = int(starts[i]) - low
-                print_ = np.packbits(rising[s + count] - rising[s] > 0)
-                near = {j for block, byte in enumerate(print_.tolist()) for j in own["buckets"].get((block, byte), ())}
-                for j in near:
-                    if j in found and found[j][0] >= 1 - 1e-12:
-                        continue
-                    if int(np.bitwise_count(own["prints"][j] ^ print_).sum()) > RADIUS:
-                        continue
-                    sim = self.similarity(runs[s : s + count], j)
-                    if sim >= SIMILARITY - 1e-12 and sim > found.get(j, (0.0,))[0]:
-                        found[j] = (sim, int(starts[i]))
+            for k in np.flatnonzero((np.minimum(self.lengths, WIDTH) == width) & (self.least * SIMILARITY <= total[-1] + 1e-9)):
+                m, index = int(self.lengths[k]), self.by_size[int(self.lengths[k])]
+                size = min(m, len(words))
+                count = size - width + 1
+                if count < 1:
+                    continue
+                # Windows that cover a hit are stretches of starts; weight of the known shingles in each.
+                first, last = np.maximum(at - count + 1, 0), np.minimum(at, len(words) - size)
+                first[1:] = np.maximum(first[1:], last[:-1] + 1)
+                many = np.maximum(last - first + 1, 0)
+                starts = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+                held = total[np.searchsorted(at, starts + count)] - total[np.searchsorted(at, starts)]
+                fit = held >= SIMILARITY * self.least[k] - 1e-9
+                starts, held = starts[fit], held[fit]
+                for begin, end in _stretches(starts):
+                    self._look_up(index, words, starts[begin:end], held[begin:end], count, width, found)
         return found
 
+    def _look_up(self, index: MultiIndex, words, starts, held, count: int, width: int, found: dict[int, tuple[float, int]]) -> None:
+        """Fingerprint the windows, verify the index's candidates, likeliest windows first."""
+        low = int(starts[0])
+        runs = self.hasher.runs(words[low : int(starts[-1]) + count + width - 1], width)
+        rising = np.zeros((len(runs) + 1, BITS))
+        np.cumsum(_signs(runs) * self.weights(runs)[:, None], axis=0, out=rising[1:])
+        own = starts - low
+        row, item = index.candidates(np.packbits(rising[own + count] - rising[own] > 0, axis=1))
+        for i in np.argsort(-held[row], kind="stable").tolist():
+            j, r = int(item[i]), int(row[i])
+            # What a window shares with an item weighs no more than its known shingles.
+            if min(1.0, held[r] / self.totals[j]) + 1e-9 < max(SIMILARITY, found.get(j, (0.0,))[0]) or found.get(j, (0.0,))[0] >= 1 - 1e-12:
+                continue
+            sim = self.similarity(runs[own[r] : own[r] + count], j)
+            if sim >= SIMILARITY - 1e-12 and sim > found.get(j, (0.0,))[0]:
+                found[j] = (sim, int(starts[r]))
+
     def scan(self, column: pa.Array):
         """(row, item index, similarity, first word, words of the window) of every match in a column of texts."""
         for row, data, bounds in text_slices(column):
@@ -164,6 +215,15 @@ class ItemIndex:
                     yield row + t, j, sim, start, min(self.sizes[j], int(counts[t]))
 
 
+def _stretches(starts: np.ndarray):
+    """(begin, end) of stretches of neighbouring starts, WINDOWS and SPAN words at most each."""
+    begin = 0
+    while begin < len(starts):
+        end = min(begin + WINDOWS, int(np.searchsorted(starts, starts[begin] + SPAN)))
+        yield begin, end
+        begin = end
+
+
 def item_frequencies(items: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
     """Number of items with words, and the shingles of two items or more with their numbers of items."""
 
@@ -207,8 +267,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") ->
     Words are compared without case and punctuation, as 5-word shingles (an item of fewer words is
     one shingle) in windows of the item's length, a shorter document as one window; a pair is given if their weighted Jaccard is 0.75
     or more. Null and empty texts and items match nothing; repeated rows match alike; an empty
-    benchmark gives no rows. The 128-bit fingerprints are compared within 40 bits, four standard
-    deviations beyond what a similarity of 0.75 leads to.
+    benchmark gives no rows. Fingerprints that agree in 14 of 16 bits of some block are compared
+    exactly: all that differ in 35 of 192 bits at most, and of those that a similarity of 0.75 leads to
+    (33 bits on average) all but one in two thousand.
     """
     kind = dict(docs.dtypes)[id_col]
     schema = f"{id_col} {kind}, item_id long, similarity double, start_word long, n_words long"
