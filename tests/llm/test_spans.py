@@ -1,6 +1,8 @@
 """Base patterns against plain regular expressions, and what the methods add."""
 
 import hashlib
+import math
+import pickle
 import random
 import re
 import time
@@ -105,11 +107,52 @@ def test_texts_are_not_left_out_before_the_scan(spark):
     assert got == {i: secrets.scan(text)[1] for i, text in rows} and all(got.values())
 
 
-def test_brute_force_dp_agrees_on_short_values():
-    """The segmentation is the cheapest of all cuts into single characters and priced segments."""
-    for value in ("aab", "qwe1", "pass99", "2020xx", "abcd12"):
-        assert secrets.guess_cost(value) <= len(value) * 2
-        assert secrets.guess_cost(value) <= secrets.guess_cost(value + "~")
+def segment_price(value, i, j, ranks):
+    """The cheapest way to guess value[i:j] as one segment, each kind by its definition."""
+    part, low = value[i:j], value[i:j].lower()
+    prices = [secrets.alphabet(value)] if j - i == 1 else []
+    word = secrets.word_price(part, low, low.translate(secrets._LEET), ranks)
+    if word is not None and j - i >= 3:
+        prices.append(word)
+    prices += [price for form, price in secrets._DATES if form.fullmatch(part)]
+    steps = [secrets._step(a, b) for a, b in zip(low, low[1:])]
+    if j - i >= 3 and all(steps):
+        prices.append(secrets.WALK_START + secrets.WALK_STEP * len(steps) + secrets.WALK_TURN * sum(a != b for a, b in zip(steps, steps[1:])))
+    for p in range(1, 9):
+        if (j - i) % p == 0 and (j - i) // p >= 2 and j - i >= 3 and part == part[:p] * ((j - i) // p):
+            prices.append(p * secrets.alphabet(value) + math.log10((j - i) // p))
+    return min(prices, default=math.inf)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_guess_cost_is_the_cheapest_of_all_cuts(seed):
+    r = random.Random(seed)
+    ranks = secrets.Ranks(["pass", "word", "password", "qwe", "user", "rty", "asdfg", "sword", "aaa"])
+    pieces = ["qwerty", "asdfgh", "123456", "abcdef", "aaaa", "aa", "abab", "abcabc", "20240131", "2024", "31.12.1999", "12/31/2001", "pass", "p4ss", "Word", "user", "zx", "9", "Q", "!", "7531", "ewq", "xyz"]
+    for _ in range(150):
+        value = "".join(r.choice(pieces) for _ in range(r.randint(1, 4)))[: r.randint(1, 12)]
+        n = len(value)
+        price = {(i, j): segment_price(value, i, j, ranks) for i in range(n) for j in range(i + 1, n + 1)}
+        cheapest = math.inf
+        for cuts in range(1 << (n - 1)):  # every set of places to cut at
+            ends = [k + 1 for k in range(n - 1) if cuts >> k & 1] + [n]
+            cheapest = min(cheapest, sum(price[i, j] for i, j in zip([0, *ends], ends)))
+        assert secrets.guess_cost(value, ranks) == pytest.approx(cheapest, abs=1e-9), value
+    assert secrets.guess_cost("qwertyuser", ranks) == pytest.approx(secrets.guess_cost("qwerty", ranks) + secrets.guess_cost("user", ranks), abs=0.5)
+
+
+def test_long_values_take_linear_time():
+    begin = time.time()
+    for value in ("a" * 40_000, "ab" * 20_000, "abcabd" * 7_000, "qwertyuiop" * 4_000, "qw" * 20_000, "20240131" * 5_000, "password" * 5_000):
+        secrets.guess_cost(value)
+    assert time.time() - begin < 40
+
+
+def test_dictionary_is_that_of_the_vocabulary():
+    ranks = secrets.word_ranks()
+    assert len(ranks) > 20_000 and ranks["password"] == 1 and ranks["morning"] < ranks["diffuser"]
+    assert pickle.loads(pickle.dumps(ranks)).longest == ranks.longest >= 20
+    assert secrets.guess_cost("diffuser") < 5 < secrets.GUESS_COST < secrets.guess_cost("dxffqser")
 
 
 ROWS = [(1, None, "x"), (2, "", "x"), (3, "a@b.co 1.2.3.4", "x"), (3, "a@b.co 1.2.3.4", "x"), (None, "é a@b.co", "x"), (5, "token=abcdefgh " + "0f" * 20, "x")]
