@@ -45,6 +45,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Rows of an Arrow batch; wide rows of Spark's own default would take much memory on both sides of a worker.
+BATCH_ROWS = 2000
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in batches of BATCH_ROWS, unless the session has a figure of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def free_name(name: str, columns) -> str:
     """``name``, with underscores before it until no column has it (names differ by more than case)."""
     taken = {c.lower() for c in columns}
