@@ -25,28 +25,28 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     e = cut(e.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
     steps: list[DataFrame] = []
-    while not e.isEmpty():
+    while n := e.count():
         if len(steps) == max_rounds:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min(place("b")).alias("m"), F.count("*").alias("degree"))
-        near = cut(near.select(F.col("a").alias("node"), F.least(place("a"), F.col("m"))["id"].alias("up"), "degree"))
-        # A node is pointed at, and has edges, as often as its degree says.
-        hubs = near.where(F.col("degree") > max(1, 2 * e.count() // SHARES)).select("node", "up")
-        step = lambda table, k, v: table.select(F.col("node").alias(k), F.col("up").alias(v))
-        up = cut(look_up(near.select("node", "up"), "up", step(near, "k", "top"), "k", step(hubs, "k", "top")).select("node", F.col("top").alias("up")))
+        near = near.select(F.col("a").alias("node"), F.least(place("a"), F.col("m"))["id"].alias("up"), "degree")
+        # A node is pointed at as often as its degree says, at most.
+        step = near.select(F.col("node").alias("k"), F.col("up").alias("top"), "degree")
+        hubs = step.where(F.col("degree") > max(1, 2 * n // SHARES)).drop("degree")
+        up = cut(look_up(near.select("node", "up"), "up", step.drop("degree"), "k", hubs).select("node", F.col("top").alias("up")))
         steps.append(up)
-        high = cut(up.join(F.broadcast(hubs.select("node")), "node", "left_semi"))
-        e = look_up(e, "a", step(up, "ka", "na"), "ka", step(high, "ka", "na"))
-        e = look_up(e, "b", step(up, "kb", "nb"), "kb", step(high, "kb", "nb")).where("na <> nb")
+        left = up.select(F.col("node").alias("ka"), F.col("up").alias("na"))
+        right = up.select(F.col("node").alias("kb"), F.col("up").alias("nb"))
+        e = e.join(left, F.col("a") == F.col("ka")).join(right, F.col("b") == F.col("kb")).where("na <> nb")
         e = cut(e.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
     if not steps:
         return alone.select("node", F.col("node").alias("component"))
-    # Last steps first: the tables that are looked up in grow from a few nodes to all.
-    labels = steps[-1].select("node", F.col("up").alias("root"))
-    for up in reversed(steps[:-1]):
-        found = look_up(up, "up", labels.select(F.col("node").alias("k"), "root"), "k", how="left")
-        labels = cut(found.select("node", F.coalesce("root", "up").alias("root")))
+    labels = steps[0].select("node", F.col("up").alias("root"))
+    for up in steps[1:]:
+        labels = labels.join(up.select(F.col("node").alias("k"), "up"), F.col("root") == F.col("k"), "left").select("node", F.coalesce("up", "root").alias("root"))
+    labels = cut(labels)
+    # Materialised, so that Spark can split a large component's side of the join.
     least = cut(labels.groupBy("root").agg(F.min("node").alias("component")).select(F.col("root").alias("kr"), "component"))
-    found = look_up(labels, "root", least, "kr").select(F.col("node").alias("k"), "component")
+    found = labels.join(least, F.col("root") == F.col("kr")).select(F.col("node").alias("k"), "component")
     return alone.join(found, F.col("node") == F.col("k"), "left").select("node", F.coalesce("component", "node").alias("component"))

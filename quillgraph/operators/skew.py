@@ -17,7 +17,7 @@ def look_up(rows: DataFrame, key: str, table: DataFrame, table_key: str, hot: Da
     The table's rows of hot keys, SHARES at most, are broadcast, and rows that have one do not move;
     all others are joined by key, where a task meets a share of one in SHARES at most. ``hot`` gives
     the table's hot rows if they are known; else keys are counted, added up before the shuffle.
-    Both frames should be materialised. ``how`` is inner or left; column names must not clash.
+    Frames that take long should be materialised. ``how`` is inner or left; column names must not clash.
     """
     if hot is None:
         counts = rows.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n"))
