@@ -64,6 +64,17 @@ def free_name(name: str, columns) -> str:
     return name
 
 
+def as_uri(folder: str) -> str:
+    """The folder as a URI, for readers that are not Spark's."""
+    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any store that Spark opens."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and drop its lineage (survives lost executors)."""
     spark = df.sparkSession
