@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions.session import narrow_batches
 from quillgraph.llm.text import WordHasher, map_batches, mix, text_slices
 
 WIDTH, SIMILARITY = 5, 0.75
@@ -298,6 +299,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") ->
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold an item; all columns stay."""
     where = docs.columns.index("text")
+    narrow_batches(docs.sparkSession)
     for index in item_indexes(benchmark):
         if not index.ids:
             continue

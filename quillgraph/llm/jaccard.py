@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.functions.session import cut, release
+from quillgraph.functions.session import cut, narrow_batches, release
 from quillgraph.llm.text import WordHasher, map_batches, mix, text_slices
 from quillgraph.operators.components import connected_components
 
@@ -31,13 +31,14 @@ PERCENT = 75
 #: Often-seen shingles that are put last in the order; bounds what is sent with the plan (8 bytes each).
 HOT_TOKENS = 131_072
 #: Tokens counted at a time while looking for them.
-COUNT_TOKENS = 1 << 22
+COUNT_TOKENS = 1 << 20
 #: Members of a family handled together; a larger family is cut into tiles and every pair of tiles is joined.
 TILE = 256
 #: Documents to compare whose ids may be broadcast (16 bytes each); beyond it their texts are shuffled.
 BROADCAST_DOCS = 1_000_000
 
 _HOT = np.uint64(1 << 63)
+_PARTS = 8
 _BUCKET = np.log(1.06)
 #: Size buckets apart at which the sizes alone rule a link out.
 _APART = int(np.ceil(np.log(100 / PERCENT) / _BUCKET)) + 1
@@ -123,6 +124,7 @@ def often_seen(docs: DataFrame, seed: int) -> np.ndarray:
         if n:
             yield flush()
 
+    narrow_batches(docs.sparkSession)
     seen = docs.select("text").mapInArrow(run, "token long, n long")
     top = seen.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HOT_TOKENS).select("token").toArrow()
     return top.column(0).to_numpy().astype(np.uint64)
@@ -169,11 +171,26 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
 
 
 def _block_rows(batches):
-    """Reduce a partition of (token, c) rows to (token, fam, c): see ``families``."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not got:
-        return
-    token, c = (np.concatenate(x) for x in zip(*got, strict=True))
+    """Reduce a partition of (token, c) rows to (token, fam, c): see ``families``.
+
+    The partition is held once (16 bytes a row) and handled in _PARTS parts, all rows of a token in one.
+    """
+    parts = [[] for _ in range(_PARTS)]
+    for b in batches:
+        if b.num_rows:
+            token, c = b.column(0).to_numpy(), b.column(1).to_numpy()
+            part = (token >> 7) & (_PARTS - 1)
+            for k in range(_PARTS):
+                mine = part == k
+                parts[k].append((token[mine], c[mine]))
+    for k in range(_PARTS):
+        if parts[k]:
+            token, c = (np.concatenate(x) for x in zip(*parts[k], strict=True))
+            parts[k] = []
+            yield from _blocks(token, c)
+
+
+def _blocks(token: np.ndarray, c: np.ndarray):
     bucket = c & 0xFF
     order = np.lexsort((c, bucket, token))
     token, c, bucket = token[order], c[order], bucket[order]
@@ -208,15 +225,19 @@ def _batches(token, fam, c, rows: int = 100_000):
 def families(sets: DataFrame) -> DataFrame:
     """(fam, c): classes that may link, gathered under the smallest class of their block.
 
-    An often-seen shingle is dealt out by shingle and class, so that no task holds all its rows;
-    its smallest class is found by a pre-aggregated minimum.
+    An often-seen shingle is dealt out by shingle and class, so that no task holds all its rows. Its
+    classes are cut by size into overlapping windows, so that any two that may link share one; a
+    window's smallest class is found by a pre-aggregated minimum.
     """
     tokens = sets.where("prefix is not null").select(F.explode("prefix").alias("token"), "c")
     dealt = tokens.repartition(F.col("token"), F.when(F.col("token") < 0, F.pmod(F.col("c"), F.lit(1024))).otherwise(0))
     blocks = cut(dealt.mapInArrow(_block_rows, "token long, fam long, c long"))
-    hot = blocks.where("token is not null").select("token", "c")
-    least = hot.groupBy("token").agg(F.min("c").alias("fam"), F.max("c").alias("last")).where("fam <> last").select(F.col("token").alias("k"), "fam")
-    hot = hot.join(least, F.col("token") == F.col("k")).select("fam", "c")
+    window = F.floor(F.col("c").bitwiseAND(F.lit(0xFF)) / _APART)
+    hot = blocks.where("token is not null").select("token", "c", F.explode(F.array(window, window - 1)).alias("window"))
+    hot = hot.select(F.xxhash64("token", "window").alias("place"), "c")
+    least = hot.groupBy("place").agg(F.min("c").alias("fam"), F.max("c").alias("last")).where("fam <> last").select(F.col("place").alias("k"), "fam")
+    # Materialised, so that Spark can split a large window's side of the join.
+    hot = hot.join(cut(least), F.col("place") == F.col("k")).select("fam", "c")
     return blocks.where("token is null").select("fam", "c").unionByName(hot).distinct()
 
 
@@ -469,6 +490,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         clash = sets.where("c is not null").groupBy("c").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b")
         if clash.isEmpty():
             break
+    else:
+        raise RuntimeError("different sets share a class key under every seed")
     links = cut(class_links(docs, sets, seed, hot))
     comp = connected_components(links)
     classes = sets.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))

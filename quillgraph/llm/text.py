@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.functions.session import narrow_batches
+
 #: Bytes of text handled at a time in a worker; a longer single text is handled alone, whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -113,6 +115,7 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 
 def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """``mapInArrow`` over the named columns only; ``make()`` builds the function once a task."""
+    narrow_batches(df.sparkSession)
 
     def run(batches):
         each = make()

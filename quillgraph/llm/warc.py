@@ -14,8 +14,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.functions.session import cut, shared_dir
+from quillgraph.functions.session import as_uri, cut, narrow_batches, shared_dir
 from quillgraph.llm.text import map_batches
+from quillgraph.operators.skew import SHARES, look_up
 
 #: Payloads of fewer bytes are never turned into revisits.
 LEAST_REVISIT = 1000
@@ -124,10 +125,6 @@ class ArchiveWriter:
             self.count, self.parts, self.size = self.count + 1, [], 0
 
 
-def as_uri(folder: str) -> str:
-    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-
-
 def _folder(spark: SparkSession, folder: str, make: bool) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -142,6 +139,7 @@ def write_archives(pages: DataFrame, folder: str, date: str, key: str = "page_id
     """
     folder = as_uri(folder)
     _folder(pages.sparkSession, folder, True)
+    narrow_batches(pages.sparkSession)
 
     def run(batches):
         writer = ArchiveWriter(folder, f"part-{TaskContext.get().partitionId():06d}")
@@ -167,12 +165,16 @@ def resolve_revisits(headers: DataFrame, key: str = "page_id") -> DataFrame:
 
     Headers alone are shuffled, by payload digest. Of equal payloads of LEAST_REVISIT bytes or more
     the row of the largest key stays a response (of several such rows, the last written); the largest
-    is found by a pre-aggregated maximum, so a payload of any frequency costs no single task.
+    is found by a pre-aggregated maximum, and that of a payload that many headers share is broadcast,
+    so a payload of any frequency costs no single task.
     """
-    long = headers.where(F.col("payload_bytes") >= LEAST_REVISIT)
-    last = long.groupBy("digest", "payload_bytes").agg(F.max(F.struct(F.col(key).alias("id"), "file", "offset", "url")).alias("original"), F.count("*").alias("copies"))
-    last = last.where("copies > 1").select(F.col("digest").alias("d"), F.col("payload_bytes").alias("b"), "original")
-    joined = long.join(last, (F.col("digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")))
+    long = headers.where(F.col("payload_bytes") >= LEAST_REVISIT).withColumn("payload", F.concat_ws("/", "digest", "payload_bytes"))
+    last = long.groupBy("payload").agg(F.max(F.struct(F.col(key).alias("id"), "file", "offset", "url")).alias("original"), F.count("*").alias("copies"))
+    last = cut(last.where("copies > 1"))
+    rows = headers.count()
+    hot = last.where(F.col("copies") > max(1, rows // SHARES))
+    table = lambda t: t.select(F.col("payload").alias("p"), "original")
+    joined = look_up(long, "payload", table(last), "p", table(hot))
     other = (F.col("file") != F.col("original.file")) | (F.col("offset") != F.col("original.offset"))
     return joined.where(other).select("file", "offset", F.struct("original.id", "original.url").alias("original"))
 
