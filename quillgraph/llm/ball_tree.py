@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import io
+import time
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.session import as_uri, cut, remove, shared_dir
 
-
-#: Queries searched in one pass over the shards; more queries take more passes.
+#: Queries that a shard's tree is searched with at a time; blocks lie in the shared folder.
 QUERY_BLOCK = 4096
 #: Rows that give every query its first bound on the k-th score.
 SEED_ROWS = 2048
 LEAF_ROWS = 256
 SHARD_ROWS = 65_536
+#: Bounds of other shards that a shard takes in before it searches a block, newest first.
+GOSSIP = 8
 
 
 class BallTree:
@@ -31,7 +40,7 @@ class BallTree:
         radius = float(np.sqrt(((x - centre) ** 2).sum(1).max()))
         me = len(self.nodes)
         self.nodes.append(None)
-        if len(rows) <= self.leaf or radius == 0:
+        if len(rows) <= self.leaf:
             kids = ()
         else:
             far = x[((x - centre) ** 2).sum(1).argmax()]
@@ -107,71 +116,132 @@ def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK, seed_rows: int = SEED_ROWS) -> DataFrame:
-    """Each query's k best rows by inner product: (query_id, rank, vec_id, score).
-
-    ``vectors`` and ``queries`` are (id, v array<long>, dims). Queries go in blocks of at most
-    ``query_block``, held on the driver one block at a time and sent with the plan; vectors never
-    leave their shard. Every block first scores ``seed_rows`` rows, so all shards start with a
-    lower bound of each query's k-th score. A row is never its own query's answer; equal scores go
-    to the smaller id; fewer than k rows give fewer answers; repeated rows of one id answer once.
-    Vectors of different length never meet. Scores must stay below 2^53.
+    """Each query's k best rows by inner product: (query_id, rank, vec_id, score), materialised.
+
+    ``vectors`` and ``queries`` are (id, v array<long>, dims). Queries are written to the shared folder
+    in blocks of about ``query_block``, each with a first bound of its k-th score from ``seed_rows``
+    rows; the driver holds none. Vectors are read once and never leave their shard: a shard builds its
+    tree, goes through the blocks, and leaves the bounds it reaches in the shared folder for the
+    others. A bound that comes late or not at all costs time only. A row is never an answer to its own
+    id; equal scores go to the smaller id; fewer than k rows give fewer answers. Of rows of one id
+    each is a candidate of its own; as a query an id has the least of its vectors. Vectors of
+    different length never meet. Scores must stay below 2^53.
     """
     spark = vectors.sparkSession
-    blocks = queries.dropDuplicates(["id"]).select("id", "v", "dims", (F.pmod(F.xxhash64("id"), F.lit(1 << 30))).alias("h"))
-    counts = [(r["dims"], r["n"]) for r in blocks.groupBy("dims").agg(F.count("*").alias("n")).orderBy("dims").collect()]
-    out = None
-    for dims, n in counts:
-        same = vectors.where(F.col("dims") == dims)
-        parts = -(-n // max(1, query_block * 3 // 4))
-        seed_table = same.limit(seed_rows).select("id", "v").toArrow() if parts else None
-        for part in range(parts):
-            block = blocks.where((F.col("dims") == dims) & (F.pmod(F.col("h"), F.lit(parts)) == part)).select("id", "v").toArrow()
-            q_ids, q = _matrix(block, dims)
-            if not len(q_ids):
-                continue
-            found = same.select("id", "v").mapInArrow(_shard_search(q_ids, q, k, _first_bounds(q_ids, q, seed_table, k)), "query_id long, vec_id long, score long")
-            out = found if out is None else out.unionByName(found)
-    if out is None:
+    asked = queries.groupBy("id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v"))
+    counts = {r["dims"]: r["n"] for r in asked.groupBy("dims").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return out.dropDuplicates().withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    parts = {dims: -(-n // max(1, query_block * 3 // 4)) for dims, n in counts.items()}
+    seeds = {dims: _matrix(vectors.where(F.col("dims") == dims).limit(seed_rows).select("id", "v").toArrow(), dims) for dims in parts}
+    folder = as_uri(f"{shared_dir(spark)}/queries-{uuid.uuid4().hex}")
 
-
-def _first_bounds(q_ids, q, seed: pa.Table, k: int) -> np.ndarray:
-    ids, x = _matrix(seed, q.shape[1])
-    ids, first = np.unique(ids, return_index=True)
-    x = x[first]
-    if len(ids) <= k:
+    def first(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for dims in set(batch.column(2).to_pylist()):
+                mine = table.filter(pa.array([d == dims for d in batch.column(2).to_pylist()]))
+                ids, q = _matrix(mine, dims)
+                yield from mine.append_column("first", pa.array(_first_bounds(ids, q, seeds[dims], k))).to_batches()
+
+    part = F.pmod(F.xxhash64("id"), F.create_map(*[F.lit(x) for both in parts.items() for x in both])[F.col("dims")])
+    blocks = asked.withColumn("part", part).mapInArrow(first, "id long, v array<long>, dims int, part long, first double")
+    try:
+        blocks.repartition("dims", "part").write.partitionBy("dims", "part").parquet(f"{folder}/blocks")
+        found = vectors.select("id", "v", "dims").mapInArrow(_shard_search(folder, parts, k), "query_id long, vec_id long, score long")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+        top = found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
+        return cut(top.select("query_id", "rank", "vec_id", "score"))
+    finally:
+        remove(spark, folder)
+
+
+def _first_bounds(q_ids, q, seed: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
+    """The k-th score among the seed rows that may answer; -inf where there are fewer."""
+    ids, x = seed
+    if len(ids) < k:
         return np.full(len(q_ids), -np.inf)
     scores = q @ x.T
     scores[q_ids[:, None] == ids[None, :]] = -np.inf
     return np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
 
 
-def _shard_search(q_ids, q, k, first):
+class _Blocks:
+    """Query blocks in the shared folder, and the bounds that shards leave beside them."""
+
+    def __init__(self, folder: str, me: str):
+        self.store, self.root = fs.FileSystem.from_uri(folder)
+        self.me, self.held, self.seen = me, {}, set()
+
+    def read(self, dims: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        where = f"{self.root}/blocks/dims={dims}/part={part}"
+        if where not in self.held:
+            if len(self.held) >= 8:
+                self.held.clear()
+            if self.store.get_file_info(where).type == fs.FileType.NotFound:
+                table = pa.table({"id": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.int64())), "first": pa.array([], pa.float64())})
+            else:
+                table = pq.read_table(where, filesystem=self.store, columns=["id", "v", "first"], partitioning=None).sort_by("id")
+            ids, q = _matrix(table, dims)
+            self.held[where] = ids, q, table.column("first").to_numpy().copy()
+        return self.held[where]
+
+    def bounds(self, dims: int, part: int, kth: np.ndarray) -> None:
+        """Raise ``kth`` to what other shards have reached."""
+        where = f"{self.root}/bounds/{dims}-{part}"
+        files = self.store.get_file_info(fs.FileSelector(where, allow_not_found=True))
+        files = sorted((f.base_name for f in files if f.base_name.endswith(".npy") and f.path not in self.seen), reverse=True)
+        for name in files[:GOSSIP]:
+            self.seen.add(f"{where}/{name}")
+            with self.store.open_input_stream(f"{where}/{name}") as f:
+                other = np.load(io.BytesIO(f.read()))
+            np.maximum(kth, other, out=kth)
+
+    def leave(self, dims: int, part: int, kth: np.ndarray) -> None:
+        where, raw = f"{self.root}/bounds/{dims}-{part}", io.BytesIO()
+        np.save(raw, kth)
+        self.store.create_dir(where, recursive=True)
+        name = f"{time.time_ns():020d}-{self.me}"
+        with self.store.open_output_stream(f"{where}/{name}.part", compression=None) as f:
+            f.write(raw.getvalue())
+        self.store.move(f"{where}/{name}.part", f"{where}/{name}.npy")  # whole or not at all
+
+
+def _shard_search(folder: str, parts: dict[int, int], k: int):
     def run(batches):
         held, rows = [], 0
-        kth = first.copy()  # rises from one tree of the shard to the next
+        blocks = _Blocks(folder, f"{TaskContext.get().partitionId()}-{uuid.uuid4().hex[:8]}")
 
         def flush():
-            ids, x = _matrix(pa.Table.from_batches(held))
-            ids, at = np.unique(ids, return_index=True)
-            got, scores = BallTree(ids, x[at]).search(q, q_ids, k, kth)
-            keep = (scores > -np.inf) & (scores >= kth[:, None])
-            which = np.nonzero(keep)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(q_ids[which[0]]), pa.array(got[keep]), pa.array(scores[keep].astype(np.int64))], names=["query_id", "vec_id", "score"]
-            )
+            table = pa.Table.from_batches(held)
+            lengths = table.column("dims").to_numpy()
+            for dims in np.unique(lengths).tolist():
+                if dims not in parts:
+                    continue
+                ids, x = _matrix(table.filter(pa.array(lengths == dims)), dims)
+                tree = BallTree(ids, x)
+                for part in range(parts[dims]):
+                    q_ids, q, kth = blocks.read(dims, part)  # kth rises in place, from tree to tree
+                    if not len(q_ids):
+                        continue
+                    blocks.bounds(dims, part, kth)
+                    got, scores = tree.search(q, q_ids, k, kth)
+                    blocks.leave(dims, part, kth)
+                    keep = (scores > -np.inf) & (scores >= kth[:, None])
+                    which = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(q_ids[which[0]]), pa.array(got[keep]), pa.array(scores[keep].astype(np.int64))], names=["query_id", "vec_id", "score"]
+                    )
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 rows += batch.num_rows
             if rows >= SHARD_ROWS:
-                yield flush()
+                yield from flush()
                 held, rows = [], 0
         if rows:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -188,7 +258,7 @@ WITH v AS (
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+  FROM (SELECT vec_id, min(e) AS e FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5
 """

@@ -22,6 +22,10 @@ DAMPING, BELIEF = 0.3, 0.6
 SETTLED, MOST_SWEEPS = 1e-4, 1000
 #: Log weight that holds a token a base pattern matched to the kinds of its matches, however many others pull.
 OBSERVED = 1e9
+#: Digits that tokens side by side may have together to be one number.
+MOST_DIGITS = {"card": 19, "phone": 15}
+#: Characters of the texts whose tokens are held at a time; a longer text is held alone, whole.
+TAGGED_CHARS = 1 << 20
 _DIGITS = re.compile(r"[0-9]+")
 _EDGE = "\"'`()[]{}<>,;:!?."
 _CANDIDATE = re.compile("[0-9@]")
@@ -279,7 +283,22 @@ def train(seed: int = 7, documents: int = 1500, steps: int = 300) -> tuple[np.nd
 
 
 def tag(texts: list[str], weights) -> list[tuple[list, list]]:
-    """(base spans, all spans) of every text."""
+    """(base spans, all spans) of every text, about TAGGED_CHARS characters at a time."""
+    out, begin, size = [], 0, 0
+    for end, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= TAGGED_CHARS or end == len(texts):
+            out += _tag(texts[begin:end], weights)
+            begin, size = end, 0
+    return out
+
+
+def _one_entity(kind: str, text: str) -> bool:
+    """Whether tokens side by side, of one label, can be one entity: a number of so many digits."""
+    return kind in MOST_DIGITS and sum(len(m.group()) for m in _DIGITS.finditer(text)) <= MOST_DIGITS[kind]
+
+
+def _tag(texts: list[str], weights) -> list[tuple[list, list]]:
     graph, held, out = Graph(), [], []
     for text in texts:
         base = pii_spans(text)
@@ -313,7 +332,7 @@ def tag(texts: list[str], weights) -> list[tuple[list, list]]:
             core = text[a:b]
             lead = len(core) - len(core.lstrip(_EDGE))
             core = core.strip(_EDGE)
-            if run and run[2] == LABELS[k] and spans[i - 1][1] + 1 == a:
+            if run and run[2] == LABELS[k] and spans[i - 1][1] + 1 == a and _one_entity(run[2], text[run[0] : b]):
                 run = (run[0], a + lead + len(core), run[2])
                 added[-1] = run
             else:

@@ -13,20 +13,24 @@ from quillgraph.llm.text import map_batches
 HOST_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Globs over host + path that decide where no rule fits; ``*`` is any run, ``?`` any one byte.
 BLOCK_GLOBS = ("*casino*", "*free-bets*", "*adult-*", "*spam-farm*", "*poker*", "*xxx*", "*porn*", "*viagra*")
+#: Stands between host and path; no UTF-8 text holds this byte.
+BORDER = b"\xff"
 
 
 class ShiftAnd:
     """Anchored globs packed into words of 64 state bits; one step moves every glob at once.
 
     Bit j of a glob means that its first j literals have matched. A ``*`` after them keeps the bit
-    alive on any byte; a glob fits if its last bit is alive at the end.
+    alive on any byte; a glob fits if its last bit is alive at the end. Globs that do not name BORDER
+    read past it as if it were not there; in a glob that names it, what stands before it can only
+    match before it.
     """
 
-    def __init__(self, globs: list[str]):
-        bits, starts, ends, stay, masks = 0, [], [], [], {}
-        self.globs = list(globs)
-        for glob in self.globs:
-            raw, at = glob.encode(), bits
+    def __init__(self, globs: list[bytes | str]):
+        bits, starts, ends, stay, masks, blind = 0, [], [], [], {}, []
+        self.globs = [g if isinstance(g, bytes) else g.encode() for g in globs]
+        for raw in self.globs:
+            at, sees = bits, BORDER in raw
             starts.append(at)
             literals = 0
             for c in raw:
@@ -34,9 +38,11 @@ class ShiftAnd:
                     stay.append(at + literals)
                 else:
                     literals += 1
-                    for b in range(256) if c == 0x3F else (c,):
+                    for b in range(255) if c == 0x3F else (c,):
                         masks.setdefault(b, []).append(at + literals)
             ends.append(at + literals)
+            if not sees:
+                blind += range(at, at + literals + 1)
             bits += literals + 1
         self.words = max(1, -(-bits // 64))
         self.start, self.stay = self._pack(starts), self._pack(stay)
@@ -46,6 +52,9 @@ class ShiftAnd:
         self.step = np.zeros((256, self.words), np.uint64)
         for b, where in masks.items():
             self.step[b] = self._pack(where)
+        #: Bits that stay alive on each byte.
+        self.hold = np.tile(self.stay, (256, 1))
+        self.hold[BORDER[0]] |= self._pack(blind)
 
     def _pack(self, where) -> np.ndarray:
         out = np.zeros(self.words, np.uint64)
@@ -73,7 +82,8 @@ class ShiftAnd:
             carry = moved[:, :-1] >> top
             moved = moved << one
             moved[:, 1:] |= carry
-            state[:live] = (moved & self.step[data[begin[:live] + pos]]) | (now & self.stay)
+            byte = data[begin[:live] + pos]
+            state[:live] = (moved & self.step[byte]) | (now & self.hold[byte])
         word, bit = self.last_bits // 64, (self.last_bits % 64).astype(np.uint64)
         out[order] = ((state[:, word] >> bit) & one).astype(bool)
         return out
@@ -92,13 +102,13 @@ def host_and_path(url: str = "url") -> tuple:
 def judge_urls(df: DataFrame, key: str = "page_id", url: str = "url", rules=HOST_RULES, globs=BLOCK_GLOBS) -> DataFrame:
     """(key, host, path, rule, verdict): the longest fitting rule decides, else the block globs.
 
-    Rules and globs run in one automaton over host + path; as its ``*`` crosses the border of host and
-    path, every rule it finds is held against both. Null or unparsable urls have empty host
+    Rules and globs run in one automaton over the host, a border, and the path: the host of a rule
+    ends at the border, its path begins there. Null or unparsable urls have empty host
     and path and are allowed unless a glob fits the empty string. Other columns are not read.
     """
     rules = sorted(rules, key=lambda r: -len(r[1] + r[2]))  # longest first
     names = [h + p for _, h, p in rules]
-    patterns = [g for _, h, p in rules for g in (f"{h}{p}*", f"*.{h}{p}*")]
+    patterns = [start + h.encode() + BORDER + p.encode() + b"*" for _, h, p in rules for start in (b"", b"*.")]
     verdicts = [v for v, _, _ in rules]
 
     def make():
@@ -106,11 +116,8 @@ def judge_urls(df: DataFrame, key: str = "page_id", url: str = "url", rules=HOST
 
         def each(batch: pa.RecordBatch):
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            fits = automaton.match([(h + p).encode() for h, p in zip(hosts, paths, strict=True)])
+            fits = automaton.match([h.encode() + BORDER + p.encode() for h, p in zip(hosts, paths, strict=True)])
             of_rule = fits[:, : len(patterns)].reshape(len(hosts), len(rules), 2).any(2)
-            for i, k in np.argwhere(of_rule).tolist():
-                _, h, p = rules[k]
-                of_rule[i, k] = (hosts[i] == h or hosts[i].endswith(f".{h}")) and paths[i].startswith(p)
             by_rule, first = of_rule.any(1), of_rule.argmax(1) if len(rules) else np.zeros(len(hosts), int)
             blocked = fits[:, len(patterns) :].any(1)
             rule = [names[first[i]] if by_rule[i] else None for i in range(len(hosts))]

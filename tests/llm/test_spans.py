@@ -1,12 +1,14 @@
 """Base patterns against plain regular expressions, and what the methods add."""
 
 import hashlib
+import itertools
 import math
 import pickle
 import random
 import re
 import time
 
+import numpy as np
 import pytest
 
 from quillgraph.llm import pii, secrets
@@ -75,6 +77,41 @@ def test_a_match_reaches_every_mention():
     assert [text[a:b] for a, b, _ in full] == ["john.smith@example.com", "John.Smith", "john.smith"]
 
 
+def test_numbers_side_by_side_stay_apart():
+    weights = pii.train()
+    card = "4111/1111/1111/1111"
+    text = f"4111111111111111 paid; {card} {card} x; +1 (442) 555-2960 or (442) 555-2960 y"
+    (_, full), = pii.tag([text], weights)
+    found = [text[a:b] for a, b, _ in full]
+    assert found.count(card) == 2 and "(442) 555-2960" in found
+
+
+def test_marginals_are_exact_on_chains():
+    """Sum-product on a tree gives the marginals that adding up all labellings gives."""
+    rng = np.random.default_rng(2)
+    for size in (2, 4, 5):
+        graph = pii.Graph()
+        tokens = [f"{rng.integers(10**k)}" for k in rng.integers(2, 12, size)]
+        graph.add(tokens, [(20 * i, 20 * i + 19) for i in range(size)], [set() for _ in tokens])
+        graph.chain, graph.skip = [(i, i + 1) for i in range(size - 2)], [(0, size - 1)]
+        unary, pair = rng.normal(size=(pii.N_FEATURES, 5)), rng.normal(size=(2, 5, 5))
+        x = graph.arrays()[0] @ unary
+        want = np.zeros((size, 5))
+        for labels in itertools.product(range(5), repeat=size):
+            score = sum(x[i, k] for i, k in enumerate(labels)) + sum(pair[0][labels[a], labels[b]] for a, b in graph.chain) + sum(pair[1][labels[a], labels[b]] for a, b in graph.skip)
+            for i, k in enumerate(labels):
+                want[i, k] += math.exp(score)
+        got = pii.beliefs((unary, pair), graph)
+        assert np.abs(got - want / want.sum(1, keepdims=True)).max() < 1e-3
+
+
+def test_texts_are_tagged_in_parts_alike(monkeypatch):
+    texts = ["call +1 (555) 123-4567 or 123-4567", "", "x 4111111111111111 4111/1111/1111/1111", "a.b@c.de a.b"] * 3
+    whole = pii.tag(texts, pii.train())
+    monkeypatch.setattr(pii, "TAGGED_CHARS", 10)
+    assert pii.tag(texts, pii.train()) == whole and pii.tag([], pii.train()) == []
+
+
 def test_messages_settle():
     graph = pii.Graph()
     for text in ("call 123-4567 " * 60, "x +1 (555) 123-4567 mail a.b@c.de a.b 555-123-4567 4111 4111 " * 5):
