@@ -10,16 +10,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions.session import narrow_batches
 from quillgraph.llm.text import text_slices
 
-#: Bounds of the labelled sample: languages, and rows of each (about; by a hash of doc_id).
-MAX_LANGUAGES, ROWS_PER_LANGUAGE = 256, 500
+#: Bounds of the labelled sample: languages, rows of each (about; by a hash of the row), characters of a row
+#: (a longer text is sampled from a hashed place on).
+MAX_LANGUAGES, ROWS_PER_LANGUAGE, SAMPLE_CHARS = 256, 500, 1 << 15
 BUCKETS, DIMS, ORDERS = 1 << 16, 16, (2, 3, 4)
 #: A small sample is gone through more often: every fit takes about STEPS steps.
 STEPS, BATCH, RATE = 600, 32, 2.0
-#: Accuracy that accepted texts of the calibration fold must reach; sets the rejection threshold,
-#: which is never above even odds: a language likelier than all others together is accepted.
-ACCEPTED_ACCURACY, HIGHEST_THRESHOLD = 0.95, 0.5
+#: A text is rejected if its language is not likelier than all others together, and if it scores below
+#: all but this share of the calibration texts of its length.
+EVEN_ODDS, KNOWN_REJECTED = 0.5, 0.001
+# Code points of letters of many scripts, first and last.
+SCRIPTS = ((0x0250, 0x02A0), (0x0370, 0x03E0), (0x0400, 0x0500), (0x0531, 0x0570), (0x05D0, 0x05DB), (0x0620, 0x06B0), (0x0904, 0x0920), (0x0E01, 0x0E12), (0x10D0, 0x10E0), (0x3041, 0x30DC), (0x4E00, 0x9F00), (0xAC00, 0xD700))
 #: Subwords of a text at which the calibration changes.
 LENGTH_STEPS = (8, 16, 32, 64, 128, 256)
 UNDETERMINED = "und"
@@ -68,7 +72,7 @@ class Model:
     table: np.ndarray  # bucket x language: embedding times output weights
     bias: np.ndarray
     heat: np.ndarray  # temperature by length step
-    threshold: float
+    threshold: np.ndarray  # least accepted score by length step
 
     def logits(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Logits and the number of subwords of each text."""
@@ -81,6 +85,9 @@ class Model:
                 total[:, c] += np.add.reduceat(self.table[:, c][bucket], starts)
         return total / np.maximum(count, 1)[:, None] + self.bias, count
 
+    def accepted(self, scores: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return scores >= self.threshold[np.searchsorted(LENGTH_STEPS, count, "right")]
+
     def scores(self, logits: np.ndarray, count: np.ndarray) -> np.ndarray:
         z = logits / self.heat[np.searchsorted(LENGTH_STEPS, count, "right")][:, None]
         e = np.exp(z - z.max(1, keepdims=True))
@@ -88,7 +95,7 @@ class Model:
 
 
 def train(texts: list[str], labels: list[str], seed: int = 11) -> Model | None:
-    """Fit on whole texts and on random stretches of them; a fifth of the texts is kept to calibrate."""
+    """Fit on random stretches of 12 to 400 bytes of the texts; a fifth of the texts is kept to calibrate."""
     languages = sorted(set(labels))
     if not languages:
         return None
@@ -141,40 +148,57 @@ def train(texts: list[str], labels: list[str], seed: int = 11) -> Model | None:
             bias -= rate * p.sum(0)
             np.subtract.at(emb, ids, rate * 16 * back[owner])
             step += 1
-    model = Model(languages, (emb @ w).astype(np.float32), bias, np.ones(len(LENGTH_STEPS) + 1), 0.0)
+    model = Model(languages, (emb @ w).astype(np.float32), bias, np.ones(len(LENGTH_STEPS) + 1), np.zeros(len(LENGTH_STEPS) + 1))
     _calibrate(model, [raw[r] for r in (np.flatnonzero(held) if held.any() else fit)], gold[held] if held.any() else gold[fit], stretch, rng)
     return model
 
 
+def _no_language(rng, n: int) -> list[np.ndarray]:
+    """Invented texts of no language: letters at random from thirty neighbouring code points of some script."""
+    made = []
+    for _ in range(n):
+        first = int(rng.integers(*SCRIPTS[int(rng.integers(len(SCRIPTS)))]))
+        letters = rng.integers(first, first + 30, int(rng.choice((4, 8, 16, 32, 64, 128))))
+        text = "".join(" " if rng.random() < 0.15 else chr(c) for c in letters)
+        made.append(np.frombuffer(text.encode(), np.uint8))
+    return made
+
+
 def _calibrate(model: Model, raw, gold, stretch, rng) -> None:
-    """Temperatures by length that make scores probabilities, then the rejection threshold."""
+    """Temperatures by length that make scores probabilities, then the rejection thresholds.
+
+    A temperature is the one of least loss over calibration texts, which should score their language,
+    and over invented texts of no language, which should score all languages alike. Without the
+    latter, texts that are told apart without a mistake would make every score a certainty.
+    """
     parts, want = list(raw), list(gold)
     for _ in range(4):
         parts += [stretch(x)[: int(rng.integers(4, 400))] for x in raw]
         want += list(gold)
-    want = np.array(want)
+    strange = _no_language(rng, max(60, len(parts) // 4))
+    want = np.array([*want, *[-1] * len(strange)])
+    parts += strange
     logits, count = model.logits(np.concatenate([*parts, np.empty(0, np.uint8)]), np.cumsum([0, *map(len, parts)]))
     step = np.searchsorted(LENGTH_STEPS, count, "right")
     grid = np.geomspace(0.05, 20, 60)
     last = 1.0
     for s in reversed(range(len(model.heat))):
         rows = np.flatnonzero((step == s) & (count > 0))
-        if len(rows) >= 20:
-            def loss(t, rows=rows):
+        if (want[rows] >= 0).sum() >= 20:
+            target = np.where(want[rows, None] < 0, 1 / len(model.languages), want[rows, None] == np.arange(len(model.languages)))
+
+            def loss(t, rows=rows, target=target):
                 z = logits[rows] / t
                 z = z - z.max(1, keepdims=True)
-                return -(z[np.arange(len(rows)), want[rows]] - np.log(np.exp(z).sum(1))).mean()
+                return -(target * (z - np.log(np.exp(z).sum(1, keepdims=True)))).sum(1).mean()
+
             last = float(grid[int(np.argmin([loss(t) for t in grid]))])
         model.heat[s] = last
-    p = model.scores(logits, count)
-    use = count > 0
-    top, right = p.max(1)[use], (p.argmax(1) == want)[use]
-    order = np.argsort(-top)
-    accuracy = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(accuracy >= ACCEPTED_ACCURACY)
-    model.threshold = min(HIGHEST_THRESHOLD, float(top[order][good[-1]]) if len(good) else 1.0)
-    if len(good) == len(order):
-        model.threshold = 0.0
+    top = model.scores(logits, count).max(1)
+    for at in range(len(model.heat)):
+        own = top[(step == at) & (count > 0) & (want >= 0)]
+        # Too few texts of a length to tell: a text of it is accepted from the least score seen on.
+        model.threshold[at] = min(EVEN_ODDS, float(np.quantile(own, KNOWN_REJECTED, method="lower"))) if len(own) else 0.0
 
 
 def held_out(id_col: str = "doc_id"):
@@ -193,8 +217,12 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id") -> Model | None:
         return None
     unit = 1 << 40
     quota = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, ROWS_PER_LANGUAGE / r["n"]) * unit)))])
-    chosen = usable.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(unit)) < F.coalesce(quota[F.col("lang")], F.lit(0)))
-    rows = chosen.where(F.col("text").rlike(r"\p{L}")).select(F.col(id_col).cast("string").alias("k"), "text", "lang").limit(4 * ROWS_PER_LANGUAGE * len(counts)).toArrow().sort_by([("k", "ascending"), ("text", "ascending")])
+    row = F.xxhash64(F.col(id_col).cast("string"), "text")
+    chosen = usable.where(F.pmod(row, F.lit(unit)) < F.coalesce(quota[F.col("lang")], F.lit(0))).where(F.col("text").rlike(r"\p{L}"))
+    place = F.pmod(F.xxhash64(row, F.lit(1)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    sample = chosen.select(F.col(id_col).cast("string").alias("k"), "lang", row.alias("row"), F.col("text").substr(place.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
+    # Repeated rows are one, so that as many rows are chosen as the quota says.
+    rows = sample.groupBy("k", "lang", "row").agg(F.min("text").alias("text")).toArrow().sort_by([("k", "ascending"), ("text", "ascending")])
     return train(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
 
 
@@ -209,10 +237,11 @@ def _predict(column: pa.Array, model: Model | None) -> tuple[list[str], np.ndarr
         logits, count = model.logits(data, bounds)
         p = model.scores(logits, count)
         best = p.argmax(1)
+        fine = model.accepted(p.max(1), count)
         for i in np.flatnonzero(letters[row : row + len(best)]):
             langs[row + i] = model.languages[best[i]]
             scores[row + i] = p[i, best[i]]
-            ok[row + i] = p[i, best[i]] >= model.threshold
+            ok[row + i] = fine[i]
     return langs, scores, ok
 
 
@@ -223,6 +252,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     if nothing was labelled. Repeated rows get equal predictions; other columns are not read.
     """
 
+    narrow_batches(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             langs, scores, ok = _predict(batch.column(1), model)
@@ -235,6 +266,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose language is rejected; all columns stay."""
     where = docs.columns.index(text_col)
+    narrow_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -53,6 +53,29 @@ def test_undetermined(spark, labelled):
     assert L.identify(empty, model).count() == 0
 
 
+def test_foreign_texts_are_rejected(spark, labelled):
+    """Texts of scripts and of letters that no language was learned from score low; known ones are kept."""
+    model = L.fit_language_model(labelled)
+    r = random.Random(9)
+    foreign = ["".join(chr(r.randint(0x430, 0x44F)) if r.random() < 0.8 else " " for _ in range(200)) for _ in range(40)]
+    foreign += ["".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(80)) for _ in range(40)]
+    foreign += ["".join(chr(r.randint(0x3B1, 0x3C9)) if r.random() < 0.8 else " " for _ in range(200)) for _ in range(40)]
+    known = [text(lang, r, r.choice([3, 20, 60])) for lang in SYLLABLES for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(foreign + known)], "doc_id long, text string")
+    kept = {x.doc_id for x in L.keep_identified(docs, model).collect()}
+    assert len([i for i in kept if i >= len(foreign)]) >= 0.99 * len(known)
+    assert len([i for i in kept if i < len(foreign)]) <= 0.1 * len(foreign)
+
+
+def test_sample_does_not_grow_with_repeated_rows(spark, labelled, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE_CHARS", 20)
+    seen = []
+    monkeypatch.setattr(L, "train", lambda texts, labels: seen.append(list(zip(texts, labels, strict=True))))
+    L.fit_language_model(labelled)
+    L.fit_language_model(labelled.unionByName(labelled))
+    assert seen[0] == seen[1] and max(len(t) for t, _ in seen[0]) <= 20 and len(seen[0]) > 150
+
+
 # -- leaks ---------------------------------------------------------------------------------------
 
 
