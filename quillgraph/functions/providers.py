@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -109,6 +110,50 @@ def mock_translation(text: Column) -> Column:
     return F.concat(text, F.lit(" translated"))
 
 
-def leaky_delay(tokens_per_minute: int, partitions: int) -> float:
-    """Seconds a partition must spend per token so that all together stay under a rate."""
-    return 60.0 * partitions / tokens_per_minute if tokens_per_minute else math.inf
+@dataclass
+class Paced:
+    """Calls at most so often a minute in each worker, and as many tokens; ``share`` workers run at once."""
+
+    inner: Answer
+    calls_per_minute: float = math.inf
+    tokens_per_minute: float = math.inf
+    share: int = 1
+    free_at: float = 0.0
+
+    def __call__(self, prompt: str) -> str:
+        now = time.monotonic()
+        if now < self.free_at:
+            time.sleep(self.free_at - now)
+        answer = self.inner(prompt)
+        tokens = len(prompt.split()) + len(answer.split())
+        self.free_at = max(now, self.free_at) + 60.0 * self.share * max(1 / self.calls_per_minute, tokens / self.tokens_per_minute)
+        return answer
+
+
+@dataclass
+class MentionProvider:
+    """A rule instead of a model: records of the capitalised words of a prompt, in the extractor's language."""
+
+    claims: bool = False
+
+    def __call__(self, prompt: str) -> str:
+        names = sorted(set(re.findall(r"\b[A-Z][a-z]+", prompt, re.A)))
+        if self.claims:
+            records = [f"({n}<|>NONE<|>MENTION<|>TRUE<|><|><|>{n} is mentioned<|>{n})" for n in names]
+        else:
+            records = [f'("entity"<|>{n}<|>WORD<|>{n} is mentioned)' for n in names]
+            records += [f'("relationship"<|>{a}<|>{b}<|>{a} stands before {b}<|>2)' for a, b in zip(names, names[1:])]
+        return "##".join(records) + "<|COMPLETE|>"
+
+
+def read_cache(spark, folder: str) -> DataFrame:
+    """(key, answer) kept in a folder; none yet is an empty cache."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "key string, answer string")
+    return spark.read.schema("key string, answer string").parquet(folder).groupBy("key").agg(F.max("answer").alias("answer"))
+
+
+def write_cache(fresh: DataFrame, folder: str) -> None:
+    """Add new answers to a folder; empty answers are asked again next time."""
+    fresh.where("answer is not null and answer <> ''").select("key", "answer").write.mode("append").parquet(folder)

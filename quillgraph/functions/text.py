@@ -54,11 +54,15 @@ def fill_template(template: str, values: dict[str, Column]) -> Column:
 
 
 def clean_json(text: Column) -> Column:
-    """JSON out of a model's answer: fences, escapes and doubled braces removed."""
-    out = F.trim(text)
-    for old, new in (("\\n", ""), ("\n", ""), ("\r", ""), ('\\"', '"'), ('"[{', "[{"), ('}]"', "}]"), ("{{", "{"), ("}}", "}")):
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"^\s*```(json)?", ""), r"```\s*$", ""))
+    """JSON out of a model's answer: what a code fence holds, else the whole, from its first to its last bracket.
+
+    If that is no JSON, quotes written with a backslash, and doubled braces, are read as single ones.
+    """
+    fenced = F.regexp_extract(text, r"(?s)```[a-zA-Z]*\s*(.*?)```", 1)
+    body = F.regexp_extract(F.when(fenced != "", fenced).otherwise(text), r"(?s)[{\[].*[}\]]", 0)
+    single = F.regexp_replace(F.regexp_replace(body, r'\\+(["n])', '$1'), r"([{}])\1", "$1")
+    reads = lambda c: F.from_json(c, "map<string,string>").isNotNull() | F.from_json(c, "array<string>").isNotNull()
+    return F.when(reads(body), body).otherwise(single)
 
 
 def parse_rating(text: Column) -> Column:
@@ -103,8 +107,8 @@ def sentences(text: Column) -> Column:
 
 
 def _fields(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
-    """(keys, pos, f): fields of every record; one leading ( and one trailing ) are removed."""
-    record = F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), RECORD))
+    """(keys, pos, f): fields of every record; completion marker, one leading ( and one trailing ) are removed."""
+    record = F.posexplode(F.split(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(DONE), F.lit("")), RECORD))
     rows = df.select(*keys, record.alias("pos", "record"))
     bare = F.regexp_replace(F.regexp_replace(F.trim("record"), r"^\(", ""), r"\)$", "")
     return rows.select(*keys, "pos", F.split(bare, r"<\|>").alias("f"))
@@ -134,8 +138,7 @@ CLAIM_FIELDS = ("subject_id", "object_id", "type", "status", "start_date", "end_
 
 def parse_claims(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """(keys, pos, claim fields): missing fields are null, the completion marker is skipped."""
-    bare = F.replace(F.col(text), F.lit(DONE), F.lit(""))
-    rows = _fields(df.withColumn(text, bare), text, keys).where((F.size("f") > 1) | (F.get("f", F.lit(0)) != ""))
+    rows = _fields(df, text, keys).where((F.size("f") > 1) | (F.get("f", F.lit(0)) != ""))
     return rows.select(*keys, "pos", *[F.trim(F.get("f", F.lit(i))).alias(name) for i, name in enumerate(CLAIM_FIELDS)])
 
 

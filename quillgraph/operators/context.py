@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillgraph.functions.text import num_tokens
 
@@ -22,27 +24,44 @@ def within_budget(df: DataFrame, cost: str, budget: int, order: Sequence, partit
     return out.where(used <= budget if not include_overflow else used < budget)
 
 
-def pack_batches(df: DataFrame, keys: Sequence[str], order: str, cost: str, budget: int, header: int = 0, batch_rows: int | None = None) -> DataFrame:
-    """(keys, order, cost, batch): a new batch starts where a row would overflow the current one.
+def pack_batches(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], cost: str, budget: int, header: int = 0, batch_rows: int | None = None) -> DataFrame:
+    """``df`` with ``batch``: in order, a new batch starts where a row would overflow the current one.
 
-    A row above the budget has a batch of its own. The fold runs over each group's ordered array;
-    groups are the unit of packing, so ``keys`` must split a large table.
+    A row above the budget has a batch of its own. Where a batch starts depends on all rows before, so
+    a group is read by one task; it is read as a sorted stream, in time linear in it, and never held.
     """
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c")))).alias("_r"))
-    state = "struct<b:long,t:long,n:long,out:array<struct<o:long,c:long,b:long>>>"
-    kind = dict(df.dtypes)[order]
-    state = state.replace("o:long", f"o:{kind}")
-    start = F.struct(F.lit(0).cast("long").alias("b"), F.lit(header).cast("long").alias("t"), F.lit(0).cast("long").alias("n"), F.array().cast(f"array<struct<o:{kind},c:long,b:long>>").alias("out")).cast(state)
-
-    def step(acc: Column, x: Column) -> Column:
-        over = (acc["n"] > 0) & ((acc["t"] + x["c"] > budget) | (F.lit(batch_rows is not None) & (acc["n"] >= (batch_rows or 1))))
-        b = F.when(over, acc["b"] + 1).otherwise(acc["b"])
-        t = F.when(over, F.lit(header).cast("long")).otherwise(acc["t"]) + x["c"]
-        n = F.when(over, F.lit(1).cast("long")).otherwise(acc["n"] + 1)
-        return F.struct(b.alias("b"), t.alias("t"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), x["c"].alias("c"), b.alias("b")))).alias("out")).cast(state)
-
-    packed = rows.select(*keys, F.explode(F.aggregate("_r", start, step, lambda acc: acc["out"])).alias("x"))
-    return packed.select(*keys, F.col("x.o").alias(order), F.col("x.c").alias(cost), F.col("x.b").alias("batch"))
+    order = [order] if isinstance(order, str) else list(order)
+    at = [df.columns.index(c) for c in (*keys, cost)]
+    dealt = (df.repartition(*keys) if keys else df.repartition(1)).sortWithinPartitions(*keys, *order)
+
+    def run(stream):
+        group, batch, used, n = None, 0, header, 0
+        for rows in stream:
+            *names, costs = (rows.column(i).to_pylist() for i in at)
+            names = list(zip(*names, strict=True)) if names else [()] * rows.num_rows
+            out = []
+            for name, c in zip(names, costs, strict=True):
+                c = c or 0
+                if name != group:
+                    group, batch, used, n = name, 0, header, 0
+                elif n and (used + c > budget or batch_rows is not None and n >= batch_rows):
+                    batch, used, n = batch + 1, header, 0
+                used, n = used + c, n + 1
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.int64())], names=[*rows.schema.names, "batch"])
+
+    return dealt.mapInArrow(run, StructType([*df.schema.fields, StructField("batch", LongType())]))
+
+
+def pack_lists(df: DataFrame, keys: Sequence[str], items: str, max_tokens: int) -> DataFrame:
+    """(keys, chunk_no, items): a list cut into runs whose text as a JSON list stays within ``max_tokens``.
+
+    The brackets cost one token; an item above the budget is a run of its own. An empty list has none.
+    """
+    rows = df.select(*keys, F.posexplode(items).alias("_pos", "item")).withColumn("_cost", num_tokens(F.col("item")))
+    packed = pack_batches(rows, keys, "_pos", "_cost", max_tokens, header=1)
+    run = F.transform(F.array_sort(F.collect_list(F.struct("_pos", "item"))), lambda x: x["item"])
+    return packed.groupBy(*keys, F.col("batch").alias("chunk_no")).agg(run.alias("items"))
 
 
 # -- conversations -------------------------------------------------------------------------------
@@ -123,11 +142,11 @@ def text_unit_order(entities: DataFrame, unit_entities: DataFrame, unit_edges: D
     return first.join(n, (F.col("unit") == F.col("_u")) & (F.col("entity") == F.col("_t")), "left").select("unit", "entity_order", F.coalesce("num_relationships", F.lit(0)).alias("num_relationships"))
 
 
-def longest_fitting_prefix(costs: DataFrame, budget: int) -> DataFrame:
-    """The longest prefix before the first overflow of (n, cost), costs recomputed for every prefix."""
-    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def longest_fitting_prefix(costs: DataFrame, budget: int, keys: Sequence[str] = ()) -> DataFrame:
+    """The longest prefix before the first overflow of (keys, n, cost), costs recomputed for every prefix."""
+    w = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fits = costs.withColumn("_worst", F.max("cost").over(w)).where(F.col("_worst") <= budget)
-    return fits.orderBy(F.desc("n")).limit(1).select("n", "cost")
+    return fits.groupBy(*keys).agg(F.max(F.struct("n", "cost")).alias("_m")).where("_m is not null").select(*keys, "_m.n", "_m.cost")
 
 
 # -- community reports ---------------------------------------------------------------------------

@@ -89,6 +89,19 @@ def cooccurrence(mentions: DataFrame, group: Sequence[str], name: str, position:
     return pairs.select(*group, F.least("a", "_b.n").alias("source"), F.greatest("a", "_b.n").alias("target"))
 
 
+def pair_counts(df: DataFrame, keys: Sequence[str], names: str) -> DataFrame:
+    """(keys, source, target, n): unordered pairs of an array's names, once each with their number.
+
+    Names are counted within their array first, so an array gives its distinct pairs and no more rows.
+    """
+    distinct = F.array_sort(F.array_distinct(names))
+    count = lambda x: F.size(F.filter(names, lambda y: y == x)).cast("long")
+    counted = df.select(*keys, F.transform(distinct, lambda x: F.struct(x.alias("x"), count(x).alias("n"))).alias("_c"))
+    pair = lambda a, b, i, j: F.struct(a["x"].alias("source"), b["x"].alias("target"), F.when(i == j, F.floor(a["n"] * (a["n"] - 1) / 2).cast("long")).otherwise(a["n"] * b["n"]).alias("n"))
+    pairs = F.flatten(F.transform("_c", lambda a, i: F.transform(F.slice("_c", i + 1, F.size("_c")), lambda b, j: pair(a, b, i, i + j))))
+    return counted.select(*keys, F.explode(F.filter(pairs, lambda p: p["n"] > 0)).alias("_p")).select(*keys, "_p.source", "_p.target", "_p.n")
+
+
 def node_degree(edges: DataFrame) -> DataFrame:
     """(title, degree): ends of edges; a self loop counts twice."""
     return edges.select(F.explode(F.array("source", "target")).alias("title")).groupBy("title").agg(F.count("*").alias("degree"))
@@ -174,11 +187,12 @@ def detect_communities(edges: DataFrame, weight: str | None = "weight", rounds:
     return names
 
 
-def hierarchical_communities(edges: DataFrame, max_cluster_size: int = 10, levels: int = 3, weight: str | None = "weight", use_lcc: bool = True, rounds: int = 8, passes: int = 2) -> DataFrame:
+def hierarchical_communities(edges: DataFrame, max_cluster_size: int = 10, levels: int = 20, weight: str | None = "weight", use_lcc: bool = True, rounds: int = 8, passes: int = 2) -> DataFrame:
     """(level, community, parent, node): communities, those above ``max_cluster_size`` split again.
 
     A community is named by its level and smallest node. Level 0 covers the (largest component of
-    the) graph; a later level holds the parts of the communities that were split.
+    the) graph; a later level holds the parts of the communities that were split. It ends when no
+    community is too large, or none of those falls apart; ``levels`` only bounds it.
     """
     work = cut(largest_component(edges) if use_lcc else edges)
     found = detect_communities(work, weight, rounds, passes)
@@ -195,6 +209,10 @@ def hierarchical_communities(edges: DataFrame, max_cluster_size: int = 10, level
         parts = detect_communities(cut(sub), weight, rounds, passes)
         mine = inside.join(parts, F.col("n") == F.col("node"), "left").select(F.col("n").alias("node"), "big", F.coalesce("community", "n").alias("c"))
         last = cut(mine.select(F.lit(level).alias("level"), F.concat(F.lit(f"{level}:"), F.col("c").cast("string")).alias("community"), F.col("big").alias("parent"), "node"))
+        apart = last.groupBy("parent").agg(F.count_distinct("community").alias("n")).where("n > 1").select(F.col("parent").alias("p"))
+        last = cut(last.join(apart, F.col("parent") == F.col("p"), "left_semi"))
+        if last.isEmpty():
+            break
         result = result.unionByName(last)
     return cut(result)
 
@@ -331,6 +349,20 @@ def filter_relationships(edges: DataFrame, selected: DataFrame, top_k: int, by:
     return inside.unionByName(best.select(*inside.columns))
 
 
+def neighbors_by_embedding(entities: DataFrame, embeddings: DataFrame, title: str, k: int, exclude: Sequence[str] = (), oversample: int = 2) -> DataFrame:
+    """(title, rank, distance): the entities whose graph vectors are nearest to that of ``title``, by falling rank.
+
+    ``entities`` is (title, rank), ``embeddings`` (node, embedding). The k * oversample nearest are
+    looked up, the entity itself and excluded ones go, k stay.
+    """
+    from quillgraph.operators.vectors import knn
+
+    own = embeddings.where(F.col("node") == title).select(F.col("node").alias("query_id"), F.col("embedding").alias("query_vector"))
+    near = knn(embeddings, own, k * oversample, "l2", "node", "embedding").select("node", "distance")
+    found = entities.join(near, F.col("title") == F.col("node")).where(~F.col("title").isin([title, *exclude]))
+    return found.orderBy(F.desc("rank"), "title").limit(k).select("title", "rank", "distance")
+
+
 def neighbors_by_rank(edges: DataFrame, degrees: DataFrame, title: str, k: int, exclude: Sequence[str] = ()) -> DataFrame:
     """The k one-hop neighbours of a node of highest degree, without the excluded."""
     near = edges.where((F.col("source") == title) | (F.col("target") == title)).select(F.when(F.col("source") == title, F.col("target")).otherwise(F.col("source")).alias("n")).distinct()

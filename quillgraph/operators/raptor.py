@@ -3,65 +3,43 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
 from quillgraph.functions.session import cut
 from quillgraph.operators.context import within_budget
-from quillgraph.operators.vectors import centroid, knn
-
-DELIMITERS = (".", "!", "?", "\n")
-
-
-def _pack(text: str, max_tokens: int) -> list[str]:
-    """Sentences packed greedily; a sentence above the limit is split at commas and colons first."""
-    count = lambda s: len(re.findall(r"\S+", s))
-    out, held, size = [], [], 0
-
-    def flush() -> None:
-        nonlocal held, size
-        if held:
-            out.append(" ".join(held))
-        held, size = [], 0
-
-    for sentence in filter(None, (s.strip() for s in re.split(r"[.!?\n]", text))):
-        n = count(sentence)
-        if n > max_tokens:
-            flush()
-            part, m = [], 0
-            for piece in filter(None, (s.strip() for s in re.split(r"[,;:]", sentence))):
-                k = count(piece)
-                if part and m + k > max_tokens:
-                    out.append(" ".join(part))
-                    part, m = [], 0
-                part.append(piece)
-                m += k
-            if part:
-                out.append(" ".join(part))
-            continue
-        if held and size + n > max_tokens:
-            flush()
-        held.append(sentence)
-        size += n
-    flush()
-    return out
-
+from quillgraph.operators.vectors import knn
 
 def split_texts(df: DataFrame, id_col: str, text: str, max_tokens: int = 100) -> DataFrame:
-    """(id, nth, chunk, n_tokens) of texts packed by sentences; empty chunks do not occur."""
+    """(id, nth, chunk, n_tokens): sentences packed in order into chunks of ``max_tokens`` at most.
+
+    A sentence above the limit is cut at commas, colons and semicolons, and its parts share no chunk
+    with other sentences; a part above the limit is a chunk. Empty sentences and parts vanish.
+    """
+    bare = lambda c: F.regexp_replace(c, r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", "")
+    cut_at = lambda c, marks: F.filter(F.transform(F.split(c, marks), bare), lambda x: x != "")
+    piece = lambda i, apart, t: F.struct(i.alias("i"), F.lit(apart).alias("apart"), t.alias("t"), T.num_tokens(t).alias("n"))
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(i, n, c) for i, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True) for n, c in enumerate(_pack(t or "", max_tokens))]
-            yield pd.DataFrame(rows, columns=[id_col, "nth", "chunk"]).astype({"nth": "int64"})
+    def pieces(sentence: Column, i: Column) -> Column:
+        parts = F.transform(cut_at(sentence, "[,;:]"), lambda t: piece(i, True, t))
+        return F.when(T.num_tokens(sentence) > max_tokens, parts).otherwise(F.array(piece(i, False, sentence)))
 
-    out = df.select(id_col, text).mapInPandas(run, f"{id_col} {dict(df.dtypes)[id_col]}, nth long, chunk string")
-    return out.withColumn("n_tokens", T.num_tokens(F.col("chunk")))
+    state = "struct<done:array<string>,held:string,i:int,apart:boolean,n:bigint>"
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("held"), F.lit(-1).alias("i"), F.lit(False).alias("apart"), F.lit(0).cast("long").alias("n")).cast(state)
+
+    def add(acc: Column, x: Column) -> Column:
+        fresh = acc["held"].isNull() | ((acc["apart"] | x["apart"]) & (acc["i"] != x["i"])) | (acc["n"] + x["n"] > max_tokens)
+        done = F.when(fresh & acc["held"].isNotNull(), F.array_append(acc["done"], acc["held"])).otherwise(acc["done"])
+        held = F.when(fresh, x["t"]).otherwise(F.concat_ws(" ", acc["held"], x["t"]))
+        return F.struct(done.alias("done"), held.alias("held"), x["i"].alias("i"), x["apart"].alias("apart"), F.when(fresh, x["n"]).otherwise(acc["n"] + x["n"]).alias("n")).cast(state)
+
+    ends = lambda acc: F.when(acc["held"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["held"]))
+    parts = df.select(id_col, F.flatten(F.transform(cut_at(F.coalesce(F.col(text), F.lit("")), "[.!?\n]"), pieces)).alias("_p"))
+    chunks = parts.select(id_col, F.posexplode(F.aggregate("_p", start, add, ends)).alias("nth", "chunk"))
+    return chunks.select(id_col, F.col("nth").cast("long").alias("nth"), "chunk", T.num_tokens(F.col("chunk")).alias("n_tokens"))
 
 
 def reduce_dimensions(df: DataFrame, id_col: str, vector: str, dimensions: int) -> DataFrame:
@@ -115,8 +93,8 @@ def _one_gaussian(x: DataFrame, n: int, d: int) -> float:
     return -0.5 * n * (d * math.log(2 * math.pi) + logdet + d)
 
 
-def cluster_nodes(df: DataFrame, id_col: str, vector: str, dimensions: int = 5, threshold: float = 0.1, max_clusters: int = 5) -> DataFrame:
-    """(id, cluster): soft clusters in a reduced space."""
+def cluster_nodes(df: DataFrame, id_col: str, vector: str, dimensions: int = 5, threshold: float = 0.1, max_clusters: int = 50) -> DataFrame:
+    """(id, cluster): soft clusters in a reduced space, ``max_clusters`` at most."""
     n = df.count()
     if n <= dimensions + 1:
         return df.select(id_col, F.lit(0).alias("cluster"))
@@ -124,7 +102,61 @@ def cluster_nodes(df: DataFrame, id_col: str, vector: str, dimensions: int = 5,
     return soft_clusters(reduced, id_col, "reduced", threshold, max_clusters).select(id_col, "cluster")
 
 
-def build_tree(leaves: DataFrame, embed: Callable[[Column], Column], summarize: Callable[[Column], Column], layers: int = 3, dimensions: int = 5, max_clusters: int = 4) -> tuple[DataFrame, DataFrame]:
+def two_stage_clusters(df: DataFrame, id_col: str, vector: str, dimensions: int = 5, threshold: float = 0.1, max_clusters: int = 50) -> DataFrame:
+    """(id, cluster): soft clusters over all rows, each clustered again by itself; numbered through.
+
+    A global cluster of too few rows to cluster is one cluster. Rows are matched by id, so rows of
+    equal vectors stay apart. The driver goes through the global clusters, ``max_clusters`` at most.
+    """
+    rows = cut(df.select(id_col, vector))
+    whole = cut(cluster_nodes(rows, id_col, vector, dimensions, threshold, max_clusters).withColumnRenamed(id_col, "_id"))
+    out, offset = None, 0
+    for (number,) in whole.select("cluster").distinct().orderBy("cluster").collect():
+        mine = rows.join(whole.where(F.col("cluster") == number).select("_id"), F.col(id_col) == F.col("_id"), "left_semi")
+        local = cut(cluster_nodes(mine, id_col, vector, dimensions, threshold, max_clusters))
+        out = (lambda x: x if out is None else out.unionByName(x))(local.select(id_col, (F.col("cluster") + offset).alias("cluster")))
+        offset += (local.agg(F.max("cluster")).first()[0] or 0) + 1
+    return cut(out) if out is not None else whole.select(F.col("_id").alias(id_col), "cluster")
+
+
+def bounded_clusters(df: DataFrame, id_col: str, vector: str, text: str, max_tokens: int = 3500, depth: int = 8, **how) -> DataFrame:
+    """(id, cluster): two-stage clusters; one whose texts exceed ``max_tokens`` is clustered again.
+
+    A cluster of one row, or that does not fall apart, stays as it is, and so does what ``depth``
+    rounds leave. Token sums are added up before the shuffle; the driver sees long clusters only.
+    """
+    rows = cut(df.select(id_col, vector, T.num_tokens(F.col(text)).alias("_n")))
+    found, done, offset = cut(two_stage_clusters(rows, id_col, vector, **how)), None, 0
+    for _ in range(depth):
+        sums = found.withColumnRenamed(id_col, "_id").join(rows, F.col("_id") == F.col(id_col)).groupBy("cluster").agg(F.sum("_n").alias("tokens"), F.count("*").alias("rows"))
+        long = [r["cluster"] for r in sums.where((F.col("tokens") > max_tokens) & (F.col("rows") > 1)).orderBy("cluster").collect()]
+        fine = found.where(~F.col("cluster").isin(long)) if long else found
+        parts = []
+        for number in long:
+            members = found.where(F.col("cluster") == number).select(F.col(id_col).alias("_id"))
+            again = cut(two_stage_clusters(rows.join(members, F.col(id_col) == F.col("_id"), "left_semi"), id_col, vector, **how))
+            if again.select("cluster").distinct().count() < 2:
+                fine = fine.unionByName(found.where(F.col("cluster") == number))
+            else:
+                parts.append(again)
+        done = fine.select(id_col, F.concat_ws("/", F.lit(str(offset)), F.col("cluster").cast("string")).alias("c")) if done is None else done.unionByName(fine.select(id_col, F.concat_ws("/", F.lit(str(offset)), F.col("cluster").cast("string")).alias("c")))
+        offset += 1
+        found = None
+        base = 0
+        for part in parts:
+            part = part.select(id_col, (F.col("cluster") + base).alias("cluster"))
+            base = part.agg(F.max("cluster")).first()[0] + 1
+            found = part if found is None else found.unionByName(part)
+        if found is None:
+            break
+        found = cut(found)
+    if found is not None:
+        done = done.unionByName(found.select(id_col, F.concat_ws("/", F.lit(str(offset)), F.col("cluster").cast("string")).alias("c")))
+    names = done.select("c").distinct().select(F.col("c").alias("_c"), (F.row_number().over(Window.orderBy("c")) - 1).alias("cluster"))
+    return done.join(names, F.col("c") == F.col("_c")).select(id_col, "cluster")
+
+
+def build_tree(leaves: DataFrame, embed: Callable[[Column], Column], summarize: Callable[[Column], Column], layers: int = 3, dimensions: int = 5, max_clusters: int = 50, max_tokens: int = 3500) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a tree over leaves (idx long, text): (idx, layer, text, embedding), (parent, child).
 
     Every layer's nodes are clustered, each cluster's texts summarised and embedded as a node of the
@@ -136,7 +168,7 @@ def build_tree(leaves: DataFrame, embed: Callable[[Column], Column], summarize:
         size = level.agg(F.count("*").alias("n"), F.max("idx").alias("m")).first()
         if size["n"] <= dimensions + 1:
             break
-        members = cut(cluster_nodes(level, "idx", "embedding", dimensions, max_clusters=max_clusters).withColumnRenamed("idx", "child"))
+        members = cut(bounded_clusters(level, "idx", "embedding", "text", max_tokens, dimensions=dimensions, max_clusters=max_clusters).withColumnRenamed("idx", "child"))
         joined = level.join(members, F.col("idx") == F.col("child"))
         texts = joined.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n\n").alias("_t"))
         parents = texts.withColumn("idx", F.lit(size["m"] + 1) + F.col("cluster"))
@@ -210,5 +242,11 @@ class TextTree:
         self.nodes, self.edges = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
 
 
-def layer_centroids(nodes: DataFrame, by: str, vector: str) -> DataFrame:
-    return centroid(nodes, [by], vector)
+def layer_of_nodes(layers: DataFrame) -> DataFrame:
+    """(node, layer) of rows (layer, nodes array); a node of several layers has the last."""
+    return layers.select("layer", F.explode("nodes").alias("node")).groupBy("node").agg(F.max("layer").alias("layer"))
+
+
+def layer_texts(nodes: DataFrame, layer: int) -> DataFrame:
+    """(idx, text) of a layer, line ends as spaces."""
+    return nodes.where(F.col("layer") == layer).select("idx", F.array_join(F.split("text", "\n"), " ").alias("text"))

@@ -300,7 +300,7 @@ def aggregate_one(t: VerbInput, column: str, operation: str, to: str, groupby: s
 
 @verb("window")
 def window(t: VerbInput, operation: str, to: str, column: str | None = None, order: Sequence[str] | None = None, partition: Sequence[str] | None = None) -> DataFrame:
-    """Window functions by name; an ``uuid`` is md5 of the row's order columns."""
+    """Window functions by name; an ``uuid`` is md5 of the row's order columns and its place among equal ones."""
     df = t.source
     order = list(order or ([column] if column else df.columns))
     w = Window.partitionBy(*(partition or [])).orderBy(*order)
@@ -308,7 +308,7 @@ def window(t: VerbInput, operation: str, to: str, column: str | None = None, ord
     after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     made = {
-        "uuid": lambda: F.md5(F.to_json(F.struct(*order))),
+        "uuid": lambda: F.md5(F.concat_ws("#", F.to_json(F.struct(*order)), (F.row_number().over(Window.partitionBy(*order).orderBy(*order)) - 1).cast("string"))),
         "row_number": lambda: F.row_number().over(w),
         "rank": lambda: F.rank().over(w),
         "percent_rank": lambda: F.percent_rank().over(w),

@@ -11,7 +11,7 @@ from quillgraph.operators import context as C
 from quillgraph.operators import graph as G
 from quillgraph.operators import vectors as V
 
-NO_DATA = "I am sorry but I am unable to answer this question given the provided data."
+NO_DATA = "No report holds anything that answers this question."
 
 
 def local_search_context(entities: DataFrame, edges: DataFrame, units: DataFrame, reports: DataFrame, query: DataFrame | None, k: int = 10, top_k_relationships: int = 10, max_tokens: int = 12000, community_prop: float = 0.1, text_unit_prop: float = 0.5) -> DataFrame:
@@ -44,8 +44,8 @@ def report_batches(reports: DataFrame, max_tokens: int, seed: int = 86, shuffle:
     """(batch, community, title, content, weight, rank): reports in seeded order, packed by tokens."""
     order = F.md5(F.concat(F.lit(str(seed)), F.col("community").cast("string"))) if shuffle else F.lpad(F.col("community").cast("string"), 20, "0")
     r = reports.withColumn("_o", order).withColumn("cost", T.num_tokens(F.concat_ws("|", "title", "content")))
-    packed = C.pack_batches(r.withColumn("_all", F.lit(0)), ["_all"], "_o", "cost", max_tokens).select(F.col("_o").alias("_k"), "batch")
-    return r.join(packed, F.col("_o") == F.col("_k")).select("batch", "community", "title", "content", "weight", "rank")
+    packed = C.pack_batches(r, [], ["_o", "title", "content"], "cost", max_tokens)
+    return packed.select("batch", "community", "title", "content", "weight", "rank")
 
 
 def global_search(reports: DataFrame, question: str, map_provider: Answer, reduce_provider: Answer, max_tokens: int = 12000) -> DataFrame:

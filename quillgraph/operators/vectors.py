@@ -88,6 +88,12 @@ def nearest_to_centroid(df: DataFrame, id_col: str, vector: str, k: int) -> Data
     return rows.select(id_col, distance(F.col(vector), F.col("mean"), "l2").alias("distance")).orderBy("distance", id_col).limit(k)
 
 
+def knn_by_text(store: DataFrame, text: str, embed, k: int, metric: str = "l2", **columns) -> DataFrame:
+    """The k rows nearest to a text, embedded as the store's were; an empty text has none."""
+    q = store.sparkSession.createDataFrame([(0, text)], "query_id int, q string").where("trim(q) <> ''")
+    return knn(store, q.select("query_id", embed(F.col("q")).alias("query_vector")), k, metric, **columns)
+
+
 def map_query_entities(store: DataFrame, entities: DataFrame, query: DataFrame | None, k: int, include: list[str] = (), exclude: list[str] = (), oversample: int = 2) -> DataFrame:
     """(place, title, rank): entities of a query: named ones first, then the k * oversample nearest.
 

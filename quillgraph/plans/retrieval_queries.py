@@ -9,6 +9,7 @@ from quillgraph.functions import providers as P
 from quillgraph.functions import text as T
 from quillgraph.functions.session import cut, table
 from quillgraph.operators import context as C
+from quillgraph.operators import extraction as X
 from quillgraph.operators import raptor, thoughts
 from quillgraph.operators import search as S
 from quillgraph.operators import vectors as V
@@ -50,18 +51,28 @@ def pack_embed_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT l_linenumber + l_orderkey * 10 AS n, l_suppkey, CAST(l_quantity AS BIGINT) AS cost, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS i FROM lineitem WHERE l_suppkey <= 20 AND l_orderkey <= 2000),
-    p AS (SELECT l_suppkey, i, max(s) OVER (PARTITION BY l_suppkey ORDER BY i) AS worst, s FROM (SELECT l_suppkey, i, sum(cost) OVER (PARTITION BY l_suppkey ORDER BY i) AS s FROM c))
-    SELECT max(i) AS n, CAST(arg_max(s, i) AS BIGINT) AS cost FROM p WHERE l_suppkey = 3 AND worst <= 200"""
+    """WITH c AS (SELECT l_suppkey, row_number() OVER w AS n, CAST(sum(CAST(l_quantity AS BIGINT)) OVER w AS BIGINT) AS cost FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber))
+    SELECT l_suppkey, max(n) AS n, max(cost) AS cost FROM c WHERE cost <= 200 GROUP BY l_suppkey"""
 )
 def longest_fitting_prefix(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    li = table(spark, d, "lineitem").where("l_suppkey = 3 and l_orderkey <= 2000")
-    w = Window.orderBy("l_orderkey", "l_linenumber")
-    costs = li.select(F.row_number().over(w).alias("i"), F.col("l_quantity").cast("long").alias("q"))
-    costs = costs.select(F.col("i").cast("long").alias("n"), F.sum("q").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).alias("cost"))
-    return C.longest_fitting_prefix(costs, 200)
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
+    costs = table(spark, d, "lineitem").select("l_suppkey", F.row_number().over(w).cast("long").alias("n"), F.sum(F.col("l_quantity").cast("long")).over(w).alias("cost"))
+    return C.longest_fitting_prefix(costs, 200, ["l_suppkey"])
+
+
+_LIST_PACK = """WITH RECURSIVE c AS (SELECT doc_id, i, ss[i] AS item, CAST(len(regexp_extract_all(ss[i], '\\S+')) AS BIGINT) AS cost FROM (SELECT doc_id, ss, unnest(generate_series(1, len(ss))) AS i
+  FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), lambda s: trim(s)), lambda s: s <> '') AS ss FROM documents))),
+f(doc_id, item, cost, i, chunk_no, t) AS (SELECT doc_id, item, cost, i, 0::BIGINT, 1 + cost FROM c WHERE i = 1
+  UNION ALL SELECT c.doc_id, c.item, c.cost, c.i, CASE WHEN t + c.cost > 120 THEN chunk_no + 1 ELSE chunk_no END, CASE WHEN t + c.cost > 120 THEN 1 + c.cost ELSE t + c.cost END FROM f JOIN c ON c.doc_id = f.doc_id AND c.i = f.i + 1)
+SELECT doc_id, chunk_no, list(item ORDER BY i) AS items FROM f GROUP BY doc_id, chunk_no"""
+
+
+@query(_LIST_PACK)
+def text_list_pack(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", T.sentences(F.col("text")).alias("sentences"))
+    return C.pack_lists(docs, ["doc_id"], "sentences", 120)
 
 
 # -- conversations -----------------------------------------------------------------------------------
@@ -256,11 +267,13 @@ def llm_cache_misses(spark: SparkSession, d: str) -> DataFrame:
     return answers.agg(F.count("*").alias("rows"), F.count("answer").alias("answered")).select(F.lit(fresh.count()).cast("long").alias("asked"), "rows", "answered")
 
 
-@query("SELECT event_id % 50 AS batch, event_type AS description, value AS score FROM events WHERE value > 0 ORDER BY value DESC, batch, description LIMIT 100")
+@query(
+    """WITH p AS (SELECT event_id % 50 AS batch, event_type AS description, value AS score, 5 + len(regexp_extract_all(event_type, '\\S+')) AS cost, row_number() OVER (ORDER BY value DESC, event_id % 50, event_type) AS place FROM events WHERE value > 0),
+    r AS (SELECT *, sum(cost) OVER (ORDER BY place) AS run FROM p) SELECT batch, description, score FROM r WHERE run <= 2000"""
+)
 def global_search_reduce(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "events").select((F.col("event_id") % 50).alias("batch"), F.col("event_type").alias("description"), F.col("value").alias("score"))
-    p = p.where("score > 0").orderBy(F.desc("score"), "batch", "description").limit(100)
-    return S.reduce_points(p, 1 << 40).select("batch", "description", "score")
+    return S.reduce_points(p, 2000).select("batch", "description", "score")
 
 
 @query()
@@ -275,11 +288,11 @@ def local_search_context(spark: SparkSession, d: str) -> DataFrame:
     from quillgraph.operators import graph as G
     from quillgraph.plans.text_graph_queries import supplier_parts
 
-    store = _store(spark, d).where("id < 97")
+    store = _store(spark, d)
     edges = supplier_parts(spark, d)
     ranked = cut(G.combined_degree(edges, G.node_degree(edges)).withColumn("description", F.concat_ws(" ", F.lit("supplies"), "source", "target")))
     entities = store.select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("title"), F.lit("a part").alias("description"), F.col("label").alias("rank"), "vector", F.col("label").cast("string").alias("community"))
-    li = table(spark, d, "lineitem").where("l_orderkey <= 200")
+    li = table(spark, d, "lineitem")
     units = li.select(F.col("l_orderkey").alias("unit"), F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("text"), F.concat(F.lit("p"), (F.col("l_partkey") % 97).cast("string")).alias("entity"))
     reports = entities.select("community").distinct().select("community", F.concat(F.lit("Community "), "community").alias("title"), F.lit("a report").alias("content"))
     q = store.where("id = 3").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
@@ -351,13 +364,87 @@ def got_keep_valid(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type AS type, arg_max(CAST(event_id AS VARCHAR), (value, CAST(event_id AS VARCHAR))) AS last_id FROM events GROUP BY event_type")
 def got_aggregate_state(spark: SparkSession, d: str) -> DataFrame:
     t = _thoughts(spark, d).withColumn("type", F.col("state")["type"]).withColumn("state", F.create_map(F.lit("last"), F.col("id")))
-    best = t.groupBy("type").agg(F.max("score").alias("m")).withColumnRenamed("type", "k")
-    few = t.join(best, (F.col("type") == F.col("k")) & (F.col("score") >= F.col("m") - 1))
-    return thoughts.aggregate(few.select("type", "id", "state", "score"), ["type"]).select("type", F.col("state")["last"].alias("last_id"))
+    return thoughts.aggregate(t.select("type", "id", "state", "score"), ["type"]).select("type", F.col("state")["last"].alias("last_id"))
 
 
-@query("SELECT CAST(event_id AS VARCHAR) || '.' || i AS id, event_type AS type, CAST(i AS VARCHAR) AS part FROM events, (VALUES (0), (1)) p(i) WHERE event_id < 500")
+@query("SELECT CAST(event_id AS VARCHAR) || '.' || i AS id, event_type AS type, CAST(i AS VARCHAR) AS part FROM events, (VALUES (0), (1)) p(i)")
 def got_generate(spark: SparkSession, d: str) -> DataFrame:
-    t = _thoughts(spark, d).where(F.col("id").cast("long") < 500)
+    t = _thoughts(spark, d)
     g = thoughts.generate(t, F.array(*[F.create_map(F.lit("part"), F.lit(str(i))) for i in (0, 1)]))
     return g.select("id", F.col("state")["type"].alias("type"), F.col("state")["part"].alias("part"))
+
+
+# -- verbs that ask a provider -------------------------------------------------------------------------
+
+_WORDS = "w AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\\b[A-Z][a-z]+'))) AS ns FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, upper(n) AS name, 'WORD' AS type, list_sort(list_distinct(list(n || ' is mentioned'))) AS descriptions FROM (SELECT doc_id, unnest(ns) AS n FROM w) GROUP BY doc_id, upper(n)")
+def entity_extract(spark: SparkSession, d: str) -> DataFrame:
+    return X.entity_extract(table(spark, d, "documents"), "doc_id", "text", P.MentionProvider())[0]
+
+
+@query(
+    f"""WITH {_WORDS}, p AS (SELECT doc_id, upper(ns[i]) AS a, upper(ns[i + 1]) AS b, ns[i] || ' stands before ' || ns[i + 1] AS x FROM (SELECT doc_id, ns, unnest(generate_series(1, len(ns) - 1)) AS i FROM w))
+    SELECT doc_id, least(a, b) AS source, greatest(a, b) AS target, list_sort(list_distinct(list(x))) AS descriptions, CAST(2 * count(*) AS DOUBLE) AS weight FROM p GROUP BY ALL"""
+)
+def relationship_extract(spark: SparkSession, d: str) -> DataFrame:
+    return X.entity_extract(table(spark, d, "documents"), "doc_id", "text", P.MentionProvider())[1]
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, n AS subject_id, n || ' is mentioned' AS description, i - 1 AS pos, 'claim' AS covariate_type FROM (SELECT doc_id, unnest(ns) AS n, unnest(generate_series(1, len(ns))) AS i FROM w)")
+def extract_covariates(spark: SparkSession, d: str) -> DataFrame:
+    claims = X.extract_covariates(table(spark, d, "documents"), "doc_id", "text", P.MentionProvider(claims=True))
+    return claims.select("doc_id", "subject_id", "description", F.col("pos").cast("long").alias("pos"), "covariate_type")
+
+
+@query("SELECT c_nationkey, count(DISTINCT c_mktsegment) AS n, CASE WHEN count(DISTINCT c_mktsegment) = 1 THEN max(c_mktsegment) ELSE 'a summary' END AS summary FROM customer GROUP BY c_nationkey")
+def summarize_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    return X.summarize_descriptions(table(spark, d, "customer"), ["c_nationkey"], "c_mktsegment", P.StaticProvider(["a summary"]))
+
+
+_PIECES = """WITH t AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS tk FROM documents), p AS (SELECT doc_id, tk[s + 1 : s + 40] AS part FROM (SELECT doc_id, tk, unnest(generate_series(0, len(tk) - 1, 40)) AS s FROM t WHERE len(tk) > 0)),
+v AS (SELECT doc_id, CAST(len(part) AS DOUBLE) AS a, CAST(length(array_to_string(part, ' ')) AS DOUBLE) AS b FROM p), m AS (SELECT doc_id, count(*) AS n, avg(a) AS a, avg(b) AS b FROM v GROUP BY doc_id)"""
+
+
+@query(_PIECES + " SELECT doc_id, CASE WHEN n = 1 THEN [a, b] ELSE [round(a / sqrt(a * a + b * b), 9), round(b / sqrt(a * a + b * b), 9)] END AS embedding FROM m")
+def text_embed(spark: SparkSession, d: str) -> DataFrame:
+    measure = lambda c: F.array(T.num_tokens(c).cast("double"), F.length(c).cast("double"))
+    made, _ = X.text_embed(table(spark, d, "documents"), "doc_id", "text", measure, 40)
+    return made.select("doc_id", F.transform("embedding", lambda x: F.round(x, 9)).alias("embedding"))
+
+
+@query("SELECT c_custkey AS id, c_name AS title, [c_mktsegment] AS tags, NULL::BIGINT AS rank FROM customer")
+def typed_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("tags"))
+    return X.typed(rows, {"id": "long", "title": "string"}, {"tags": "array<string>", "rank": "long"})
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (12, 305)")
+def entity_by_key(spark: SparkSession, d: str) -> DataFrame:
+    keyed = table(spark, d, "customer").withColumn("key", F.regexp_replace(F.col("c_custkey").cast("string"), "(.)(?=.)", "$1-"))
+    return X.by_key(keyed, "key", ["12", "3-05", "9-9-9-9-9-9"]).select("c_custkey", "c_name")
+
+
+@query("SELECT lang, 2 * avg(quality) * avg(toxic) / nullif(avg(quality) + avg(toxic), 0) AS f FROM (SELECT lang, CAST(quality AS DOUBLE) AS quality, CAST(toxic AS DOUBLE) AS toxic FROM labels JOIN documents USING (doc_id)) GROUP BY lang")
+def harmonic_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    means = rows.groupBy("lang").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
+    return means.select("lang", F.try_divide(2 * F.col("q") * F.col("t"), F.col("q") + F.col("t")).alias("f"))
+
+
+@query(f"WITH d AS (SELECT DISTINCT source, lang FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL) SELECT lang, count(*) AS calls, CAST(2 * count(*) AS BIGINT) AS prompt_tokens, CAST(count(*) AS BIGINT) AS answer_tokens FROM d GROUP BY lang")
+def token_accounting(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("lang is not null and source is not null").select("lang", F.concat_ws(" ", F.lit("about"), F.concat_ws("/", "source", "lang")).alias("prompt"))
+    answers, _ = P.ask(docs, "prompt", P.StaticProvider(["fine"]))
+    return X.token_account(answers, "prompt", "answer", ["lang"])
+
+
+@query(f"WITH {_E}, q AS (SELECT v FROM e WHERE vec_id = 8), n AS (SELECT e.vec_id, label, list_distance(q.v, e.v) AS distance, row_number() OVER (ORDER BY list_distance(q.v, e.v), e.vec_id) AS o FROM e, q) SELECT 'e' || vec_id AS title, label AS rank, round(distance, 6) AS distance FROM n WHERE o <= 12 AND vec_id NOT IN (8, 9) ORDER BY label DESC, 'e' || vec_id LIMIT 6")
+def neighbors_by_embedding(spark: SparkSession, d: str) -> DataFrame:
+    from quillgraph.operators import graph as G
+
+    name = F.concat(F.lit("e"), F.col("id").cast("string"))
+    store = _store(spark, d)
+    found = G.neighbors_by_embedding(store.select(name.alias("title"), F.col("label").alias("rank")), store.select(name.alias("node"), F.col("vector").alias("embedding")), "e8", 6, ["e9"])
+    return found.withColumn("distance", F.round("distance", 6))

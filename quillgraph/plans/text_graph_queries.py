@@ -35,13 +35,18 @@ def chunks(spark: SparkSession, d: str, size: int = CHUNK, overlap: int = OVERLA
     return T.token_windows(table(spark, d, "documents"), ["doc_id"], "text", "doc_id", size, overlap)
 
 
+def named_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, chunk_no, names): the capitalised words of each window, in order."""
+    return chunks(spark, d).select("doc_id", "chunk_no", F.regexp_extract_all("chunk", F.lit(T.ENTITY), F.lit(0)).alias("names"))
+
+
 def mentions(spark: SparkSession, d: str) -> DataFrame:
-    found = F.posexplode(F.regexp_extract_all("chunk", F.lit(T.ENTITY), F.lit(0))).alias("pos", "name")
-    return chunks(spark, d).select("doc_id", "chunk_no", found)
+    return named_chunks(spark, d).select("doc_id", "chunk_no", F.posexplode("names").alias("pos", "name"))
 
 
 def mention_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return G.cooccurrence(mentions(spark, d), ["doc_id", "chunk_no"], "name", "pos")
+    """(doc_id, chunk_no, source, target, n): the pairs of each window and how often it has them."""
+    return G.pair_counts(named_chunks(spark, d), ["doc_id", "chunk_no"], "names")
 
 
 def supplier_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +62,7 @@ def supplier_parts(spark: SparkSession, d: str) -> DataFrame:
 )
 def top_relationships(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: documents to windows to mentions to pairs to degrees to the best relationships."""
-    edges = mention_pairs(spark, d).where("source <> target").groupBy("source", "target").agg(F.count("*").alias("weight"))
+    edges = cut(mention_pairs(spark, d).where("source <> target").groupBy("source", "target").agg(F.sum("n").alias("weight")))
     ranked = G.combined_degree(edges, G.node_degree(edges)).select("source", "target", "weight", "rank")
     return ranked.orderBy(F.desc("rank"), F.desc("weight"), "source", "target").limit(20)
 
@@ -91,28 +96,40 @@ def token_count(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").agg(F.sum(T.num_tokens(F.col("text"))).alias("tokens"), F.count("*").alias("docs"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE q AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?\\n]'), lambda x: regexp_replace(x, '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g')), lambda x: x <> '') AS ss FROM documents),
+    s AS (SELECT doc_id, i, ss[i] AS t, len(regexp_extract_all(ss[i], '\\S+')) AS n FROM (SELECT doc_id, ss, unnest(generate_series(1, len(ss))) AS i FROM q)),
+    l AS (SELECT doc_id, i, list_filter(list_transform(regexp_split_to_array(t, '[,;:]'), lambda x: regexp_replace(x, '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g')), lambda x: x <> '') AS ps FROM s WHERE n > 100),
+    u AS (SELECT doc_id, i, j, ps[j] AS t, true AS apart FROM (SELECT doc_id, i, ps, unnest(generate_series(1, len(ps))) AS j FROM l) UNION ALL SELECT doc_id, i, 1, t, false FROM s WHERE n <= 100),
+    p AS (SELECT doc_id, i, apart, t, len(regexp_extract_all(t, '\\S+')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k FROM u),
+    f(doc_id, k, i, apart, nth, size) AS (SELECT doc_id, k, i, apart, 0::BIGINT, n FROM p WHERE k = 1
+      UNION ALL SELECT p.doc_id, p.k, p.i, p.apart, CASE WHEN ((f.apart OR p.apart) AND f.i <> p.i) OR f.size + p.n > 100 THEN f.nth + 1 ELSE f.nth END,
+        CASE WHEN ((f.apart OR p.apart) AND f.i <> p.i) OR f.size + p.n > 100 THEN p.n ELSE f.size + p.n END FROM f JOIN p ON p.doc_id = f.doc_id AND p.k = f.k + 1),
+    c AS (SELECT doc_id, nth, string_agg(t, ' ' ORDER BY k) AS chunk FROM f JOIN p USING (doc_id, k) GROUP BY ALL)
+    SELECT doc_id, nth, chunk, CAST(len(regexp_extract_all(chunk, '\\S+')) AS BIGINT) AS n_tokens FROM c"""
+)
 def raptor_split(spark: SparkSession, d: str) -> DataFrame:
     return raptor.split_texts(table(spark, d, "documents"), "doc_id", "text", 100)
 
 
 @query(f"WITH {PAIRS_SQL} SELECT source, target, count(*) AS weight, count(DISTINCT doc_id) AS docs FROM pairs GROUP BY ALL")
 def extract_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    return mention_pairs(spark, d).groupBy("source", "target").agg(F.count("*").alias("weight"), F.count_distinct("doc_id").alias("docs"))
+    per = mention_pairs(spark, d).groupBy("source", "target", "doc_id").agg(F.sum("n").alias("n"))
+    return per.groupBy("source", "target").agg(F.sum("n").alias("weight"), F.count("*").alias("docs"))
 
 
 _NODE_FOLDS = ("replace", "skip", "sum", "average", "max", "min", "multiply")
 
 
 @query(
-    """WITH v AS (SELECT 'p' || (l_partkey % 50) AS title, l_orderkey * 10 + l_linenumber AS ord, l_quantity AS q, l_linenumber AS m, l_shipdate AS s, l_returnflag AS f FROM lineitem WHERE l_orderkey % 20 = 0)
+    """WITH v AS (SELECT 'p' || l_partkey AS title, l_orderkey * 10 + l_linenumber AS ord, l_quantity AS q, l_linenumber AS m, l_shipdate AS s, l_returnflag AS f FROM lineitem)
     SELECT title, CAST(arg_max(f, ord) AS VARCHAR) AS v_replace, CAST(arg_min(f, ord) AS VARCHAR) AS v_skip, CAST(sum(q) AS DOUBLE) AS v_sum, round(avg(q), 6) AS v_average, CAST(max(q) AS DOUBLE) AS v_max,
     CAST(min(q) AS DOUBLE) AS v_min, round(ln(product(CAST(m AS DOUBLE))), 6) AS v_multiply, CASE WHEN count(*) = 1 THEN max(f) ELSE array_to_string(list_sort(list_distinct(list(f))), ',') END AS v_concat FROM v GROUP BY title"""
 )
 def merge_graph_nodes(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_orderkey % 20 = 0")
+    li = table(spark, d, "lineitem")
     v = li.select(
-        F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")).alias("title"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("title"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
         F.col("l_returnflag").alias("v_replace"), F.col("l_returnflag").alias("v_skip"), *[F.col("l_quantity").alias(f"v_{o}") for o in ("sum", "average", "max", "min")],
         F.col("l_linenumber").alias("v_multiply"), F.col("l_returnflag").alias("v_concat"),
     )
@@ -143,15 +160,19 @@ def edge_combined_degree(spark: SparkSession, d: str) -> DataFrame:
     return G.combined_degree(edges, G.node_degree(edges))
 
 
-#: A sparse graph: orders tie a customer to another by number.
-SPARSE_SQL = "sparse AS (SELECT DISTINCT least(o_custkey, o_orderkey % 9973) AS source, greatest(o_custkey, o_orderkey % 9973) AS target FROM orders WHERE o_orderkey % 31 = 0 AND o_custkey <> o_orderkey % 9973)"
+#: A sparse graph: every order hangs on its customer, and seven customers are a chain. Orders are numbered below customers.
+SPARSE_SQL = """sparse AS (SELECT DISTINCT -o_orderkey AS source, o_custkey AS target FROM orders
+  UNION SELECT c_custkey, c_custkey + 1 FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey < (SELECT max(c_custkey) FROM customer))"""
 _CC = f"""WITH RECURSIVE {SPARSE_SQL}, n AS (SELECT source AS a, target AS b FROM sparse UNION SELECT target, source FROM sparse),
 r(node, lab) AS (SELECT a, a FROM n UNION SELECT n.b, r.lab FROM r JOIN n ON r.node = n.a), cc AS (SELECT node, min(lab) AS component FROM r GROUP BY node)"""
 
 
 def sparse_graph(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderkey % 31 = 0").select("o_custkey", (F.col("o_orderkey") % 9973).alias("k")).where("o_custkey <> k")
-    return o.select(F.least("o_custkey", "k").alias("source"), F.greatest("o_custkey", "k").alias("target")).distinct()
+    orders = table(spark, d, "orders").select((-F.col("o_orderkey")).alias("source"), F.col("o_custkey").alias("target"))
+    c = table(spark, d, "customer").select("c_custkey")
+    last = F.broadcast(c.agg(F.max("c_custkey").alias("last")))  # a single row
+    chain = c.where("c_custkey % 7 <> 0").join(last, F.col("c_custkey") < F.col("last")).select(F.col("c_custkey").alias("source"), (F.col("c_custkey") + 1).alias("target"))
+    return orders.unionByName(chain).distinct()
 
 
 @query(f"{_CC} SELECT node, component FROM cc")
@@ -166,12 +187,12 @@ def largest_component(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def community_detect(spark: SparkSession, d: str) -> DataFrame:
-    return G.hierarchical_communities(cut(sparse_graph(spark, d)), 10, 2, weight=None)
+    return G.hierarchical_communities(cut(sparse_graph(spark, d)), 10, weight=None, use_lcc=False)
 
 
 @query()
 def node2vec(spark: SparkSession, d: str) -> DataFrame:
-    return G.node_embeddings(cut(sparse_graph(spark, d).where("source < 300")))
+    return G.node_embeddings(cut(sparse_graph(spark, d)))
 
 
 @query(
@@ -305,15 +326,12 @@ def report_local_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def report_prep_substitution(spark: SparkSession, d: str) -> DataFrame:
+    from quillgraph.functions.providers import StaticProvider
+    from quillgraph.operators.extraction import community_reports
+
     contexts = cut(_contexts(spark, d, 60))
     hierarchy = cut(G.community_hierarchy(level_nodes(spark, d)))
-    reports, out = None, None
-    for level in (2, 1, 0):
-        prepared = cut(C.prepare_level(contexts, reports, hierarchy, level, 60))
-        new = prepared.select("level", "community", F.concat(F.lit("report on "), "community").alias("full_content"))
-        reports = new if reports is None else reports.unionByName(new)
-        out = prepared if out is None else out.unionByName(prepared)
-    return out
+    return community_reports(contexts, hierarchy, (2, 1, 0), StaticProvider(["a report", "a second report"]), 60)[0]
 
 
 # -- selections -----------------------------------------------------------------------------------
@@ -386,11 +404,13 @@ def text_units_to_relationships(spark: SparkSession, d: str) -> DataFrame:
 )
 def final_text_units(spark: SparkSession, d: str) -> DataFrame:
     unit = F.md5(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string"))).alias("id")
-    c = chunks(spark, d).select(unit, F.col("chunk").alias("text"), "n_tokens", "document_ids")
-    e = text_units_to_entities(spark, d).select(F.col("id").alias("ke"), F.size("entity_ids").cast("long").alias("n_entities"))
-    r = text_units_to_relationships(spark, d).select(F.col("id").alias("kr"), F.size("relationship_ids").cast("long").alias("n_relationships"))
-    j = c.join(e, F.col("id") == F.col("ke"), "left").join(r, F.col("id") == F.col("kr"), "left").drop("ke", "kr")
-    return j.na.fill(0, ["n_entities", "n_relationships"])
+    names = F.regexp_extract_all("chunk", F.lit(T.ENTITY), F.lit(0))
+    c = chunks(spark, d).select(unit, F.col("chunk").alias("text"), "n_tokens", "document_ids", names.alias("_names"))
+    # Pairs of distinct names, and of a name with itself where a window has it twice.
+    n = F.size(F.array_distinct("_names")).cast("long")
+    twice = F.size(F.array_distinct(F.filter("_names", lambda x, i: F.array_position(F.col("_names"), x) <= i))).cast("long")
+    pairs = F.floor(n * (n - 1) / 2).cast("long") + twice
+    return c.select("id", "text", "n_tokens", "document_ids", n.alias("n_entities"), pairs.alias("n_relationships"))
 
 
 @query(
@@ -403,12 +423,13 @@ def final_text_units(spark: SparkSession, d: str) -> DataFrame:
 def graph_sink_edges(spark: SparkSession, d: str) -> DataFrame:
     from quillgraph.sources.files import index_graph
 
-    m, p = mentions(spark, d), mention_pairs(spark, d)
     unit = F.md5(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")))
-    docs = chunks(spark, d).groupBy("doc_id").agg(F.collect_set(unit).alias("text_unit_ids")).withColumnRenamed("doc_id", "id")
-    e = m.groupBy("doc_id", "chunk_no").agg(F.collect_set(F.md5("name")).alias("entity_ids")).select(unit.alias("id"), "entity_ids")
-    r = p.groupBy("doc_id", "chunk_no").agg(F.collect_set(F.md5(F.concat("source", F.lit("->"), "target"))).alias("relationship_ids")).select(unit.alias("k"), "relationship_ids")
+    held = cut(named_chunks(spark, d).select("doc_id", unit.alias("id"), "names"))
+    docs = held.groupBy("doc_id").agg(F.collect_set("id").alias("text_unit_ids")).withColumnRenamed("doc_id", "id")
+    p = cut(G.pair_counts(held, ["id"], "names").select("id", "source", "target", F.md5(F.concat("source", F.lit("->"), "target")).alias("r")))
+    r = p.groupBy(F.col("id").alias("k")).agg(F.collect_set("r").alias("relationship_ids"))
+    e = held.where(F.size("names") > 0).select("id", F.transform(F.array_distinct("names"), F.md5).alias("entity_ids"))
     units = e.join(r, F.col("id") == F.col("k"), "left").select("id", "entity_ids", "relationship_ids")
-    entities = m.select(F.md5("name").alias("id"), "name").distinct()
-    rel = p.select(F.md5(F.concat("source", F.lit("->"), "target")).alias("id"), "source", "target").distinct()
+    entities = held.select(F.explode("names").alias("name")).distinct().select(F.md5("name").alias("id"), "name")
+    rel = p.select(F.col("r").alias("id"), "source", "target").distinct()
     return index_graph(docs, units, entities, rel)

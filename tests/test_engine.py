@@ -17,6 +17,7 @@ from quillgraph.functions import providers as P
 from quillgraph.functions import text as T
 from quillgraph.functions.session import cut
 from quillgraph.operators import context as C
+from quillgraph.operators import extraction as X
 from quillgraph.operators import graph as G
 from quillgraph.operators import raptor, thoughts
 from quillgraph.operators import relational as R
@@ -393,3 +394,121 @@ def test_entry_imports_without_the_optional_parts(tmp_path, gone):
     assert done.returncode == 0, done.stderr
     n, fits, pipeline = done.stdout.split()
     assert int(n) >= len(QUERIES) and fits == "True" and pipeline == "False"
+
+
+# -- verbs that ask a provider -------------------------------------------------------------------------
+
+
+def test_extraction_and_gleanings(spark):
+    class Glean:
+        def __call__(self, prompt):
+            return '("entity"<|>b<|>X<|>late)' if "left out" in prompt else '("entity"<|>a<|>X<|>first)##("entity"<|>a<|>X<|>again)##("relationship"<|>c<|>a<|>near<|>3)##("relationship"<|>a<|>c<|>near<|>1)##<|COMPLETE|>'
+
+    units = spark.createDataFrame([(1, "t"), (2, None)], "u long, text string")
+    e, r = X.entity_extract(units, "u", "text", Glean(), gleanings=1)
+    got = {(x.u, x.name): (x.type, x.descriptions) for x in e.collect()}
+    assert got[1, "A"] == ("X", ["again", "first"]) and got[1, "B"] == ("X", ["late"]) and got[1, "C"] == (None, [])
+    assert [tuple(x) for x in r.where("u = 1").collect()] == [(1, "A", "C", ["near"], 4.0)]
+    assert X.entity_extract(units, "u", "text", Glean(), types=["y"])[0].where("type is not null").count() == 0
+
+
+def test_summaries_fold_under_the_budget(spark):
+    class Count:
+        def __call__(self, prompt):
+            return f"sum{len(prompt.splitlines()) - 1}"
+
+    rows = spark.createDataFrame([("k", w * 1) for w in ("b b b", "a a a", "c c c", "a a a")] + [("one", "x"), ("none", None), (None, "y")], "k string, d string")
+    got = {r.k: (r.n, r.summary) for r in X.summarize_descriptions(rows, ["k"], "d", Count(), 7).collect()}
+    assert got == {"k": (3, "sum2"), "one": (1, "x"), "none": (0, ""), None: (1, "y")}
+    assert X.summarize_descriptions(rows.limit(0), ["k"], "d", Count()).count() == 0
+
+
+def test_typed_rows_and_lookups(spark):
+    rows = spark.createDataFrame([("1", "a,b", "u-1"), ("2", None, "u2")], "id string, tags string, key string")
+    got = X.typed(rows, {"id": "int"}, {"tags": "array<string>", "rank": "int"}).collect()
+    assert [tuple(r) for r in got] == [(1, ["a", "b"], None), (2, None, None)]
+    with pytest.raises(ValueError):
+        X.typed(rows, {"title": "string"})
+    with pytest.raises(Exception, match="no int"):
+        X.typed(rows, {"key": "int"}).collect()
+    assert X.by_key(rows, "key", ["u1"]).count() == 1 and X.by_key(rows, "key", ["u-2"]).count() == 1
+    assert X.by_attribute(rows.selectExpr("id", "map('k', id) as m"), "m", "k", "2").count() == 1
+
+
+def test_answers_are_kept(spark, tmp_path):
+    folder = str(tmp_path / "cache")
+    prompts = spark.createDataFrame([("p",), ("q",)], "prompt string")
+    _, fresh = P.ask(prompts, "prompt", P.StaticProvider(["yes"]), P.read_cache(spark, folder))
+    P.write_cache(fresh, folder)
+    answers, fresh = P.ask(prompts.union(prompts.limit(0)), "prompt", P.StaticProvider(["no"]), P.read_cache(spark, folder))
+    assert fresh.count() == 0 and {r.answer for r in answers.collect()} == {"yes"}
+
+
+def test_packing_carries_rows_and_state(spark):
+    rows = spark.createDataFrame([(g, i, (i * 7) % 5) for g in (1, 2) for i in range(5000)], "g int, o int, c long").withColumn("extra", F.col("o") * 2)
+    got = C.pack_batches(rows, ["g"], "o", "c", 11).collect()
+    assert len(got) == 10000 and all(r.extra == 2 * r.o for r in got)
+    for g in (1, 2):
+        batch = used = n = 0
+        for r in sorted((r for r in got if r.g == g), key=lambda r: r.o):
+            if n and used + r.c > 11:
+                batch, used, n = batch + 1, 0, 0
+            used, n = used + r.c, n + 1
+            assert r.batch == batch
+    reports = spark.createDataFrame([(1, "t", "c", 1.0, 1.0)] * 2 + [(1, "u", "c", 1.0, 1.0)], "community int, title string, content string, weight double, rank double")
+    assert S.report_batches(reports, 100).count() == 3
+
+
+def test_pair_counts_are_those_of_all_pairs(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b", "b"]), (2, []), (3, ["x"])], "k int, names array<string>")
+    assert sorted(map(tuple, G.pair_counts(rows, ["k"], "names").collect())) == [(1, "a", "b", 3), (1, "b", "b", 3)]
+
+
+def test_json_out_of_answers(spark):
+    rows = [('Sure! ```json\n{"a": "b"}\n``` done',), ('{"a": "b"}',), ('text {"a": "b"} tail',), ('{\\"a\\": \\"b\\"}',), ('{{"a": "b"}}',)]
+    got = spark.createDataFrame(rows, "t string").select(F.from_json(T.clean_json(F.col("t")), "a string")["a"].alias("a")).collect()
+    assert [r.a for r in got] == ["b"] * 5
+
+
+def test_two_stage_and_bounded_clusters(spark, monkeypatch):
+    # Rows by the sign of a coordinate stand for a mixture: the stages are under test, not the fit.
+    def halves(df, id_col, vector, dimensions=1, threshold=0.1, max_clusters=2):
+        at = F.get(vector, F.lit(0))
+        mean = df.agg(F.avg(at)).first()[0]
+        return df.select(id_col, F.when(at > mean, 1).otherwise(0).alias("cluster"))
+
+    monkeypatch.setattr(raptor, "cluster_nodes", halves)
+    df = spark.createDataFrame([(i, [float(i)], "w " * 30) for i in range(32)], "id long, v array<double>, text string")
+    found = raptor.two_stage_clusters(df, "id", "v")
+    assert sorted(r["count"] for r in found.groupBy("cluster").count().collect()) == [8, 8, 8, 8]
+    fine = raptor.bounded_clusters(df, "id", "v", "text", max_tokens=100)
+    assert sorted(r["count"] for r in fine.groupBy("cluster").count().collect()) == [2] * 16 and fine.count() == 32
+    same = raptor.bounded_clusters(df.withColumn("v", F.array(F.lit(1.0))), "id", "v", "text", max_tokens=100)
+    assert same.select("cluster").distinct().count() == 1 and same.count() == 32
+
+
+def test_communities_are_split_until_small(spark):
+    chain = [(i, i + 1) for i in range(24)]
+    edges = spark.createDataFrame(chain, "source long, target long")
+    found = G.hierarchical_communities(edges, 8, weight=None, rounds=3, passes=1)
+    sizes = {}
+    for r in found.collect():
+        sizes.setdefault((r.level, r.community), set()).add(r.node)
+    parents = {r.parent for r in found.collect()}
+    assert all(len(v) <= 8 for (_, c), v in sizes.items() if c not in parents)
+
+
+def test_repeated_rows_get_ids_of_their_own(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "x int, y string")
+    ids = [r.id for r in R.window(VerbInput(rows), "uuid", "id").collect()]
+    assert len(set(ids)) == 3
+
+
+def test_paced_provider():
+    import time
+
+    p = P.Paced(P.StaticProvider(["a b"]), calls_per_minute=6000, tokens_per_minute=60_000)
+    begin = time.monotonic()
+    for _ in range(6):
+        p("one two")
+    assert 0.04 < time.monotonic() - begin < 2
