@@ -67,12 +67,16 @@ def pack_lists(df: DataFrame, keys: Sequence[str], items: str, max_tokens: int)
 # -- conversations -------------------------------------------------------------------------------
 
 
-def qa_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """(conv, qa, question, answer): a user turn opens a group, the turns up to the next one answer it."""
+def qa_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", with_role: bool = False) -> DataFrame:
+    """(conv, qa, question, answer): a user turn opens a group, the turns up to the next one answer it.
+
+    ``with_role`` adds ``role``, that of the first answering turn.
+    """
     w = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     g = turns.withColumn("qa", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w)).where("qa > 0")
     answers = F.array_sort(F.collect_list(F.when(F.col("role") != "user", F.struct(F.col(turn).alias("t"), F.col("text").alias("x")))))
-    return g.groupBy(conv, "qa").agg(F.max(F.when(F.col("role") == "user", F.col("text"))).alias("question"), F.array_join(F.transform(answers, lambda a: a["x"]), "\n").alias("answer"))
+    role = [F.min_by(F.when(F.col("role") != "user", F.col("role")), F.when(F.col("role") != "user", F.col(turn))).alias("role")] if with_role else []
+    return g.groupBy(conv, "qa").agg(F.max(F.when(F.col("role") == "user", F.col("text"))).alias("question"), F.array_join(F.transform(answers, lambda a: a["x"]), "\n").alias("answer"), *role)
 
 
 def last_user_turns(turns: DataFrame, n: int, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -83,10 +87,10 @@ def last_user_turns(turns: DataFrame, n: int, conv: str = "conv_id", turn: str =
 
 def history_context(turns: DataFrame, max_turns: int, budget: int, recency_bias: bool = True, include_answers: bool = True) -> DataFrame:
     """(conv_id, context): question and answer groups within turns and tokens, latest first if biased."""
-    qa = qa_turns(turns)
+    qa = qa_turns(turns, with_role=True)
     line = F.concat(F.lit("user|"), F.col("question"))
     if include_answers:
-        line = F.concat(line, F.when(F.col("answer") != "", F.concat(F.lit("\nassistant|"), F.col("answer"))).otherwise(F.lit("")))
+        line = F.concat(line, F.when(F.col("answer") != "", F.concat(F.lit("\n"), F.col("role"), F.lit("|"), F.col("answer"))).otherwise(F.lit("")))
     qa = qa.withColumn("line", line).withColumn("cost", num_tokens(F.col("line")))
     order = F.desc("qa") if recency_bias else F.asc("qa")
     qa = qa.withColumn("nth", F.row_number().over(Window.partitionBy("conv_id").orderBy(order))).where(F.col("nth") <= max_turns)
@@ -112,6 +116,31 @@ def table_context(df: DataFrame, columns: Sequence[str], order: Sequence, budget
     return kept.agg(lines.alias("_lines"), F.count("*").alias("n_rows")).select(F.lit(name).alias("section"), F.concat(F.lit(f"-----{name}-----\n{header}\n"), F.col("_lines")).alias("context"), "n_rows")
 
 
+def flag_in_context(candidates: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """``candidates`` with ``in_context``: whether a row's key is among the chosen ones."""
+    c = chosen.select(F.col(key).alias("_k")).distinct()
+    return candidates.join(c, F.col(key) == F.col("_k"), "left").withColumn("in_context", F.col("_k").isNotNull()).drop("_k")
+
+
+def levels_of(reports: DataFrame, level: str = "level") -> DataFrame:
+    """(level): the distinct levels, the deepest first, without null."""
+    return reports.where(F.col(level).isNotNull()).select(level).distinct().orderBy(F.desc(level))
+
+
+def touched_by(edges: DataFrame, rows: DataFrame, title: str) -> DataFrame:
+    """Rows whose title is an end of some edge."""
+    ends = edges.select(F.explode(F.array("source", "target")).alias("_end")).distinct()
+    return rows.join(ends, F.col(title) == F.col("_end"), "left_semi")
+
+
+def holding_ids(rows: DataFrame, ids: str, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose array of ids holds some wanted id."""
+    w = wanted.select(F.col(key).alias("_w")).distinct()
+    own = rows.withColumn("_row", F.xxhash64(F.to_json(F.struct(*rows.columns))))
+    hit = own.select("_row", F.explode(ids).alias("_i")).join(w, F.col("_i") == F.col("_w"), "left_semi").select(F.col("_row").alias("_h")).distinct()
+    return own.join(hit, F.col("_row") == F.col("_h"), "left_semi").drop("_row")
+
+
 def community_weights(memberships: DataFrame, units: DataFrame) -> DataFrame:
     """(community, units, weight): distinct text units of a community's entities over the largest such number.
 

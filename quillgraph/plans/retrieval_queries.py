@@ -78,7 +78,7 @@ def text_list_pack(spark: SparkSession, d: str) -> DataFrame:
 # -- conversations -----------------------------------------------------------------------------------
 
 _QA = """g AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS qa FROM conversations),
-q AS (SELECT conv_id, qa, max(text) FILTER (role = 'user') AS question, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role <> 'user'), '') AS answer FROM g WHERE qa > 0 GROUP BY conv_id, qa)"""
+q AS (SELECT conv_id, qa, max(text) FILTER (role = 'user') AS question, arg_min(role, turn) FILTER (role <> 'user') AS role, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role <> 'user'), '') AS answer FROM g WHERE qa > 0 GROUP BY conv_id, qa)"""
 
 
 @query(f"WITH {_QA} SELECT conv_id, qa, question, answer FROM q")
@@ -92,7 +92,7 @@ def user_turns_last_n(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_QA}, l AS (SELECT conv_id, 'user|' || question || CASE WHEN answer <> '' THEN chr(10) || 'assistant|' || answer ELSE '' END AS line, row_number() OVER (PARTITION BY conv_id ORDER BY qa DESC) AS nth FROM q),
+    f"""WITH {_QA}, l AS (SELECT conv_id, 'user|' || question || CASE WHEN answer <> '' THEN chr(10) || role || '|' || answer ELSE '' END AS line, row_number() OVER (PARTITION BY conv_id ORDER BY qa DESC) AS nth FROM q),
     b AS (SELECT *, sum(len(regexp_extract_all(line, '\\S+'))) OVER (PARTITION BY conv_id ORDER BY nth) AS run FROM l WHERE nth <= 3)
     SELECT conv_id, string_agg(line, chr(10) ORDER BY nth) AS context FROM b WHERE run <= 120 GROUP BY conv_id"""
 )
@@ -448,3 +448,23 @@ def neighbors_by_embedding(spark: SparkSession, d: str) -> DataFrame:
     store = _store(spark, d)
     found = G.neighbors_by_embedding(store.select(name.alias("title"), F.col("label").alias("rank")), store.select(name.alias("node"), F.col("vector").alias("embedding")), "e8", 6, ["e9"])
     return found.withColumn("distance", F.round("distance", 6))
+
+
+@query("SELECT l_suppkey, l_partkey, l_suppkey % 9 = 0 AS in_context FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)")
+def in_context_flags(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    chosen = table(spark, d, "supplier").where("s_suppkey % 9 = 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    return C.flag_in_context(pairs, chosen, "l_suppkey")
+
+
+@query("SELECT o_custkey, c_name FROM (SELECT DISTINCT o_custkey FROM orders) JOIN customer ON o_custkey = c_custkey")
+def entities_of_edges(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("source"), F.col("o_custkey").alias("target"))
+    return C.touched_by(o, table(spark, d, "customer"), "c_custkey").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+
+
+@query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 15")
+def tuning_texts(spark: SparkSession, d: str) -> DataFrame:
+    from quillgraph.operators.tuning import choose_texts
+
+    return choose_texts(table(spark, d, "documents").select("doc_id"), "doc_id")

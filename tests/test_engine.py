@@ -19,7 +19,7 @@ from quillgraph.functions.session import cut
 from quillgraph.operators import context as C
 from quillgraph.operators import extraction as X
 from quillgraph.operators import graph as G
-from quillgraph.operators import raptor, thoughts
+from quillgraph.operators import raptor, thoughts, tuning
 from quillgraph.operators import relational as R
 from quillgraph.operators import search as S
 from quillgraph.operators import vectors as V
@@ -27,7 +27,7 @@ from quillgraph.operators.components import connected_components
 from quillgraph.operators.relational import VerbInput
 from quillgraph.plans.registry import QUERIES, SQL
 from quillgraph.plans.workflow import Pipeline, Step, load_config, resolve
-from quillgraph.sources import files
+from quillgraph.sources import files, storage
 
 SF = os.environ.get("QUILLGRAPH_TEST_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -192,9 +192,9 @@ def test_budgets(spark):
 
 
 def test_turns(spark):
-    t = spark.createDataFrame([(1, 0, "assistant", "hi"), (1, 1, "user", "q1"), (1, 2, "user", "q2"), (1, 3, "system", "s"), (1, 4, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    t = spark.createDataFrame([(1, 0, "bot", "hi"), (1, 1, "user", "q1"), (1, 2, "user", "q2"), (1, 3, "system", "s"), (1, 4, "bot", "a")], "conv_id long, turn long, role string, text string")
     assert [tuple(r)[1:] for r in C.qa_turns(t).orderBy("qa").collect()] == [(1, "q1", ""), (2, "q2", "s\na")]
-    assert C.history_context(t, 1, 100).first().context == "user|q2\nassistant|s\na"
+    assert C.history_context(t, 1, 100).first().context == "user|q2\nsystem|s\na"
     assert C.qa_turns(t.limit(0)).count() == 0
 
 
@@ -512,3 +512,58 @@ def test_paced_provider():
     for _ in range(6):
         p("one two")
     assert 0.04 < time.monotonic() - begin < 2
+
+
+# -- storages, tuning ----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["folder", "memory"])
+def test_storages(spark, tmp_path, kind):
+    store = storage.open_storage(kind, spark, str(tmp_path / "s"))
+    assert store.get("a.txt") is None and not store.has("a.txt") and list(store.find("."))== []
+    store.set("a.txt", "é\n1")
+    store.set("in/b-7.txt", "")
+    assert store.get("a.txt") == "é\n1" and store.has("in/b-7.txt") and store.child("in").has("b-7.txt")
+    assert [(n, g) for n, g in store.find(r"b-(?P<n>[0-9]+)\.txt$")] == [("in/b-7.txt", {"n": "7"})]
+    store.delete("a.txt")
+    assert not store.has("a.txt")
+    store.write_table("t", spark.range(3))
+    assert store.read_table("t").count() == 3
+    with pytest.raises(ValueError):
+        storage.open_storage("tape")
+    if kind == "folder":
+        with pytest.raises(ValueError):
+            store.get("../x")
+        assert storage.MemoryStorage(store).get("in/b-7.txt") == ""
+
+
+def test_vector_store(spark, tmp_path):
+    store = storage.open_vector_store("parquet", spark, str(tmp_path / "v"))
+    embed = lambda c: F.array(F.length(c).cast("double"), F.lit(0.0))
+    store.load(spark.createDataFrame([(i, [float(i), 0.0]) for i in range(6)] + [(9, None)], "id int, vector array<double>"))
+    assert [r.id for r in store.by_text("abc", embed, 2).orderBy("nth").collect()] == [3, 2]
+    assert [r.id for r in store.filter_by_id([0, 5]).by_text("abc", embed, 1).collect()] == [5]
+    assert store.by_text(" ", embed, 2).count() == 0
+
+
+def test_prompts_are_fitted_to_a_corpus(spark):
+    chunks = spark.createDataFrame([(i, f"text {i}", [float(i)]) for i in range(30)], "id int, text string, v array<double>")
+    assert [r.id for r in tuning.choose_texts(chunks, "id", "top", 3).collect()] == [0, 1, 2]
+    once = [r.id for r in tuning.choose_texts(chunks, "id", "random", 5).collect()]
+    assert once == [r.id for r in tuning.choose_texts(chunks.repartition(3), "id", "random", 5).collect()] and once != [0, 1, 2, 3, 4]
+    assert {r.id for r in tuning.choose_texts(chunks, "id", "auto", 3, vector="v", subset=30).collect()} <= {13, 14, 15, 16}
+    asked = []
+    found = tuning.describe_corpus(["a", "b"], lambda p: asked.append(p) or f"answer {len(asked)} ")
+    assert list(found) == list(tuning.QUESTIONS) and "answer 1" in asked[2] and "a\n\nb" in asked[0]
+    examples = spark.createDataFrame([(i, "one two", "three") for i in range(5)], "i int, input string, output string")
+    assert tuning.fitting_examples(examples, "i", 10, 17).count() == 2 and tuning.fitting_examples(examples, "i", 10, 5).count() == 1
+    assert tuning.example_block(tuning.fitting_examples(examples, "i", 10, 17)).startswith("Example 1\none two\nOutput\nthree\n\nExample 2")
+
+
+def test_context_helpers(spark):
+    edges = spark.createDataFrame([("a", "b")], "source string, target string")
+    rows = spark.createDataFrame([("a", [1, 2], 1), ("c", [3], None), ("c", [3], None), ("d", [], 2)], "t string, ids array<int>, level int")
+    assert [r.t for r in C.touched_by(edges, rows, "t").collect()] == ["a"]
+    assert sorted(r.t for r in C.holding_ids(rows, "ids", spark.createDataFrame([(3,), (2,)], "k int"), "k").collect()) == ["a", "c", "c"]
+    assert [r.level for r in C.levels_of(rows).collect()] == [2, 1]
+    assert [r.in_context for r in C.flag_in_context(rows, edges.withColumnRenamed("source", "t"), "t").orderBy("t").collect()] == [True, False, False, False]
