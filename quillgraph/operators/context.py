@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from quillgraph.functions.session import cut
 from quillgraph.functions.text import num_tokens
 
 
@@ -110,6 +111,8 @@ def table_context(df: DataFrame, columns: Sequence[str], order: Sequence, budget
     """One row (section, context, n_rows): a header and the rows within the budget, in order."""
     header = "|".join(columns)
     rows = df.withColumn("_line", context_line(columns)).withColumn("_cost", num_tokens(F.col("_line")))
+    if len(columns) > 1:  # every line holds a bar, so a token: what may fit is a top-k, not a sort of all rows
+        rows = rows.orderBy(*order).limit(max(0, min(budget + 1, 1 << 30)))
     kept = within_budget(rows, "_cost", budget, order, header=len(header.split()))
     kept = kept.withColumn("_nth", F.row_number().over(Window.orderBy(*order)))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "_line"))), lambda x: x["_line"]), "\n")
@@ -148,7 +151,9 @@ def community_weights(memberships: DataFrame, units: DataFrame) -> DataFrame:
     """
     u = units.select(F.col("entity").alias("_e"), "unit")
     n = memberships.join(u, F.col("entity") == F.col("_e")).groupBy("community").agg(F.count_distinct("unit").alias("units"))
-    return n.withColumn("weight", F.try_divide(F.col("units"), F.max("units").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    n = cut(n)
+    most = n.agg(F.max("units").alias("_most"))  # a single row
+    return n.join(F.broadcast(most)).select("community", "units", F.try_divide(F.col("units"), F.col("_most")).alias("weight"))
 
 
 def community_matches(memberships: DataFrame, selected: DataFrame) -> DataFrame:

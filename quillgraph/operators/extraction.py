@@ -12,6 +12,7 @@ from quillgraph.functions import text as T
 from quillgraph.functions.providers import Answer, ask
 from quillgraph.functions.session import cut
 from quillgraph.operators import context as C
+from quillgraph.operators.relational import VerbInput, verb
 from quillgraph.operators.vectors import reconstitute
 
 #: Stands for the text in a prompt.
@@ -198,3 +199,43 @@ def token_account(answers: DataFrame, prompt: str, answer: str, by: Sequence[str
     """(by, calls, prompt_tokens, answer_tokens) of distinct prompts that were answered."""
     d = answers.where(F.col(answer).isNotNull()).select(*by, prompt, answer).distinct()
     return d.groupBy(*by).agg(F.count("*").alias("calls"), F.sum(T.num_tokens(F.col(prompt))).alias("prompt_tokens"), F.sum(T.num_tokens(F.col(answer))).alias("answer_tokens"))
+
+
+# -- as verbs of workflows ---------------------------------------------------------------------------
+
+
+@verb("entity_extract")
+def entity_extract_verb(t: VerbInput, column: str, id_column: str, provider: Answer, to: str = "entities", prompt: str = PROMPT, gleanings: int = 0, entity_types: Sequence[str] | None = None) -> DataFrame:
+    """The entities, or the relationships, of a table's texts."""
+    if to not in ("entities", "relationships"):
+        raise ValueError(f"unknown output {to!r}")
+    return entity_extract(t.source, id_column, column, provider, prompt, gleanings, entity_types)[to == "relationships"]
+
+
+@verb("extract_covariates")
+def extract_covariates_verb(t: VerbInput, column: str, id_column: str, provider: Answer, covariate_type: str = "claim", prompt: str = PROMPT, gleanings: int = 0) -> DataFrame:
+    return extract_covariates(t.source, id_column, column, provider, covariate_type, prompt, gleanings)
+
+
+@verb("summarize_descriptions")
+def summarize_descriptions_verb(t: VerbInput, keys: Sequence[str], column: str, provider: Answer, max_tokens: int = 4000) -> DataFrame:
+    return summarize_descriptions(t.source, list(keys), column, provider, max_tokens)
+
+
+@verb("text_embed")
+def text_embed_verb(t: VerbInput, column: str, id_column: str, embed: Callable[[Column], Column], to: str = "embedding", max_tokens: int = 8191, batch_rows: int = 16) -> DataFrame:
+    """The table with a vector per row, null where a text has no tokens."""
+    made = text_embed(t.source, id_column, column, embed, max_tokens, batch_rows)[0].select(F.col(id_column).alias("_k"), F.col("embedding").alias(to))
+    return t.source.join(made, F.col(id_column) == F.col("_k"), "left").drop("_k")
+
+
+@verb("chunk")
+def chunk_verb(t: VerbInput, column: str, id_column: str, keys: Sequence[str] | None = None, size: int = 300, overlap: int = 100) -> DataFrame:
+    """Token windows of the texts of each group (of each row, without ``keys``)."""
+    return T.token_windows(t.source, list(keys or [id_column]), column, id_column, size, overlap)
+
+
+@verb("create_community_reports")
+def community_reports_verb(t: VerbInput, provider: Answer, levels: Sequence[int], budget: int = 8000, prompt: str = PROMPT) -> DataFrame:
+    """Reports of the communities whose contexts are the source and whose hierarchy is the other table."""
+    return community_reports(t.source, t.others[0], levels, provider, budget, prompt)[1]

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as T
 from quillgraph.functions.session import cut
 from quillgraph.operators.context import within_budget
-from quillgraph.operators.vectors import knn
+from quillgraph.operators.relational import enumerate_rows
+from quillgraph.operators.vectors import distances, knn
 
 def split_texts(df: DataFrame, id_col: str, text: str, max_tokens: int = 100) -> DataFrame:
     """(id, nth, chunk, n_tokens): sentences packed in order into chunks of ``max_tokens`` at most.
@@ -191,9 +192,10 @@ def tree_descent(nodes: DataFrame, edges: DataFrame, query: DataFrame, start_lay
     """(layer, idx, distance): the chosen nodes of each layer, children of the layer above's choice."""
     current, out = nodes.where(F.col("layer") == start_layer), None
     for layer in range(start_layer, max(start_layer - layers, -1), -1):
-        near = knn(current.select("idx", "embedding"), query, top_k if threshold is None else 1 << 20, metric, "idx", "embedding")
-        if threshold is not None:
-            near = near.where(F.col("distance") > threshold)
+        if threshold is None:
+            near = knn(current.select("idx", "embedding"), query, top_k, metric, "idx", "embedding")
+        else:
+            near = distances(current.select("idx", "embedding"), query, metric, "idx", "embedding").where(F.col("distance") > threshold)
         chosen = cut(near.select(F.lit(layer).alias("layer"), "idx", "distance"))
         out = chosen if out is None else out.unionByName(chosen)
         below = edges.join(chosen.select(F.col("idx").alias("_p")), F.col("parent") == F.col("_p")).select(F.col("child").alias("_c")).distinct()
@@ -219,10 +221,12 @@ class TextTree:
 
     def add_documents(self, docs: DataFrame, id_col: str, text: str, max_tokens: int = 100, **how) -> None:
         chunks = split_texts(docs, id_col, text, max_tokens)
-        leaves = chunks.withColumn("idx", F.row_number().over(Window.orderBy(id_col, "nth")).cast("long") - 1).select("idx", F.col("chunk").alias("text"))
+        leaves = enumerate_rows(chunks, "idx", [id_col, "nth"]).select("idx", F.col("chunk").alias("text"))
         self.nodes, self.edges = build_tree(leaves, self.embed, self.summarize, **how)
 
     def retrieve(self, question: str, top_k: int = 10, max_tokens: int = 3500, collapse: bool = True) -> DataFrame:
+        if top_k < 1 or max_tokens < 1:
+            raise ValueError("top_k and max_tokens must be positive")
         q = self.nodes.sparkSession.createDataFrame([(0, question)], "query_id int, q string").select("query_id", self.embed(F.col("q")).alias("query_vector"))
         if collapse:
             return collapsed_retrieval(self.nodes, q, top_k, max_tokens)

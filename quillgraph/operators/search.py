@@ -67,7 +67,8 @@ def reduce_points(points: DataFrame, max_tokens: int) -> DataFrame:
     """(place, batch, description, score, line): points of positive score, best first, within the budget."""
     order = [F.desc("score"), "batch", "description"]
     p = points.where("score > 0").withColumn("line", F.concat(F.lit("----Analyst "), (F.col("batch") + 1).cast("string"), F.lit("----\nImportance Score: "), F.col("score").cast("string"), F.lit("\n"), F.col("description")))
-    p = p.withColumn("cost", T.num_tokens(F.col("line"))).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    # Every line costs a token or more: what may fit is a top-k, not a sort of all points.
+    p = p.withColumn("cost", T.num_tokens(F.col("line"))).orderBy(*order).limit(min(max_tokens + 1, 1 << 30)).withColumn("place", F.row_number().over(Window.orderBy(*order)))
     return C.within_budget(p, "cost", max_tokens, ["place"]).select("place", "batch", "description", "score", "line")
 
 

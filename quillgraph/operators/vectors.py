@@ -33,29 +33,36 @@ def distance(a: Column, b: Column, metric: str) -> Column:
     return made[metric]()
 
 
-def knn(store: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector", max_queries: int = 1000) -> DataFrame:
-    """(query_id, id, distance, score, nth): each query's k nearest rows, ties to the smaller id.
+def distances(store: DataFrame, queries: DataFrame, metric: str = "l2", id_col: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector", max_queries: int = 1000) -> DataFrame:
+    """(query_id, id, distance) of every query and row, where the row lies; nothing is shuffled.
 
-    The stated queries, at most ``max_queries``, go with the plan; every store row meets them where
-    it lies. The window's group limit keeps k rows a task and query before the shuffle. Rows without
-    a vector take no part. The score is 1 - |distance|.
+    The stated queries, at most ``max_queries``, go with the plan. Rows without a vector take no part.
     """
     held = queries.select(F.col(query_id), F.col(query_vector)).where(F.col(query_vector).isNotNull()).limit(max_queries + 1).collect()
     if len(held) > max_queries:
         raise ValueError(f"more than {max_queries} queries: search them in blocks")
     base = store.where(F.col(vector).isNotNull())
     if not held:
-        return base.select(F.lit(None).alias(query_id), id_col, F.lit(0.0).alias("distance"), F.lit(0.0).alias("score"), F.lit(0).alias("nth")).limit(0)
+        return base.select(F.lit(None).alias(query_id), id_col, F.lit(0.0).alias("distance")).limit(0)
     array = F.array(*[F.struct(F.lit(r[0]).alias("q"), F.array(*[F.lit(float(x)) for x in r[1]]).alias("v")) for r in held])
     pairs = base.select(F.col(id_col), F.col(vector), F.explode(array).alias("_q"))
-    rows = pairs.select(F.col("_q.q").alias(query_id), id_col, distance(F.col(vector), F.col("_q.v"), metric).alias("distance"))
+    return pairs.select(F.col("_q.q").alias(query_id), id_col, distance(F.col(vector), F.col("_q.v"), metric).alias("distance"))
+
+
+def knn(store: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector", max_queries: int = 1000) -> DataFrame:
+    """(query_id, id, distance, score, nth): each query's k nearest rows, ties to the smaller id.
+
+    The window's group limit keeps k rows a task and query before the shuffle. The score is
+    1 - |distance|.
+    """
+    rows = distances(store, queries, metric, id_col, vector, query_id, query_vector, max_queries)
     best = Window.partitionBy(query_id).orderBy("distance", id_col)
     return rows.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).withColumn("score", F.lit(1.0) - F.abs("distance")).select(query_id, id_col, "distance", "score", "nth")
 
 
-def within_threshold(distances: DataFrame, threshold: float, similarity: bool = False) -> DataFrame:
+def within_threshold(found: DataFrame, threshold: float, similarity: bool = False) -> DataFrame:
     """Rows with a distance above the threshold (as first defined), or at most it with ``similarity``."""
-    return distances.where(F.col("distance") <= threshold if similarity else F.col("distance") > threshold)
+    return found.where(F.col("distance") <= threshold if similarity else F.col("distance") > threshold)
 
 
 def centroid(df: DataFrame, keys: list[str], vector: str, weight: str | None = None) -> DataFrame:

@@ -178,8 +178,7 @@ def knn_prefilter(spark: SparkSession, d: str) -> DataFrame:
 def knn_threshold(spark: SparkSession, d: str) -> DataFrame:
     store = _store(spark, d)
     q = store.where("id = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-    near = V.knn(store, q, 1 << 20, "l2")
-    return V.within_threshold(near, 1.2, similarity=True).select("id", F.round("distance", 6).alias("distance"))
+    return V.within_threshold(V.distances(store, q, "l2"), 1.2, similarity=True).select("id", F.round("distance", 6).alias("distance"))
 
 
 @query(

@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.operators import extraction  # noqa: F401  (registers its verbs)
 from quillgraph.operators.relational import VERBS, Verb, VerbInput
 from quillgraph.sources.files import emit
 

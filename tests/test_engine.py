@@ -567,3 +567,19 @@ def test_context_helpers(spark):
     assert sorted(r.t for r in C.holding_ids(rows, "ids", spark.createDataFrame([(3,), (2,)], "k int"), "k").collect()) == ["a", "c", "c"]
     assert [r.level for r in C.levels_of(rows).collect()] == [2, 1]
     assert [r.in_context for r in C.flag_in_context(rows, edges.withColumnRenamed("source", "t"), "t").orderBy("t").collect()] == [True, False, False, False]
+
+
+def test_provider_verbs_run_in_workflows(spark, tmp_path):
+    provider = P.MentionProvider()
+    steps = [
+        {"verb": "chunk", "args": {"column": "text", "id_column": "id", "size": 4, "overlap": 0}},
+        {"verb": "entity_extract", "args": {"column": "chunk", "id_column": "id", "provider": provider}},
+        {"verb": "unroll", "args": {"column": "descriptions"}},
+        {"verb": "summarize_descriptions", "args": {"keys": ["name"], "column": "descriptions", "provider": P.StaticProvider(["both"])}},
+    ]
+    docs = spark.createDataFrame([(1, "Ada met Bob"), (2, "Bob left")], "id long, text string")
+    done = list(Pipeline(spark, str(tmp_path)).run([{"name": "w", "steps": steps}], docs))
+    assert not done[-1].errors, done[-1].errors
+    assert sorted((r.name, r.n) for r in done[-1].table.collect()) == [("ADA", 1), ("BOB", 1)]
+    out = X.text_embed_verb(VerbInput(docs.unionByName(docs.limit(0).selectExpr("id", "text")).withColumn("e", F.lit(1))), "text", "id", lambda c: F.array(F.length(c).cast("double")))
+    assert sorted((r.id, r.embedding) for r in out.collect()) == [(1, [11.0]), (2, [8.0])]
