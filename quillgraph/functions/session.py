@@ -75,13 +75,22 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and drop its lineage (survives lost executors)."""
+def cut(df: DataFrame, in_loop: bool = False) -> DataFrame:
+    """Materialise ``df`` in the shared folder and drop its lineage (survives lost executors).
+
+    A checkpoint keeps the optimizer's estimate of its size, and a join's estimate is the product of
+    its sides'. In a loop of joins the digits of that product would double in every round, until
+    planning takes minutes; ``in_loop`` forgets the estimate, and joins are chosen when they run.
+    """
     spark = df.sparkSession
     folder = shared_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    if not in_loop:
+        return done
+    rows = done._jdf.queryExecution().logical().rdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
 
 
 def release(spark: SparkSession) -> None:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.functions.session import cut
+from quillgraph.functions.session import cut as cut_once
 from quillgraph.operators.skew import SHARES, look_up
 
+cut = partial(cut_once, in_loop=True)
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) of every endpoint; the component is its smallest node.

@@ -136,9 +136,9 @@ def _move(edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
     ``nodes`` is (node, k). Half of the nodes, by a hash of node and round, move in a round, so two
     neighbours do not swap for ever; ties go to the smaller community. Rounds end when nothing moves.
     """
-    both = cut(edges.select(F.col("a"), F.col("b"), "w").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    both = cut(edges.select(F.col("a"), F.col("b"), "w").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), in_loop=True)
     total = nodes.agg(F.coalesce(F.sum("k"), F.lit(0.0))).first()[0]
-    state = cut(nodes.select("node", "k", F.col("node").alias("community")))
+    state = cut(nodes.select("node", "k", F.col("node").alias("community")), in_loop=True)
     if not total:
         return state.select("node", "community")
     quiet = 0
@@ -156,7 +156,7 @@ def _move(edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
         choice = F.array_min(F.transform(F.filter("all", lambda x: x["gain"] == F.col("top.gain")), lambda x: x["c"]))
         turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
         moved = best.select(F.col("node").alias("mn"), F.when(turn & (F.col("top.gain") > F.col("here")), choice).otherwise(F.col("own")).alias("to"))
-        new = cut(state.join(moved, F.col("node") == F.col("mn"), "left").select("node", "k", F.coalesce("to", "community").alias("community"), (F.coalesce("to", "community") != F.col("community")).cast("int").alias("moved")))
+        new = cut(state.join(moved, F.col("node") == F.col("mn"), "left").select("node", "k", F.coalesce("to", "community").alias("community"), (F.coalesce("to", "community") != F.col("community")).cast("int").alias("moved")), in_loop=True)
         changed = new.agg(F.coalesce(F.sum("moved"), F.lit(0))).first()[0]
         state = new.drop("moved")
         quiet = quiet + 1 if not changed else 0
