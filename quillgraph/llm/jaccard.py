@@ -16,9 +16,11 @@ Which shingles count as often seen only changes the order, never the result.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.session import cut, narrow_batches, release
@@ -32,11 +34,12 @@ PERCENT = 75
 HOT_TOKENS = 131_072
 #: Tokens counted at a time while looking for them.
 COUNT_TOKENS = 1 << 20
-#: Members of a family handled together; a larger family is cut into tiles and every pair of tiles is joined.
+#: Members of a family handled together; a larger family is cut into tiles (see ``group_links``).
 TILE = 256
-#: Documents to compare whose ids may be broadcast (16 bytes each); beyond it their texts are shuffled.
-BROADCAST_DOCS = 1_000_000
+#: Documents to compare, with their places, that may be broadcast (64 bytes each at most); beyond it their texts are shuffled.
+BROADCAST_DOCS = 500_000
 
+_cut = partial(cut, in_loop=True)
 _HOT = np.uint64(1 << 63)
 _PARTS = 8
 _BUCKET = np.log(1.06)
@@ -366,7 +369,11 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int
 
 
 def _tile_links(find):
-    """Worker over rows (fam, i, j, c, half, n, payload) sorted by tile pair; gives links of classes."""
+    """Worker over rows (fam, i, j, c, half, n, payload) sorted by tile pair; gives (fam, src, dst).
+
+    ``find`` gives links that span the components of a tile pair; each member of one is linked with
+    the component's smallest class.
+    """
 
     def run(batches):
         key, held, out = None, {}, []
@@ -375,10 +382,20 @@ def _tile_links(find):
             if len(held) > 1:
                 cs = list(held)
                 side = None if key[1] == key[2] else np.array([held[c][0] for c in cs])
-                out.extend((cs[p], cs[q]) for p, q in find([held[c][1] for c in cs], [held[c][2] for c in cs], side))
+                root = list(range(len(cs)))
+
+                def top(x):
+                    while root[x] != x:
+                        root[x] = x = root[root[x]]
+                    return x
+
+                for p, q in find([held[c][1] for c in cs], [held[c][2] for c in cs], side):
+                    x, y = top(p), top(q)
+                    root[x if cs[x] > cs[y] else y] = y if cs[x] > cs[y] else x
+                out.extend((key[0], c, cs[top(k)]) for k, c in enumerate(cs) if top(k) != k)
 
         def pack():
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1, 2)], names=["fam", "src", "dst"])
 
         for batch in batches:
             fam, i, j, c, half, n = (batch.column(k).to_pylist() for k in range(6))
@@ -407,43 +424,116 @@ def _by_set(_, sets, side):
     return linked(sets, side)
 
 
-def in_tiles(groups: DataFrame) -> DataFrame:
-    """(fam, i, j, c, half) of (fam, c): every two members of a group meet in one tile pair.
+def _dealt(rows: DataFrame, find) -> DataFrame:
+    dealt = rows.select("fam", "i", "j", "c", "half", "n", "payload").repartition("fam", "i", "j").sortWithinPartitions("fam", "i", "j")
+    return dealt.mapInArrow(_tile_links(find), "fam long, src long, dst long")
 
-    A group of more than TILE members is dealt over tiles by a hash, so no task holds it whole. The
-    sizes are materialised first: Spark can then split a large group's side of the join.
+
+def _in_own_tile(members: DataFrame, per: DataFrame, salt: int) -> DataFrame:
+    """(fam, i, j, c, half): the members of (fam, c), each in one tile of its group; ``per`` is (k, m).
+
+    ``per`` is materialised: Spark can then split a large group's side of the join.
     """
-    per = groups.groupBy("fam").agg(F.count("*").alias("m")).where("m > 1").select(F.col("fam").alias("k"), F.ceil(F.col("m") / TILE).cast("int").alias("g"))
-    placed = groups.join(cut(per), F.col("fam") == F.col("k")).select("fam", "c", "g", F.pmod(F.xxhash64("c"), F.col("g")).cast("int").alias("tile"))
-    other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
-    return placed.select("fam", "c", "tile", other.alias("o")).select(
-        "fam", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "c", F.when(F.col("tile") > F.col("o"), 1).otherwise(0).alias("half")
-    )
+    tile = F.pmod(F.xxhash64("c", F.lit(salt)), F.ceil(F.col("m") / TILE)).cast("int")
+    placed = members.join(per, F.col("fam") == F.col("k")).select("fam", "c", tile.alias("i"))
+    return placed.select("fam", "i", F.col("i").alias("j"), "c", F.lit(0).alias("half"))
 
 
-def _links_in_tiles(rows: DataFrame, find) -> DataFrame:
-    dealt = rows.select("fam", "i", "j", "c", "half", "n", "payload").repartition("fam", "i", "j").sortWithinPartitions("fam", "i", "j")
-    return dealt.mapInArrow(_tile_links(find), "src long, dst long")
+def group_links(groups: DataFrame, rows_of, table_of, find) -> DataFrame:
+    """(src, dst): links that span, with each other, all pairs of a group of (fam, c) that ``find`` accepts.
+
+    A group of more than TILE members is dealt over tiles by a hash, so no task holds it whole. Tiles
+    are first joined in themselves; then one class for each component is dealt anew, as long as that
+    joins components. What is still apart after that has all pairs of its tiles compared, but two
+    tiles of one component never are. So a group of near copies, however large, costs time linear in
+    it, and a group that falls apart costs what its components have between them.
+
+    ``rows_of`` adds size and payload to the rows of tiles, ``table_of`` gives them as (k, n, payload)
+    for classes that are needed several times.
+    """
+    per = _cut(groups.groupBy("fam").agg(F.count("*").alias("m")).where("m > 1").select(F.col("fam").alias("k"), "m"))
+    links = _cut(_dealt(rows_of(_in_own_tile(groups, per, 0)), find))
+    large = per.where(F.col("m") > TILE).select("k")
+    if large.isEmpty():
+        return links.select("src", "dst")
+    members = _cut(groups.join(large, F.col("fam") == F.col("k"), "left_semi"))
+    table = _cut(table_of(members.select("c").distinct()))
+    held = lambda tiles: tiles.join(table, F.col("c") == F.col("k"))
+
+    def joined(state: DataFrame, by: str, more: DataFrame) -> DataFrame:
+        step = _cut(more.select(F.col("fam").alias("f"), "src", "dst"))
+        to = F.coalesce("dst", by).alias("root")
+        return _cut(state.join(step, (F.col("fam") == F.col("f")) & (F.col(by) == F.col("src")), "left").select("fam", "c", to))
+
+    state = joined(members, "c", links)
+    before = None
+    for salt in range(1, 40):
+        roots = _cut(state.select("fam", F.col("root").alias("c")).distinct())
+        apart = _cut(roots.groupBy("fam").agg(F.count("*").alias("m")).where("m > 1").select(F.col("fam").alias("k"), "m"))
+        size = apart.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.coalesce(F.max("m"), F.lit(0)).alias("most")).first()
+        if not size["n"]:
+            return links.select("src", "dst")
+        if before is not None and size["n"] > 0.8 * before:
+            break
+        before = size["n"]
+        more = _cut(_dealt(held(_in_own_tile(roots, apart, salt)), find))
+        links = links.unionByName(more)
+        state = joined(state, "root", more)
+        if size["most"] <= TILE:
+            break
+    # Tiles of one component, and mixed ones of the small components.
+    many = state.groupBy("fam", "root").agg(F.count("*").alias("s"))
+    rest = many.groupBy("fam").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("s") < TILE, F.col("s")).otherwise(0)).alias("small")).where("roots > 1")
+    many = _cut(many.join(rest, "fam").select(F.col("fam").alias("f"), F.col("root").alias("r"), "s", "small"))
+    if many.isEmpty():
+        return links.select("src", "dst")
+    part = lambda x, n: F.pmod(F.xxhash64(x), F.greatest(F.ceil(n / TILE), F.lit(1))).cast("string")
+    own = F.when(F.col("s") >= TILE, F.col("root").cast("string"))
+    key = F.concat_ws("/", F.coalesce(own, F.lit("mixed")), F.when(F.col("s") >= TILE, part("c", F.col("s"))).otherwise(part("root", F.col("small"))))
+    placed = _cut(state.join(many, (F.col("fam") == F.col("f")) & (F.col("root") == F.col("r"))).select("fam", "c", own.alias("own"), key.alias("key")))
+    number = F.row_number().over(Window.partitionBy("fam").orderBy("key")).cast("int")
+    tiles = _cut(placed.select("fam", "own", "key").distinct().select("fam", "own", "key", number.alias("no")))
+    a, b = (tiles.select(F.col("fam").alias(f"f{x}"), F.col("own").alias(f"own{x}"), F.col("key").alias(f"key{x}"), F.col("no").alias(x)) for x in "ij")
+    pairs = _cut(a.join(b, (F.col("fi") == F.col("fj")) & (F.col("i") <= F.col("j"))).where("owni is null or ownj is null or owni <> ownj"))
+    left = placed.join(pairs, (F.col("fam") == F.col("fi")) & (F.col("key") == F.col("keyi"))).select("fam", "i", "j", "c", F.lit(0).alias("half"))
+    right = placed.join(pairs.where("i < j"), (F.col("fam") == F.col("fj")) & (F.col("key") == F.col("keyj"))).select("fam", "i", "j", "c", F.lit(1).alias("half"))
+    return links.unionByName(_dealt(held(left.unionByName(right)), find)).select("src", "dst")
 
 
 def candidate_groups(sets: DataFrame) -> DataFrame:
     """(fam, c): classes connected by pairs that the signature trees cannot rule out."""
-    tiles = in_tiles(cut(families(sets)))
-    release(sets.sparkSession)
     bits = sets.where("bits is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("bits").alias("payload")).select(F.col("c").alias("k"), "n", "payload")
-    pairs = cut(_links_in_tiles(tiles.join(bits, F.col("c") == F.col("k")), _by_signature))
+    groups = cut(families(sets))
+    release(sets.sparkSession)
+    some = lambda classes: bits.join(classes, F.col("k") == F.col("c"), "left_semi")
+    pairs = cut(group_links(groups, lambda tiles: tiles.join(bits, F.col("c") == F.col("k")), some, _by_signature))
     return connected_components(pairs).select(F.col("component").alias("fam"), F.col("node").alias("c"))
 
 
 def class_links(docs: DataFrame, sets: DataFrame, seed: int, hot: np.ndarray) -> DataFrame:
     """(src, dst): exact links that span the components of the classes."""
-    tiles = in_tiles(cut(candidate_groups(sets)))
+    groups = cut(candidate_groups(sets))
     release(docs.sparkSession)
     reps = sets.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep")).select(F.col("c").alias("kc"), "rep")
-    wanted = tiles.join(reps, F.col("c") == F.col("kc")).groupBy("rep", "c").agg(F.collect_list(F.struct("fam", "i", "j", "half")).alias("places"))
+
+    def rows_of(tiles: DataFrame) -> DataFrame:
+        return _full_sets(docs, tiles.join(reps, F.col("c") == F.col("kc")), seed, hot)
+
+    def table_of(classes: DataFrame) -> DataFrame:
+        places = classes.select(F.lit(0).cast("long").alias("fam"), F.lit(0).alias("i"), F.lit(0).alias("j"), "c", F.lit(0).alias("half"))
+        full = rows_of(places).select(F.col("c").alias("k"), "n", "payload")
+        return full.groupBy("k").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))
+
+    return group_links(groups, rows_of, table_of, _by_set)
+
+
+def _full_sets(docs: DataFrame, tiles: DataFrame, seed: int, hot: np.ndarray) -> DataFrame:
+    """(fam, i, j, c, half, n, payload): the sets of the classes of tiles, read from the class's document ``rep``."""
+    wanted = tiles.groupBy("rep", "c").agg(F.collect_list(F.struct("fam", "i", "j", "half")).alias("places"))
     wanted = cut(wanted.where("rep is not null"))
     size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("places")), F.lit(0)).alias("places")).first()
-    small = size["n"] <= BROADCAST_DOCS and size["places"] <= 4 * BROADCAST_DOCS
+    # An id and a place are numbers: 64 bytes a row bound what is broadcast.
+    small = size["n"] + size["places"] <= BROADCAST_DOCS
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("rep"))
     names = ["fam", "i", "j", "c", "half", "n", "payload"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
@@ -471,8 +561,7 @@ def class_links(docs: DataFrame, sets: DataFrame, seed: int, hot: np.ndarray) ->
 
         return each
 
-    full = map_batches(texts, ["text", "c", "places"], make, "fam long, i int, j int, c long, half int, n long, payload binary")
-    return _links_in_tiles(full, _by_set)
+    return map_batches(texts, ["text", "c", "places"], make, "fam long, i int, j int, c long, half int, n long, payload binary")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -492,8 +581,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             break
     else:
         raise RuntimeError("different sets share a class key under every seed")
-    links = cut(class_links(docs, sets, seed, hot))
-    comp = connected_components(links)
+    comp = connected_components(cut(class_links(docs, sets, seed, hot)))
     classes = sets.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     named = classes.join(comp.withColumnRenamed("node", "k"), F.col("c") == F.col("k"), "left").select("c", "least", F.coalesce("component", "c").alias("root"))
     named = cut(named)

@@ -58,6 +58,27 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, tile, hot):
     assert got == plain(rows)
 
 
+def test_a_large_group_of_near_copies_costs_no_pairs_of_tiles(spark, monkeypatch):
+    """Tiles of one component are not compared, and what lies between components is."""
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(600)]
+    base = [r.choice(words) for _ in range(200)]
+    rows = []
+    for i in range(60):  # near copies of one text; each differs in its own place
+        text = base[:]
+        text[3 * i] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    half = base[:130] + [f"y{k}" for k in range(70)]
+    rows += [(100 + i, " ".join([*half[:-1], f"z{i}"])) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(J, "TILE", 5)
+    monkeypatch.setattr(J, "HOT_TOKENS", 8)
+    seen, dealt = [], J._dealt
+    monkeypatch.setattr(J, "_dealt", lambda rows, find: seen.append(rows.count()) or dealt(rows, find))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(docs).collect()} == plain(rows)
+    assert max(seen) < 10 * len(rows)
+
+
 def test_texts_are_joined_where_ids_are_too_many(spark, monkeypatch):
     monkeypatch.setattr(J, "BROADCAST_DOCS", 0)
     rows = corpus(9, 60)
