@@ -48,9 +48,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         return alone.select("node", F.col("node").alias("component"))
     labels = steps[0].select("node", F.col("up").alias("root"))
     for up in steps[1:]:
-        labels = labels.join(up.select(F.col("node").alias("k"), "up"), F.col("root") == F.col("k"), "left").select("node", F.coalesce("up", "root").alias("root"))
-    labels = cut(labels)
-    # Materialised, so that Spark can split a large component's side of the join.
+        labels = look_up(labels, "root", up.select(F.col("node").alias("k"), "up"), "k", how="left")
+        labels = cut(labels.select("node", F.coalesce("up", "root").alias("root")))
     least = cut(labels.groupBy("root").agg(F.min("node").alias("component")).select(F.col("root").alias("kr"), "component"))
-    found = labels.join(least, F.col("root") == F.col("kr")).select(F.col("node").alias("k"), "component")
+    found = look_up(labels, "root", least, "kr").select(F.col("node").alias("k"), "component")
     return alone.join(found, F.col("node") == F.col("k"), "left").select("node", F.coalesce("component", "node").alias("component"))
