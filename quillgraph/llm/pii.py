@@ -298,6 +298,27 @@ def _one_entity(kind: str, text: str) -> bool:
     return kind in MOST_DIGITS and sum(len(m.group()) for m in _DIGITS.finditer(text)) <= MOST_DIGITS[kind]
 
 
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """The stretch without punctuation at its ends; brackets stay whose partner lies inside, unless they enclose all."""
+    partner, opened = {}, []
+    for i in range(a, b):
+        if text[i] in "([{<":
+            opened.append(i)
+        elif text[i] in ")]}>" and opened and "([{<".index(text[opened[-1]]) == ")]}>".index(text[i]):
+            partner[i] = opened[-1]
+            partner[opened.pop()] = i
+    while a < b:
+        if partner.get(a) == b - 1 and text[a] in "([{<":
+            a, b = a + 1, b - 1
+        elif text[a] in _EDGE and partner.get(a, -1) < a:
+            a += 1
+        elif text[b - 1] in _EDGE and partner.get(b - 1, -1) < a:
+            b -= 1
+        else:
+            break
+    return a, b
+
+
 def _tag(texts: list[str], weights) -> list[tuple[list, list]]:
     graph, held, out = Graph(), [], []
     for text in texts:
@@ -329,15 +350,13 @@ def _tag(texts: list[str], weights) -> list[tuple[list, list]]:
             if k == _O or evidence[i] or p[first + i, k] < BELIEF:
                 run = None
                 continue
-            core = text[a:b]
-            lead = len(core) - len(core.lstrip(_EDGE))
-            core = core.strip(_EDGE)
+            # Edges go from the whole of a run: a bracket opened by its first token may close in a later one.
             if run and run[2] == LABELS[k] and spans[i - 1][1] + 1 == a and _one_entity(run[2], text[run[0] : b]):
-                run = (run[0], a + lead + len(core), run[2])
-                added[-1] = run
+                run = (run[0], b, run[2])
+                added[-1] = (*_trimmed(text, run[0], b), run[2])
             else:
-                run = (a + lead, a + lead + len(core), LABELS[k])
-                added.append(run)
+                run = (a, b, LABELS[k])
+                added.append((*_trimmed(text, a, b), run[2]))
         out.append((base, in_order(base + added, PII_KINDS)))
     return out
 

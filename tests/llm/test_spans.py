@@ -86,6 +86,12 @@ def test_numbers_side_by_side_stay_apart():
     assert found.count(card) == 2 and "(442) 555-2960" in found
 
 
+def test_edges_of_a_run():
+    cut = lambda t: t[slice(*pii._trimmed(t, 0, len(t)))]
+    assert cut("(442) 555-2960,") == "(442) 555-2960" and cut("(john.smith).") == "john.smith" and cut("442) 555") == "442) 555"
+    assert cut("((a) b)") == "(a) b" and cut("[5 (442)]") == "5 (442)" and cut("(12") == "12" and cut("12)!") == "12" and cut("(<>)") == "" and cut("") == ""
+
+
 def test_marginals_are_exact_on_chains():
     """Sum-product on a tree gives the marginals that adding up all labellings gives."""
     rng = np.random.default_rng(2)
