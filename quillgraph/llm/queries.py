@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm.ball_tree import OP10_SQL, op10_ball_tree_top_k
 from quillgraph.llm.decontaminate import op6_simhash_leaks
+from quillgraph.llm.fill_middle import OP13_SQL, op13_fill_in_middle
 from quillgraph.llm.html_extract import op4_wrapper_extract
 from quillgraph.llm.jaccard import op8_jaccard_components
 from quillgraph.llm.langid import op3_subword_language
@@ -28,5 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_components": op8_jaccard_components,
     "op9_url_verdicts": op9_url_verdicts,
     "op10_ball_tree_top_k": op10_ball_tree_top_k,
+    "op13_fill_in_middle": op13_fill_in_middle,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_weighted_fair_mix": OP2_SQL,
+    "op5_warc_revisits": OP5_SQL,
+    "op9_url_verdicts": OP9_SQL,
+    "op10_ball_tree_top_k": OP10_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op2_weighted_fair_mix": OP2_SQL, "op5_warc_revisits": OP5_SQL, "op9_url_verdicts": OP9_SQL, "op10_ball_tree_top_k": OP10_SQL}
