@@ -139,7 +139,7 @@ def _grams_of(docs: DataFrame, names: bool, length: int, gram: int) -> DataFrame
 
 
 def _surroundings(rows: DataFrame, length: int) -> DataFrame:
-    """(key, p, pack, around) from texts and the packed samples that are asked for."""
+    """(key, p, pack, around, hot) from texts and the packed samples that are asked for."""
 
     def run(batches):
         for batch in batches:
@@ -150,9 +150,9 @@ def _surroundings(rows: DataFrame, length: int) -> DataFrame:
             end = first + (pack & 1023) - 1 + length
             views = [memoryview(t.as_buffer()) for t in texts]
             around = [bytes(views[i][a:b]) for i, a, b in zip(rows_of.tolist(), first.tolist(), end.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([wanted.field("key"), pa.array(at[rows_of] + (pack >> 20)), pa.array(pack), pa.array(around, pa.binary())], names=["key", "p", "pack", "around"])
+            yield pa.RecordBatch.from_arrays([wanted.field("key"), pa.array(at[rows_of] + (pack >> 20)), pa.array(pack), pa.array(around, pa.binary()), batch.column(3).take(pa.array(rows_of))], names=["key", "p", "pack", "around", "hot"])
 
-    return rows.mapInArrow(run, "key long, p long, pack long, around binary")
+    return rows.mapInArrow(run, "key long, p long, pack long, around binary, hot boolean")
 
 
 def _strings(batch: pa.RecordBatch, grams: Grams):
@@ -329,26 +329,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # First names. Strings of a sample whose name is met once are met once.
     named = written(_grams_of(texts, False, length, gram).groupBy("key").count().where("count > 1").select("key"), "names")
     met = written(_grams_of(texts, True, length, gram).join(named, "key", "left_semi"), "samples")
+    remove(spark, f"{folder}/names")
     # Second names. Of samples that share one, the first stands for all, and the strings of the others are repeats.
     firsts = written(met.groupBy("key", "name").agg(F.min(F.struct("p", "pack")).alias("f")).select("key", "f.p", "f.pack"), "firsts")
-    at, begin, end = F.col("p") - F.shiftright("pack", 20), F.shiftright("pack", 20) - F.shiftright("pack", 10).bitwiseAND(F.lit(1023)), F.col("pack").bitwiseAND(F.lit(1023)) - 1 + length
-    whole = met.join(firsts.select("p"), "p", "left_anti").select(at.alias("at"), begin.alias("begin"), (begin + end).alias("end"))
     # Samples of one first name and several second ones: their strings are merged.
-    torn = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = firsts.join(torn, "key").select(at.alias("at"), F.struct("key", "pack").alias("s"), (F.col("n") > many).alias("hot"))
-    lists = wanted.groupBy("at", "hot").agg(F.collect_list("s").alias("s")).withColumnRenamed("at", "of").hint("shuffle_hash")
-    around = lists.join(texts, F.col("of") == F.col("at"))
-    cold = _surroundings(around.where("not hot").select("at", "text", "s"), length)
-    parts = [whole, _merged(cold.repartition("key").sortWithinPartitions("key"), length, gram)]
-    if not torn.where(F.col("n") > many).isEmpty():
-        strings = written(_by_string(_surroundings(around.where("hot").select("at", "text", "s"), length), length, gram), "strings")
+    at, begin, end = F.col("p") - F.shiftright("pack", 20), F.shiftright("pack", 20) - F.shiftright("pack", 10).bitwiseAND(F.lit(1023)), F.col("pack").bitwiseAND(F.lit(1023)) - 1 + length
+    torn = firsts.groupBy("key").agg((F.count("*") > many).alias("hot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    lists = firsts.join(torn, "key").select(at.alias("of"), F.struct("key", "pack").alias("s"), "hot").groupBy("of", "hot").agg(F.collect_list("s").alias("s"))
+    asked = lists.hint("shuffle_hash").join(texts, F.col("of") == F.col("at")).select("at", "text", "s", "hot")
+    around = written(_surroundings(asked, length), "around")
+    again = [_merged(around.where("not hot").repartition("key").sortWithinPartitions("key"), length, gram)]
+    if not around.where("hot").isEmpty():
+        strings = written(_by_string(around.where("hot"), length, gram), "strings")
         first = strings.groupBy("h1", "h2").agg(F.min("place").alias("place"))
-        parts.append(strings.join(first.select("place"), "place", "left_anti").select("at", "begin", (F.col("begin") + length).alias("end")))
-    gone = parts[0]
-    for p in parts[1:]:
+        again.append(strings.join(first.select("place"), "place", "left_anti").select("at", "begin", (F.col("begin") + length).alias("end")))
+    parts = [written(p, f"part{k}") for k, p in enumerate(again)]
+    for name in ("around", "strings"):
+        remove(spark, f"{folder}/{name}")
+    gone = met.join(firsts.select("p"), "p", "left_anti").select(at.alias("at"), begin.alias("begin"), (begin + end).alias("end"))
+    for p in parts:
         gone = gone.unionByName(p)
     gone = written(gone.groupBy("at").agg(F.collect_list(F.struct("begin", "end")).alias("gone")), "gone")
-    for name in ("names", "samples", "firsts", "strings"):
+    for name in ("samples", "firsts", *(f"part{k}" for k in range(len(parts)))):
         remove(spark, f"{folder}/{name}")
     both = texts.join(gone.withColumnRenamed("at", "of").hint("shuffle_hash"), F.col("at") == F.col("of"), "left")
     return _kept(both.select("id", "text", "gone"), kind).withColumnRenamed("id", id_col)
@@ -362,13 +364,13 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP12_SQL = r"""
 with d as (
-  select doc_id, hex(encode(coalesce(text, ''))) as x from documents
+  select doc_id, encode(coalesce(text, '')) as x from documents
 ), strings as (
-  select doc_id, unnest(range(0, greatest(length(x) // 2 - 99, 0))) as i, x from d
-), judged as (
-  select doc_id, i, row_number() over (partition by md5(substr(x, 2 * i + 1, 200)) order by doc_id, i) > 1 as again from strings
+  select doc_id, i, md5_number(x[i + 1:i + 100]) as h from (select doc_id, x, unnest(range(0, greatest(octet_length(x) - 99, 0))) as i from d)
+), firsts as (
+  select h, min(doc_id::hugeint * 4294967296 + i) as earliest from strings group by h
 ), runs as (
-  select doc_id, i, i - row_number() over (partition by doc_id order by i) as g from judged where again
+  select doc_id, i, i - row_number() over (partition by doc_id order by i) as g from strings join firsts using (h) where doc_id::hugeint * 4294967296 + i > earliest
 ), covered as (
   select doc_id, min(i) as b, max(i) + 100 as e from runs group by doc_id, g
 ), opened as (
@@ -378,9 +380,9 @@ with d as (
 ), gaps as (
   select s.doc_id, b, e, lag(e, 1, 0) over (partition by s.doc_id order by b) as after, x from spans s join d using (doc_id)
 ), kept as (
-  select doc_id, string_agg(substr(x, 2 * after + 1, 2 * (b - after)), '' order by b) || max(substr(x, 2 * tail + 1)) as hex, sum(e - b) as n, count(*) as k
+  select doc_id, string_agg(hex(x[after + 1:b]), '' order by b) || max(hex(x[tail + 1:])) as left_over, sum(e - b) as n, count(*) as k
   from (select *, max(e) over (partition by doc_id) as tail from gaps) group by doc_id
 )
-select d.doc_id, length(x) // 2 as n_bytes, coalesce(n, 0)::bigint as n_removed, coalesce(k, 0) as n_spans, sha256(unhex(coalesce(hex, x))) as kept_sha256
+select d.doc_id, octet_length(x) as n_bytes, coalesce(n, 0)::bigint as n_removed, coalesce(k, 0) as n_spans, case when k is null then sha256(x) else sha256(unhex(left_over)) end as kept_sha256
 from d left join kept on d.doc_id = kept.doc_id
 """
