@@ -516,8 +516,16 @@ def class_links(docs: DataFrame, sets: DataFrame, seed: int, hot: np.ndarray) ->
     release(docs.sparkSession)
     reps = sets.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep")).select(F.col("c").alias("kc"), "rep")
 
+    # Classes whose rows all lack an id are read through their texts, each once, named by a hash.
+    nameless = named = None
+    if not reps.where("rep is null").isEmpty():
+        nameless = cut(docs.where("doc_id is null and text is not null").groupBy("text").count().select(F.xxhash64("text").alias("doc_id"), "text"))
+        named = cut(document_sets(nameless, seed, hot).where("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep")).select(F.col("c").alias("kc"), "rep"))
+        named = named.join(reps.where("rep is null").select(F.col("kc").alias("k")), F.col("kc") == F.col("k"), "left_semi")
+
     def rows_of(tiles: DataFrame) -> DataFrame:
-        return _full_sets(docs, tiles.join(reps, F.col("c") == F.col("kc")), seed, hot)
+        found = _full_sets(docs, tiles.join(reps, F.col("c") == F.col("kc")), seed, hot)
+        return found if nameless is None else found.unionByName(_full_sets(nameless, tiles.join(named, F.col("c") == F.col("kc")), seed, hot))
 
     def table_of(classes: DataFrame) -> DataFrame:
         places = classes.select(F.lit(0).cast("long").alias("fam"), F.lit(0).alias("i"), F.lit(0).alias("j"), "c", F.lit(0).alias("half"))

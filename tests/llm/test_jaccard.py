@@ -54,7 +54,7 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, tile, hot):
     monkeypatch.setattr(J, "HOT_TOKENS", hot)
     rows = corpus(tile)
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, c int").repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(docs).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.J.jaccard_components(docs).collect()}
     assert got == plain(rows)
 
 
@@ -75,7 +75,7 @@ def test_a_large_group_of_near_copies_costs_no_pairs_of_tiles(spark, monkeypatch
     monkeypatch.setattr(J, "HOT_TOKENS", 8)
     seen, dealt = [], J._dealt
     monkeypatch.setattr(J, "_dealt", lambda rows, find: seen.append(rows.count()) or dealt(rows, find))
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(docs).collect()} == plain(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.J.jaccard_components(docs).collect()} == plain(rows)
     assert max(seen) < 10 * len(rows)
 
 
@@ -83,12 +83,12 @@ def test_texts_are_joined_where_ids_are_too_many(spark, monkeypatch):
     monkeypatch.setattr(J, "BROADCAST_DOCS", 0)
     rows = corpus(9, 60)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(docs).collect()} == plain(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.J.jaccard_components(docs).collect()} == plain(rows)
 
 
 def test_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "q"), (2, "q z")], "doc_id long, text string")
-    got = sorted((r.doc_id or 0, r.component_id or 0) for r in J.jaccard_components(docs).collect())
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in J.J.jaccard_components(docs).collect())
     assert got == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 2)]
 
 
@@ -113,3 +113,15 @@ def test_trees_rule_out_no_link(seed):
             inter = len(np.intersect1d(sets[i], sets[j]))
             if 100 * inter >= 75 * (sizes[i] + sizes[j] - inter):
                 assert (j, i) in left
+
+
+def test_links_through_rows_without_an_id(spark):
+    """A text between two others links them, whether its row has an id or not."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = (" ".join(words[k : k + 50]) for k in (0, 5, 10))
+    for middle in (None, 3):
+        docs = spark.createDataFrame([(1, a), (middle, b), (2, c), (middle, b)], "doc_id long, text string")
+        got = J.jaccard_components(docs).collect()
+        assert {r.component_id for r in got} == {1} and len(got) == 4
+    docs = spark.createDataFrame([(None, a), (None, b), (None, c), (7, "apart " * 9)], "doc_id long, text string")
+    assert sorted(str(r.component_id) for r in J.jaccard_components(docs).collect()) == ["7", "None", "None", "None"]

@@ -48,7 +48,15 @@ def test_near_copies_beside_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, k int").selectExpr("*", "k as row", "k as key", "map('a', k) as m")
     got = corpus_pipeline.drop_near_copies(spark, docs, SF)
     assert got.columns == docs.columns
-    assert sorted((r.doc_id or 0, r.k) for r in got.collect()) == [(0, 4), (1, 1), (3, 3), (4, 5)]
+    assert sorted((r.doc_id or 0, r.k) for r in got.collect()) == [(0, 4), (1, 1), (3, 3), (4, 5), (4, 6)]
+
+
+def test_rows_of_one_id_that_are_no_copies_stay(spark):
+    a, b, c = ("lorem ipsum dolor sit amet " * 4, "quite another text of one id here", "a third text that has no like")
+    rows = [(1, a), (1, b), (1, b), (2, a), (2, c), (3, b), (None, a), (None, b), (5, ""), (5, None), (5, "")]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, a), (1, b), (2, c), (None, a), (None, b), (5, ""), (5, None), (5, "")]))
+    assert corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([], "doc_id long, text string"), SF).collect() == []
 
 
 def test_registered():
