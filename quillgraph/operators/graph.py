@@ -130,61 +130,121 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return edges.join(keep, F.col("source") == F.col("node"), "left_semi")
 
 
-def _move(edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
-    """(node, community): synchronous moves to the neighbour community of largest modularity gain.
+def _volumes(state: DataFrame, by: str) -> DataFrame:
+    return state.groupBy(F.col(by).alias("vc")).agg(F.sum("k").alias("vol"), F.count("*").alias("size"))
 
-    ``nodes`` is (node, k). Half of the nodes, by a hash of node and round, move in a round, so two
-    neighbours do not swap for ever; ties go to the smaller community. Rounds end when nothing moves.
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """(a, b, w) of every edge between two nodes, in both directions."""
+    apart = edges.where("a <> b").select("a", "b", "w")
+    return apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+
+
+def _best(offers: DataFrame, salt: int = 0) -> DataFrame:
+    """(node, to, gain): the offer of the largest gain; ties go by a seeded hash, then to the smaller community."""
+    order = F.struct((-F.col("gain")).alias("less"), F.xxhash64("c", F.lit(salt)).alias("h") if salt else F.lit(0).alias("h"), F.col("c").alias("c"))
+    return offers.groupBy(F.col("node").alias("mn")).agg(F.min(order).alias("top")).select("mn", F.col("top.c").alias("to"), (-F.col("top.less")).alias("gain"))
+
+
+def _move(both: DataFrame, nodes: DataFrame, total: float, rounds: int) -> DataFrame:
+    """(node, k, community): synchronous moves to the neighbour community of largest modularity gain.
+
+    ``nodes`` is (node, k, community), where moves start. Half of the nodes, by a hash of node and
+    round, move in a round, so two neighbours do not swap for ever; ties go to the smaller community.
+    Offers are folded as they come, so a hub's are never in one row. Rounds end when nothing moves.
     """
-    both = cut(edges.select(F.col("a"), F.col("b"), "w").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), in_loop=True)
-    total = nodes.agg(F.coalesce(F.sum("k"), F.lit(0.0))).first()[0]
-    state = cut(nodes.select("node", "k", F.col("node").alias("community")), in_loop=True)
-    if not total:
-        return state.select("node", "community")
-    quiet = 0
+    state, quiet = nodes, 0
     for r in range(rounds):
-        volume = state.groupBy("community").agg(F.sum("k").alias("vol")).select(F.col("community").alias("vc"), "vol")
         of = state.select(F.col("node").alias("n"), F.col("community").alias("c"))
-        near = both.where("a <> b").join(of, F.col("b") == F.col("n")).groupBy("a", "c").agg(F.sum("w").alias("w"))
-        mine = state.withColumnRenamed("community", "own")
-        offers = near.join(mine, F.col("a") == F.col("node")).join(volume, F.col("c") == F.col("vc"))
+        near = both.join(of, F.col("b") == F.col("n")).groupBy("a", "c").agg(F.sum("w").alias("w"))
+        mine = state.where(F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0).withColumnRenamed("community", "own")
+        offers = near.join(mine, F.col("a") == F.col("node")).join(_volumes(state, "community"), F.col("c") == F.col("vc"))
         rest = F.col("vol") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("w") - F.col("k") * rest / F.lit(total), 9)
-        best = offers.withColumn("gain", gain).groupBy("node", "own", "k").agg(
-            F.max(F.struct("gain", (F.col("c") == F.col("own")).cast("int").alias("stay"))).alias("top"), F.collect_list(F.struct("gain", "c")).alias("all"), F.coalesce(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))), F.lit(0.0)).alias("here")
-        )
-        choice = F.array_min(F.transform(F.filter("all", lambda x: x["gain"] == F.col("top.gain")), lambda x: x["c"]))
-        turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        moved = best.select(F.col("node").alias("mn"), F.when(turn & (F.col("top.gain") > F.col("here")), choice).otherwise(F.col("own")).alias("to"))
-        new = cut(state.join(moved, F.col("node") == F.col("mn"), "left").select("node", "k", F.coalesce("to", "community").alias("community"), (F.coalesce("to", "community") != F.col("community")).cast("int").alias("moved")), in_loop=True)
-        changed = new.agg(F.coalesce(F.sum("moved"), F.lit(0))).first()[0]
+        offers = offers.withColumn("gain", F.round(F.col("w") - F.col("k") * rest / F.lit(total), 9))
+        # Staying is an offer too: of the own community, or of being alone, which gains nothing.
+        stay = offers.groupBy(F.col("node").alias("sn")).agg(F.greatest(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))), F.lit(0.0)).alias("here"))
+        found = _best(offers).join(stay, F.col("mn") == F.col("sn")).where("gain > here").select("mn", "to")
+        new = cut(state.join(found, F.col("node") == F.col("mn"), "left").select("node", "k", F.coalesce("to", "community").alias("community"), (F.coalesce("to", "community") != F.col("community")).alias("moved")), in_loop=True)
+        quiet = quiet + 1 if new.where("moved").isEmpty() else 0
         state = new.drop("moved")
-        quiet = quiet + 1 if not changed else 0
         if quiet == 2:
             break
-    return state.select("node", "community")
+    return state
+
+
+def _refine(both: DataFrame, state: DataFrame, total: float, rounds: int) -> DataFrame:
+    """(node, k, community, part): every community cut into parts that hang together.
+
+    Each node starts alone in its community. In a round, the single nodes whose hash is even join the
+    part of largest gain among those that cannot leave in that round: parts of two nodes or more, and
+    single nodes whose hash is odd. Both sides must be well connected to the rest of their community.
+    A part only ever grows by neighbours of its members, so it stays connected.
+    """
+    outer = state.select(F.col("node").alias("n"), F.col("community").alias("o"))
+    inner = both.join(outer, F.col("a") == F.col("n")).withColumnRenamed("o", "oa").drop("n").join(outer, F.col("b") == F.col("n")).where("oa = o").select("a", "b", "w")
+    inner = cut(inner, in_loop=True)
+    whole = _volumes(state, "community").select(F.col("vc").alias("oc"), F.col("vol").alias("whole"))
+    parts = cut(state.withColumn("part", F.col("node")).join(whole, F.col("community") == F.col("oc")).drop("oc"), in_loop=True)
+    quiet = 0
+    for r in range(rounds):
+        of = parts.select(F.col("node").alias("n"), F.col("part").alias("p"))
+        ends = inner.join(of, F.col("a") == F.col("n")).select("a", "b", "w", F.col("p").alias("pa")).join(of, F.col("b") == F.col("n")).where("pa <> p").select("a", "pa", F.col("p").alias("c"), "w")
+        near = cut(ends.groupBy("a", "pa", "c").agg(F.sum("w").alias("w")), in_loop=True)
+        out = near.groupBy(F.col("pa").alias("op")).agg(F.sum("w").alias("out"))
+        size = parts.groupBy(F.col("part").alias("vc")).agg(F.sum("k").alias("vol"), F.count("*").alias("size"), F.max("whole").alias("whole"))
+        tied = size.join(out, F.col("vc") == F.col("op")).where(F.col("out") >= F.col("vol") * (F.col("whole") - F.col("vol")) / F.lit(total) - 1e-9)
+        even = F.pmod(F.xxhash64("vc", F.lit(r + 1)), F.lit(2)) == 0
+        movers = tied.where((F.col("size") == 1) & even).select(F.col("vc").alias("node"), F.col("vol").alias("k"))
+        homes = tied.where((F.col("size") > 1) | ~even).select("vc", "vol")
+        offers = near.join(movers, F.col("pa") == F.col("node")).join(homes, F.col("c") == F.col("vc"))
+        offers = offers.withColumn("gain", F.round(F.col("w") - F.col("k") * F.col("vol") / F.lit(total), 9)).where("gain > 0")
+        new = cut(parts.join(_best(offers, r + 1), F.col("node") == F.col("mn"), "left").select("node", "k", "community", "whole", F.coalesce("to", "part").alias("part"), F.col("to").isNotNull().alias("moved")), in_loop=True)
+        quiet = quiet + 1 if new.where("moved").isEmpty() else 0
+        parts = new.drop("moved")
+        if quiet == 2:
+            break
+    return parts.drop("whole")
 
 
 def detect_communities(edges: DataFrame, weight: str | None = "weight", rounds: int = 8, passes: int = 2) -> DataFrame:
-    """(node, community) by local moving and aggregation; a community is named by its smallest node."""
+    """(node, community): local moving, refinement, aggregation; a community is named by its smallest node.
+
+    Each pass moves nodes between communities, refines the communities into connected parts, and
+    aggregates the parts; the next pass moves the parts, starting from the communities they are in.
+    Communities that still do not hang together at the end are split, which raises the modularity.
+    """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     base = cut(edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), w.alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
-    level, names = base, None
-    for _ in range(passes):
-        ends = level.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("w").alias("k")), F.struct(F.col("b").alias("node"), F.col("w").alias("k")))).alias("x")).select("x.*")
-        nodes = cut(ends.groupBy("node").agg(F.sum("k").alias("k")))
-        found = _move(level, nodes, rounds)
-        least = found.groupBy("community").agg(F.min("node").alias("name")).select(F.col("community").alias("c"), "name")
-        found = cut(found.join(least, F.col("community") == F.col("c")).select("node", F.col("name").alias("community")))
-        if names is None:
-            names = found
-        else:
-            up = found.select(F.col("node").alias("n"), F.col("community").alias("to"))
-            names = cut(names.join(up, F.col("community") == F.col("n"), "left").select("node", F.coalesce("to", "community").alias("community")))
-        left, right = (found.select(F.col("node").alias(f"n{s}"), F.col("community").alias(f"c{s}")) for s in "ab")
-        joined = level.join(left, F.col("a") == F.col("na")).join(right, F.col("b") == F.col("nb"))
-        level = cut(joined.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w")))
-    return names
+    ends = base.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("w").alias("k")), F.struct(F.col("b").alias("node"), F.col("w").alias("k")))).alias("x")).select("x.*")
+    nodes = cut(ends.groupBy("node").agg(F.sum("k").alias("k")).withColumn("community", F.col("node")), in_loop=True)
+    total = nodes.agg(F.coalesce(F.sum("k"), F.lit(0.0))).first()[0]
+    if not total:
+        return nodes.select("node", "community")
+    level, names = base, nodes.select("node", F.col("node").alias("part"))
+    for p in range(passes):
+        both = cut(_both_ways(level), in_loop=True)
+        state = _move(both, nodes, total, rounds)
+        if p == passes - 1:
+            break
+        refined = _refine(both, state, total, rounds)
+        up = cut(refined.select(F.col("node").alias("n"), F.col("part").alias("to")), in_loop=True)
+        names = cut(names.join(up, F.col("part") == F.col("n")).select("node", F.col("to").alias("part")), in_loop=True)
+        # A community goes by one of its parts, so that the names of the next level stay its nodes.
+        label = refined.groupBy(F.col("community").alias("o")).agg(F.min("part").alias("label"))
+        bigger = refined.groupBy("part").agg(F.sum("k").alias("k"), F.first("community").alias("o1")).join(label, F.col("o1") == F.col("o"))
+        before = nodes.count()
+        nodes = cut(bigger.select(F.col("part").alias("node"), "k", F.col("label").alias("community")), in_loop=True)
+        ua, ub = (up.select(F.col("n").alias(f"n{s}"), F.col("to").alias(f"t{s}")) for s in "ab")
+        level = level.join(ua, F.col("a") == F.col("na")).join(ub, F.col("b") == F.col("nb"))
+        level = cut(level.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w")), in_loop=True)
+        if nodes.count() == before:
+            state = nodes
+            break
+    found = cut(names.join(state.select(F.col("node").alias("n"), "community"), F.col("part") == F.col("n")).select("node", "community"), in_loop=True)
+    fa, fb = (found.select(F.col("node").alias(f"n{s}"), F.col("community").alias(f"c{s}")) for s in "ab")
+    inside = base.join(fa, F.col("a") == F.col("na")).join(fb, F.col("b") == F.col("nb")).where("ca = cb").select("a", "b")
+    whole = connected_components(inside, "a", "b").select(F.col("node").alias("n"), "component")
+    return cut(found.join(whole, F.col("node") == F.col("n"), "left").select("node", F.coalesce("component", "node").alias("community")))
 
 
 def hierarchical_communities(edges: DataFrame, max_cluster_size: int = 10, levels: int = 20, weight: str | None = "weight", use_lcc: bool = True, rounds: int = 8, passes: int = 2) -> DataFrame:

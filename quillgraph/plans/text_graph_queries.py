@@ -187,7 +187,7 @@ def largest_component(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def community_detect(spark: SparkSession, d: str) -> DataFrame:
-    return G.hierarchical_communities(cut(sparse_graph(spark, d)), 40, weight=None, use_lcc=False, rounds=4, passes=1)
+    return G.hierarchical_communities(cut(sparse_graph(spark, d)), weight=None, use_lcc=False)
 
 
 @query()
