@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.session import free_name
+
 
 @dataclass
 class VerbInput:
@@ -347,6 +349,33 @@ def enumerate_rows(df: DataFrame, to: str, order: Sequence[str]) -> DataFrame:
     return fixed.join(F.broadcast(heads), F.col("_part") == F.col("_p")).withColumn(to, (F.row_number().over(inside) - 1 + F.col("_base")).cast("long")).drop("_part", "_p", "_base")
 
 
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, to: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of its group up to each row, in ``order``.
+
+    Ranges of (keys, order) are sorted and summed apart. A range may begin inside a group, and only in
+    its first one: what that group has in the ranges before is added, so a group may lie in many
+    ranges and none is held by one task. Rows equal in ``keys`` and ``order`` come in any order.
+    """
+    from quillgraph.functions.session import cut
+
+    by = [F.col(k).asc_nulls_first() for k in keys] + [F.col(c) if isinstance(c, str) else c for c in order]
+    part, own = free_name("part", df.columns), free_name("own", df.columns)
+    names = [free_name(f"k{i}", df.columns) for i in range(len(keys))]
+    fixed = cut(df.repartitionByRange(*by).withColumn(part, F.spark_partition_id()))
+    # A row for each range and group: groups that lie in several ranges are few ranges' ends.
+    totals = fixed.groupBy(part, *keys).agg(F.sum(value).alias("s"))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    heads = totals.withColumn("base", F.sum("s").over(before)).where("base is not null")
+    heads = heads.select(F.col(part).alias("p_"), "base", *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
+    inside = Window.partitionBy(part, *keys).orderBy(*by[len(keys) :]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = F.col(part) == F.col("p_")
+    for k, n in zip(keys, names, strict=True):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    # One group at most continues into each range, so there are no more heads than ranges.
+    met = fixed.withColumn(own, F.sum(value).over(inside)).join(F.broadcast(heads), same, "left")
+    return met.withColumn(to, F.col(own) + F.coalesce("base", F.lit(0))).select(*df.columns, to)
+
+
 # -- reshaping verbs ---------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
+from quillgraph.functions.bpe import BpeTokens
 from quillgraph.functions.session import cut, table
 from quillgraph.operators import context as C
 from quillgraph.operators import graph as G
@@ -86,6 +87,25 @@ def chunk_grouped_multi_doc(spark: SparkSession, d: str) -> DataFrame:
     return out.select("grp", "chunk_no", F.md5("chunk").alias("chunk_md5"), "n_tokens", F.array_sort(F.transform("document_ids", lambda x: x.cast("long"))).alias("document_ids"))
 
 
+@query()
+def bpe_token_count(spark: SparkSession, d: str) -> DataFrame:
+    """Byte-pair tokens, words and documents of every source."""
+    docs = table(spark, d, "documents").withColumn("tokens", BpeTokens(spark).num_tokens("text"))
+    return docs.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum(T.num_tokens(F.col("text"))).alias("words"), F.count("*").alias("docs"))
+
+
+@query()
+def bpe_chunk_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 300 byte-pair tokens, 100 of them shared, over every document."""
+    return BpeTokens(spark).windows(table(spark, d, "documents"), ["doc_id"], "text", "doc_id", 300, 100)
+
+
+@query()
+def bpe_chunk_grouped(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of byte-pair tokens over the joined documents of every language."""
+    return BpeTokens(spark).windows(table(spark, d, "documents"), ["lang"], "text", "doc_id", 1200, 100)
+
+
 @query("SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), lambda s: trim(s)), lambda s: s <> '') AS sentences FROM documents")
 def chunk_sentences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.sentences(F.col("text")).alias("sentences"))
