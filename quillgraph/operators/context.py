@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from quillgraph.functions.session import cut
 from quillgraph.functions.text import num_tokens
+from quillgraph.operators.packing import BLOCK_ROWS, pack_in_blocks, pack_in_stream
 
 
 def within_budget(df: DataFrame, cost: str, budget: int, order: Sequence, partition: Sequence[str] = (), header: int = 0, include_overflow: bool = False) -> DataFrame:
@@ -28,30 +27,15 @@ def within_budget(df: DataFrame, cost: str, budget: int, order: Sequence, partit
 def pack_batches(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], cost: str, budget: int, header: int = 0, batch_rows: int | None = None) -> DataFrame:
     """``df`` with ``batch``: in order, a new batch starts where a row would overflow the current one.
 
-    A row above the budget has a batch of its own. Where a batch starts depends on all rows before, so
-    a group is read by one task; it is read as a sorted stream, in time linear in it, and never held.
+    A row above the budget has a batch of its own; a null cost is 0. Where a batch starts depends on all
+    rows before it: groups of up to BLOCK_ROWS rows are read as sorted streams, one task a group, and
+    if some group is larger, all are cut into blocks whose starts are found side by side.
     """
     order = [order] if isinstance(order, str) else list(order)
-    at = [df.columns.index(c) for c in (*keys, cost)]
-    dealt = (df.repartition(*keys) if keys else df.repartition(1)).sortWithinPartitions(*keys, *order)
-
-    def run(stream):
-        group, batch, used, n = None, 0, header, 0
-        for rows in stream:
-            *names, costs = (rows.column(i).to_pylist() for i in at)
-            names = list(zip(*names, strict=True)) if names else [()] * rows.num_rows
-            out = []
-            for name, c in zip(names, costs, strict=True):
-                c = c or 0
-                if name != group:
-                    group, batch, used, n = name, 0, header, 0
-                elif n and (used + c > budget or batch_rows is not None and n >= batch_rows):
-                    batch, used, n = batch + 1, header, 0
-                used, n = used + c, n + 1
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.int64())], names=[*rows.schema.names, "batch"])
-
-    return dealt.mapInArrow(run, StructType([*df.schema.fields, StructField("batch", LongType())]))
+    rows = cut(df)
+    largest = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    way = pack_in_blocks if largest > BLOCK_ROWS else pack_in_stream
+    return way(rows, keys, order, cost, budget, header, batch_rows)
 
 
 def pack_lists(df: DataFrame, keys: Sequence[str], items: str, max_tokens: int) -> DataFrame:
