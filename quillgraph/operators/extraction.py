@@ -134,15 +134,22 @@ def community_reports(contexts: DataFrame, hierarchy: DataFrame, levels: Sequenc
     return out, reports
 
 
+#: Pieces packed into requests by one task.
+EMBED_GROUP = 4096
+
+
 def text_embed(rows: DataFrame, id_col: str, text: str, embed: Callable[[Column], Column], max_tokens: int = 8191, batch_rows: int = 16) -> tuple[DataFrame, DataFrame]:
     """(embeddings, pieces): a vector per row, from pieces of ``max_tokens`` at most.
 
     ``pieces`` is (id, chunk_no, chunk, n_tokens, batch): what one request may hold, ``batch_rows``
-    pieces and ``max_tokens`` tokens at most, packed within the partitions that hold the rows. A row
+    pieces and ``max_tokens`` tokens at most, packed within groups of about EMBED_GROUP pieces by the row's hash. A row
     of several pieces has their unit mean; one without tokens has no vector.
     """
     pieces = T.token_windows(rows, [id_col], text, id_col, max_tokens, 0).select(id_col, "chunk_no", "chunk", "n_tokens")
-    spread = pieces.withColumn("_part", F.pmod(F.xxhash64(id_col), F.lit(64)))
+    pieces = cut(pieces)
+    # Groups of about EMBED_GROUP pieces are packed apart, so tasks grow in number with the corpus.
+    groups = max(1, -(-pieces.count() // EMBED_GROUP))
+    spread = pieces.withColumn("_part", F.pmod(F.xxhash64(id_col), F.lit(groups)))
     packed = cut(C.pack_batches(spread, ["_part"], [id_col, "chunk_no"], "n_tokens", max_tokens, batch_rows=batch_rows))
     vectors = packed.select(id_col, embed(F.col("chunk")).alias("_v"))
     return reconstitute(vectors, id_col, "_v"), packed.select(id_col, "chunk_no", "chunk", "n_tokens", F.concat_ws("-", F.col("_part").cast("string"), F.col("batch").cast("string")).alias("batch"))

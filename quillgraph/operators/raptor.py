@@ -173,7 +173,9 @@ def build_tree(leaves: DataFrame, embed: Callable[[Column], Column], summarize:
         joined = level.join(members, F.col("idx") == F.col("child"))
         texts = joined.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n\n").alias("_t"))
         parents = texts.withColumn("idx", F.lit(size["m"] + 1) + F.col("cluster"))
-        level = cut(parents.select(F.col("idx").cast("long").alias("idx"), F.lit(layer).alias("layer"), summarize(F.col("_t")).alias("text"), embed(summarize(F.col("_t"))).alias("embedding")))
+        # Written before it is embedded: a model is asked once, and what is stored is what is embedded.
+        told = cut(parents.select(F.col("idx").cast("long").alias("idx"), F.lit(layer).alias("layer"), summarize(F.col("_t")).alias("text")))
+        level = cut(told.withColumn("embedding", embed(F.col("text"))))
         up = members.select((F.lit(size["m"] + 1) + F.col("cluster")).cast("long").alias("parent"), "child")
         nodes, edges = nodes.unionByName(level), up if edges is None else edges.unionByName(up)
     if edges is None:

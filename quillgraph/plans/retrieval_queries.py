@@ -338,7 +338,7 @@ def raptor_flat_retrieve(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def raptor_gmm_soft(spark: SparkSession, d: str) -> DataFrame:
-    return raptor.cluster_nodes(_store(spark, d), "id", "vector", 4, max_clusters=4)
+    return raptor.cluster_nodes(_store(spark, d), "id", "vector", 4)
 
 
 # -- thoughts ------------------------------------------------------------------------------------------
