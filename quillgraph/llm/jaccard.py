@@ -448,8 +448,8 @@ def group_links(groups: DataFrame, rows_of, table_of, find) -> DataFrame:
     tiles of one component never are. So a group of near copies, however large, costs time linear in
     it, and a group that falls apart costs what its components have between them.
 
-    ``rows_of`` adds size and payload to the rows of tiles, ``table_of`` gives them as (k, n, payload)
-    for classes that are needed several times.
+    ``rows_of`` adds size and payload to the rows of tiles, ``table_of`` gives them as (k, n, payload),
+    materialised, for classes that are needed several times.
     """
     per = _cut(groups.groupBy("fam").agg(F.count("*").alias("m")).where("m > 1").select(F.col("fam").alias("k"), "m"))
     links = _cut(_dealt(rows_of(_in_own_tile(groups, per, 0)), find))
@@ -457,7 +457,7 @@ def group_links(groups: DataFrame, rows_of, table_of, find) -> DataFrame:
     if large.isEmpty():
         return links.select("src", "dst")
     members = _cut(groups.join(large, F.col("fam") == F.col("k"), "left_semi"))
-    table = _cut(table_of(members.select("c").distinct()))
+    table = table_of(members.select("c").distinct())
     held = lambda tiles: tiles.join(table, F.col("c") == F.col("k"))
 
     def joined(state: DataFrame, by: str, more: DataFrame) -> DataFrame:
@@ -505,7 +505,7 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
     bits = sets.where("bits is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("bits").alias("payload")).select(F.col("c").alias("k"), "n", "payload")
     groups = cut(families(sets))
     release(sets.sparkSession)
-    some = lambda classes: bits.join(classes, F.col("k") == F.col("c"), "left_semi")
+    some = lambda classes: _cut(bits.join(classes, F.col("k") == F.col("c"), "left_semi"))
     pairs = cut(group_links(groups, lambda tiles: tiles.join(bits, F.col("c") == F.col("k")), some, _by_signature))
     return connected_components(pairs).select(F.col("component").alias("fam"), F.col("node").alias("c"))
 
@@ -529,7 +529,10 @@ def class_links(docs: DataFrame, sets: DataFrame, seed: int, hot: np.ndarray) ->
 
     def table_of(classes: DataFrame) -> DataFrame:
         places = classes.select(F.lit(0).cast("long").alias("fam"), F.lit(0).alias("i"), F.lit(0).alias("j"), "c", F.lit(0).alias("half"))
-        full = rows_of(places).select(F.col("c").alias("k"), "n", "payload")
+        full = _cut(rows_of(places).select(F.col("c").alias("k"), "n", "payload"))
+        # Only rows repeated in full give a class twice; without them no set moves to find that out.
+        if full.count() == full.select("k").distinct().count():
+            return full
         return full.groupBy("k").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))
 
     return group_links(groups, rows_of, table_of, _by_set)
