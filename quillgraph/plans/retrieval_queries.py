@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import providers as P
 from quillgraph.functions import text as T
-from quillgraph.functions.session import cut, table
+from quillgraph.functions.session import cut, shared_dir, table
 from quillgraph.operators import context as C
 from quillgraph.operators import extraction as X
-from quillgraph.operators import raptor, thoughts
+from quillgraph.operators import ivf, raptor, thoughts
 from quillgraph.operators import search as S
 from quillgraph.operators import vectors as V
 from quillgraph.plans.registry import query
@@ -138,6 +140,16 @@ def _store(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
+@query(f"WITH {_E}, d AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_distance(e.v, q.v) AS x FROM e, e q WHERE q.vec_id % 50 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY x, id) AS INTEGER) AS nth FROM d) SELECT query_id, id, nth, round(x, 6) AS distance FROM r WHERE nth <= 5")
+def ivf_nearest(spark: SparkSession, d: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/ivf-{uuid.uuid4().hex}"
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    ivf.build(rows, folder)
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    found = ivf.search(ivf.IvfIndex(spark, folder), asked, 5, f"{folder}/found", exact=True)
+    return found.select("query_id", "id", "nth", F.round("distance", 6).alias("distance"))
+
+
 def _knn(spark: SparkSession, d: str, metric: str, where: str = "true") -> DataFrame:
     store = _store(spark, d)
     q = store.where("id in (0, 7, 13)").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -153,7 +154,43 @@ class VectorStore:
         return knn_by_text(self.rows(), text, embed, k, metric)
 
 
-VECTOR_STORES: dict[str, Callable[..., Any]] = {"parquet": VectorStore}
+class IvfStore(VectorStore):
+    """The same over an inverted-file index; searches open the lists that may hold an answer and are exact
+    unless ``probes`` says how many lists to open. Each search writes its rows beside the index."""
+
+    def __init__(self, spark: SparkSession, path: str, probes: int | None = None):
+        super().__init__(spark, path)
+        self.probes = probes
+
+    def load(self, df: DataFrame, overwrite: bool = True) -> None:
+        from quillgraph.operators.ivf import build
+
+        build(df if overwrite else self.rows().unionByName(df.select("id", df["vector"].cast("array<double>").alias("vector"))), self.path)
+
+    def filter_by_id(self, ids: list[Any]) -> IvfStore:
+        made = IvfStore(self.spark, self.path, self.probes)
+        made.only = list(ids)
+        return made
+
+    def rows(self) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.path}/rows").select("id", "vector")
+        return df if self.only is None else df.where(df["id"].isin(self.only))
+
+    def by_vector(self, query: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+        from quillgraph.operators.ivf import IvfIndex, search
+
+        if metric != "l2":
+            raise ValueError(f"an inverted file is searched by l2, not {metric!r}")
+        only = None if self.only is None else self.rows().select("id")
+        folder = f"{self.path}/found-{uuid.uuid4().hex}"
+        return search(IvfIndex(self.spark, self.path), query, k, folder, self.probes or 8, self.probes is None, only)
+
+    def by_text(self, text: str, embed, k: int, metric: str = "l2") -> DataFrame:
+        asked = self.spark.createDataFrame([(0, text)], "query_id int, q string").where("trim(q) <> ''")
+        return self.by_vector(asked.select("query_id", embed(asked["q"]).alias("query_vector")), k, metric)
+
+
+VECTOR_STORES: dict[str, Callable[..., Any]] = {"parquet": VectorStore, "ivf": IvfStore}
 
 
 def register_vector_store(kind: str, make: Callable[..., Any]) -> None:
