@@ -20,17 +20,19 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.session import cut
 from quillgraph.llm.text import map_batches
 from quillgraph.llm.url_filter import host_and_path
 
-#: Pages of a host that its tree is merged from (one per slot of a hash of the key); agreement is counted over all its pages.
+#: Pages of a host that its tree is merged from, whatever they look like (one per slot of a hash of the key).
 EXEMPLARS = 8
-#: Pages that must show a node before the host decides on it, and the share of them that must agree on a constant text.
-LEAST_PAGES, AGREEING = 4, 0.8
+#: Share of a host's pages that show a tag, class or id above which two of them are exemplars as well, so that every kind of page aligns.
+KIND_SHARE = 1 / 32
+#: Share of the pages that show a text that must agree on it; inside an article one page of doubt is added to them.
+AGREEING = 0.8
 #: Share of a page's text equal to its host's tree above which the page is a copy of an exemplar and no evidence.
 COPY_SHARE = 0.5
 #: Share of link text that makes a region a menu, and share of all text that makes a named region the main text.
@@ -49,7 +51,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NO_TEXT = RAW | frozenset("template noscript svg math object canvas select button audio video map datalist".split())
+NO_TEXT = RAW | frozenset("template select datalist".split())  # scripts, styles, titles, form fields
 REGIONS = frozenset("nav header footer aside form menu dialog".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 NOT_ARTICLE = frozenset(
@@ -63,7 +65,7 @@ ROLES_NOT_ARTICLE = frozenset("navigation banner contentinfo complementary searc
 _PLAIN, _REGION, _NAMED, _ARTICLE = range(4)
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _TAG_END = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
-_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
 _WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile("[0-9]+")
 # Noncharacters that stand around link text until a block is cleaned.
@@ -92,8 +94,6 @@ def _kind(tag: str, attrs: str, in_article: bool) -> tuple[int, str] | None:
     if attrs and tag not in ("body", "html"):
         for m in _ATTR.finditer(attrs):
             name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
-            if name == "hidden":
-                return None
             if name == "role" and value.lower() in ROLES_NOT_ARTICLE:
                 kind = _REGION
             elif name in ("class", "id"):
@@ -492,27 +492,30 @@ def agreement(tree: Node, page: Node, into: dict[int, list[int]]) -> None:
 def decide(packed: list, sums: dict[int, tuple]) -> str | None:
     """The host's template as JSON: [tree, {node: what}]; None if the host decides nothing.
 
-    What: "text" for a constant text, "menu" for a region of links, "gone" and "main" for a region
-    that is no article by its name and that does not, or does, hold the host's main text.
+    What: "text" for a constant text, "menu" for a region of links outside articles, "gone" and
+    "main" for a region that is no article by its name and that does not, or does, hold the host's
+    main text. The tree is one page's word and each page that is no copy of it another; a text in an article is constant if the pages that
+    agree are the share AGREEING of those that show it and one more.
     """
     tree, nodes = unpack(packed)
     what: dict[int, str] = {}
 
-    def visit(node: Node) -> None:
+    def visit(node: Node, in_article: bool) -> None:
         pages, equal, chars, links, total = sums.get(node.at, (0, 0, 0, 0, 0))
-        if pages >= LEAST_PAGES:
+        in_article |= node.kind in (_ARTICLE, _REGION)  # regions by tag go whatever is said of them
+        if pages:
             if node.text is not None:
-                if equal >= AGREEING * pages:
+                if equal >= AGREEING * (pages + in_article):
                     what[node.at] = "text"
             elif node.kind == _NAMED:
                 what[node.at] = "main" if chars >= MAIN_SHARE * total else "gone"
-            elif node.kind == _PLAIN and chars < MAIN_SHARE * total and links >= MENU_LINKS * chars:
+            elif node.kind == _PLAIN and not in_article and chars < MAIN_SHARE * total and links >= MENU_LINKS * chars:
                 what[node.at] = "menu"
         if what.get(node.at) not in ("gone", "menu"):
             for k in node.kids:
-                visit(k)
+                visit(k, in_article)
 
-    visit(tree)
+    visit(tree, False)
     if not what:
         return None
     keep: set[int] = set()
@@ -585,17 +588,41 @@ def _main_chars(node: Node) -> tuple[int, int]:
     return total, total if node.kind == _ARTICLE else sum(b[1] for b in both)
 
 
-def host_trees(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(host, tree) of the hosts with two different pages or more, merged from EXEMPLARS pages at most.
+def _marks(html) -> Column:
+    """The tags, classes and ids of a page, each once; digits of a class or id are all alike."""
+    tags = F.transform(F.regexp_extract_all(html, F.lit("<([A-Za-z][A-Za-z0-9]*)"), F.lit(1)), F.lower)
+    names = F.regexp_extract_all(html, F.lit(r"""[\s"'](?i:class|id)\s*=\s*("[^"<>]*"|'[^'<>]*'|[^\s"'<>]+)"""), F.lit(1))
+    return F.array_distinct(F.concat(tags, F.transform(names, lambda v: F.concat(F.lit("="), F.regexp_replace(F.translate(v, "\"'", ""), "[0-9]", "0")))))
 
-    Exemplars are found by a pre-aggregated minimum per slot and repeated keys count once, so a host
-    of any size gives EXEMPLARS pages at most and no task holds its pages.
+
+def exemplars(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(host, k): the pages that a host's tree is merged from.
+
+    One for each slot of a hash of the key, and, for each tag, class or id that KIND_SHARE of the host's pages
+    show, the pages of least and greatest hash among those that show it: two of every kind of page. All are
+    pre-aggregated extremes; a host has at most 64 times as many exemplars as a page has marks, and 8 more.
     """
     host, _ = host_and_path("url")
     h = F.xxhash64(F.col(key))
-    chosen = pages.where(F.col(key).isNotNull()).groupBy(host.alias("host"), F.pmod(h, F.lit(EXEMPLARS)).alias("slot")).agg(F.min(F.struct(h.alias("h"), F.col(key).alias("k"))).alias("m"))
-    chosen = cut(chosen.select("host", F.col("m.k").alias("k")).distinct())
-    small = chosen.count() <= BROADCAST_HOSTS * EXEMPLARS
+    one = F.struct(h.alias("h"), F.col(key).alias("k"))
+    known = pages.where(F.col(key).isNotNull())
+    marks = F.explode(F.concat(F.array(F.concat(F.lit("#"), F.pmod(h, F.lit(EXEMPLARS)).cast("string")), F.lit("")), F.coalesce(_marks(F.col("html")), F.array())))
+    shown = known.select(host.alias("host"), one.alias("one"), marks.alias("mark")).groupBy("host", "mark").agg(F.count("*").alias("n"), F.min("one").alias("lo"), F.max("one").alias("hi"))
+    shown = cut(shown)
+    all_pages = shown.where("mark = ''").select(F.col("host").alias("of"), F.col("n").alias("pages"))
+    kinds = shown.where("mark <> '' and not startswith(mark, '#')").join(all_pages, F.col("host") == F.col("of")).where(F.col("n") >= F.greatest(F.lit(2), F.col("pages") * KIND_SHARE))
+    slots = shown.where("startswith(mark, '#')").select("host", F.col("lo.k").alias("k"))
+    return slots.unionByName(kinds.select("host", F.explode(F.array("lo.k", "hi.k")).alias("k"))).distinct()
+
+
+def host_trees(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(host, tree) of the hosts with two different pages or more, merged from their exemplars.
+
+    Repeated keys count once; a host of any size gives a bounded number of exemplars and no task holds its pages.
+    """
+    host, _ = host_and_path("url")
+    chosen = cut(exemplars(pages, key))
+    small = chosen.count() <= 8 * BROADCAST_HOSTS
     rows = pages.select(F.col(key).alias("p"), host.alias("own"), "html")
     html = rows.join(F.broadcast(chosen) if small else chosen, (F.col("p") == F.col("k")) & (F.col("own") == F.col("host")))
     html = html.groupBy("host", "p").agg(F.min("html").alias("html"))
@@ -680,8 +707,10 @@ def extract_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, url, text) of every row: the main text, one block a line.
 
     Templates come from all pages of a host; only the tree they are counted on is merged from
-    EXEMPLARS pages, so a node that none of those shows stays as it is. Constant text of a host is
-    template if 4 pages or more that are no copies of each other show it. Null and empty html give an
+    exemplars, two or more of every kind of page that KIND_SHARE of the host's pages are. Constant text of
+    a host is template if its pages that are no copies of each other agree on it: two or more pages, in an
+    article four or more. Formulas, hidden texts, texts of noscript, object and button elements outside forms
+    and link lists in an article stay: only form fields, scripts, styles and regions go. Null and empty html give an
     empty text; a null url has the empty host; repeated rows give equal texts; other columns are not
     read.
     """

@@ -61,6 +61,37 @@ def test_constant_nodes_become_template_and_varying_slots_stay():
     assert template(copies) is None  # near copies are no evidence
 
 
+def test_nothing_but_the_named_parts_goes():
+    got = H.extract('<article><p>Let <math><mi>x</mi></math> be.</p><p hidden>unseen</p><noscript>plain</noscript><p><object>figure</object> <button>press</button> <svg><text>label</text><style>s{}</style></svg></p><form><button>send</button></form><select><option>o</select></article>')
+    assert got == "Let x be.\nunseen\nplain\nfigure press label"
+    links = lambda i: "".join(f"<li><a href=x>ref {w} {i}</a></li>" for w in ("one", "two", "three"))
+    pages = [f"<article><p>{f'story {i} goes on ' * 9}</p><ul>{links(i)}</ul></article><div><a href=y>next {i}</a></div>" for i in range(8)]
+    got = H.extract(pages[3], template(pages)).split("\n")
+    assert got[1:] == ["ref one 3", "ref two 3", "ref three 3"]
+
+
+def test_two_pages_settle_what_is_outside_articles():
+    pages = [f"<div>Subscribe to our letter</div><article><p>{f'story {i} goes on ' * 9}</p><p>they share this</p></article>" for i in range(2)]
+    assert H.extract(pages[0], template(pages)) == f"{'story 0 goes on ' * 9}".strip() + "\nthey share this"
+
+
+def test_every_kind_of_page_aligns(spark, monkeypatch):
+    """A host whose sixteen kinds of page have menus and notices of their own, in places without telling names."""
+    monkeypatch.setattr(H, "EXEMPLARS", 1)
+    kinds = "abcdefghijklmnop"
+
+    def html(i):
+        c = kinds[i % len(kinds)]
+        menu = "".join(f'<span><a href="/{i}{k}">topic {i} {k}</a></span> ' for k in range(5))
+        return f'<div class="k{c}"><div class="m{c}">{menu}</div><div class="t{c}"><p>{f"story {i} of kind {c} " * 20}</p></div><div class="f{c}">Written for readers of {c * 5}</div></div>'
+
+    rows = [(i, f"http://h/{i}", html(i)) for i in range(160)]
+    got = H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in got:
+        assert r.text == f"story {r.page_id} of kind {kinds[r.page_id % 16]} " .strip() + f" story {r.page_id} of kind {kinds[r.page_id % 16]}" * 19, r
+        assert "topic" in H.extract(html(r.page_id)) and "Written" in H.extract(html(r.page_id))  # names and tags do not tell
+
+
 def test_menus_outside_tags_and_optional_notices():
     def site(i, notice):
         links = "".join(f'<span><a href="/{i}{k}">topic {i} {k}</a></span> ' for k in range(6))
