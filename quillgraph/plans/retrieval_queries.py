@@ -16,6 +16,7 @@ from quillgraph.operators import ivf, raptor, thoughts
 from quillgraph.operators import search as S
 from quillgraph.operators import vectors as V
 from quillgraph.plans.registry import query
+from quillgraph.streaming.turns import replay
 
 # -- budgets ---------------------------------------------------------------------------------------
 
@@ -88,6 +89,13 @@ def qa_turns(spark: SparkSession, d: str) -> DataFrame:
     return C.qa_turns(table(spark, d, "conversations"))
 
 
+@query(f"WITH {_QA} SELECT conv_id, qa, question, answer FROM q")
+def qa_turns_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The groups of ``qa_turns`` by way of the stream; a turn's number stands for its second of the day."""
+    turns = table(spark, d, "conversations").withColumn("ts", F.timestamp_seconds(F.col("turn") + 86_400))
+    return replay(turns, f"{shared_dir(spark)}/turns-{uuid.uuid4().hex}").where("not late").select("conv_id", "qa", "question", "answer")
+
+
 @query("WITH r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS nth FROM conversations WHERE role = 'user') SELECT * FROM r WHERE nth <= 2")
 def user_turns_last_n(spark: SparkSession, d: str) -> DataFrame:
     return C.last_user_turns(table(spark, d, "conversations"), 2).select("conv_id", "turn", "text", "nth")
