@@ -52,12 +52,17 @@ def validate_and_improve(t: DataFrame, condition: Column, new_state: Column, tri
 
 
 def aggregate(t: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, state): states folded by rising score, later ones over earlier ones."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("score", F.lit(0.0)).alias("s"), "id", F.map_entries("state").alias("e"))))
-    flat = F.flatten(F.transform(ordered, lambda x: x["e"]))
-    rows = t.groupBy(*keys).agg(flat.alias("_e"))
-    last = F.filter("_e", lambda p, i: F.size(F.filter(F.slice("_e", i + 2, F.size("_e")), lambda q: q["key"] == p["key"])) == 0)
-    return rows.select(*keys, F.map_from_entries(last).alias("state"))
+    """(keys, state): states folded by rising score, later ones over earlier ones.
+
+    The last value of every entry is folded as rows come, so no row holds the states of a group. Of
+    equal scores and ids the greater entries are later; a null state has none.
+    """
+    place = F.struct(F.coalesce("score", F.lit(0.0)).alias("s"), "id", F.map_entries("state").alias("e"))
+    rows = t.select(*keys, F.posexplode_outer("state").alias("_i", "_k", "_v"), place.alias("_at"))
+    last = rows.groupBy(*keys, "_k").agg(F.max(F.struct("_at", "_i", "_v")).alias("_m"))
+    entry = F.when(F.col("_k").isNotNull(), F.struct("_m._at", "_m._i", F.struct(F.col("_k").alias("key"), F.col("_m._v").alias("value")).alias("e")))
+    entries = F.array_sort(F.collect_list(entry))
+    return last.groupBy(*keys).agg(F.map_from_entries(F.transform(entries, lambda x: x["e"])).alias("state"))
 
 
 def keep_best(t: DataFrame, n: int, higher_is_better: bool = True) -> DataFrame:

@@ -261,6 +261,24 @@ def test_thoughts(spark):
     assert thoughts.ground_truth(s, F.col("state")["missing"] == "1").where("solved").count() == 0
 
 
+def test_states_of_a_large_group_fold_entry_by_entry(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(k, f"{i:05d}", {r.choice("abcd"): r.choice(["x", "y", None]) for _ in range(r.randint(0, 3))}, r.choice([None, -1.0, 0.0, 2.5])) for k in (1, None) for i in range(200)]
+    rows += [(2, f"{i:05d}", {"last": f"{i:05d}", f"k{i % 3}": "v"}, float(i % 777)) for i in range(20000)]
+    rows += [(3, "a", None, 1.0), (3, "b", {"only": "b"}, 0.0), (4, "a", {}, 1.0)]
+    want = {}
+    for k, i, state, score in sorted(rows, key=lambda x: (x[3] or 0.0, x[1])):
+        want.setdefault(k, {}).update(state or {})
+    t = spark.createDataFrame(rows, "key int, id string, state map<string,string>, score double")
+    assert {x.key: x.state for x in thoughts.aggregate(t, ["key"]).collect()} == want
+    assert thoughts.aggregate(t.limit(0)).first().state == {}
+    # A sort of all states of a group in one row was compared entry by entry with all later ones.
+    plan = thoughts.aggregate(t, ["key"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten" not in plan and "slice" not in plan
+
+
 def test_providers(spark):
     with pytest.raises(ValueError):
         P.StaticProvider()("x")
