@@ -53,45 +53,167 @@ def reduce_dimensions(df: DataFrame, id_col: str, vector: str, dimensions: int)
     return PCA(k=dimensions, inputCol="_u", outputCol="_p").fit(v).transform(v).select(id_col, vector_to_array("_p").alias("reduced"))
 
 
+# Fixed values of the mixtures: sweeps at most, change of log likelihood that ends them, least variance (of one).
+SWEEPS, SETTLED, LEAST_VARIANCE = 20, 0.01, 1e-6
+#: Rows, for each cluster of the largest mixture, among which all mixtures start.
+DRAWN = 20
+#: Rows whose densities a task holds at a time.
+BLOCK = 1000
+
+
 def soft_clusters(df: DataFrame, id_col: str, vector: str, threshold: float = 0.1, max_clusters: int = 5, seed: int = 224) -> DataFrame:
     """(id, cluster, probability): a Gaussian mixture of the number of clusters (from 1) of least BIC.
 
-    A row is in every cluster whose probability exceeds the threshold, so in none or several.
+    A row is in every cluster whose probability exceeds the threshold, so in none or several. The
+    mixtures of all numbers are fitted at once: a sweep reads every row once, tasks add up each
+    component's statistics, and only their sums reach the driver. Mixtures that settled drop out.
     """
-    from pyspark.ml.clustering import GaussianMixture
+    import numpy as np
     from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
     x = cut(df.where(F.col(vector).isNotNull()).select(id_col, F.col(vector).cast("array<double>").alias("x")))
     n = x.count()
     if not n:
         return x.select(id_col, F.lit(0).alias("cluster"), F.lit(1.0).alias("probability"))
-    d = len(x.select("x").first()[0])
+    # Small tables come in few files; a sweep's work is spread nevertheless.
+    x = cut(x.repartition(min(2 * x.sparkSession.sparkContext.defaultParallelism, n // BLOCK + 1), id_col))
+    moments = x.select(array_to_vector("x").alias("v")).agg(Summarizer.metrics("mean", "std").summary(F.col("v")).alias("m")).first()["m"]
+    mean, scale = moments["mean"].toArray(), moments["std"].toArray()
+    scale = np.where(scale > 0, scale, 1.0)
+    d, most = len(mean), max(1, min(max_clusters, n - 1))
+    drawn = x.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col, "x").limit(DRAWN * most).select("x").collect()
+    drawn = (np.array([r["x"] for r in drawn]) - mean) / scale
+    models = {k: _start(drawn, k, seed) for k in range(1, most + 1)}
+    loglik, active = {}, sorted(models)
+    for sweep in range(SWEEPS + 1):
+        weights, owner = np.hstack([models[k] for k in active]), np.repeat(active, active)
+        sums = x.mapInArrow(_sweep(weights, owner, mean, scale), "component int, sums array<double>")
+        sums = sums.groupBy("component").agg(Summarizer.sum(array_to_vector("sums")).alias("s")).select("component", vector_to_array("s").alias("s")).collect()
+        sums = np.array([r["s"] for r in sorted(sums)])
+        going = []
+        for k in active:
+            mine = np.flatnonzero(owner == k)
+            now, settled = sums[mine, -1].sum(), False
+            if k in loglik:
+                settled = abs(now - loglik[k]) <= SETTLED
+            loglik[k] = now
+            if not settled and sweep < SWEEPS:
+                models[k] = _maximise(sums[mine, :-1], models[k], n, d)
+                going.append(k)
+        active = going
+        if not active:
+            break
     free = lambda k: k * (d + d * (d + 1) / 2) + k - 1
-    best = (-2 * _one_gaussian(x, n, d) + free(1) * math.log(n), None)
-    v = x.select(id_col, array_to_vector("x").alias("features"))
-    for k in range(2, min(max_clusters + 1, n)):
-        model = GaussianMixture(k=k, seed=seed, maxIter=20).fit(v)
-        bic = -2 * model.summary.logLikelihood + free(k) * math.log(n)
-        if bic < best[0]:
-            best = (bic, model)
-    if best[1] is None:
+    best = min(loglik, key=lambda k: (-2 * loglik[k] + free(k) * math.log(n), k))
+    if best == 1:
         return x.select(id_col, F.lit(0).alias("cluster"), F.lit(1.0).alias("probability"))
-    p = best[1].transform(v).select(id_col, F.posexplode(vector_to_array("probability")).alias("cluster", "probability"))
-    return p.where(F.col("probability") > threshold)
+    p = x.mapInArrow(_shares(models[best], mean, scale, id_col), f"`{id_col}` {dict(x.dtypes)[id_col]}, p array<double>")
+    return p.select(id_col, F.posexplode("p").alias("cluster", "probability")).where(F.col("probability") > threshold)
+
+
+def _features(x):
+    """One, the components, and the products of every two: a Gaussian's log density is linear in them."""
+    import numpy as np
 
+    i, j = np.triu_indices(x.shape[1])
+    return np.hstack([np.ones((len(x), 1)), x, x[:, i] * x[:, j]])
 
-def _one_gaussian(x: DataFrame, n: int, d: int) -> float:
-    """Log likelihood of a single Gaussian, from pre-aggregated covariances."""
+
+def _gaussian(weight: float, mean, cov):
+    """Coefficients of log(weight * density) over the features; no variance is below the least."""
     import numpy as np
 
-    at = lambda i: F.get("x", F.lit(i))
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    row = x.agg(*[F.covar_pop(at(i), at(j)).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    cov = np.zeros((d, d))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
-    _, logdet = np.linalg.slogdet(cov + 1e-9 * np.eye(d))
-    return -0.5 * n * (d * math.log(2 * math.pi) + logdet + d)
+    values, axes = np.linalg.eigh(cov)
+    values = np.maximum(values, LEAST_VARIANCE)
+    inverse = (axes / values) @ axes.T
+    const = math.log(max(weight, 1e-300)) - 0.5 * (len(mean) * math.log(2 * math.pi) + np.log(values).sum() + mean @ inverse @ mean)
+    i, j = np.triu_indices(len(mean))
+    return np.concatenate([[const], inverse @ mean, np.where(i == j, -0.5, -1.0) * inverse[i, j]])
+
+
+def _start(drawn, k: int, seed: int):
+    """(features, k): components around k drawn rows, far apart, moved to the means of the rows nearest to them."""
+    import numpy as np
+
+    r = np.random.default_rng([seed, k])
+    centres = drawn[[r.integers(len(drawn))]]
+    while len(centres) < k:
+        far = ((drawn[:, None] - centres) ** 2).sum(2).min(1)
+        centres = np.vstack([centres, drawn[r.choice(len(drawn), p=far / far.sum() if far.sum() > 0 else None)]])
+    for _ in range(10):
+        of = ((drawn[:, None] - centres) ** 2).sum(2).argmin(1)
+        centres = np.stack([drawn[of == c].mean(0) if (of == c).any() else centres[c] for c in range(k)])
+    spread = np.maximum(((drawn - centres[of]) ** 2).mean(0), 1e-3)
+    return np.stack([_gaussian(max((of == c).mean(), 0.1 / k), m, np.diag(spread)) for c, m in enumerate(centres)], 1)
+
+
+def _maximise(sums, old, n: int, d: int):
+    """(features, k): the mixture of summed features; a component that no row is in stays where it is."""
+    import numpy as np
+
+    out, (i, j) = old.copy(), np.triu_indices(d)
+    for c, s in enumerate(sums):
+        if s[0] < 1e-9:
+            out[0, c] = -1e300
+            continue
+        mean, cov = s[1 : d + 1] / s[0], np.zeros((d, d))
+        cov[i, j] = cov[j, i] = s[d + 1 :] / s[0] - mean[i] * mean[j]
+        out[:, c] = _gaussian(s[0] / n, mean, cov)
+    return out
+
+
+def _blocks(batch, mean, scale):
+    """Standardised rows of an Arrow batch, block by block."""
+    import numpy as np
+
+    x = batch.column(batch.num_columns - 1)
+    x = (x.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(mean)) - mean) / scale
+    for at in range(0, len(x), BLOCK):
+        yield np.ascontiguousarray(x[at : at + BLOCK])
+
+
+def _sweep(weights, owner, mean, scale):
+    """A task's sums: for every component its features by share, and its mixture's log likelihood in its first one."""
+    import numpy as np
+    import pyarrow as pa
+
+    begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    count = np.diff(np.r_[begin, len(owner)])
+
+    def run(batches):
+        sums, loglik = np.zeros((len(owner), len(weights))), np.zeros(len(begin))
+        for batch in batches:
+            for x in _blocks(batch, mean, scale):
+                f = _features(x)
+                log = f @ weights
+                top = np.maximum.reduceat(log, begin, axis=1)
+                share = np.exp(log - np.repeat(top, count, axis=1))
+                whole = np.add.reduceat(share, begin, axis=1)
+                share /= np.repeat(whole, count, axis=1)
+                sums += share.T @ f
+                loglik += (top + np.log(whole)).sum(0) - len(x) * np.log(scale).sum()
+        last = np.zeros(len(owner))
+        last[begin] = loglik
+        yield pa.RecordBatch.from_pydict({"component": pa.array(np.arange(len(owner)), pa.int32()), "sums": pa.array(list(np.c_[sums, last]), pa.list_(pa.float64()))})
+
+    return run
+
+
+def _shares(weights, mean, scale, id_col: str):
+    """Every row's probabilities of the components."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            logs = [_features(x) @ weights for x in _blocks(batch, mean, scale)]
+            if logs:
+                log = np.concatenate(logs)
+                share = np.exp(log - log.max(1, keepdims=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(share / share.sum(1, keepdims=True)), pa.list_(pa.float64()))], names=[id_col, "p"])
+
+    return run
 
 
 def cluster_nodes(df: DataFrame, id_col: str, vector: str, dimensions: int = 5, threshold: float = 0.1, max_clusters: int = 50) -> DataFrame:

@@ -601,3 +601,27 @@ def test_provider_verbs_run_in_workflows(spark, tmp_path):
     assert sorted((r.name, r.n) for r in done[-1].table.collect()) == [("ADA", 1), ("BOB", 1)]
     out = X.text_embed_verb(VerbInput(docs.unionByName(docs.limit(0).selectExpr("id", "text")).withColumn("e", F.lit(1))), "text", "id", lambda c: F.array(F.length(c).cast("double")))
     assert sorted((r.id, r.embedding) for r in out.collect()) == [(1, [11.0]), (2, [8.0])]
+
+
+def test_mixtures_of_all_sizes_are_fitted_in_few_sweeps(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    centres = np.array([[0, 0, 0], [9, 0, 1], [0, 9, 2], [9, 9, 3]])
+    rows = [(i, [float(v) for v in centres[i % 4] * 0.01 + r.normal(0, 0.004, 3) + 5]) for i in range(1200)] + [(9999, None)]
+    df = spark.createDataFrame(rows, "id long, x array<double>").repartition(3)
+    real, sweeps = raptor._sweep, []
+    monkeypatch.setattr(raptor, "_sweep", lambda *a: sweeps.append(1) or real(*a))
+    found = raptor.soft_clusters(df, "id", "x", 0.1, 20).collect()
+    # One fit after the other took a job for every sweep of every number of clusters.
+    assert 1 < len(sweeps) <= raptor.SWEEPS + 1
+    of = {}
+    for row in sorted(found, key=lambda q: q.probability):
+        of[row.id] = row.cluster
+    groups = [{of[i] for i in range(1200) if i % 4 == g} for g in range(4)]
+    assert sorted(of) == list(range(1200)) and all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 4
+    assert sorted(map(tuple, raptor.soft_clusters(df.repartition(1), "id", "x", 0.1, 20).select("id", "cluster").collect())) == sorted((q.id, q.cluster) for q in found)
+    one = spark.createDataFrame([(i, [1.0, float(v)]) for i, v in enumerate(r.normal(size=300))], "id long, x array<double>")
+    assert {q.cluster for q in raptor.soft_clusters(one, "id", "x", 0.1, 6).collect()} == {0}
+    assert raptor.soft_clusters(df.where("id = 9999"), "id", "x").count() == 0
+    assert [tuple(q) for q in raptor.soft_clusters(df.where("id = 1"), "id", "x").collect()] == [(1, 0, 1.0)]
