@@ -12,6 +12,10 @@ from quillgraph.functions.text import num_tokens
 from quillgraph.operators.packing import BLOCK_ROWS, pack_in_blocks, pack_in_stream
 
 
+#: Selected entities that are broadcast; more are joined by a shuffle.
+FEW_ENTITIES = 10_000
+
+
 def within_budget(df: DataFrame, cost: str, budget: int, order: Sequence, partition: Sequence[str] = (), header: int = 0, include_overflow: bool = False) -> DataFrame:
     """Rows in order while ``header`` and their running cost stay within ``budget``.
 
@@ -153,9 +157,12 @@ def text_unit_order(entities: DataFrame, unit_entities: DataFrame, unit_edges: D
     source, target). A unit belongs to its first entity; its number of relationships is that of its
     edges which touch that entity. Read it ordered by entity_order and falling num_relationships.
     """
-    e = entities.select(F.col("entity").alias("_e"), "entity_order")
-    first = unit_entities.join(e, F.col("entity") == F.col("_e")).groupBy("unit").agg(F.min(F.struct("entity_order", "entity")).alias("m")).select("unit", "m.*")
+    e = cut(entities.select(F.col("entity").alias("_e"), "entity_order"))
+    near = F.broadcast if e.count() <= FEW_ENTITIES else lambda x: x
+    first = unit_entities.join(near(e), F.col("entity") == F.col("_e")).groupBy("unit").agg(F.min(F.struct("entity_order", "entity")).alias("m")).select("unit", "m.*")
     ends = unit_edges.select(F.col("unit").alias("_u"), F.explode(F.array_distinct(F.array("source", "target"))).alias("_t"))
+    # A unit's entity is a selected one, so only ends at these are counted.
+    ends = ends.join(near(e.select(F.col("_e").alias("_s")).distinct()), F.col("_t") == F.col("_s"), "left_semi")
     n = ends.groupBy("_u", "_t").agg(F.count("*").alias("num_relationships"))
     return first.join(n, (F.col("unit") == F.col("_u")) & (F.col("entity") == F.col("_t")), "left").select("unit", "entity_order", F.coalesce("num_relationships", F.lit(0)).alias("num_relationships"))
 

@@ -122,7 +122,7 @@ def text_unit_order(spark: SparkSession, d: str) -> DataFrame:
     best = table(spark, d, "supplier").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(10)
     e = best.select(F.col("s_suppkey").alias("entity"), F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("entity_order"))
     li = table(spark, d, "lineitem")
-    u = li.select(F.col("l_orderkey").alias("unit"), F.col("l_suppkey").alias("entity")).distinct()
+    u = li.select(F.col("l_orderkey").alias("unit"), F.col("l_suppkey").alias("entity"))
     x = li.select(F.col("l_orderkey").alias("unit"), F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 97 + 1000000).alias("target"))
     return C.text_unit_order(e, u, x)
 

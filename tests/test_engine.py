@@ -625,3 +625,16 @@ def test_mixtures_of_all_sizes_are_fitted_in_few_sweeps(spark, monkeypatch):
     assert {q.cluster for q in raptor.soft_clusters(one, "id", "x", 0.1, 6).collect()} == {0}
     assert raptor.soft_clusters(df.where("id = 9999"), "id", "x").count() == 0
     assert [tuple(q) for q in raptor.soft_clusters(df.where("id = 1"), "id", "x").collect()] == [(1, 0, 1.0)]
+
+
+def test_text_unit_order_counts_ends_of_selected_entities_only(spark):
+    from quillgraph.operators import context
+
+    e = spark.createDataFrame([(1, 2), (2, 1), (3, 9)], "entity long, entity_order int")
+    u = spark.createDataFrame([(10, 1), (10, 2), (10, 2), (11, 7), (12, 3), (13, None)], "unit long, entity long")
+    x = spark.createDataFrame([(10, 2, 5), (10, 2, 2), (10, 1, 2), (10, 1, 5), (11, 7, 7), (12, 8, 9), (None, 1, 1)], "unit long, source long, target long")
+    got = context.text_unit_order(e, u, x)
+    assert sorted(map(tuple, got.collect())) == [(10, 1, 3), (12, 9, 0)]
+    # Edges were counted for every end before the selected entities met them.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
