@@ -14,6 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions.session import cut, narrow_batches
 from quillgraph.operators.relational import running_sums
 
 #: Ranks of the vocabulary, one ``base64-bytes rank`` a line.
@@ -92,6 +93,7 @@ class BpeTokens:
 
     def __init__(self, spark: SparkSession, vocabulary: str = VOCABULARY):
         table = spark.sparkContext.broadcast(read_ranks(vocabulary))
+        narrow_batches(spark)
 
         def per_batch(kind: str, one, missing):
             def batches(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -101,7 +103,7 @@ class BpeTokens:
 
             return F.pandas_udf(batches, kind)
 
-        self._ids = per_batch("array<int>", lambda p, text: p.encode(text), [])
+        self._ids = per_batch("array<int>", lambda p, text: np.array(p.encode(text), np.int32), np.array([], np.int32))
         self._count = per_batch("long", lambda p, text: p.count(text), 0)
         self._text = per_batch("string", lambda p, ids: p.decode(ids.tolist() if isinstance(ids, np.ndarray) else ids), None)
 
@@ -129,7 +131,8 @@ class BpeTokens:
             raise ValueError("size must be positive and exceed the overlap")
         doc_id = doc_id or order
         one = df.select(*keys, F.col(order).alias("_o"), F.col(doc_id).cast("string").alias("_d"), F.col(text).cast("string").alias("_x")).withColumn("_ids", self.ids("_x"))
-        one = one.withColumn("_n", F.size("_ids").cast("long")).where("_n > 0")
+        # Written once: the filter, the sample of the ranges and the ranges themselves would each encode every text.
+        one = cut(one).withColumn("_n", F.size("_ids").cast("long")).where("_n > 0")
         placed = running_sums(one, keys, ["_o", "_d", "_x"], "_n", "_end").drop("_x").withColumn("_at", F.col("_end") - F.col("_n"))
         # Window k holds the tokens [k * step, k * step + size) of its group.
         first = F.greatest(F.floor((F.col("_at") - size) / step) + 1, F.lit(0)).cast("long")

@@ -74,3 +74,33 @@ def test_running_sums_over_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == {i: sum(n for h, j, n in rows if h == g and j <= i) for g, i, _ in rows}
     assert every == {i: sum(n for _, j, n in rows if j >= i) for _, i, _ in rows}
+
+
+def test_texts_are_encoded_once_and_in_small_batches(spark, monkeypatch):
+    from quillgraph.functions import bpe as B
+    from quillgraph.functions.session import BATCH_ROWS
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        asked = spark.sparkContext.accumulator(0)
+        real = B.BytePairs.encode
+        docs = spark.createDataFrame([(i, f"text number {i} " * (i % 5)) for i in range(60)], "doc_id long, text string")
+        tokens = B.BpeTokens(spark)
+        assert spark.conf.get(name) == str(BATCH_ROWS)
+
+        def counted(text):
+            asked.add(1)
+            return real(B.BytePairs(B.read_ranks()), text)
+
+        from pyspark.sql import functions as F
+
+        plain = F.udf(lambda text: counted(text or ""), "array<int>")
+        monkeypatch.setattr(tokens, "_ids", plain)
+        got = tokens.windows(docs, [], "text", "doc_id", 20, 5).collect()
+        # The filter, the sample of the ranges and their shuffle each encoded every text.
+        assert asked.value == 60
+        assert sum(r.n_tokens for r in got) > 0
+    finally:
+        spark.conf.set(name, before)
