@@ -446,10 +446,10 @@ def graph_sink_edges(spark: SparkSession, d: str) -> DataFrame:
     unit = F.md5(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")))
     held = cut(named_chunks(spark, d).select("doc_id", unit.alias("id"), "names"))
     docs = held.groupBy("doc_id").agg(F.collect_set("id").alias("text_unit_ids")).withColumnRenamed("doc_id", "id")
-    p = cut(G.pair_counts(held, ["id"], "names").select("id", "source", "target", F.md5(F.concat("source", F.lit("->"), "target")).alias("r")))
-    r = p.groupBy(F.col("id").alias("k")).agg(F.collect_set("r").alias("relationship_ids"))
-    e = held.where(F.size("names") > 0).select("id", F.transform(F.array_distinct("names"), F.md5).alias("entity_ids"))
-    units = e.join(r, F.col("id") == F.col("k"), "left").select("id", "entity_ids", "relationship_ids")
+    # A unit's pairs are made in its row, twice, rather than stored and grouped by unit again.
+    p = G.pair_lists(held, ["id", "names"], "names")
+    named = lambda x: F.md5(F.concat(x["source"], F.lit("->"), x["target"]))
+    units = p.where(F.size("names") > 0).select("id", F.transform(F.array_distinct("names"), F.md5).alias("entity_ids"), F.transform("pairs", named).alias("relationship_ids"))
     entities = held.select(F.explode("names").alias("name")).distinct().select(F.md5("name").alias("id"), "name")
-    rel = p.select(F.col("r").alias("id"), "source", "target").distinct()
+    rel = p.select(F.explode("pairs").alias("p")).select("p.source", "p.target").distinct().select(named({"source": F.col("source"), "target": F.col("target")}).alias("id"), "source", "target")
     return index_graph(docs, units, entities, rel)

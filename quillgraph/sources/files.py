@@ -126,7 +126,8 @@ def index_graph(documents: DataFrame, units: DataFrame, entities: DataFrame, rel
     def edges(df: DataFrame, src_type: str, src: str, dst_type: str, dst: str, relation: str, many: bool = True) -> DataFrame:
         end = F.explode(F.array_distinct(dst)) if many else F.col(dst)
         rows = df.select(F.col(src).cast("string").alias("src"), end.alias("dst")).where("src is not null and dst is not null").withColumn("dst", F.col("dst").cast("string"))
-        return rows.select(F.lit(src_type).alias("src_type"), "src", F.lit(relation).alias("relation"), F.lit(dst_type).alias("dst_type"), "dst")
+        # Kinds of edges are told apart by their constants, which need not be shuffled.
+        return rows.distinct().select(F.lit(src_type).alias("src_type"), "src", F.lit(relation).alias("relation"), F.lit(dst_type).alias("dst_type"), "dst")
 
     names = entities.select(F.col("name").alias("_n"), F.col("id").cast("string").alias("_i"))
     ends = relationships.select("id", F.explode(F.array_distinct(F.array("source", "target"))).alias("end")).join(names, F.col("end") == F.col("_n"))
@@ -141,7 +142,7 @@ def index_graph(documents: DataFrame, units: DataFrame, entities: DataFrame, rel
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.distinct()
+    return out
 
 
 def upsert(store: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:

@@ -638,3 +638,19 @@ def test_text_unit_order_counts_ends_of_selected_entities_only(spark):
     # Edges were counted for every end before the selected entities met them.
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_sink_edges_are_told_apart_by_their_ends_only(spark):
+    from quillgraph.sources.files import index_graph
+
+    docs = spark.createDataFrame([("d", ["u", "u"]), ("d", ["u"])], "id string, text_unit_ids array<string>")
+    units = spark.createDataFrame([("u", ["e", "f"], ["r"]), ("u", ["e"], None)], "id string, entity_ids array<string>, relationship_ids array<string>")
+    entities = spark.createDataFrame([("e", "E"), ("f", "F")], "id string, name string")
+    got = index_graph(docs, units, entities, spark.createDataFrame([("r", "E", "F"), ("r", "E", "F")], "id string, source string, target string"))
+    assert sorted((r.src, r.relation, r.dst) for r in got.collect()) == [("d", "HAS", "u"), ("r", "CONNECTS", "e"), ("r", "CONNECTS", "f"), ("u", "MENTIONS", "e"), ("u", "MENTIONS", "f"), ("u", "STATES", "r")]
+    # The constants of each kind went through the shuffle with every edge.
+    assert "Aggregate [src_type" not in got._jdf.queryExecution().optimizedPlan().toString()
+    from quillgraph.operators import graph
+
+    lists = graph.pair_lists(spark.createDataFrame([(1, ["b", "a", "a"]), (2, [])], "id int, names array<string>"), ["id"], "names").collect()
+    assert {r.id: [tuple(p) for p in r.pairs] for r in lists} == {1: [("a", "a", 1), ("a", "b", 2)], 2: []}
