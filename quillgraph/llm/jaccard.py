@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.session import cut, narrow_batches, release
+from quillgraph.functions.session import cut, gathered, narrow_batches, release
 from quillgraph.llm.text import WordHasher, map_batches, mix, text_slices
 from quillgraph.operators.components import connected_components
 
@@ -38,6 +38,8 @@ COUNT_TOKENS = 1 << 20
 TILE = 256
 #: Documents to compare, with their places, that may be broadcast (64 bytes each at most); beyond it their texts are shuffled.
 BROADCAST_DOCS = 500_000
+#: Rows with a set or its bitmap that a task should have at least.
+PAYLOAD_ROWS = 1000
 
 _cut = partial(cut, in_loop=True)
 _HOT = np.uint64(1 << 63)
@@ -45,6 +47,10 @@ _PARTS = 8
 _BUCKET = np.log(1.06)
 #: Size buckets apart at which the sizes alone rule a link out.
 _APART = int(np.ceil(np.log(100 / PERCENT) / _BUCKET)) + 1
+#: Low bits of a shuffled shingle that hold its reach, and the largest block whose pairs are tried by it.
+_REACH_BITS = 5
+_REACH = (1 << _REACH_BITS) - 1
+PAIRED = 32
 
 
 class ShingleSets:
@@ -90,7 +96,7 @@ class ShingleSets:
 
 def class_key(keys: np.ndarray) -> tuple[int, int]:
     """Key of a set (its low byte a bucket of the size) and a check value, as signed 64-bit."""
-    bucket = min(255, int(np.log(len(keys)) / _BUCKET))
+    bucket = int(_bucket(np.array([len(keys)]))[0])
     mixed = mix(keys)
     first = (int(mixed.sum(dtype=np.uint64)) & ~0xFF) | bucket
     second = int(mix(mixed + np.uint64(len(keys))).sum(dtype=np.uint64))
@@ -101,6 +107,25 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _bucket(n):
+    return np.minimum(255, (np.log(n) / _BUCKET).astype(np.int64))
+
+
+def prefix(keys: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The first shingles of a sorted set, each with its reach in the low bits.
+
+    If the shingle at place i is the first that two sets share, their overlap is n - i at most. So the
+    other has (100 / percent + 1) * (n - i) - n shingles at most; the reach is the bucket of that size,
+    counted from the set's own bucket less _APART. Two sets link only if the first shingle they share
+    reaches both sizes.
+    """
+    n = len(keys)
+    at = np.arange(prefix_length(n, percent))
+    most = np.maximum(1, (100 + percent) * (n - at) // percent - n)
+    reach = np.clip(_bucket(most) - _bucket(np.array([n])) + _APART, 0, _REACH)
+    return (keys[: len(at)] & np.uint64(~_REACH & (1 << 64) - 1)).astype(np.int64) | reach
+
+
 def often_seen(docs: DataFrame, seed: int) -> np.ndarray:
     """The HOT_TOKENS shingles of highest count among those frequent in some stretch of documents."""
 
@@ -150,7 +175,7 @@ def document_sets(docs: DataFrame, seed: int, hot: np.ndarray) -> DataFrame:
                 c, check = class_key(keys)
                 cs.append(c), checks.append(check)
                 again = (c, check) in here
-                prefixes.append(None if again else keys[: prefix_length(n)].astype(np.int64))
+                prefixes.append(None if again else prefix(keys))
                 bits.append(None if again else bitmap(keys).tobytes())
                 here.add((c, check))
             yield pa.RecordBatch.from_arrays(
@@ -194,28 +219,53 @@ def _block_rows(batches):
 
 
 def _blocks(token: np.ndarray, c: np.ndarray):
-    bucket = c & 0xFF
+    bucket, reach, token = c & 0xFF, token & _REACH, token & ~_REACH
     order = np.lexsort((c, bucket, token))
-    token, c, bucket = token[order], c[order], bucket[order]
+    token, c, bucket, reach = token[order], c[order], bucket[order], reach[order]
     once = np.ones(len(token), bool)
     once[1:] = (token[1:] != token[:-1]) | (c[1:] != c[:-1])
-    token, c, bucket = token[once], c[once], bucket[once]
+    token, c, bucket, reach = token[once], c[once], bucket[once], reach[once]
     hot = token < 0
     yield from _batches(token[hot], None, c[hot])
-    token, c, bucket = token[~hot], c[~hot], bucket[~hot]
-    if not len(token):
+    token, c, bucket, reach = token[~hot], c[~hot], bucket[~hot], reach[~hot]
+    block, sizes = _near_blocks(token, bucket)
+    if not len(block):
         return
+    keep = _reached(block, sizes[block], bucket, bucket + reach - _APART)
+    # Without the rows that no other reaches, a block may fall apart.
+    token, c, bucket = token[keep], c[keep], bucket[keep]
+    block, sizes = _near_blocks(token, bucket)
+    if not len(block):
+        return
+    keep = sizes[block] > 1
+    fam = np.minimum.reduceat(c, np.cumsum(sizes) - sizes)[block]
+    pairs = np.unique(np.stack([fam[keep], c[keep]]), axis=1)
+    yield from _batches(None, pairs[0], pairs[1])
+
+
+def _near_blocks(token: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of every row's block, and the blocks' sizes: rows of one shingle, each near the next in size."""
     near = np.zeros(len(token), bool)  # row i and the row before may link
     near[1:] = (token[1:] == token[:-1]) & (bucket[1:] - bucket[:-1] <= _APART)
     starts = np.flatnonzero(~near)
     sizes = np.diff(np.append(starts, len(token)))
-    block = np.repeat(np.arange(len(starts)), sizes)
-    keep = sizes[block] > 1
-    if not keep.any():
-        return
-    fam = np.minimum.reduceat(c, starts)[block]
-    pairs = np.unique(np.stack([fam[keep], c[keep]]), axis=1)
-    yield from _batches(None, pairs[0], pairs[1])
+    return np.repeat(np.arange(len(starts)), sizes), sizes
+
+
+def _reached(block: np.ndarray, size: np.ndarray, bucket: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Rows that reach some other row of their block and are reached by it; all of a block above PAIRED."""
+    found = size > PAIRED
+    small = np.flatnonzero((size > 1) & ~found)
+    block, bucket, top = block[small], bucket[small], top[small]
+    both = np.zeros(len(small), bool)
+    for s in range(1, min(PAIRED, len(small))):
+        same = np.flatnonzero(block[s:] == block[:-s])
+        if not len(same):
+            break
+        met = same[(bucket[same] <= top[same + s]) & (bucket[same + s] <= top[same])]
+        both[met] = both[met + s] = True
+    found[small] = both
+    return found
 
 
 def _batches(token, fam, c, rows: int = 100_000):
@@ -233,7 +283,7 @@ def families(sets: DataFrame) -> DataFrame:
     window's smallest class is found by a pre-aggregated minimum.
     """
     tokens = sets.where("prefix is not null").select(F.explode("prefix").alias("token"), "c")
-    dealt = tokens.repartition(F.col("token"), F.when(F.col("token") < 0, F.pmod(F.col("c"), F.lit(1024))).otherwise(0))
+    dealt = tokens.repartition(F.shiftright("token", _REACH_BITS), F.when(F.col("token") < 0, F.pmod(F.col("c"), F.lit(1024))).otherwise(0))
     blocks = cut(dealt.mapInArrow(_block_rows, "token long, fam long, c long"))
     window = F.floor(F.col("c").bitwiseAND(F.lit(0xFF)) / _APART)
     hot = blocks.where("token is not null").select("token", "c", F.explode(F.array(window, window - 1)).alias("window"))
@@ -424,8 +474,14 @@ def _by_set(_, sets, side):
     return linked(sets, side)
 
 
+def _by_tile(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """The rows of a pair of tiles in one partition; in fewer tasks if ``n``, their number, is small."""
+    dealt = rows.select("fam", "i", "j", "c", "half", "n", "payload").repartition("fam", "i", "j")
+    return dealt if n is None else gathered(dealt, n, PAYLOAD_ROWS)
+
+
 def _dealt(rows: DataFrame, find) -> DataFrame:
-    dealt = rows.select("fam", "i", "j", "c", "half", "n", "payload").repartition("fam", "i", "j").sortWithinPartitions("fam", "i", "j")
+    dealt = rows.sortWithinPartitions("fam", "i", "j")
     return dealt.mapInArrow(_tile_links(find), "fam long, src long, dst long")
 
 
@@ -449,72 +505,80 @@ def group_links(groups: DataFrame, rows_of, table_of, find) -> DataFrame:
     it, and a group that falls apart costs what its components have between them.
 
     ``rows_of`` adds size and payload to the rows of tiles, ``table_of`` gives them as (k, n, payload),
-    materialised, for classes that are needed several times.
+    materialised, for classes that are needed several times; both get the number of their rows.
     """
     per = _cut(groups.groupBy("fam").agg(F.count("*").alias("m")).where("m > 1").select(F.col("fam").alias("k"), "m"))
-    links = _cut(_dealt(rows_of(_in_own_tile(groups, per, 0)), find))
-    large = per.where(F.col("m") > TILE).select("k")
-    if large.isEmpty():
+    above = F.when(F.col("m") > TILE, F.col("m"))
+    size = per.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.coalesce(F.sum(above), F.lit(0)).alias("large")).first()
+    links = _cut(_dealt(_by_tile(rows_of(_in_own_tile(groups, per, 0), size["n"]), size["n"]), find))
+    if not size["large"]:
         return links.select("src", "dst")
-    members = _cut(groups.join(large, F.col("fam") == F.col("k"), "left_semi"))
-    table = table_of(members.select("c").distinct())
+    few = lambda df: _cut(gathered(df, size["large"]))
+    large = per.where(F.col("m") > TILE).select("k")
+    members = few(groups.join(large, F.col("fam") == F.col("k"), "left_semi"))
+    table = table_of(members.select("c").distinct(), size["large"])
     held = lambda tiles: tiles.join(table, F.col("c") == F.col("k"))
 
     def joined(state: DataFrame, by: str, more: DataFrame) -> DataFrame:
-        step = _cut(more.select(F.col("fam").alias("f"), "src", "dst"))
+        step = more.select(F.col("fam").alias("f"), "src", "dst")
         to = F.coalesce("dst", by).alias("root")
-        return _cut(state.join(step, (F.col("fam") == F.col("f")) & (F.col(by) == F.col("src")), "left").select("fam", "c", to))
+        return few(state.join(step, (F.col("fam") == F.col("f")) & (F.col(by) == F.col("src")), "left").select("fam", "c", to))
 
     state = joined(members, "c", links)
     before = None
     for salt in range(1, 40):
-        roots = _cut(state.select("fam", F.col("root").alias("c")).distinct())
-        apart = _cut(roots.groupBy("fam").agg(F.count("*").alias("m")).where("m > 1").select(F.col("fam").alias("k"), "m"))
-        size = apart.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.coalesce(F.max("m"), F.lit(0)).alias("most")).first()
-        if not size["n"]:
+        roots = gathered(state.select("fam", F.col("root").alias("c")).distinct(), size["large"])
+        apart = few(roots.groupBy("fam").agg(F.count("*").alias("m")).where("m > 1").select(F.col("fam").alias("k"), "m"))
+        now = apart.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.coalesce(F.max("m"), F.lit(0)).alias("most")).first()
+        if not now["n"]:
             return links.select("src", "dst")
-        if before is not None and size["n"] > 0.8 * before:
+        if before is not None and now["n"] > 0.8 * before:
             break
-        before = size["n"]
-        more = _cut(_dealt(held(_in_own_tile(roots, apart, salt)), find))
+        before = now["n"]
+        more = _cut(_dealt(_by_tile(held(_in_own_tile(roots, apart, salt)), now["n"]), find))
         links = links.unionByName(more)
         state = joined(state, "root", more)
-        if size["most"] <= TILE:
+        if now["most"] <= TILE:
             break
     # Tiles of one component, and mixed ones of the small components.
     many = state.groupBy("fam", "root").agg(F.count("*").alias("s"))
     rest = many.groupBy("fam").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("s") < TILE, F.col("s")).otherwise(0)).alias("small")).where("roots > 1")
-    many = _cut(many.join(rest, "fam").select(F.col("fam").alias("f"), F.col("root").alias("r"), "s", "small"))
+    many = few(many.join(rest, "fam").select(F.col("fam").alias("f"), F.col("root").alias("r"), "s", "small"))
     if many.isEmpty():
         return links.select("src", "dst")
     part = lambda x, n: F.pmod(F.xxhash64(x), F.greatest(F.ceil(n / TILE), F.lit(1))).cast("string")
     own = F.when(F.col("s") >= TILE, F.col("root").cast("string"))
     key = F.concat_ws("/", F.coalesce(own, F.lit("mixed")), F.when(F.col("s") >= TILE, part("c", F.col("s"))).otherwise(part("root", F.col("small"))))
-    placed = _cut(state.join(many, (F.col("fam") == F.col("f")) & (F.col("root") == F.col("r"))).select("fam", "c", own.alias("own"), key.alias("key")))
+    placed = few(state.join(many, (F.col("fam") == F.col("f")) & (F.col("root") == F.col("r"))).select("fam", "c", own.alias("own"), key.alias("key")))
     number = F.row_number().over(Window.partitionBy("fam").orderBy("key")).cast("int")
-    tiles = _cut(placed.select("fam", "own", "key").distinct().select("fam", "own", "key", number.alias("no")))
+    tiles = few(placed.select("fam", "own", "key").distinct().select("fam", "own", "key", number.alias("no")))
     a, b = (tiles.select(F.col("fam").alias(f"f{x}"), F.col("own").alias(f"own{x}"), F.col("key").alias(f"key{x}"), F.col("no").alias(x)) for x in "ij")
-    pairs = _cut(a.join(b, (F.col("fi") == F.col("fj")) & (F.col("i") <= F.col("j"))).where("owni is null or ownj is null or owni <> ownj"))
+    pairs = few(a.join(b, (F.col("fi") == F.col("fj")) & (F.col("i") <= F.col("j"))).where("owni is null or ownj is null or owni <> ownj"))
     left = placed.join(pairs, (F.col("fam") == F.col("fi")) & (F.col("key") == F.col("keyi"))).select("fam", "i", "j", "c", F.lit(0).alias("half"))
     right = placed.join(pairs.where("i < j"), (F.col("fam") == F.col("fj")) & (F.col("key") == F.col("keyj"))).select("fam", "i", "j", "c", F.lit(1).alias("half"))
-    return links.unionByName(_dealt(held(left.unionByName(right)), find)).select("src", "dst")
+    return links.unionByName(_dealt(_by_tile(held(left.unionByName(right))), find)).select("src", "dst")
 
 
-def candidate_groups(sets: DataFrame) -> DataFrame:
+def candidate_groups(sets: DataFrame, n: int) -> DataFrame:
     """(fam, c): classes connected by pairs that the signature trees cannot rule out."""
-    bits = sets.where("bits is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("bits").alias("payload")).select(F.col("c").alias("k"), "n", "payload")
-    groups = cut(families(sets))
+    held = sets.where("bits is not null").select(F.col("c").alias("k"), "n", "bits")
+    once = lambda rows: rows.groupBy("k").agg(F.first("n").alias("n"), F.first("bits").alias("payload"))
+    groups = cut(gathered(families(sets), 2 * n))
     release(sets.sparkSession)
-    some = lambda classes: _cut(bits.join(classes, F.col("k") == F.col("c"), "left_semi"))
-    pairs = cut(group_links(groups, lambda tiles: tiles.join(bits, F.col("c") == F.col("k")), some, _by_signature))
+
+    def some(classes: DataFrame, m: int) -> DataFrame:
+        # Where the classes are few, no other class's bitmap is shuffled.
+        return _cut(gathered(once(held.join(F.broadcast(classes) if m <= BROADCAST_DOCS else classes, F.col("k") == F.col("c"), "left_semi")), m, PAYLOAD_ROWS))
+
+    pairs = cut(group_links(groups, lambda tiles, _: tiles.join(once(held), F.col("c") == F.col("k")), some, _by_signature))
     return connected_components(pairs).select(F.col("component").alias("fam"), F.col("node").alias("c"))
 
 
-def class_links(docs: DataFrame, sets: DataFrame, seed: int, hot: np.ndarray) -> DataFrame:
-    """(src, dst): exact links that span the components of the classes."""
-    groups = cut(candidate_groups(sets))
+def class_links(docs: DataFrame, sets: DataFrame, seed: int, hot: np.ndarray, n: int) -> DataFrame:
+    """(src, dst): exact links that span the components of the ``n`` classes."""
+    groups = cut(gathered(candidate_groups(sets, n), n))
     release(docs.sparkSession)
-    reps = sets.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep")).select(F.col("c").alias("kc"), "rep")
+    reps = cut(gathered(sets.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep")).select(F.col("c").alias("kc"), "rep"), n))
 
     # Classes whose rows all lack an id are read through their texts, each once, named by a hash.
     nameless = named = None
@@ -523,13 +587,13 @@ def class_links(docs: DataFrame, sets: DataFrame, seed: int, hot: np.ndarray) ->
         named = cut(document_sets(nameless, seed, hot).where("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep")).select(F.col("c").alias("kc"), "rep"))
         named = named.join(reps.where("rep is null").select(F.col("kc").alias("k")), F.col("kc") == F.col("k"), "left_semi")
 
-    def rows_of(tiles: DataFrame) -> DataFrame:
-        found = _full_sets(docs, tiles.join(reps, F.col("c") == F.col("kc")), seed, hot)
-        return found if nameless is None else found.unionByName(_full_sets(nameless, tiles.join(named, F.col("c") == F.col("kc")), seed, hot))
+    def rows_of(tiles: DataFrame, m: int) -> DataFrame:
+        found = _full_sets(docs, tiles.join(reps, F.col("c") == F.col("kc")), seed, hot, m)
+        return found if nameless is None else found.unionByName(_full_sets(nameless, tiles.join(named, F.col("c") == F.col("kc")), seed, hot, m))
 
-    def table_of(classes: DataFrame) -> DataFrame:
+    def table_of(classes: DataFrame, m: int) -> DataFrame:
         places = classes.select(F.lit(0).cast("long").alias("fam"), F.lit(0).alias("i"), F.lit(0).alias("j"), "c", F.lit(0).alias("half"))
-        full = _cut(rows_of(places).select(F.col("c").alias("k"), "n", "payload"))
+        full = _cut(rows_of(places, m).select(F.col("c").alias("k"), "n", "payload"))
         # Only rows repeated in full give a class twice; without them no set moves to find that out.
         if full.count() == full.select("k").distinct().count():
             return full
@@ -538,10 +602,10 @@ def class_links(docs: DataFrame, sets: DataFrame, seed: int, hot: np.ndarray) ->
     return group_links(groups, rows_of, table_of, _by_set)
 
 
-def _full_sets(docs: DataFrame, tiles: DataFrame, seed: int, hot: np.ndarray) -> DataFrame:
-    """(fam, i, j, c, half, n, payload): the sets of the classes of tiles, read from the class's document ``rep``."""
+def _full_sets(docs: DataFrame, tiles: DataFrame, seed: int, hot: np.ndarray, m: int) -> DataFrame:
+    """(fam, i, j, c, half, n, payload): the sets of the classes of tiles (m rows), read from the class's document ``rep``."""
     wanted = tiles.groupBy("rep", "c").agg(F.collect_list(F.struct("fam", "i", "j", "half")).alias("places"))
-    wanted = cut(wanted.where("rep is not null"))
+    wanted = cut(gathered(wanted.where("rep is not null"), m))
     size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("places")), F.lit(0)).alias("places")).first()
     # An id and a place are numbers: 64 bytes a row bound what is broadcast.
     small = size["n"] + size["places"] <= BROADCAST_DOCS
@@ -587,17 +651,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     for seed in range(1, 6):
         hot = often_seen(docs, seed)
         sets = cut(document_sets(docs, seed, hot))
-        clash = sets.where("c is not null").groupBy("c").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b")
-        if clash.isEmpty():
+        classes = sets.where("c is not null").groupBy("c").agg(F.min("check").alias("a"), F.max("check").alias("b"))
+        known = classes.agg(F.count("*").alias("n"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("clashes")).first()
+        if not known["clashes"]:
             break
     else:
         raise RuntimeError("different sets share a class key under every seed")
-    comp = connected_components(cut(class_links(docs, sets, seed, hot)))
+    n = known["n"]
+    comp = connected_components(cut(class_links(docs, sets, seed, hot, n)))
     classes = sets.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     named = classes.join(comp.withColumnRenamed("node", "k"), F.col("c") == F.col("k"), "left").select("c", "least", F.coalesce("component", "c").alias("root"))
-    named = cut(named)
-    roots = cut(named.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("kr"), "component_id"))
-    label = named.join(roots, F.col("root") == F.col("kr")).select(F.col("c").alias("kc"), "component_id")
+    named = cut(gathered(named, n))
+    roots = cut(gathered(named.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("kr"), "component_id"), n))
+    label = gathered(named.join(roots, F.col("root") == F.col("kr")).select(F.col("c").alias("kc"), "component_id"), n)
     out = sets.select("doc_id", "n", "c").join(label, F.col("c") == F.col("kc"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

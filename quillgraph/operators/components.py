@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.session import cut as cut_once
+from quillgraph.functions.session import gathered
 from quillgraph.operators.skew import SHARES, look_up
 
 cut = partial(cut_once, in_loop=True)
@@ -26,7 +27,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
     alone = e.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
-    e = cut(e.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    most = e.count()
+    e = cut(gathered(e.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), most))
     place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
     steps: list[DataFrame] = []
     while n := e.count():
@@ -34,23 +36,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min(place("b")).alias("m"), F.count("*").alias("degree"))
-        near = near.select(F.col("a").alias("node"), F.least(place("a"), F.col("m"))["id"].alias("up"), "degree")
+        near = gathered(near.select(F.col("a").alias("node"), F.least(place("a"), F.col("m"))["id"].alias("up"), "degree"), 2 * n)
         # A node is pointed at as often as its degree says, at most.
         step = near.select(F.col("node").alias("k"), F.col("up").alias("top"), "degree")
         hubs = step.where(F.col("degree") > max(1, 2 * n // SHARES)).drop("degree")
-        up = cut(look_up(near.select("node", "up"), "up", step.drop("degree"), "k", hubs).select("node", F.col("top").alias("up")))
+        up = cut(gathered(look_up(near.select("node", "up"), "up", step.drop("degree"), "k", hubs).select("node", F.col("top").alias("up")), 2 * n))
         steps.append(up)
         left = up.select(F.col("node").alias("ka"), F.col("up").alias("na"))
         right = up.select(F.col("node").alias("kb"), F.col("up").alias("nb"))
-        e = e.join(left, F.col("a") == F.col("ka")).join(right, F.col("b") == F.col("kb")).where("na <> nb")
-        e = cut(e.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
+        e = gathered(e.join(left, F.col("a") == F.col("ka")), n).join(right, F.col("b") == F.col("kb")).where("na <> nb")
+        e = cut(gathered(gathered(e.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")), n).distinct(), n))
     if not steps:
         return alone.select("node", F.col("node").alias("component"))
     labels = steps[0].select("node", F.col("up").alias("root"))
     for up in steps[1:]:
         labels = labels.join(up.select(F.col("node").alias("k"), "up"), F.col("root") == F.col("k"), "left").select("node", F.coalesce("up", "root").alias("root"))
-    labels = cut(labels)
+    labels = cut(gathered(labels, 2 * most))
     # Materialised, so that Spark can split a large component's side of the join.
-    least = cut(labels.groupBy("root").agg(F.min("node").alias("component")).select(F.col("root").alias("kr"), "component"))
+    least = cut(gathered(labels.groupBy("root").agg(F.min("node").alias("component")).select(F.col("root").alias("kr"), "component"), most))
     found = labels.join(least, F.col("root") == F.col("kr")).select(F.col("node").alias("k"), "component")
     return alone.join(found, F.col("node") == F.col("k"), "left").select("node", F.coalesce("component", "node").alias("component"))

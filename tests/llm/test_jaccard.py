@@ -125,3 +125,47 @@ def test_links_through_rows_without_an_id(spark):
         assert {r.component_id for r in got} == {1} and len(got) == 4
     docs = spark.createDataFrame([(None, a), (None, b), (None, c), (7, "apart " * 9)], "doc_id long, text string")
     assert sorted(str(r.component_id) for r in J.jaccard_components(docs).collect()) == ["7", "None", "None", "None"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sets_meet_at_the_first_shingle_they_share_only_if_it_reaches_both(seed):
+    rng = np.random.default_rng(seed)
+    fresh = lambda n: np.sort(rng.choice(2**58, n, replace=False).astype(np.uint64) << np.uint64(5))
+    for n in (1, 2, 3, 7, 40, 300):
+        s = fresh(n)
+        lost, more = int(rng.integers(0, n // 7 + 1)), int(rng.integers(0, n // 7 + 1))
+        t = np.union1d(rng.choice(s, n - lost, replace=False), fresh(more))
+        inter = len(np.intersect1d(s, t))
+        if 100 * inter < 75 * (len(s) + len(t) - inter) or len(s) == len(t) == inter:
+            continue
+        rows = [(k, J.class_key(keys)[0]) for keys in (s, t) for k in J.prefix(keys).tolist()]
+        token, c = (np.array(x, np.int64) for x in zip(*[r for r in rows if r[0] >= 0], strict=True))
+        found = {x for b in J._blocks(token, c) for x in b.column(2).to_pylist()}
+        assert found == set(c.tolist())
+    # One shingle in common, at the ends of both prefixes: no link can begin there.
+    s, t = fresh(400), fresh(400)
+    at = J.prefix_length(400) - 1
+    t[at] = s[at]
+    s, t = np.sort(s), np.sort(t)
+    rows = [(k, J.class_key(keys)[0]) for keys in (s, t) for k in J.prefix(keys).tolist()]
+    token, c = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    assert not list(J._blocks(token, c))
+
+
+def test_small_tables_do_not_take_a_task_for_every_shuffle_partition(spark, monkeypatch):
+    from quillgraph.operators import components
+
+    seen, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: seen.append((done := cut(df)).rdd.getNumPartitions()) or done)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    kept = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("24", "false"), strict=True):
+            spark.conf.set(n, v)
+        edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91)], "src long, dst long")
+        found = {r.node: r.component for r in components.connected_components(edges).collect()}
+    finally:
+        for n, v in zip(names, kept, strict=True):
+            spark.conf.set(n, v)
+    assert found == {i: 0 for i in range(41)} | {90: 90, 91: 90}
+    assert max(seen) <= 2
