@@ -19,8 +19,12 @@ CENTROID_BYTES = 128 << 20
 SAMPLE_PER_LIST = 64
 #: Rows of a list that one file holds; a larger list is dealt over several.
 FILE_ROWS = 500_000
-#: Queries that go with one plan; more are searched in blocks.
-QUERY_BLOCK = 500
+#: Bytes of the queries that go with one plan, and pairs of a query and a list that the driver weighs at a time;
+#: more queries are searched in blocks.
+QUERY_BYTES = 16 << 20
+QUERY_LISTS = 1 << 22
+#: Distances that a task holds at a time.
+HELD = 1 << 20
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -126,24 +130,31 @@ class IvfIndex:
         self.names = np.array([r["list"] for r in held], np.int64)
         self.centres = np.array([r["vector"] for r in held], np.float64)
         self.radius = np.array([r["radius"] for r in held], np.float64)
+        self._rows = spark.read.parquet(f"{folder}/rows")  # the folders are listed once
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/rows")
+        return self._rows
+
+    def block(self) -> int:
+        """Queries that one search takes."""
+        return max(1, min(QUERY_BYTES // (8 * max(1, self.centres.shape[-1])), QUERY_LISTS // max(1, len(self.names))))
 
     def probed(self, names) -> DataFrame:
         """The stored rows of the lists named; the scan opens their folders only."""
+        if len(names) == len(self.names):
+            return self.rows()
         return self.rows().where(F.col("list").isin([int(x) for x in names]))
 
     def search(self, queries: list[tuple[Any, list[float]]], k: int, probes: int = 8, exact: bool = False, only: DataFrame | None = None) -> DataFrame:
         """(qno, id, distance, nth): each query's k nearest rows of those in its ``probes`` nearest lists.
 
-        ``queries`` are QUERY_BLOCK at most. Codes give each row a least and a greatest distance; every
+        ``queries`` are as many as ``block`` says at most. Codes give each row a least and a greatest distance; every
         row whose least is within the k-th greatest is measured by its vector, however many they are.
-        With ``exact`` further lists are opened: all that may hold a row nearer than the k-th. ``only``
-        (id) keeps its rows.
+        With ``exact`` further lists are opened: all that may hold a row nearer than the k-th, of which
+        only rows come back that may be nearer. ``only`` (id) keeps its rows.
         """
-        if len(queries) > QUERY_BLOCK:
-            raise ValueError(f"more than {QUERY_BLOCK} queries: search them in blocks")
+        if len(queries) > self.block():
+            raise ValueError(f"more than {self.block()} queries: search them in blocks")
         if not len(self.names) or not queries:
             return self.rows().select(F.lit(0).alias("qno"), "id", F.lit(0.0).alias("distance"), F.lit(0).alias("nth")).limit(0)
         q = np.array([v for _, v in queries], np.float64)
@@ -161,7 +172,7 @@ class IvfIndex:
             slack = 1e-6 * (np.linalg.norm(q, axis=1)[:, None] + np.linalg.norm(self.centres, axis=1)[None, :] + self.radius)
             more = ~wanted & (away - self.radius - slack <= most[:, None])
             if more.any():
-                found = cut(found.unionByName(self._bounds(q, more, k, only)))
+                found = cut(found.unionByName(self._bounds(q, more, k, only, most)))
                 limit = self._limits(found, k)
                 wanted |= more
         near = found.join(F.broadcast(limit), F.col("qno") == F.col("lq")).where("least <= most").select("qno", F.col("id").alias("cid"), F.col("list").alias("cl")).distinct()
@@ -177,10 +188,11 @@ class IvfIndex:
         first = found.withColumn("nth", nth).where(F.col("nth") <= k).groupBy(F.col("qno").alias("lq"))
         return first.agg(F.when(F.count("*") == k, F.max("greatest")).otherwise(float("inf")).alias("most"))
 
-    def _bounds(self, q: np.ndarray, wanted: np.ndarray, k: int, only: DataFrame | None) -> DataFrame:
-        """(qno, id, list, least, greatest) of the rows of wanted (query, list) pairs that their batch leaves open."""
+    def _bounds(self, q: np.ndarray, wanted: np.ndarray, k: int, only: DataFrame | None, most: np.ndarray | None = None) -> DataFrame:
+        """(qno, id, list, least, greatest) of the rows of wanted (query, list) pairs that their batch, and ``most``, leave open."""
         used = np.flatnonzero(wanted.any(0))
-        centre = {int(self.names[i]): (self.centres[i], np.flatnonzero(wanted[:, i]).astype(np.int32)) for i in used}
+        # A bit for each pair goes with the plan.
+        centre = {int(self.names[i]): (self.centres[i], np.packbits(wanted[:, i])) for i in used}
         rows = self.probed(centre).select("id", "list", "code", "low", "step", "err")
         if only is not None:
             rows = rows.join(only.select(F.col("id").alias("kept")).distinct(), F.col("id") == F.col("kept"), "left_semi")
@@ -194,19 +206,24 @@ class IvfIndex:
                 low, step, err = (b.column(i).to_numpy() for i in (3, 4, 5))
                 for name in np.unique(lists).tolist():
                     at = np.flatnonzero(lists == name)
-                    middle, asked = centre[name]
+                    middle, bits = centre[name]
                     code = np.frombuffer(b"".join(b.column(2).take(pa.array(at)).to_pylist()), np.uint8).reshape(-1, width)
                     y = middle + low[at][:, None] + step[at][:, None] * code
-                    d = _distances(q[asked], y)
-                    miss = err[at][None, :] + 1e-6 * (length[asked][:, None] + np.linalg.norm(y, axis=1)[None, :])
-                    least, greatest = np.maximum(d - miss, 0), d + miss
-                    kth = np.partition(greatest, k - 1, 1)[:, k - 1] if len(at) >= k else np.full(len(asked), np.inf)
-                    i, j = np.nonzero(least <= kth[:, None])
-                    for s in range(0, len(i), 50_000):
-                        x, r = i[s : s + 50_000], j[s : s + 50_000]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(asked[x]), b.column(0).take(pa.array(at[r])), pa.array(np.full(len(x), name, np.int32)), pa.array(least[x, r]), pa.array(greatest[x, r])], names=names
-                        )
+                    everyone = np.flatnonzero(np.unpackbits(bits, count=len(q))).astype(np.int32)
+                    some = max(1, HELD // len(at))
+                    for asked in (everyone[s : s + some] for s in range(0, len(everyone), some)):
+                        d = _distances(q[asked], y)
+                        miss = err[at][None, :] + 1e-6 * (length[asked][:, None] + np.linalg.norm(y, axis=1)[None, :])
+                        least, greatest = np.maximum(d - miss, 0), d + miss
+                        kth = np.partition(greatest, k - 1, 1)[:, k - 1] if len(at) >= k else np.full(len(asked), np.inf)
+                        if most is not None:
+                            kth = np.minimum(kth, most[asked])
+                        i, j = np.nonzero(least <= kth[:, None])
+                        for s in range(0, len(i), 50_000):
+                            x, r = i[s : s + 50_000], j[s : s + 50_000]
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(asked[x]), b.column(0).take(pa.array(at[r])), pa.array(np.full(len(x), name, np.int32)), pa.array(least[x, r]), pa.array(greatest[x, r])], names=names
+                            )
 
         narrow_batches(self.spark)
         return rows.mapInArrow(run, f"qno int, id {kind}, list int, least double, greatest double")
@@ -232,7 +249,7 @@ def search(index: IvfIndex, queries: DataFrame, k: int, folder: str, probes: int
 
     for row in asked.toLocalIterator():
         block.append((row["id"], row["vector"]))
-        if len(block) == QUERY_BLOCK:
+        if len(block) == index.block():
             flush()
     if block:
         flush()

@@ -50,3 +50,26 @@ def test_odd_rows_ties_and_stores(spark, tmp_path):
     assert store.rows().count() == 44
     store.load(df.limit(0))
     assert store.by_vector(q, 5).count() == 0
+
+
+def test_one_pass_takes_many_queries_and_later_lists_give_only_nearer_rows(spark, tmp_path, monkeypatch):
+    df = _clustered(spark)
+    queries = df.where("id % 3 = 0").selectExpr("id query_id", "vector query_vector")
+    ivf.build(df, str(tmp_path / "x"))
+    index = ivf.IvfIndex(spark, str(tmp_path / "x"))
+    want = _answers(knn(df, queries, 5))
+    passes, opened = [], []
+    search, bounds = ivf.IvfIndex.search, ivf.IvfIndex._bounds
+    monkeypatch.setattr(ivf.IvfIndex, "search", lambda self, block, *a: passes.append(len(block)) or search(self, block, *a))
+    monkeypatch.setattr(ivf.IvfIndex, "_bounds", lambda self, *a: opened.append(bounds(self, *a)) or opened[-1])
+    # Few distances are held at a time, so a list meets its queries in several parts.
+    monkeypatch.setattr(ivf, "HELD", 5000)
+    assert _answers(ivf.search(index, queries, 5, str(tmp_path / "a"), probes=1, exact=True)) == want
+    assert passes == [667]  # blocks of 500 before
+    first, later = (df.count() for df in opened)
+    assert first >= 5 * 667 and later < 3 * first
+    # The bytes of a block are bounded, whatever the width.
+    monkeypatch.setattr(ivf, "QUERY_LISTS", 300 * len(index.names))
+    passes.clear()
+    assert _answers(ivf.search(index, queries, 5, str(tmp_path / "b"), probes=1, exact=True)) == want
+    assert passes == [300, 300, 67]
