@@ -5,16 +5,18 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
 from heapq import heapify, heappop, heappush
+from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.functions.session import cut, narrow_batches
+from quillgraph.functions.session import BATCH_ROWS, cut, narrow_batches
 from quillgraph.operators.relational import running_sums
 
 #: Ranks of the vocabulary, one ``base64-bytes rank`` a line.
@@ -23,6 +25,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose tokens a worker remembers.
 REMEMBERED = 200_000
+#: Groups of several texts, up to which their keys are broadcast; beyond that all texts are joined by the shuffle.
+MANY_GROUPS = 100_000
 
 
 @lru_cache(maxsize=4)
@@ -92,7 +96,7 @@ class BpeTokens:
     """Column functions over one vocabulary, whose table is broadcast once a session."""
 
     def __init__(self, spark: SparkSession, vocabulary: str = VOCABULARY):
-        table = spark.sparkContext.broadcast(read_ranks(vocabulary))
+        self._table = table = spark.sparkContext.broadcast(read_ranks(vocabulary))
         narrow_batches(spark)
 
         def per_batch(kind: str, one, missing):
@@ -124,12 +128,64 @@ class BpeTokens:
         (keys, chunk_no, chunk, n_tokens, document_ids). Texts of a group join in ``order``, then by
         ``doc_id`` and text. Each text is cut on its own at the place that running sums of token counts
         give it, and only the at most ``size`` tokens of a window meet in one row, so no row or task
-        holds a group. A group without tokens has no window.
+        holds a group. A group without tokens has no window. A text that is a group of its own is cut
+        where it is read, and nothing of it is written or shuffled; other groups are told by their keys.
         """
-        step = size - overlap
-        if step <= 0 or size <= 0:
+        if size - overlap <= 0 or size <= 0:
             raise ValueError("size must be positive and exceed the overlap")
         doc_id = doc_id or order
+        if not keys:
+            return self._joined_windows(df, keys, text, order, size, overlap, doc_id)
+        many = df.groupBy(*keys).agg(F.count("*").alias("_many")).where("_many > 1")
+        names = [f"_k{i}" for i in range(len(keys))]
+        many = cut(many.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]))
+        found = many.count()
+        if not found:
+            return self._own_windows(df, keys, text, size, overlap, doc_id)
+        if found > MANY_GROUPS:
+            return self._joined_windows(df, keys, text, order, size, overlap, doc_id)
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
+        alone, others = (df.join(F.broadcast(many), same, how) for how in ("left_anti", "left_semi"))
+        return self._own_windows(alone, keys, text, size, overlap, doc_id).unionByName(self._joined_windows(others, keys, text, order, size, overlap, doc_id))
+
+    def _own_windows(self, df: DataFrame, keys: Sequence[str], text: str, size: int, overlap: int, doc_id: str) -> DataFrame:
+        """Windows of texts that are groups of their own."""
+        step, table, wide = size - overlap, self._table, len(keys)
+        rows = df.select(*keys, F.col(doc_id).cast("string").alias("_d"), F.col(text).cast("string").alias("_x"))
+        kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).schema]
+
+        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            each = BytePairs(table.value)
+
+            def give(batch, of, no, chunk, n):
+                of = pa.array(of, pa.int64())
+                own = batch.column(wide).take(of)
+                documents = pa.ListArray.from_arrays(pa.array(range(len(of) + 1), pa.int32()), own)
+                columns = [*(batch.column(i).take(of) for i in range(wide)), pa.array(no, pa.int64()), pa.array(chunk, pa.string()), pa.array(n, pa.int64()), documents]
+                return pa.RecordBatch.from_arrays(columns, names=[*(f"k{i}" for i in range(wide)), "chunk_no", "chunk", "n_tokens", "document_ids"])
+
+            for batch in batches:
+                of, no, chunk, n = [], [], [], []
+                for i, x in enumerate(batch.column(wide + 1)):
+                    ids = each.encode(x.as_py() or "")
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at : at + size]
+                        of.append(i)
+                        no.append(k)
+                        chunk.append(each.decode(part))
+                        n.append(len(part))
+                        if len(of) == BATCH_ROWS:
+                            yield give(batch, of, no, chunk, n)
+                            of, no, chunk, n = [], [], [], []
+                if of:
+                    yield give(batch, of, no, chunk, n)
+
+        schema = ", ".join([*kinds, "chunk_no long, chunk string, n_tokens long, document_ids array<string>"])
+        return rows.mapInArrow(windows, schema).select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "chunk_no", "chunk", "n_tokens", "document_ids")
+
+    def _joined_windows(self, df: DataFrame, keys: Sequence[str], text: str, order: str, size: int, overlap: int, doc_id: str) -> DataFrame:
+        """Windows of groups of any number of texts."""
+        step = size - overlap
         one = df.select(*keys, F.col(order).alias("_o"), F.col(doc_id).cast("string").alias("_d"), F.col(text).cast("string").alias("_x")).withColumn("_ids", self.ids("_x"))
         # Written once: the filter, the sample of the ranges and the ranges themselves would each encode every text.
         one = cut(one).withColumn("_n", F.size("_ids").cast("long")).where("_n > 0")

@@ -104,3 +104,37 @@ def test_texts_are_encoded_once_and_in_small_batches(spark, monkeypatch):
         assert sum(r.n_tokens for r in got) > 0
     finally:
         spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("most", [100, 1])
+def test_texts_that_are_groups_of_their_own_are_not_written(spark, monkeypatch, most):
+    written, real = [], bpe.cut
+    monkeypatch.setattr(bpe, "cut", lambda df, *a, **k: written.append((df.columns, rows := real(df, *a, **k), rows.count())) or rows)
+    monkeypatch.setattr(bpe, "BATCH_ROWS", 7)
+    monkeypatch.setattr(bpe, "MANY_GROUPS", most)
+    rows = [(i, "ab"[i % 2], i * 10 if i % 5 else None, x) for i, x in enumerate(texts()[:40])] + [(None, None, 1, "no key, but a text of its own"), (77, "a", 2, None)]
+    df = spark.createDataFrame(rows, "g long, G2 string, i int, text string")
+
+    def plain(rows):
+        out = []
+        for g in {r[:2] for r in rows}:
+            ids, own = [], []
+            for r in sorted((r for r in rows if r[:2] == g), key=lambda r: r[2] or 0):
+                new = SEQUENTIAL.encode_ordinary(r[3] or "")
+                ids += new
+                own += [None if r[2] is None else str(r[2])] * len(new)
+            out += [(*g, k, SEQUENTIAL.decode(ids[at : at + 9]), len(ids[at : at + 9]), list(dict.fromkeys(own[at : at + 9]))) for k, at in enumerate(range(0, len(ids), 7))]
+        return sorted(map(str, out))
+
+    found = bpe.BpeTokens(spark).windows(df, ["g", "G2"], "text", "i", 9, 2)
+    assert found.columns == ["g", "G2", "chunk_no", "chunk", "n_tokens", "document_ids"]
+    assert sorted(map(str, map(tuple, found.collect()))) == plain(rows)
+    # Only the keys of groups of several texts are written, and here there is none.
+    assert [(c, n) for c, _, n in written] == [(["_k0", "_k1"], 0)]
+
+    # Two groups of two texts beside the others: only their texts are joined, unless there are too many such groups.
+    more = [*rows, (None, None, 5, " and another"), (3, "b", 900, " and one more")]
+    written.clear()
+    found = bpe.BpeTokens(spark).windows(spark.createDataFrame(more, df.schema), ["g", "G2"], "text", "i", 9, 2)
+    assert sorted(map(str, map(tuple, found.collect()))) == plain(more)
+    assert written[0][2] == 2 and (written[1][2] == 4) == (most == 100)
